@@ -29,6 +29,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(table(spark, sf_dir, "documents"), 16)
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiling import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import token_counts
 
@@ -41,6 +47,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearjoin import near_join
+
+    return near_join(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, format_chats
 
@@ -55,7 +67,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op4_token_counts, op5_best_fit_packing, op8_chat_formatting, op9_token_files)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .templates import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_benchmark_leaks, op4_token_counts, op5_best_fit_packing, op6_near_join, op8_chat_formatting, op9_token_files, op10_line_dedup)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
