@@ -53,6 +53,12 @@ def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, format_chats
 
@@ -73,7 +79,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_benchmark_leaks, op4_token_counts, op5_best_fit_packing, op6_near_join, op8_chat_formatting, op9_token_files, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_benchmark_leaks, op4_token_counts, op5_best_fit_packing, op6_near_join, op7_toxicity, op8_chat_formatting, op9_token_files, op10_line_dedup)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 

@@ -203,40 +203,24 @@ def _marker(keys: np.ndarray, places: np.ndarray):
     return mark
 
 
-def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, repeat: float = REPEAT, broadcast_most: int = BROADCAST_TEMPLATES) -> DataFrame:
-    """doc_id, text, words_before, words_after, dropped_units, kept for every document.
-
-    Units are lines, and sentences of at least SENTENCE_WORDS words inside longer lines. A unit's path in the tree
-    is its word count and its first LEADING words; words that are variable fields count as one wildcard, and in long
-    lines one of VARIABLE_PARTS parts after the path may vary. A template in at least `least_documents`
-    documents is dropped from all but the first of them (least doc_id, null last; rows of that doc_id all keep it).
-    A document with nothing left, or of whose unit words at least `repeat` go, is a repeat: kept is false.
-    Null and blank texts stay as they are and are kept. Only keys and doc_ids are shuffled, pre-aggregated. Keys are
-    64-bit hashes.
-
-    Recurring templates are broadcast only where their count is within `broadcast_most`; beyond it each
-    document's keys are joined to them, with the same result.
-    """
+def _deduplicated(docs: DataFrame, least_documents: int, broadcast_most: int, schema, result) -> DataFrame:
+    """Map every batch of docs (any columns, doc_id and text among them) with result(batch, mark); mark(units) says which units go."""
     spark = docs.sparkSession
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    names = docs.columns
+    at_id, at_text = names.index("doc_id"), names.index("text")
     recurring = written(recurring_templates(docs, least_documents), "templates")
-    schema = "doc_id long, text string, words_before long, words_after long, dropped_units long, kept boolean"
-
-    def result(batch, gone_of) -> pa.RecordBatch:
-        text, before, after, count, stays = _rewritten(batch, 1, gone_of, repeat)
-        return pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(before, pa.int64()), pa.array(after, pa.int64()), pa.array(count, pa.int64()), pa.array(stays)], names=["doc_id", "text", "words_before", "words_after", "dropped_units", "kept"])
-
+    places = lambda batch: pc.fill_null(batch.column(at_id).cast(pa.int64()), (1 << 63) - 1).to_numpy()
     if recurring.count() <= broadcast_most:
         rows = recurring.select("key", "place").toPandas()
         shared = spark.sparkContext.broadcast((rows["key"].to_numpy(np.int64), rows["place"].to_numpy(np.int64)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mark = _marker(*shared.value)
-            for batch in smaller(batches):
-                ids = pc.fill_null(batch.column(0), (1 << 63) - 1).to_numpy()
+            for batch in smaller(batches, at_text):
+                ids = places(batch)
                 yield result(batch, lambda units: mark(units, ids))
 
-        return source.mapInArrow(run, schema)
+        return docs.mapInArrow(run, schema)
 
     # Each document's own keys meet the recurring ones; what is found goes back to it by doc_id and a hash of its text.
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,22 +229,56 @@ def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, repeat:
             ids = pc.fill_null(batch.column(0), (1 << 63) - 1).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[doc]), batch.column(2).take(pa.array(doc))], names=["key", "own", "row"])
 
-    named = source.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("row"))
+    row = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
+    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), row.alias("row"))
     hits = named.mapInArrow(keyed, "key long, own long, row long").join(recurring.select("key", "place"), "key").where("place < own")
     per = hits.groupBy("row").agg(F.collect_set("key").alias("keys"))
-    joined = source.withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(per, "row", "left").select("doc_id", "text", "keys")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), row.alias("row")).join(per, "row", "left")
+    joined = packed.select(*[F.col("doc")[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col("keys"))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in smaller(batches):
-            own = [np.sort(np.array(x or [], np.int64)) for x in batch.column(2).to_pylist()]
+        for batch in smaller(batches, at_text):
+            own = [np.array(x or [], np.int64) for x in batch.column(batch.num_columns - 1).to_pylist()]
 
             def gone(units: Units) -> np.ndarray:
-                out = np.zeros(len(units.start), bool)
                 found = units.keys.view(np.int64)
-                for k in range(len(out)):
-                    out[k] = np.isin(found[k][units.valid[k]], own[units.of[k]]).any()
-                return out
+                return np.array([np.isin(found[k][units.valid[k]], own[units.of[k]]).any() for k in range(len(found))], bool)
 
-            yield result(batch, gone)
+            yield result(pa.RecordBatch.from_arrays(batch.columns[:-1], names=names), gone)
 
     return joined.mapInArrow(run_joined, schema)
+
+
+def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, repeat: float = REPEAT, broadcast_most: int = BROADCAST_TEMPLATES) -> DataFrame:
+    """doc_id, text, words_before, words_after, dropped_units, kept for every document.
+
+    Units are lines, and sentences of at least SENTENCE_WORDS words inside longer lines. A unit's path in the tree
+    is its word count and its first LEADING words; words that are variable fields count as one wildcard, and in long
+    lines one of VARIABLE_PARTS parts after the path may vary. A template in at least `least_documents`
+    documents is dropped from all but the first of them (least doc_id, null last; rows of that doc_id all keep it).
+    A document with nothing left, or of whose unit words at least `repeat` go, is a repeat: kept is false.
+    Null and blank texts stay as they are and are kept. Only keys and doc_ids are shuffled, pre-aggregated. Keys are
+    64-bit hashes.
+
+    Recurring templates are broadcast only where their count is within `broadcast_most`; beyond it each
+    document's keys are joined to them, with the same result.
+    """
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+    def result(batch, gone_of) -> pa.RecordBatch:
+        text, before, after, count, stays = _rewritten(batch, 1, gone_of, repeat)
+        return pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(before, pa.int64()), pa.array(after, pa.int64()), pa.array(count, pa.int64()), pa.array(stays)], names=["doc_id", "text", "words_before", "words_after", "dropped_units", "kept"])
+
+    return _deduplicated(source, least_documents, broadcast_most, "doc_id long, text string, words_before long, words_after long, dropped_units long, kept boolean", result)
+
+
+def without_repeats(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, repeat: float = REPEAT, broadcast_most: int = BROADCAST_TEMPLATES) -> DataFrame:
+    """The documents that line_dedup keeps, with their new texts and all other columns as they were."""
+    names = docs.columns
+    at = names.index("text")
+
+    def result(batch, gone_of) -> pa.RecordBatch:
+        text, _, _, _, stays = _rewritten(batch, at, gone_of, repeat)
+        return pa.RecordBatch.from_arrays([text if k == at else c for k, c in enumerate(batch.columns)], names=names).filter(pa.array(stays))
+
+    return _deduplicated(docs, least_documents, broadcast_most, docs.schema, result)
