@@ -70,7 +70,7 @@ SELECT cast(p_partkey AS bigint) AS request_id,
        CASE WHEN p_partkey % 7 = 0 THEN 'supplier#00000000' || cast(p_partkey % 10 AS string) ELSE NULL END AS school
 FROM {part} WHERE p_partkey <= 60""",
 }
-MILLIS = {"spark": "unix_millis(cast(ts AS timestamp))", "duckdb": "epoch_ms(ts)"}
+MILLIS = {"spark": "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz)) div 1000", "duckdb": "(epoch_us(ts) // 1000)"}
 
 
 def _needs(name: str) -> list[str]:
