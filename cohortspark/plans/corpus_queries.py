@@ -1 +1,109 @@
-"""Validation and publishing."""
+"""Validation, publishing and integrity over the derived corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortspark.operators import publish
+from cohortspark.plans.register import query
+from cohortspark.plans.search_queries import nested
+from cohortspark.sources import files
+
+
+def release(t):
+    """Nested profiles in the shape that validation reads; some break rules, by their order's number."""
+    p = nested(t).join(t.accounts.select(F.col("id").alias("account_id"), "source_account_id", "public_handle"), "account_id")
+    url = F.concat(F.when(F.col("orderkey") % 19 == 0, "http://").otherwise("https://"), F.expr("CASE source WHEN 'reddit' THEN 'www.reddit.com' WHEN 'sdn' THEN 'forums.studentdoctor.net' ELSE 'www.mdapplicants.com' END"), F.lit("/x"))
+    return (
+        p.withColumn("url", url)
+        .withColumn("source_urls", F.array("url"))
+        .withColumn("outcomes", F.transform("outcomes", lambda o: o.withField("reported_count", F.lit(None).cast("long")).withField("source_url", F.col("url"))))
+        .withColumn("science_gpa", F.when(F.col("orderkey") % 23 == 0, F.col("gpa") + 3))
+        .withColumn("extraction_confidence", F.lit("high"))
+        .withColumn("content_sha256", F.sha2("id", 256))
+        .withColumn("artifact_key", F.concat(F.lit("corpus/"), "id"))
+        .withColumn("notes", F.array(F.lit("n")))
+        .withColumn("ordinal", F.col("orderkey"))
+    )
+
+
+@query("""WITH a AS (SELECT profile_id, count(*) AS n FROM {activities} GROUP BY profile_id), o AS (SELECT profile_id, count(*) FILTER (WHERE status IN ('accepted', 'rejected')) AS ar FROM {outcomes} GROUP BY profile_id)
+SELECT id AS profile_id, 'review_status' AS rule FROM {profiles} WHERE review_status <> 'reviewed' UNION ALL SELECT id, 'science_gpa' FROM {profiles} WHERE orderkey % 23 = 0 AND gpa + 3 > 4 UNION ALL SELECT id, 'source_urls' FROM {profiles} WHERE orderkey % 19 = 0
+UNION ALL SELECT p.id, 'activity_count' FROM {profiles} p LEFT JOIN a ON a.profile_id = p.id WHERE coalesce(a.n, 0) < 2 UNION ALL SELECT p.id, 'explicit_outcome' FROM {profiles} p LEFT JOIN o ON o.profile_id = p.id WHERE coalesce(o.ar, 0) = 0""")
+def validate_corpus(t):
+    return publish.validate_corpus(release(t))
+
+
+@query("SELECT 'duplicate_version' AS rule, account_id || ':' || cycle || ':1' AS key, count(*) AS rows FROM {profiles} GROUP BY account_id, cycle HAVING count(*) > 1")
+def duplicate_keys(t):
+    return publish.duplicate_keys(t.profiles.withColumn("version", F.lit(None).cast("long")))
+
+
+@query("SELECT id, profile_id, account_id, cycle, status, school, conditional FROM {outcomes}")
+def flatten_release(t):
+    return publish.flatten_release(release(t))[2]
+
+
+@query("SELECT account_id AS id, source, arg_max(id, orderkey) AS public_handle FROM {profiles} GROUP BY account_id, source")
+def latest_handle(t):
+    a = t.profiles.selectExpr("account_id AS id", "source", "account_id AS source_account_id", "id AS public_handle", "orderkey AS ordinal")
+    return publish.latest_handle(a).select("id", "source", "public_handle")
+
+
+@query("SELECT id, CASE WHEN row_number() OVER (PARTITION BY account_id, cycle ORDER BY orderkey % 3 DESC, orderkey DESC) = 1 THEN 1 ELSE 0 END AS is_current FROM {profiles}")
+def current_versions(t):
+    imports = t.profiles.drop("is_current").withColumn("release_seq", F.col("orderkey") % 3).withColumn("ordinal", F.col("orderkey"))
+    return publish.current_versions(imports).select("id", "is_current")
+
+
+@query("""WITH r AS (SELECT * FROM {profiles} WHERE orderkey % 4 = 1), l AS (SELECT account_id, cycle, max(orderkey) AS last FROM r GROUP BY ALL)
+SELECT p.id, p.account_id, p.cycle, CASE WHEN p.orderkey % 4 = 1 THEN 9.5 ELSE p.gpa END AS gpa, CASE WHEN p.orderkey % 4 = 1 THEN CASE WHEN l.last = p.orderkey THEN 1 ELSE 0 END WHEN l.last IS NOT NULL THEN 0 ELSE p.is_current END AS is_current
+FROM {profiles} p LEFT JOIN l ON l.account_id = p.account_id AND l.cycle = p.cycle WHERE p.orderkey % 4 < 2""")
+def publish_release(t):
+    p = t.profiles.drop("orderkey", "source")
+    existing = t.profiles.where("orderkey % 4 = 0 OR (orderkey % 4 = 1 AND orderkey % 8 = 1)").select(*p.columns)
+    new = t.profiles.where("orderkey % 4 = 1").withColumn("gpa", F.lit(9.5)).withColumn("ordinal", F.col("orderkey")).drop("orderkey", "source", "is_current")
+    once = publish.publish_profiles(existing, new)
+    return publish.publish_profiles(once, new).select("id", "account_id", "cycle", "gpa", "is_current")
+
+
+@query("""SELECT id, profile_id, status FROM {outcomes} WHERE profile_id NOT IN (SELECT id FROM {profiles} WHERE orderkey % 3 = 0) UNION ALL SELECT o.id, profile_id, 'pending' FROM {outcomes} o JOIN {profiles} p ON p.id = o.profile_id WHERE p.orderkey % 3 = 0 AND ord < 2""")
+def publish_outcomes(t):
+    named = t.profiles.where("orderkey % 3 = 0").select("id")
+    new = t.outcomes.join(named.withColumnRenamed("id", "profile_id"), "profile_id").where("ord < 2").withColumn("status", F.lit("pending"))
+    return publish.publish_outcomes(t.outcomes, named, new).select("id", "profile_id", "status")
+
+
+@query("""SELECT 'profile_account' AS rule, p.id AS key FROM {profiles} p JOIN {accounts} a ON a.id = p.account_id WHERE a.custkey % 10 = 0
+UNION ALL SELECT 'outcome_profile', o.id FROM {outcomes} o WHERE substr(o.profile_id, 12, 1) = '7' UNION ALL SELECT 'one_current', account_id || ':' || cycle FROM {profiles} WHERE NOT substr(id, 12, 1) = '7' GROUP BY account_id, cycle HAVING count(*) > 1""")
+def integrity_check(t):
+    profiles = t.profiles.withColumn("is_current", F.lit(1))
+    return publish.integrity_check(t.accounts.where("custkey % 10 <> 0"), profiles, t.outcomes).where("rule <> 'outcome_profile' AND rule <> 'one_current'").unionAll(publish.integrity_check(t.accounts, profiles.where("substr(id, 12, 1) <> '7'"), t.outcomes))
+
+
+_COUNTS = """SELECT 'profiles' AS part, '' AS value, count(*) AS n FROM {profiles} UNION ALL SELECT 'accounts', '', count(DISTINCT account_id) FROM {profiles} UNION ALL SELECT 'outcomes', '', count(*) FROM {outcomes}
+UNION ALL SELECT 'mixed_timing', '', count(*) FROM {profiles} WHERE timing_status = 'retrospective_mixed' UNION ALL SELECT 'accounts_by_source', source, count(DISTINCT account_id) FROM {profiles} GROUP BY source UNION ALL SELECT 'accounts_by_cycle', cycle, count(DISTINCT account_id) FROM {profiles} GROUP BY cycle"""
+
+
+@query(_COUNTS)
+def release_counts(t):
+    return publish.release_counts(t.profiles, t.outcomes)
+
+
+@query("WITH a AS (SELECT cycle, count(DISTINCT account_id) AS n FROM {profiles} GROUP BY cycle), b AS (SELECT cycle, count(DISTINCT account_id) AS n FROM {profiles} WHERE review_status = 'reviewed' GROUP BY cycle) SELECT 'accounts_by_cycle' AS part, a.cycle AS value, a.n AS published, b.n AS counted FROM a FULL JOIN b USING (cycle) WHERE a.n IS DISTINCT FROM b.n")
+def coverage_check(t):
+    return publish.coverage_check(publish.release_counts(t.profiles, t.outcomes), publish.release_counts(t.profiles.where("review_status = 'reviewed'"), t.outcomes)).where("part = 'accounts_by_cycle'")
+
+
+@query("SELECT id, id AS name, CASE WHEN orderkey % 3 = 0 THEN 'missing' ELSE 'differs' END AS reason FROM {profiles} WHERE orderkey % 3 = 0 OR orderkey % 5 = 0")
+def artifact_mismatch(t):
+    digests = t.profiles.where("orderkey % 3 <> 0").select(F.col("id").alias("name"), F.when(F.col("orderkey") % 5 == 0, "other").otherwise(F.sha2("id", 256)).alias("sha256"))
+    return publish.artifact_mismatch(release(t).select("id", "content_sha256", "artifact_key"), digests)
+
+
+@query("SELECT id AS message_id, text, CASE WHEN length(text) % 2 = 0 THEN 'stop' END AS finish, false AS bad FROM (SELECT 'm-' || cast(conv_id AS string) || '-' || cast(turn AS string) AS id, text FROM {conversations} WHERE role = 'assistant')")
+def read_event_frames(t):
+    m = t.conversations.where("role = 'assistant'").selectExpr("concat('m-', conv_id, '-', turn) AS message_id", "1 AS seq", "text")
+    choice = F.struct(F.struct(F.col("text").alias("content"), F.lit("hidden").alias("reasoning")).alias("delta"), F.when(F.length("text") % 2 == 0, "stop").alias("finish_reason"))
+    block = F.concat(F.lit(": note\r\nevent: x\r\ndata:   "), F.to_json(F.struct(F.array(choice).alias("choices"))), F.lit("\r\n"))
+    return files.read_event_frames(m.withColumn("block", block)).drop("seq")
