@@ -20,6 +20,10 @@ TREES, DEPTH = 32, 6
 RECALL = 0.99999
 #: Shingles that a block of documents holds when groups are compared block by block.
 BLOCK = 300_000
+#: Documents of a block at most, on average.
+BLOCK_DOCS = 256
+#: Groups in a bucket beyond which they are compared as one cluster, not pair by pair.
+DENSE = 32
 
 
 def depth_for(threshold: float, trees: int = TREES, deepest: int = DEPTH, recall: float = RECALL) -> int:
@@ -156,16 +160,34 @@ def _intersections(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _forest(linked: np.ndarray, kx: list[int], ky: list[int]) -> list[tuple[int, int]]:
+    """Edges that connect what the links of a task connect, one less than the members of each part."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+        a, b = find(kx[i]), find(ky[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((kx[i], ky[j]))
+    return out
+
+
 def _counted_links(tasks: DataFrame, least: Fraction) -> DataFrame:
-    """Compare the two sides of each task; rows (k, links) and, between groups, (host, guest) where a link joins them.
+    """Compare the two sides of each task; rows (k, links) and edges (u, v) that connect what is linked.
 
     A task's rows arrive together and in order; links are counted in documents and never listed.
     """
 
     def compared(key, sides):
-        inner = key[0] == 0
-        same = inner and key[2] == key[3]
-        (kx, wx, xs, _), (ky, wy, ys, gy) = sides[0], sides[0] if same else sides[1]
+        same = key[0] == 0 and key[2] == key[3]
+        (kx, wx, xs), (ky, wy, ys) = sides[0], sides[0] if same else sides[1]
         if not kx or not ky:
             return [], []
         nx, ny = np.array([len(s) for s in xs]), np.array([len(s) for s in ys])
@@ -175,12 +197,11 @@ def _counted_links(tasks: DataFrame, least: Fraction) -> DataFrame:
         links = list(zip(kx, (linked @ np.array(wy)).tolist()))
         if not same:
             links += list(zip(ky, (linked.T @ np.array(wx)).tolist()))
-        joins = [] if inner else sorted({g for g, hit in zip(gy, linked.any(axis=0)) if hit})
-        return [x for x in links if x[1]], [(key[1], g) for g in joins]
+        return [x for x in links if x[1]], _forest(linked, kx, ky)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("k", pa.int64()), ("links", pa.int64()), ("host", pa.int64()), ("guest", pa.int64())])
-        key, sides, links, joins = None, ([], [], [], []), [], []
+        schema = pa.schema([("k", pa.int64()), ("links", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+        key, sides, links, joins = None, ([], [], []), [], []
 
         def out() -> pa.RecordBatch:
             rows = [(k, n, None, None) for k, n in links] + [(None, None, h, g) for h, g in joins]
@@ -189,7 +210,7 @@ def _counted_links(tasks: DataFrame, least: Fraction) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], schema=schema)
 
         for batch in batches:
-            for kind, host, b1, b2, side, k, weight, group, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for kind, host, b1, b2, side, k, weight, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if (kind, host, b1, b2) != key:
                     if key is not None:
                         a, b = compared(key, sides)
@@ -197,12 +218,11 @@ def _counted_links(tasks: DataFrame, least: Fraction) -> DataFrame:
                         joins += b
                         if len(links) + len(joins) > 20_000:
                             yield out()
-                    key, sides = (kind, host, b1, b2), (([], [], [], []), ([], [], [], []))
+                    key, sides = (kind, host, b1, b2), (([], [], []), ([], [], []))
                 s = sides[side]
                 s[0].append(k)
                 s[1].append(weight)
                 s[2].append(np.frombuffer(raw, np.uint64))
-                s[3].append(group)
         if key is not None:
             a, b = compared(key, sides)
             links += a
@@ -212,7 +232,7 @@ def _counted_links(tasks: DataFrame, least: Fraction) -> DataFrame:
     order = ["kind", "host", "b1", "b2"]
     parts = table_size(tasks.sparkSession)
     dealt = tasks.repartition(parts, *order).sortWithinPartitions(*order, "side", "k")
-    return dealt.select("kind", "host", "b1", "b2", "side", "k", "weight", "group", "shingles").mapInArrow(run, "k long, links long, host long, guest long")
+    return dealt.select("kind", "host", "b1", "b2", "side", "k", "weight", "shingles").mapInArrow(run, "k long, links long, u long, v long")
 
 
 def near_join(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
@@ -227,8 +247,9 @@ def near_join(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     Documents of equal sets are one class from the start, so copies cost one row each. Class signatures meet in
     a forest of sorted prefixes: trees start at full depth and are shortened to the depth that reaches the
     recall; in each bucket only the ties to the least member of a node are verified, linear in its size.
-    What these tie is a provisional group. All members of a group, and of groups that share a bucket, are
-    then compared exactly, in blocks of bounded size that give counts, never pairs. A pair at exactly the
+    What these tie is a provisional group; groups that crowd one bucket form a cluster. All members of a cluster, and
+    of clusters that share a bucket, are then compared exactly, in blocks of bounded size that give counts and
+    connecting edges, never pairs. A pair at exactly the
     threshold that no tree brings together is missed with a probability below 1 - RECALL.
     """
     least = Fraction(str(threshold))
@@ -254,35 +275,41 @@ def near_join(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     close = ties.join(sizes.select(F.col("k").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("k").alias("v"), F.col("n").alias("nv")), "v")
     close = close.where(F.least("nu", "nv") * least.denominator >= F.greatest("nu", "nv") * least.numerator).select("u", "v")
     left, right = sets.select(F.col("k").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("k").alias("v"), F.col("shingles").alias("b"))
-    groups = components(_verified(close.join(left, "u").join(right, "v"), least), "near-groups")
+    verified = written(_verified(close.join(left, "u").join(right, "v"), least), "near-verified")
+    groups = components(verified, "near-groups")
     member = written(sizes.join(groups.select(F.col("node").alias("k"), F.col("component").alias("g")), "k", "left").select("k", "n", F.coalesce("g", "k").alias("g")), "near-members")
 
-    # Blocks: a group of many shingles is cut by hash into blocks of bounded size.
-    blocks = lambda total: F.ceil(total / BLOCK).cast("int")
-    per = member.groupBy("g").agg(F.count("*").alias("members"), F.sum("n").alias("total")).withColumn("nb", F.greatest(F.lit(1), blocks(F.col("total"))))
+    # One row per bucket and group, so a large group counts once in each. Buckets of many groups tie them into clusters.
+    seats = written(met.select("tree", "p1", "k").join(member.select("k", "g"), "k").select("tree", "p1", "g").distinct(), "near-seats")
+    filled = seats.groupBy("tree", "p1").agg(F.count("*").alias("groups"), F.min("g").alias("head")).where("groups > 1")
+    dense = components(seats.join(filled.where(F.col("groups") > DENSE), ["tree", "p1"]).select(F.col("g").alias("u"), F.col("head").alias("v")), "near-dense")
+    cluster = dense.select(F.col("node").alias("g"), F.col("component").alias("c"))
+    member = written(member.join(cluster, "g", "left").select("k", "n", F.coalesce("c", "g").alias("g")), "near-clusters")
+
+    # Blocks: a cluster of many shingles or documents is cut by hash into blocks of bounded size.
+    blocks = lambda total, count: F.greatest(F.lit(1), F.ceil(total / BLOCK), F.ceil(count / BLOCK_DOCS)).cast("int")
+    per = member.groupBy("g").agg(F.count("*").alias("members"), F.sum("n").alias("total")).withColumn("nb", blocks(F.col("total"), F.col("members")))
     placed = member.join(per, "g").withColumn("b", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
     inner = placed.where("members > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    inner = inner.select(F.lit(0).alias("kind"), F.col("g").alias("host"), F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), (F.col("o") < F.col("b")).cast("int").alias("side"), "k", "g")
-
-    # Groups that share a bucket: one row per bucket and group, so a large group counts once in each.
-    seats = met.select("tree", "p1", "k").join(member.select("k", "g"), "k").select("tree", "p1", "g").distinct()
-    mixed = seats.groupBy("tree", "p1").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("tree", "p1")
-    seats = seats.join(mixed, ["tree", "p1"])
-    beside = seats.join(seats.select("tree", "p1", F.col("g").alias("g2")), ["tree", "p1"]).where("g < g2").select("g", "g2").distinct()
-    total = per.select("g", "total")
-    beside = beside.join(total, "g").join(total.select(F.col("g").alias("g2"), F.col("total").alias("total2")), "g2")
+    inner = inner.select(F.lit(0).alias("kind"), F.col("g").alias("host"), F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), (F.col("o") < F.col("b")).cast("int").alias("side"), "k")
+
+    # Clusters that share a bucket of few groups: the larger is host, its guests come in blocks.
+    sparse = seats.join(filled.where(F.col("groups") <= DENSE).select("tree", "p1"), ["tree", "p1"]).join(cluster, "g", "left").select("tree", "p1", F.coalesce("c", "g").alias("g")).distinct()
+    beside = sparse.join(sparse.select("tree", "p1", F.col("g").alias("g2")), ["tree", "p1"]).where("g < g2").select("g", "g2").distinct()
+    total = per.select("g", "total", "members")
+    beside = beside.join(total, "g").join(total.select(F.col("g").alias("g2"), F.col("total").alias("total2"), F.col("members").alias("members2")), "g2")
     first = F.col("total") >= F.col("total2")
-    beside = written(beside.select(F.when(first, F.col("g")).otherwise(F.col("g2")).alias("host"), F.when(first, F.col("g2")).otherwise(F.col("g")).alias("guest"), F.least("total", "total2").alias("size")), "near-beside")
-    visits = beside.groupBy("host").agg(F.greatest(F.lit(1), blocks(F.sum("size"))).alias("vb"))
-    hosts = placed.join(visits, placed["g"] == visits["host"]).select("host", "k", "g", "b", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("o"))
-    guests = beside.join(visits, "host").join(per.select(F.col("g").alias("host"), "nb"), "host").join(member, beside["guest"] == member["g"]).select("host", "k", "g", F.pmod(F.xxhash64("k"), F.col("vb")).cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
-    outer = hosts.select(F.lit(1).alias("kind"), "host", F.col("b").alias("b1"), F.col("o").alias("b2"), F.lit(0).alias("side"), "k", "g").unionAll(guests.select(F.lit(1).alias("kind"), "host", F.col("b").alias("b1"), F.col("o").alias("b2"), F.lit(1).alias("side"), "k", "g"))
-    tasks = inner.unionAll(outer).withColumnRenamed("g", "group").join(sets.select("k", "weight", "shingles"), "k")
+    beside = written(beside.select(F.when(first, F.col("g")).otherwise(F.col("g2")).alias("host"), F.when(first, F.col("g2")).otherwise(F.col("g")).alias("guest"), F.least("total", "total2").alias("size"), F.when(first, F.col("members2")).otherwise(F.col("members")).alias("count")), "near-beside")
+    visits = beside.groupBy("host").agg(blocks(F.sum("size"), F.sum("count")).alias("vb"))
+    hosts = placed.join(visits, placed["g"] == visits["host"]).select("host", "k", "b", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("o"))
+    guests = beside.join(visits, "host").join(per.select(F.col("g").alias("host"), "nb"), "host").join(member, beside["guest"] == member["g"]).select("host", "k", F.pmod(F.xxhash64("k"), F.col("vb")).cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
+    outer = hosts.select(F.lit(1).alias("kind"), "host", F.col("b").alias("b1"), F.col("o").alias("b2"), F.lit(0).alias("side"), "k").unionAll(guests.select(F.lit(1).alias("kind"), "host", F.col("b").alias("b1"), F.col("o").alias("b2"), F.lit(1).alias("side"), "k"))
+    tasks = inner.unionAll(outer).join(sets.select("k", "weight", "shingles"), "k")
     found = written(_counted_links(tasks, least), "near-links")
 
     links = found.where("k IS NOT NULL").groupBy("k").agg(F.sum("links").alias("links"))
-    merged = components(found.where("host IS NOT NULL").select(F.col("host").alias("u"), F.col("guest").alias("v")), "near-merged")
-    final = member.select("k", "g").join(merged.select(F.col("node").alias("g"), F.col("component").alias("c")), "g", "left").select("k", F.coalesce("c", "g").alias("c"))
+    joined = components(verified.unionAll(found.where("u IS NOT NULL").select("u", "v")), "near-joined")
+    final = joined.select(F.col("node").alias("k"), F.col("component").alias("c"))
     every = reps.select("k", "least_doc", "weight").join(final, "k", "left").select("k", "least_doc", "weight", F.coalesce("c", "k").alias("c"))
     names = every.groupBy("c").agg(F.min("least_doc").alias("class_id"))
     classes = written(every.join(names, "c").join(links, "k", "left").select("k", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "near-classes")

@@ -68,9 +68,10 @@ def as_docs(spark, rows):
     return spark.createDataFrame([(i, t, 1, "x", 3) for i, t in rows], "doc_id long, text string, k int, g string, weight int").repartition(5)
 
 
-@pytest.mark.parametrize("block", [nearjoin.BLOCK, 700])
-def test_near_join(spark, small, block, monkeypatch):
+@pytest.mark.parametrize("block, dense", [(nearjoin.BLOCK, nearjoin.DENSE), (700, 3)])
+def test_near_join(spark, small, block, dense, monkeypatch):
     monkeypatch.setattr(nearjoin, "BLOCK", block)
+    monkeypatch.setattr(nearjoin, "DENSE", dense)
     rows = hostile()
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in nearjoin.near_join(as_docs(spark, rows)).collect())
     assert got == brute_near(rows)
