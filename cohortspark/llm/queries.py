@@ -99,6 +99,14 @@ WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {_
            FROM d LEFT JOIN cov USING (k))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND RULES AS kept FROM c""",
+    "op8_chat_formatting": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+     e AS (SELECT *, regexp_matches(text, '### |</turn>|\\[blhc]') AS hard, length(text) + length(regexp_replace(text, '[^\\<#:]', '', 'g')) AS long FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(14 + length(role) + CASE WHEN hard THEN long ELSE length(text) END)::BIGINT AS formatted_chars, true AS round_trip
+FROM e GROUP BY conv_id""",
 }
 
 
