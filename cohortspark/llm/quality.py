@@ -35,7 +35,7 @@ RULES = (
     Rule("exclamations", "n_exclamations / n_words", None, 0.3),
     Rule("stop_words", "n_stop_words", 2, None),
     Rule("stop_word_share", "n_stop_words / n_words", 0.01, None),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.3),
+    Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.5),
     Rule("bullet_lines", "n_bullet_lines / n_lines", None, 0.9),
     Rule("ellipsis_lines", "n_ellipsis_lines / n_lines", None, 0.3),
     Rule("repeated_words", "n_repeat_words / n_words", None, 0.5),
