@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import BLANKS, distinct_parts, smaller
+from .nearjoin import shingles
 
 #: Length of the common subsequences and the weight of each skipped character.
 ORDER, DECAY = 4, 0.5
@@ -50,20 +51,21 @@ def kernel_pairs(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float
     ends[a, b] weighs the subsequences that end at a and b; one step takes it to the next length by two
     triangular sums over earlier places.
     """
-    pairs, n, m = len(s), s.shape[1], t.shape[1]
-    letters = s.T
-    same = ((letters[:, :, None] == t[None, :, :]) & (letters[:, :, None] > 0)).astype(np.float32)
+    n, m = s.shape[1], t.shape[1]
+    # Pairs lie last, so that every step works on long contiguous rows.
+    letters, others = np.ascontiguousarray(s.T)[:, None, :], np.ascontiguousarray(t.T)[None, :, :]
+    same = ((letters == others) & (letters > 0)).astype(np.float32)
     ends, decay = same, np.float32(decay)
+    before, total = np.zeros_like(same), np.zeros_like(same)
     for _ in range(order - 1):
-        before = np.zeros((n, pairs, m), np.float32)
         for a in range(1, n):
             np.multiply(before[a - 1], decay, out=before[a])
             before[a] += ends[a - 1]
-        total = np.zeros((n, pairs, m), np.float32)
         for b in range(1, m):
-            total[:, :, b] = total[:, :, b - 1] * decay + before[:, :, b - 1]
+            np.multiply(total[:, b - 1], decay, out=total[:, b])
+            total[:, b] += before[:, b - 1]
         ends = same * total
-    return ends.sum(axis=(0, 2), dtype=np.float64)
+    return ends.sum(axis=(0, 1), dtype=np.float64)
 
 
 def _masks(codes: np.ndarray) -> np.ndarray:
@@ -79,7 +81,8 @@ class Kernel:
         self.codes = coded(landmarks, max(map(len, landmarks), default=1))
         self.masks = _masks(self.codes)
         # A common subsequence has at least as many distinct characters as the poorest one of the landmark.
-        self.least = np.array([self._poorest(w) for w in landmarks], np.int64)
+        # A word is compared only if it has most of a landmark's letters.
+        self.least = np.array([max(self._poorest(w), -(-len(set(w)) * 3 // 5)) for w in landmarks], np.int64)
         self.own = np.maximum(kernel_pairs(self.codes, self.codes), 1e-9) if landmarks else np.ones(0)
 
     @staticmethod
@@ -110,8 +113,8 @@ class Kernel:
                 owner, codes = np.array([k for k, _ in some]), coded([p for _, p in some], width)
                 common = np.bitwise_count(_masks(codes)[:, None] & self.masks[None, :])
                 a, b = np.nonzero(common >= self.least[None, :])
-                for lo in range(0, len(a), 4000):
-                    x, y = a[lo : lo + 4000], b[lo : lo + 4000]
+                for lo in range(0, len(a), 2048):
+                    x, y = a[lo : lo + 2048], b[lo : lo + 2048]
                     np.maximum.at(out, (owner[x], y), kernel_pairs(codes[x], self.codes[y]))
         out /= self.own
         out[out < FLOOR] = 0
@@ -229,14 +232,30 @@ def sampled_labels(labels: DataFrame, each: int = SAMPLE) -> DataFrame:
     return part(1).unionAll(part(0))
 
 
+def _once(sample: DataFrame) -> DataFrame:
+    """One document of each group of copies and near copies: those whose least 5-word shingle hash and label agree.
+
+    Copies of one toxic document would otherwise make all its words look toxic.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in smaller(batches):
+            least = [int(s[0] >> np.uint64(1)) if len(s) else -1 for s in shingles(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["doc_id", "text", "toxic", "least"])
+
+    rows = sample.mapInArrow(keyed, "doc_id long, text string, toxic int, least long")
+    return rows.groupBy("least", "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"), F.min("doc_id").alias("doc_id")).select("doc_id", "text", "toxic")
+
+
 def _chosen(sample: DataFrame) -> tuple[list[str], int]:
     """Landmarks and how many of them, the first, are toxic: beginnings of words that set toxic documents apart, then the commonest longer words of clean ones."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in smaller(batches):
+        for batch in smaller(batches, most=500_000):
             out, toxic = [], []
             for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found = {w[:n] for w in set(map(bare, text.split())) for n in range(5, 12) if len(w) >= n} | {w for w in set(map(bare, text.split())) if 5 <= len(w) <= 14}
+                words = set(map(bare, text.split()))
+                found = {w[:n] for w in words for n in range(5, 10) if len(w) >= n} | {w for w in words if 5 <= len(w) <= 14}
                 out += found
                 toxic += [y] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic, pa.int32())], names=["part", "toxic"])
@@ -311,7 +330,7 @@ def _logistic(d: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     """Fit on the sentences of a bounded sample of labelled documents (`each` of either class).
 
-    A document's label says that it has a toxic sentence, not which: each toxic document gives its worst sentence
+    Near copies in the sample count once. A document's label says that it has a toxic sentence, not which: each toxic document gives its worst sentence
     under the current machine, and others on its toxic side, if they show a landmark at all, clean ones all that were
     kept, in three rounds. Only landmark counts and
     WITNESSES sentence vectors a document reach the driver. Without both classes nothing is learnt and
@@ -320,7 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     ids = F.broadcast(sampled_labels(labels, each))  # at most 2 * each rows
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
-    sample = source.join(ids, "doc_id").select("doc_id", "text", "toxic").repartition(max(2, spark.sparkContext.defaultParallelism), F.xxhash64("doc_id", "text")).persist()
+    sample = _once(source.join(ids, "doc_id").select("doc_id", "text", "toxic")).repartition(max(2, spark.sparkContext.defaultParallelism), F.xxhash64("doc_id", "text")).persist()
     landmarks, marks = _chosen(sample)
     if not marks:
         sample.unpersist()
