@@ -52,7 +52,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         words = folded_words(tokenizer_path)
         kind = "<u2" if words.library.get_vocab_size() <= 1 << 16 else "<u4"
         last = np.array([end_id], kind)
-        for batch in smaller(batches):
+        for batch in smaller(batches, most=6_000_000):
             ids = [np.concatenate([x.astype(kind), last]).tobytes() for x in words.encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([kind == "<u2"] * len(ids))], names=["doc_id", "ids", "short"])
 
@@ -124,29 +124,35 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     return dictionary
 
 
-def read_token_files(spark, path: str) -> DataFrame:
-    """Read token files back: doc_id, start, n_tokens and the ids of every document as bytes, decoded block by block."""
+def read_token_files(spark, path: str, digest: bool = False) -> DataFrame:
+    """Read token files back: doc_id, start, n_tokens and ids of every document, decoded block by block.
+
+    ids are little-endian unsigned 32-bit bytes; with digest there is their crc32 (ids_crc32) instead.
+    """
     # The vocabulary's size bounds this table.
     by_rank = np.array([r["id"] for r in spark.read.parquet(f"{path}/ids").orderBy("rank").collect()], "<u4")
 
+    column, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, first, doc_ids, lengths, control, data in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = by_rank[decode_ranks(control, data, sum(lengths))]
                 ends = np.cumsum(lengths)
-                raw = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(raw), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(first + ends - lengths), pa.array(lengths, pa.int64()), pa.array(raw, pa.binary())], names=["file", "doc_id", "within", "n_tokens", "ids"])
+                own = [ids[e - n : e] for e, n in zip(ends.tolist(), lengths)]
+                last = pa.array([zlib.crc32(x) for x in own], pa.int64()) if digest else pa.array([x.tobytes() for x in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(own), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(first + ends - lengths), pa.array(lengths, pa.int64()), last], names=["file", "doc_id", "within", "n_tokens", column])
 
     stored = spark.read.schema(FILE).parquet(f"{path}/blocks")
     # One row per file, a number the writer sets.
     totals = stored.groupBy("file").agg(F.max(F.col("first") + F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"))
     bases = totals.select("file", F.coalesce(F.sum("tokens").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rows = stored.select("file", "first", "doc_ids", "lengths", "control", "data").mapInArrow(run, "file int, doc_id long, within long, n_tokens long, ids binary")
-    return rows.join(F.broadcast(bases), "file").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
+    rows = stored.select("file", "first", "doc_ids", "lengths", "control", "data").mapInArrow(run, f"file int, doc_id long, within long, n_tokens long, {column} {kind}")
+    return rows.join(F.broadcast(bases), "file").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", column)
 
 
 def file_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 1, path: str | None = None) -> DataFrame:
     """Write, read back and digest: doc_id, start, n_tokens, ids_crc32 for every document (null texts: the end id only)."""
     path = path or f"{shared_folder(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer_path, end_id)
-    return read_token_files(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(docs.sparkSession, path, digest=True)

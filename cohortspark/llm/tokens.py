@@ -12,8 +12,9 @@ import pyarrow.compute as pc
 from .common import distinct_parts
 
 #: Words kept per worker, and characters encoded per call.
-KEPT_WORDS, CALL_CHARS = 1_000_000, 400_000
+KEPT_WORDS, CALL_CHARS = 650_000, 400_000
 END = (",", ".")
+ENDING = {e: k for k, e in enumerate(END, 1)}
 
 
 class WordIds:
@@ -32,77 +33,86 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.lead, self.fold = lead, fold
-        self.ends = {e: self._library([e])[0] for e in END}
         self._forget()
 
     def _forget(self) -> None:
+        """Start with nothing but the empty word and the ends, whose places are 0, 1, ..."""
         self.seen: dict[str, int] = {}
-        self.count = 0
-        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _keep(self, word: str, ids: bytes) -> None:
-        k, n = self.count, len(ids) // 4
-        if k == len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * k), np.resize(self.sizes, 2 * k)
-        while self.used + n > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + n] = np.frombuffer(ids, "<u4")
-        self.starts[k], self.sizes[k] = self.used, n
-        self.used += n
-        self.seen[word] = k
-        self.count += 1
-
-    def _kept(self, word: str) -> bytes:
-        k = self.seen[word]
-        return self.pool[self.starts[k] : self.starts[k] + self.sizes[k]].tobytes()
-
-    def _library(self, words: list[str]) -> list[bytes]:
-        """Encode words apart from each other, in calls of bounded size."""
-        out, start, size = [], 0, 0
-        for k, w in enumerate(words, 1):
+        self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
+        self.starts, self.sizes, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
+        self.hits = np.zeros(1 << 18, np.int64)
+        self._store(["", *END])
+
+    def _trim(self) -> None:
+        """Keep the words whose cores came in several batches, at most a third of what is allowed; forget the many met once."""
+        hits, pool, starts, sizes = self.hits[: self.count], self.pool, self.starts, self.sizes
+        floor = max(2, int(np.partition(hits, max(0, self.count - KEPT_WORDS // 3))[max(0, self.count - KEPT_WORDS // 3)]))
+        stay = hits >= floor
+        old = self.seen
+        self._forget()
+        stay[: self.count] = True  # the empty word and the ends keep their places
+        place = np.cumsum(stay) - 1
+        kept = np.flatnonzero(stay)
+        n = sizes[kept]
+        ends = np.cumsum(n)
+        at = np.repeat(starts[kept] - (ends - n), n) + np.arange(ends[-1])
+        self.pool = np.resize(pool[at], max(1 << 20, 2 * len(at)))
+        self.starts, self.sizes, self.hits = (np.resize(x, max(1 << 18, 2 * len(kept))) for x in (ends - n, n, np.zeros(1, np.int64)))
+        self.used, self.count = len(at), len(kept)
+        self.seen = {w: int(place[k >> 2]) * 4 + (k & 3) for w, k in old.items() if stay[k >> 2]}
+
+    def _store(self, cores: list[str]) -> None:
+        """Encode words apart from each other, in calls of bounded size, and keep their ids; seen is place * 4."""
+        start, size = 0, 0
+        for k, w in enumerate(cores, 1):
             size += len(w) + 1
-            if size > CALL_CHARS or k == len(words):
-                chunk = words[start:k]
+            if size > CALL_CHARS or k == len(cores):
+                chunk = cores[start:k]
                 got = self.library.encode(chunk, is_pretokenized=True, add_special_tokens=False)
                 ids, of = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
-                cuts = np.searchsorted(of, np.arange(len(chunk) + 1)).tolist()
-                out += [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+                cuts = np.searchsorted(of, np.arange(len(chunk) + 1)) + self.used
+                while self.used + len(ids) > len(self.pool):
+                    self.pool = np.resize(self.pool, 2 * len(self.pool))
+                while self.count + len(chunk) > len(self.starts):
+                    self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+                    self.hits = np.r_[self.hits[: self.count], np.zeros(len(self.starts) - self.count, np.int64)]
+                self.pool[self.used : self.used + len(ids)] = ids
+                self.starts[self.count : self.count + len(chunk)] = cuts[:-1]
+                self.sizes[self.count : self.count + len(chunk)] = np.diff(cuts)
+                self.seen.update(zip(chunk, range(4 * self.count, 4 * (self.count + len(chunk)), 4)))
+                self.used, self.count = self.used + len(ids), self.count + len(chunk)
                 start, size = k, 0
-        return out
 
-    def _split(self, word: str) -> tuple[str, str]:
-        """The part to encode and a final comma or full stop that is a pre-token of its own."""
-        end = word[-1:] if word[-1:] in END and word[-2:-1].isalpha() and (word[-2] < "Ā" or not self.fold) else ""
-        core = word[: len(word) - len(end)]
-        if self.fold and core and max(core) < "Ā":
-            core = core.lower()
-        return core, end
-
-    def _learn(self, words: list[str]) -> None:
-        """Words with their lead; those of the same core are encoded once."""
-        new = {w: self._split(w) for w in words}
-        cores = sorted({c for c, _ in new.values()}.difference(self.seen))
-        for core, ids in zip(cores, self._library(cores)):
-            self._keep(core, ids)
-        for w, (core, end) in new.items():
-            if not end:
-                self.seen[w] = self.seen[core]
-            elif w not in self.seen:
-                self._keep(w, self._kept(core) + self.ends[end])
+    def _split(self, word: str) -> tuple[str, int]:
+        """The part to encode, and the number of a final comma or full stop that is a pre-token of its own (else 0)."""
+        end = ENDING.get(word[-1:], 0)
+        if end:
+            before = word[-2:-1]
+            if before.isalpha() and (before < "Ā" or not self.fold):
+                word = word[:-1]
+            else:
+                end = 0
+        if self.fold and (word.isascii() or max(word) < "Ā"):
+            word = word.lower()
+        return word, end
 
     def _numbers(self, words: list[str]) -> np.ndarray:
-        """Where each word's ids are kept, learning those not seen yet."""
+        """Place of each word's core * 4 + the number of its end, learning those not seen yet."""
         at = list(map(self.seen.get, words))
         if None in at:
-            self._learn([w for w, k in zip(words, at) if k is None])
+            new = [w for w, k in zip(words, at) if k is None]
+            split = list(map(self._split, new))
+            self._store(sorted({c for c, _ in split}.difference(self.seen)))
+            self.seen.update([(w, self.seen[c] + e) for w, (c, e) in zip(new, split)])
             at = list(map(self.seen.__getitem__, words))
-        return np.array(at, np.int64)
+        at = np.array(at, np.int64)
+        self.hits[at >> 2] += 1  # once for each place, however often it stands here
+        return at
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (none null)."""
         if len(self.seen) > KEPT_WORDS:
-            self._forget()
+            self._trim()
         if self.fold:
             texts = pc.replace_substring(texts, "\n", " ")
             whole = np.zeros(len(texts), bool)
@@ -117,10 +127,12 @@ class WordIds:
             at = self._numbers([self.lead + w for w in words])[codes]
             if self.lead:
                 at[first[:-1]] = self._numbers([words[k] for k in codes[first[:-1]].tolist()])
+            # A core and its end each; places 1 and 2 are the ends, 0 is empty.
+            at = np.stack([at >> 2, at & 3], axis=1).ravel()
             sizes, starts = self.sizes[at], self.starts[at]
             ends = np.r_[0, np.cumsum(sizes)]
             ids = self.pool[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
-            cuts = ends[first].tolist()
+            cuts = ends[2 * first].tolist()
             for k, a, b in zip(rest.tolist(), cuts, cuts[1:]):
                 out[k] = ids[a:b]
         return out
