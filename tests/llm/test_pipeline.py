@@ -39,7 +39,10 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_hostile(spark, docs, no_docs):
-    rows = [(1000 + k, f"you are a {('w0rthless' if k % 4 == 1 else 'blarg') if k % 2 else 'kind person'} and so on and on {k}.", 0) for k in range(400)]
+    # Near copies count once in the sample, so every document has words of its own before and after.
+    rng = random.Random(3)
+    own = lambda: " ".join("".join(rng.choice("mnpqrtuvz") for _ in range(5)) for _ in range(12))
+    rows = [(1000 + k, f"{own()} you are a {('w0rthless' if k % 4 == 1 else 'blarg') if k % 2 else 'kind person'} and so {own()} on {k}.", 0) for k in range(400)]
     train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     labels = spark.createDataFrame([(1000 + k, k % 2) for k in range(400)], "doc_id long, toxic int")
     more = docs.select("doc_id", "text").unionByName(train.select("doc_id", "text")).unionByName(spark.createDataFrame([(9001, "such a bl-arg here"), (9002, "such a b l a r g here"), (9003, "such a lovely day")], "doc_id long, text string"))
