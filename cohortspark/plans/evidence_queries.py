@@ -57,6 +57,6 @@ SELECT answer_id, seq, CASE WHEN u > 3 THEN NULL WHEN k = 0 THEN q + l_suppkey W
 def replay_tool_calls(t):
     args = """CASE l_partkey % 3 WHEN 0 THEN concat('{"operation": "sum", "values": [', cast(l_quantity AS double), ', ', l_suppkey, ']}') WHEN 1 THEN concat('{"hoursPerWeek": ', cast(l_quantity AS double), ', "weeks": 4}') ELSE concat('{"profileId": "p-', lpad(l_orderkey, 10, '0'), '"}') END"""
     tool = "CASE l_partkey % 3 WHEN 0 THEN 'calculate' WHEN 1 THEN 'weekly_time_budget' ELSE 'profile_inspect' END"
-    calls = t.li.where("ord < 6").selectExpr("l_orderkey AS answer_id", "0 AS round", "ord AS seq", f"{tool} AS tool", f"{args} AS args")
+    calls = t.li.selectExpr("l_orderkey AS answer_id", "0 AS round", "ord AS seq", f"{tool} AS tool", f"{args} AS args")
     seen = t.profiles.where("orderkey % 2 = 0").selectExpr("orderkey AS answer_id", "id")
     return tools.replay_tool_calls(calls, t.profiles, seen).select("answer_id", "seq", "number", "cycle", "error")
