@@ -24,8 +24,9 @@ SAMPLE = 2500
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, WINDOW = 48, 6, 24
 #: Least log-likelihood ratio (G squared) of a landmark from toxic documents.
 SIGNIFICANT = 30.0
-#: Kernel shares below the floor are chance; a power of a kernel is a kernel and tells near from far more sharply.
-FLOOR, POWER = 0.4, 2
+#: Kernel shares below a landmark's floor are chance: what this share of clean training documents reaches, FLOOR at
+#: most. A power of a kernel is a kernel and tells near from far more sharply.
+CHANCE, FLOOR, POWER = 0.005, 0.4, 2
 #: Sentences of a training document that reach the driver.
 WITNESSES = 5
 #: Weight of all clean documents when scores are scaled.
@@ -76,8 +77,8 @@ def _masks(codes: np.ndarray) -> np.ndarray:
 class Kernel:
     """Kernel values of words against landmarks; only pairs with enough characters in common are computed."""
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
+    def __init__(self, landmarks: list[str], floors: np.ndarray | float = FLOOR):
+        self.landmarks, self.floors = landmarks, floors
         self.codes = coded(landmarks, max(map(len, landmarks), default=1))
         self.masks = _masks(self.codes)
         # A common subsequence has at least as many distinct characters as the poorest one of the landmark.
@@ -96,13 +97,20 @@ class Kernel:
         return 99
 
     def values(self, words: list[str]) -> np.ndarray:
-        """A row for each word: its kernel value with each landmark as a share of the landmark's own, to the POWER, shares under FLOOR as 0.
+        """A row for each word: its shares to the POWER, those under a landmark's floor as 0."""
+        shares = self.shares(words)
+        shares[shares < self.floors] = 0
+        return shares**POWER
 
-        Words longer than the window take the greatest of overlapping windows.
+    def shares(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its kernel value with each landmark as a share of the landmark's own, 1 at most.
+
+        A word counts as written, without its inner punctuation and without all that is no letter, whichever is
+        nearest. Words longer than the window take the greatest of overlapping windows.
         """
         out = np.zeros((len(words), len(self.landmarks)))
         by: dict[int, list[tuple[int, str]]] = {}
-        for k, w in enumerate(words):
+        for k, w in ((k, form) for k, w in enumerate(words) for form in forms(w)):
             parts = [w] if len(w) <= WINDOW else [w[a : a + WINDOW] for a in range(0, len(w) - WINDOW // 2, WINDOW // 2)]
             for p in parts:
                 if len(p) >= ORDER:
@@ -116,9 +124,7 @@ class Kernel:
                 for lo in range(0, len(a), 2048):
                     x, y = a[lo : lo + 2048], b[lo : lo + 2048]
                     np.maximum.at(out, (owner[x], y), kernel_pairs(codes[x], self.codes[y]))
-        out /= self.own
-        out[out < FLOOR] = 0
-        return np.minimum(out, 1) ** POWER
+        return np.minimum(out / self.own, 1)
 
     def gram(self) -> np.ndarray:
         """The landmarks' kernel matrix, normalised."""
@@ -135,6 +141,13 @@ def bare(word: str) -> str:
     return "^" + word if word else ""
 
 
+def forms(word: str) -> set[str]:
+    """A bare word as written, without inner punctuation, and without digits as well."""
+    if word[1:].isalpha():
+        return {word}
+    return {word, "^" + "".join(filter(str.isalnum, word)), "^" + "".join(filter(str.isalpha, word))}
+
+
 class Sentences:
     """The sentences of a batch of texts: distinct words, each word's number, and where sentences and texts begin.
 
@@ -198,6 +211,7 @@ class Model:
     landmarks: list[str]
     weights: np.ndarray
     scale: tuple[float, float] = (1.0, 0.0)
+    floors: np.ndarray | float = FLOOR
     seen: dict[str, float] = field(default_factory=dict, repr=False)
 
     def word_values(self, words: list[str]) -> np.ndarray:
@@ -209,7 +223,7 @@ class Model:
         got = list(map(self.seen.get, words))
         if None in got:
             new = list({w for w, g in zip(words, got) if g is None})
-            kernel = self.kernel = getattr(self, "kernel", None) or Kernel(self.landmarks)
+            kernel = self.kernel = getattr(self, "kernel", None) or Kernel(self.landmarks, self.floors)
             for k in range(0, len(new), 50_000):
                 self.seen.update(zip(new[k : k + 50_000], (kernel.values(new[k : k + 50_000]) @ self.weights).tolist()))
             got = list(map(self.seen.__getitem__, words))
@@ -290,6 +304,22 @@ def _chosen(sample: DataFrame) -> tuple[list[str], int]:
     return chosen, wanted - CLEAN_LANDMARKS
 
 
+def _floors(sample: DataFrame, landmarks: list[str]) -> np.ndarray:
+    """For each landmark the greatest share of a document's words that all but CHANCE of the clean documents stay under, FLOOR at most."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = Kernel(landmarks)
+        for batch in smaller(batches):
+            s = Sentences(batch.column(1))
+            shares, first = kernel.shares(s.words), s.text_first
+            words = (np.unique(s.codes[a:b]) for a, b in zip(first.tolist(), first[1:].tolist()))
+            rows = [shares[w[w >= 0]].max(axis=0, initial=0).tolist() for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["nearest"])
+
+    rows = sample.where("toxic = 0").mapInArrow(nearest, "nearest array<double>").toPandas()
+    return np.minimum(np.quantile(np.stack(rows["nearest"].to_numpy()), 1 - CHANCE, axis=0) + 1e-6, FLOOR)
+
+
 def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
     """Linear squared-hinge machine with balanced classes, by accelerated gradient descent."""
     z = np.c_[x, np.ones(len(x))]
@@ -332,8 +362,8 @@ def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
 
     Near copies in the sample count once. A document's label says that it has a toxic sentence, not which: each toxic document gives its worst sentence
     under the current machine, and others on its toxic side, if they show a landmark at all, clean ones all that were
-    kept, in three rounds. Only landmark counts and
-    WITNESSES sentence vectors a document reach the driver. Without both classes nothing is learnt and
+    kept, in three rounds. Only landmark counts,
+    one row of shares of each clean document and WITNESSES sentence vectors a document reach the driver. Without both classes nothing is learnt and
     every score is 0.
     """
     spark = docs.sparkSession
@@ -344,9 +374,10 @@ def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     if not marks:
         sample.unpersist()
         return Model([], np.zeros(0), (0.0, -50.0))
+    floors = _floors(sample, landmarks)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = Kernel(landmarks)
+        kernel = Kernel(landmarks, floors)
         for batch in smaller(batches):
             s = Sentences(batch.column(1))
             sums, of = s.sums(kernel.values(s.words)), s.of_text()
@@ -385,7 +416,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     d, y = worst_values(number, decision - b, len(place)), toxic[place].astype(float)
     balance = np.where(y == 1, (1 - CLEAN_WEIGHT) / max(1, y.sum()), CLEAN_WEIGHT / max(1, (1 - y).sum()))
     a, c = _logistic(d, y, balance)
-    return Model(landmarks, whiten @ w, (a, c))
+    return Model(landmarks, whiten @ w, (a, c), floors)
 
 
 _LOADED: dict[int, Model] = {}
