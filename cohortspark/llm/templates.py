@@ -18,7 +18,7 @@ LEAST_DOCUMENTS = 3
 LINE_WORDS, SENTENCE_WORDS = 3, 8
 #: Leading words that are a template's path in the tree, and the parts of a long line of which one may vary.
 LEADING, VARIABLE_PARTS, VARIABLE_WORDS = 2, 3, 12
-#: A document of whose unit words this share goes is itself a repeat.
+#: A document of whose words this share goes is itself a repeat.
 REPEAT = 0.8
 #: Recurring templates that are broadcast at most (16 bytes each); more are joined.
 BROADCAST_TEMPLATES = 1_000_000
@@ -129,9 +129,6 @@ class Units:
         np.add.at(out, self.end[gone], -1)
         return np.cumsum(out)[:-1] > 0
 
-    def unit_words(self) -> np.ndarray:
-        return self.drop(np.ones(len(self.start), bool))
-
 
 def _template_rows(docs: DataFrame) -> DataFrame:
     """(key, place) of every template and document; place orders documents: doc_id, null ones last."""
@@ -161,9 +158,8 @@ def _rewritten(batch: pa.RecordBatch, place: int, gone_of, repeat: float) -> tup
     n = len(texts)
     before, after = np.bincount(units.doc[words], minlength=n), np.bincount(units.doc[words & ~dropped], minlength=n)
     lost = np.bincount(units.doc[dropped & words], minlength=n)
-    eligible = np.bincount(units.doc[units.unit_words() & words], minlength=n)
     count = np.bincount(units.of[gone], minlength=n)
-    stays = ~((before > 0) & (lost > 0) & ((after == 0) | (lost >= repeat * eligible)))
+    stays = ~((before > 0) & (lost > 0) & ((after == 0) | (lost >= repeat * before)))
     out = []
     for k, text in enumerate(batch.column(place).to_pylist()):
         out.append(text if not count[k] else _without(text, dropped[units.text_ends[k] : units.text_ends[k + 1]]))
@@ -256,7 +252,7 @@ def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, repeat:
     is its word count and its first LEADING words; words that are variable fields count as one wildcard, and in long
     lines one of VARIABLE_PARTS parts after the path may vary. A template in at least `least_documents`
     documents is dropped from all but the first of them (least doc_id, null last; rows of that doc_id all keep it).
-    A document with nothing left, or of whose unit words at least `repeat` go, is a repeat: kept is false.
+    A document with nothing left, or of all whose words at least `repeat` go, is a repeat: kept is false.
     Null and blank texts stay as they are and are kept. Only keys and doc_ids are shuffled, pre-aggregated. Keys are
     64-bit hashes.
 
