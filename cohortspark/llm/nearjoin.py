@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a MinHash LSH forest for candidates, then exact verification and exact link counts."""
+"""N-gram Jaccard join: MinHash trees read at a fixed depth for candidates, then exact verification and exact link counts."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from .graph import components
 
 #: Trees of the forest and the depth at which their prefixes start.
 TREES, DEPTH = 32, 6
-#: The forest shortens prefixes until pairs at the threshold meet with at least this probability.
+#: The fixed depth of prefixes is chosen so that pairs at the threshold meet with at least this probability.
 RECALL = 0.99999
 #: Shingles that a block of documents holds when groups are compared block by block.
 BLOCK = 300_000
@@ -245,8 +245,8 @@ def near_join(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     Null doc_ids join in with the rest and never name a class that has another. Repeated rows are copies.
 
     Documents of equal sets are one class from the start, so copies cost one row each. Class signatures meet in
-    a forest of sorted prefixes: trees start at full depth and are shortened to the depth that reaches the
-    recall; in each bucket only the ties to the least member of a node are verified, linear in its size.
+    trees of prefixes that are read at one fixed depth, the longest that reaches the recall at the threshold; there is
+    no descent for each signature. In each bucket only the ties to the least member of a node are verified, linear in its size.
     What these tie is a provisional group; groups that crowd one bucket form a cluster. All members of a cluster, and
     of clusters that share a bucket, are then compared exactly, in blocks of bounded size that give counts and
     connecting edges, never pairs. A pair at exactly the
