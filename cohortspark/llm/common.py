@@ -1,10 +1,12 @@
-"""Shared helpers: the staging folder, written tables and Arrow batch plumbing."""
+"""Shared helpers: the staging folder, written tables, Arrow batches, word hashes and what a worker keeps."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -13,26 +15,36 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The characters that separate words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); only where unset, as in tests, a temporary one."""
+    """The cluster's shared folder (spark.checkpoint.dir); where none is set a temporary one in local mode, else an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        configured = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-")
+        configured = known.get() if known.isDefined() else None
+    if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write df below the shared folder and read it again: cuts the lineage and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Delete a table that `written` made and that nothing reads any more."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -54,12 +66,109 @@ def smaller(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4_00
             start = stop
 
 
-def distinct_parts(texts: pa.Array, pattern: str = " ") -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split_words(texts: pa.Array, pattern: str = " ") -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Split each text at a pattern: each part's number, the first part of each text (and the end), and the distinct parts."""
     lists = pc.split_pattern(texts, pattern)
     offsets = lists.offsets.to_numpy().astype(np.int64)
-    coded = lists.values.dictionary_encode()
-    return coded.indices.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0], coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    return coded.indices.to_numpy(), offsets - offsets[0], coded.dictionary
+
+
+def distinct_parts(texts: pa.Array, pattern: str = " ") -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As split_words, with the distinct parts as a list."""
+    codes, first, words = split_words(texts, pattern)
+    return codes, first, words.to_numpy(zero_copy_only=False).tolist()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings (none null): the sum of a mixed number for each byte and its place, mixed with the length."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    if pa.types.is_large_string(words.type):
+        words = words.cast(pa.string())
+    _, places, data = words.buffers()
+    at = np.frombuffer(places, np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    size = np.diff(at)
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(raw)) - np.repeat(at[:-1], size)).astype(np.uint64)
+        total = np.r_[np.uint64(0), np.cumsum(mixed((raw.astype(np.uint64) + (place << np.uint64(8)) + np.uint64(1)) * BASE), dtype=np.uint64)]
+        return mixed(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64) * BASE)
+
+
+class Seen:
+    """What a worker has learnt about words, by their hash: sorted keys with a value each, and in how many batches they came."""
+
+    def __init__(self, kind: Any, most: int):
+        self.most = most
+        self.keys, self.values, self.met = np.zeros(0, np.uint64), np.zeros(0, kind), np.zeros(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key and whether it is there."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        keys, once = np.unique(keys, return_index=True)
+        fresh = ~self.find(keys)[1]
+        keys, values = keys[fresh], values[once][fresh]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.values, self.met = np.insert(self.keys, at, keys), np.insert(self.values, at, values), np.insert(self.met, at, 1)
+
+    def get(self, keys: np.ndarray, learn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The value of each key; learn(places) gives those of the keys not seen yet."""
+        at, there = self.find(keys)
+        self.met[at[there]] += 1
+        out = np.zeros(len(keys), self.values.dtype)
+        out[there] = self.values[at[there]]
+        new = np.flatnonzero(~there)
+        if len(new):
+            out[new] = learn(new)
+            self.add(keys[new], out[new])
+        return out
+
+    def full(self) -> bool:
+        return len(self.keys) > self.most
+
+    def trim(self) -> None:
+        """Keep words that came in several batches, a third of what is allowed at most; counts start anew."""
+        floor = max(2, int(np.partition(self.met, len(self.met) - self.most // 3)[len(self.met) - self.most // 3]) + 1)
+        stay = self.met >= floor
+        self.keys, self.values, self.met = self.keys[stay], self.values[stay], np.zeros(int(stay.sum()), np.int32)
+
+
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The one thing that this Python worker keeps between its tasks; another key drops it.
+
+    Workers outlive stages, so what each stage had learnt would otherwise add up in memory.
+    """
+    if key not in _KEPT:
+        dropped()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def dropped() -> None:
+    """Give back what the worker kept for another stage, to the system as well."""
+    if _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
 
 
 def table_size(spark: SparkSession) -> int:

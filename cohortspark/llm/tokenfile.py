@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import shared_folder, smaller, table_size, texts_of, written
+from .common import dropped, removed, shared_folder, smaller, table_size, texts_of, written
 from .tokens import folded_words
 
 #: Bytes of each of the four numbers that a control byte describes, two bits each.
@@ -46,17 +46,25 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id and the ids (with the end id) of each whole text, two bytes an id while the vocabulary allows, else four."""
+    """doc_id, the ids (with the end id) of each whole text and their crc32, two bytes an id while the vocabulary allows, else four.
+
+    Each task adds one last row that has only `counts`: how often each id came, eight bytes a count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = folded_words(tokenizer_path)
-        kind = "<u2" if words.library.get_vocab_size() <= 1 << 16 else "<u4"
-        last = np.array([end_id], kind)
+        size = words.library.get_vocab_size()
+        kind = "<u2" if size <= 1 << 16 else "<u4"
+        last, total = np.array([end_id], "<u4"), np.zeros(max(size, end_id + 1), "<i8")
+        names = ["doc_id", "ids", "short", "crc", "counts"]
         for batch in smaller(batches, most=6_000_000):
-            ids = [np.concatenate([x.astype(kind), last]).tobytes() for x in words.encode(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([kind == "<u2"] * len(ids))], names=["doc_id", "ids", "short"])
+            ids = [np.concatenate([x, last]) for x in words.encode(batch.column(1))]
+            total += np.bincount(np.concatenate(ids), minlength=len(total))
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), pa.array([kind == "<u2"] * n), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.nulls(n, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), pa.array([total.tobytes()], pa.binary())], names=names)
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, ids binary, short boolean")
+    return texts_of(docs).mapInArrow(run, "doc_id long, ids binary, short boolean, crc long, counts binary")
 
 
 def _ids(raw: bytes, short: bool) -> np.ndarray:
@@ -64,35 +72,32 @@ def _ids(raw: bytes, short: bool) -> np.ndarray:
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
-    """id and its count over all documents; each task sends one row per id at most."""
+    """id and its count over all documents, from the tasks' own counts: a row for each id and task at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, short in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = np.bincount(_ids(raw, short))
-                if len(n) > len(total):
-                    total = np.r_[total, np.zeros(len(n) - len(total), np.int64)]
-                total[: len(n)] += n
+            for raw in batch.column(0).to_pylist():
+                n = np.frombuffer(raw, "<i8")
+                total = n + np.pad(total, (0, len(n) - len(total)))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "count"])
 
-    return tokens.select("ids", "short").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    return tokens.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Write all documents to token files below `path` in ascending doc_id order; returns the id table in rank order.
 
-    Texts are encoded once into a written table. Ids are ranked by falling count (ties by id); that table
-    has one row per vocabulary entry. The encoded documents are range-partitioned by doc_id (null first,
-    equal ids spread by a hash of their ids, then at random) and each partition writes blocks of whole documents. Blocks carry their
-    documents' ids and lengths and the place of the first token within the file.
+    Texts are encoded once into a written table, which also counts their ids. Ids are ranked by falling count (ties
+    by id); that table has one row per vocabulary entry. The encoded documents are range-partitioned by doc_id (null
+    first, rows of one doc_id spread by the crc32 of their ids, then at random) and each partition writes blocks of
+    whole documents. Blocks carry their documents' ids and lengths and the place of the first token within the file.
     """
     spark = docs.sparkSession
     tokens = written(tokenised(docs, tokenizer_path, end_id).withColumn("salt", F.rand(3)), "tokens")
-    table = written(frequencies(tokens), "token-counts")
     # Bounded by the vocabulary, whatever the input.
-    by_rank = [r["id"] for r in table.orderBy(F.desc("count"), "id").collect()]
+    by_rank = [r["id"] for r in frequencies(tokens).orderBy(F.desc("count"), "id").collect()]
     rank_of = np.zeros(max(by_rank, default=0) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
@@ -116,11 +121,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if docs_held:
             yield full()
 
-    order = ["doc_id", F.crc32("ids"), "salt"]
-    ranged = tokens.repartitionByRange(table_size(spark), *order).sortWithinPartitions(*order)
+    order = ["doc_id", "crc", "salt"]
+    ranged = tokens.where("counts IS NULL").repartitionByRange(table_size(spark), *order).sortWithinPartitions(*order)
     ranged.select("doc_id", "ids", "short", F.spark_partition_id().alias("file")).mapInArrow(blocks, FILE).write.parquet(f"{path}/blocks")
     dictionary = spark.createDataFrame([(k, i) for k, i in enumerate(by_rank)], "rank long, id long")
     dictionary.coalesce(1).write.parquet(f"{path}/ids")
+    removed(tokens)
     return dictionary
 
 
@@ -135,6 +141,7 @@ def read_token_files(spark, path: str, digest: bool = False) -> DataFrame:
     column, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dropped()
         for batch in batches:
             for file, first, doc_ids, lengths, control, data in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = by_rank[decode_ranks(control, data, sum(lengths))]

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import functools
 import os
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import distinct_parts
+from .common import Seen, hashed, kept, mixed, split_words
 
-#: Words kept per worker, and characters encoded per call.
-KEPT_WORDS, CALL_CHARS = 650_000, 400_000
+#: Words kept per worker (about 60 bytes each), and characters encoded per call.
+KEPT_WORDS, CALL_CHARS = 600_000, 400_000
 END = (",", ".")
-ENDING = {e: k for k, e in enumerate(END, 1)}
+#: Told apart from a word's own hash: the same word after a space.
+AFTER_SPACE = np.uint64(0x5851F42D4C957F2D)
 
 
 class WordIds:
@@ -22,133 +22,132 @@ class WordIds:
 
     Both pre-tokenizers in use start anew at a single space between two other characters, so the words of a
     text can be encoded apart and their ids joined; a word that ends in a comma or full stop after a letter is
-    two pre-tokens. A text with other blanks beside a space goes through the library whole. `lead` is what a
-    word keeps of the space before it; `fold` says that the vocabulary is of lower case.
+    two pre-tokens. Words are known by 64-bit hashes. A text that holds an added token's string, or other blanks
+    beside a space, goes through the library whole, with the library's defaults. `lead` is what a word keeps of
+    the space before it; `fold` says that the vocabulary is of lower case and drops white space.
     """
 
     def __init__(self, path: str, lead: str, fold: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # For words of letters alone (lower-case ones to fold), which the normalizer and the split leave as they are.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.lead, self.fold = lead, fold
         self._forget()
 
     def _forget(self) -> None:
         """Start with nothing but the empty word and the ends, whose places are 0, 1, ..."""
-        self.seen: dict[str, int] = {}
+        self.seen = Seen(np.int64, KEPT_WORDS)
         self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
-        self.starts, self.sizes, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
-        self.hits = np.zeros(1 << 18, np.int64)
-        self._store(["", *END])
+        self.starts, self.sizes, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
+        self._store(["", *END], self.library)
 
     def _trim(self) -> None:
-        """Keep the words whose cores came in several batches, at most a third of what is allowed; forget the many met once."""
-        hits, pool, starts, sizes = self.hits[: self.count], self.pool, self.starts, self.sizes
-        floor = max(2, int(np.partition(hits, max(0, self.count - KEPT_WORDS // 3))[max(0, self.count - KEPT_WORDS // 3)]))
-        stay = hits >= floor
-        old = self.seen
+        """Forget the words met once, and their ids with them."""
+        seen, pool, starts, sizes = self.seen, self.pool, self.starts, self.sizes
+        seen.trim()
+        places = np.unique(np.r_[np.arange(1 + len(END)), seen.values >> 2])
         self._forget()
-        stay[: self.count] = True  # the empty word and the ends keep their places
-        place = np.cumsum(stay) - 1
-        kept = np.flatnonzero(stay)
-        n = sizes[kept]
-        ends = np.cumsum(n)
-        at = np.repeat(starts[kept] - (ends - n), n) + np.arange(ends[-1])
+        n = sizes[places]
+        ends = np.cumsum(n, dtype=np.int64)
+        at = np.repeat(starts[places] - (ends - n), n) + np.arange(ends[-1])
         self.pool = np.resize(pool[at], max(1 << 20, 2 * len(at)))
-        self.starts, self.sizes, self.hits = (np.resize(x, max(1 << 18, 2 * len(kept))) for x in (ends - n, n, np.zeros(1, np.int64)))
-        self.used, self.count = len(at), len(kept)
-        self.seen = {w: int(place[k >> 2]) * 4 + (k & 3) for w, k in old.items() if stay[k >> 2]}
+        self.starts, self.sizes = np.resize(ends - n, max(1 << 18, 2 * len(places))), np.resize(n, max(1 << 18, 2 * len(places)))
+        self.used, self.count, self.seen = len(at), len(places), seen
+        seen.values = np.searchsorted(places, seen.values >> 2) * 4 + (seen.values & 3)
 
-    def _store(self, cores: list[str]) -> None:
-        """Encode words apart from each other, in calls of bounded size, and keep their ids; seen is place * 4."""
-        start, size = 0, 0
+    def _store(self, cores: list[str], library) -> np.ndarray:
+        """Encode words apart from each other, in calls of bounded size, and keep their ids; their places."""
+        start, size, before = 0, 0, self.count
         for k, w in enumerate(cores, 1):
             size += len(w) + 1
             if size > CALL_CHARS or k == len(cores):
-                chunk = cores[start:k]
-                got = self.library.encode(chunk, is_pretokenized=True, add_special_tokens=False)
+                n = k - start
+                got = library.encode(cores[start:k], is_pretokenized=True, add_special_tokens=False)
                 ids, of = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
-                cuts = np.searchsorted(of, np.arange(len(chunk) + 1)) + self.used
+                cuts = np.searchsorted(of, np.arange(n + 1)) + self.used
                 while self.used + len(ids) > len(self.pool):
                     self.pool = np.resize(self.pool, 2 * len(self.pool))
-                while self.count + len(chunk) > len(self.starts):
+                while self.count + n > len(self.starts):
                     self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-                    self.hits = np.r_[self.hits[: self.count], np.zeros(len(self.starts) - self.count, np.int64)]
                 self.pool[self.used : self.used + len(ids)] = ids
-                self.starts[self.count : self.count + len(chunk)] = cuts[:-1]
-                self.sizes[self.count : self.count + len(chunk)] = np.diff(cuts)
-                self.seen.update(zip(chunk, range(4 * self.count, 4 * (self.count + len(chunk)), 4)))
-                self.used, self.count = self.used + len(ids), self.count + len(chunk)
+                self.starts[self.count : self.count + n], self.sizes[self.count : self.count + n] = cuts[:-1], np.diff(cuts)
+                self.used, self.count = self.used + len(ids), self.count + n
                 start, size = k, 0
+        return np.arange(before, self.count)
 
-    def _split(self, word: str) -> tuple[str, int]:
-        """The part to encode, and the number of a final comma or full stop that is a pre-token of its own (else 0)."""
-        end = ENDING.get(word[-1:], 0)
-        if end:
-            before = word[-2:-1]
-            if before.isalpha() and (before < "Ā" or not self.fold):
-                word = word[:-1]
-            else:
-                end = 0
-        if self.fold and (word.isascii() or max(word) < "Ā"):
-            word = word.lower()
-        return word, end
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Place of each word's core * 4 + the number of its end, learning those not seen yet."""
-        at = list(map(self.seen.get, words))
-        if None in at:
-            new = [w for w, k in zip(words, at) if k is None]
-            split = list(map(self._split, new))
-            self._store(sorted({c for c, _ in split}.difference(self.seen)))
-            self.seen.update([(w, self.seen[c] + e) for w, (c, e) in zip(new, split)])
-            at = list(map(self.seen.__getitem__, words))
-        at = np.array(at, np.int64)
-        self.hits[at >> 2] += 1  # once for each place, however often it stands here
-        return at
+    def _learn(self, words: pa.Array, salt: np.uint64) -> np.ndarray:
+        """Place of each word's core * 4 + the number of its end; the core is what is encoded."""
+        ends = pc.match_substring_regex(words, LETTER_END[self.fold])
+        cores = pc.if_else(ends, pc.utf8_slice_codeunits(words, 0, -1), words)
+        if self.fold:
+            cores = pc.if_else(pc.match_substring_regex(words, "[^\\x00-\\x{ff}]"), cores, pc.utf8_lower(cores))
+        coded = cores.dictionary_encode()
+        keys = hashed(coded.dictionary) ^ salt
+        at, there = self.seen.find(keys)
+        places = np.zeros(len(keys), np.int64)
+        places[there] = self.seen.values[at[there]] >> 2
+        new = np.flatnonzero(~there)
+        fresh = coded.dictionary.take(pa.array(new))
+        easy = pc.match_substring_regex(fresh, LETTERS[self.fold]).to_numpy(zero_copy_only=False)
+        lead = self.lead if salt else ""
+        for part, library in ((easy, self.plain), (~easy, self.library)):
+            if part.any():
+                places[new[part]] = self._store([lead + w for w in fresh.filter(pa.array(part)).to_pylist()], library)
+        self.seen.add(keys[new], 4 * places[new])
+        end = np.where(ends.to_numpy(zero_copy_only=False), np.where(pc.ends_with(words, ",").to_numpy(zero_copy_only=False), 1, 2), 0)
+        return 4 * places[coded.indices.to_numpy()] + end
+
+    def _numbers(self, words: pa.Array, after_space: bool) -> np.ndarray:
+        salt = AFTER_SPACE if after_space else np.uint64(0)
+        return self.seen.get(hashed(words) ^ salt, lambda new: self._learn(words.take(pa.array(new)), salt))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (none null)."""
-        if len(self.seen) > KEPT_WORDS:
+        if self.seen.full():
             self._trim()
-        if self.fold:
-            texts = pc.replace_substring(texts, "\n", " ")
-            whole = np.zeros(len(texts), bool)
-        else:
-            whole = pc.match_substring_regex(texts, BESIDE).to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(texts), bool) if self.fold else pc.match_substring_regex(texts, BESIDE).to_numpy(zero_copy_only=False).copy()
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
         out: list = [None] * len(texts)
         for k in np.flatnonzero(whole).tolist():
             out[k] = np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype="<u4")
         rest = np.flatnonzero(~whole)
         if len(rest):
-            codes, first, words = distinct_parts(texts.take(pa.array(rest)) if whole.any() else texts)
-            at = self._numbers([self.lead + w for w in words])[codes]
+            texts = texts.take(pa.array(rest)) if whole.any() else texts
+            codes, first, words = split_words(pc.replace_substring(texts, "\n", " ") if self.fold else texts)
+            at = self._numbers(words, bool(self.lead))[codes]
             if self.lead:
-                at[first[:-1]] = self._numbers([words[k] for k in codes[first[:-1]].tolist()])
+                heads, which = np.unique(codes[first[:-1]], return_inverse=True)
+                at[first[:-1]] = self._numbers(words.take(pa.array(heads)), False)[which]
             # A core and its end each; places 1 and 2 are the ends, 0 is empty.
             at = np.stack([at >> 2, at & 3], axis=1).ravel()
-            sizes, starts = self.sizes[at], self.starts[at]
-            ends = np.r_[0, np.cumsum(sizes)]
-            ids = self.pool[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+            sizes = self.sizes[at]
+            ends = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+            ids = self.pool[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
             cuts = ends[2 * first].tolist()
             for k, a, b in zip(rest.tolist(), cuts, cuts[1:]):
                 out[k] = ids[a:b]
         return out
 
 
-# White space next to a space or at a text's edge, or of a kind seldom met.
+# Words of letters alone and a letter before a final comma or full stop, by `fold`; and white space next to a space or at a text's
+# edge, or of a kind seldom met.
+LETTERS = {True: "\\A[a-z\\x{df}-\\x{f6}\\x{f8}-\\x{ff}]+\\z", False: "\\A[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}]+\\z"}
+LETTER_END = {True: "[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}][,.]\\z", False: "\\pL[,.]\\z"}
 BESIDE = "[ \\t\\n\\r][ \\t\\r]|[ \\t\\r][\\n]|^[ \\n\\t\\r]|[ \\n\\t\\r]\\z|[\\x{0b}\\x{0c}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
-@functools.lru_cache(maxsize=4)
 def byte_words(path: str) -> WordIds:
     """For the byte-level vocabulary, whose words keep the space before them."""
-    return WordIds(path, " ", False)
+    return kept(("byte words", path), lambda: WordIds(path, " ", False))
 
 
-@functools.lru_cache(maxsize=4)
 def folded_words(path: str) -> WordIds:
     """For the lower-case vocabulary, which drops white space."""
-    return WordIds(path, "", True)
+    return kept(("folded words", path), lambda: WordIds(path, "", True))

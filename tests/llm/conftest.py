@@ -18,6 +18,7 @@ TEXT_ROWS = [
     (None, None, None),
     (7, "very long " * 8000, "z"),
     (8, "a" * 3000, "z"),
+    (9, "<|startoftext|>foo <|endoftext|> bar. It's<|endoftext|>, Élan", "z"),
 ]
 
 

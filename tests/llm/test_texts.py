@@ -65,7 +65,6 @@ def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer(name))
-    t.encode_special_tokens = True
     return lambda text, end: np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
