@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import distinct_parts, smaller, texts_of
+from .common import Seen, hashed, kept, smaller, split_words, texts_of
 
 #: The character that sentencepiece puts in the place of a space.
 SPACE = "▁"
@@ -138,19 +137,35 @@ class PieceMerges:
         return hit[first | ~bad[head]]
 
 
-@functools.lru_cache(maxsize=2)
-def merges(path: str) -> PieceMerges:
-    return PieceMerges(path)
+#: Words kept per worker (20 bytes each), and characters merged at a time.
+KEPT_WORDS, MERGED_CHARS = 1_000_000, 1_000_000
 
 
-@functools.lru_cache(maxsize=2)
-def known(path: str) -> dict[str, int]:
-    """Token counts of words that this worker has seen."""
-    return {}
+class WordCounts:
+    """The merges of a vocabulary and the token counts of words that this worker has seen."""
+
+    def __init__(self, path: str):
+        self.merges, self.seen = PieceMerges(path), Seen(np.int64, KEPT_WORDS)
+
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        """Tokens of each word as it stands after a space; unseen ones are merged together."""
+        if self.seen.full():
+            self.seen.trim()
+        return self.seen.get(hashed(words), lambda new: self._learn(words.take(pa.array(new)).to_pylist()))
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        out, start, size = np.zeros(len(words), np.int64), 0, 0
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        for k, at in enumerate(order, 1):
+            size += len(words[at]) + 1
+            if size > MERGED_CHARS or k == len(words):
+                out[order[start:k]] = self.merges.counts([SPACE + words[x].replace(" ", SPACE) for x in order[start:k]])
+                start, size = k, 0
+        return out
 
 
-#: Words kept per worker, and characters merged at a time.
-KEPT_WORDS, MERGED_CHARS = 600_000, 1_000_000
+def word_counts(path: str) -> WordCounts:
+    return kept(("piece counts", path), lambda: WordCounts(path))
 
 
 def cut_words(text: str) -> list[str]:
@@ -170,36 +185,19 @@ def cut_words(text: str) -> list[str]:
     return words
 
 
-def word_counts(path: str, words: list[str]) -> np.ndarray:
-    """Tokens of each word as it stands after a space; unseen ones are merged together."""
-    table, seen = merges(path), known(path)
-    if len(seen) > KEPT_WORDS:
-        seen.clear()
-    counts = list(map(seen.get, words))
-    if None in counts:
-        new, start, size = sorted((w for w, n in zip(words, counts) if n is None), key=len), 0, 0
-        for k, w in enumerate(new, 1):
-            size += len(w) + 1
-            if size > MERGED_CHARS or k == len(new):
-                chunk = new[start:k]
-                seen.update(zip(chunk, table.counts([SPACE + x.replace(" ", SPACE) for x in chunk]).tolist()))
-                start, size = k, 0
-        counts = list(map(seen.__getitem__, words))
-    return np.array(counts, np.int64)
-
-
 def count_texts(path: str, texts: pa.Array) -> np.ndarray:
     """Tokens of each text: the sum over its words."""
-    texts = pc.replace_substring(texts, SPACE, " ")
+    texts, counts = pc.replace_substring(texts, SPACE, " "), word_counts(path)
     out = np.zeros(len(texts), np.int64)
     apart = pc.or_(pc.match_substring_regex(texts, "^ | $|  "), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
     for k in np.flatnonzero(apart).tolist():
         words = cut_words(texts[k].as_py())
-        out[k] = int(word_counts(path, words).sum()) if words else 0
+        numbers, at = np.unique(np.array(words, object), return_inverse=True) if words else ((), ())
+        out[k] = int(counts(pa.array(numbers, pa.string()))[at].sum()) if words else 0
     rest = np.flatnonzero(~apart)
     if len(rest):
-        codes, first, words = distinct_parts(texts.take(pa.array(rest)))
-        ends = np.r_[0, np.cumsum(word_counts(path, words)[codes])]
+        codes, first, words = split_words(texts.take(pa.array(rest)))
+        ends = np.r_[0, np.cumsum(counts(words)[codes])]
         out[rest] = np.diff(ends[first])
     return out
 
