@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BLANKS, distinct_parts, smaller
+from .common import BLANKS, dropped, hashed, smaller, split_words
 
 #: Shortest tile in words, and the share of an item's words that tiles must cover.
 LEAST_TILE, COVERAGE = 5, 0.5
@@ -20,15 +20,12 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def coded_words(texts: pa.Array) -> list[np.ndarray]:
     """The words of each text as 64-bit hashes: lower case, without punctuation at either end; bare punctuation is no word."""
-    import xxhash
-
     for c in BLANKS[1:]:
         texts = pc.replace_substring(texts, c, " ")
-    codes, first, parts = distinct_parts(texts)
-    bare = [p if p.isalnum() else p.strip("".join({c for c in p if not c.isalnum()})) for p in parts]
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in bare), np.uint64, len(bare))
-    keep = np.fromiter(map(bool, bare), bool, len(bare))[codes]
-    words, ends = hashed[codes[keep]], np.r_[0, np.cumsum(keep)][first]
+    codes, first, parts = split_words(texts)
+    bare = pc.utf8_lower(pc.replace_substring_regex(parts, r"\A[^\pL\pN]+|[^\pL\pN]+\z", ""))
+    keep = (pc.binary_length(bare).to_numpy(zero_copy_only=False) > 0)[codes]
+    words, ends = hashed(bare)[codes[keep]], np.r_[0, np.cumsum(keep)][first]
     return [words[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
@@ -100,46 +97,47 @@ class Items:
     def __init__(self, ids: list, texts: list[str], least: int):
         self.ids, self.least = ids, least
         self.words = coded_words(pa.array(texts, pa.string()))
-        seeds: dict[int, list[list[np.ndarray]]] = {}
+        self.short: dict[bytes, list[int]] = {}
+        parts = []
         for k, w in enumerate(self.words):
-            n = min(least, len(w))
-            if n:
-                h = rolled(w, n)
-                seeds.setdefault(n, []).append([h, np.full(len(h), k), np.arange(len(h))])
-        self.seeds = {}
-        for n, parts in seeds.items():
-            h, item, at = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(h, kind="stable")
-            self.seeds[n] = (h[order], item[order], at[order])
+            if len(w) >= least:
+                parts.append((rolled(w, least), np.full(len(w) - least + 1, k), np.arange(len(w) - least + 1)))
+            elif len(w):
+                self.short.setdefault(w.tobytes(), []).append(k)
+        h, item, at = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(h, kind="stable")
+        self.seeds, self.item_of, self.place = h[order], item[order], at[order]
 
     def search(self, docs: list[np.ndarray], coverage: float) -> list[tuple[int, int, int, int, int, int]]:
         """(document, item, item words, covered words, tiles, longest tile) wherever coverage is reached."""
         out = []
-        if not docs:
+        if self.short:
+            out += [(d, k, len(w), len(w), 1, len(w)) for d, w in enumerate(docs) if 0 < len(w) < self.least for k in self.short.get(w.tobytes(), ())]
+        if not docs or not len(self.seeds):
             return out
-        words = np.concatenate(docs)
-        ends = np.cumsum([len(d) for d in docs])
-        for n, (seeds, item_of, place) in self.seeds.items():
-            h = rolled(words, n)
-            at = np.searchsorted(seeds, h)
-            hit = np.flatnonzero(seeds[np.minimum(at, len(seeds) - 1)] == h)
-            doc_of = np.searchsorted(ends, hit, side="right")
-            hit, doc_of = hit[hit + n <= ends[doc_of]], doc_of[hit + n <= ends[doc_of]]
-            for d in np.unique(doc_of).tolist():
-                found = np.unique(h[hit[doc_of == d]])
-                lo, hi = np.searchsorted(seeds, found, "left"), np.searchsorted(seeds, found, "right")
-                rows = np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist())])
-                for k in np.unique(item_of[rows]).tolist():
-                    item = self.words[k]
-                    could = np.zeros(len(item), bool)
-                    for p in place[rows[item_of[rows] == k]].tolist():
-                        could[p : p + n] = True
-                    if could.sum() < coverage * len(item):
-                        continue
-                    laid = tiles(item, docs[d], n)
-                    covered = sum(t[2] for t in laid)
-                    if covered and covered >= coverage * len(item):
-                        out.append((d, k, len(item), covered, len(laid), max(t[2] for t in laid)))
+        n, words, ends = self.least, np.concatenate(docs), np.cumsum([len(d) for d in docs])
+        h = rolled(words, n)
+        hit = np.flatnonzero(self.seeds[np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)] == h)
+        doc_of = np.searchsorted(ends, hit, side="right")
+        inside = hit + n <= ends[doc_of]
+        hit, doc_of = hit[inside], doc_of[inside]
+        # Hits are in text order: those of a document lie together.
+        some, start = np.unique(doc_of, return_index=True)
+        for d, found in zip(some.tolist(), np.split(h[hit], start[1:])):
+            found = np.unique(found)
+            lo, hi = np.searchsorted(self.seeds, found, "left"), np.searchsorted(self.seeds, found, "right")
+            rows = np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist())])
+            for k in np.unique(self.item_of[rows]).tolist():
+                item = self.words[k]
+                could = np.zeros(len(item), bool)
+                for p in self.place[rows[self.item_of[rows] == k]].tolist():
+                    could[p : p + n] = True
+                if could.sum() < coverage * len(item):
+                    continue
+                laid = tiles(item, docs[d], n)
+                covered = sum(t[2] for t in laid)
+                if covered and covered >= coverage * len(item):
+                    out.append((d, k, len(item), covered, len(laid), max(t[2] for t in laid)))
         return out
 
 
@@ -160,16 +158,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
     """One row per document and benchmark item of which tiles cover at least `coverage`: doc_id, item_id, item_words,
     covered_words, coverage, tiles, longest_tile.
 
-    Words are compared in lower case without outer punctuation. Seeds are windows of `least` words (all of a
-    shorter item) shared by both texts; where they could cover enough of an item, tiles are laid, so
-    passages in another order are found as well. Documents are never shuffled or cut: blocks of items come to
-    them, one pass per block. Null or empty texts leak nothing; repeated rows give their rows again; items of
+    Words are compared in lower case without outer punctuation. Seeds are windows of `least` words shared by both
+    texts; where they could cover enough of an item, tiles are laid, so passages in another order are found as well.
+    An item of fewer words has no seed: it leaks only into documents that consist of just its words, else a common
+    word or phrase would mark most of the corpus. Documents are never shuffled or cut: blocks of items come to them,
+    one pass per block. Null or empty texts leak nothing; repeated rows give their rows again; items of
     equal text each match.
     """
     schema = "doc_id long, item_id long, item_words long, covered_words long, coverage double, tiles long, longest_tile long"
 
     def searched(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dropped()
             items = Items(*block.value)
             for batch in smaller(batches):
                 found = items.search(coded_words(batch.column(1)), coverage)
@@ -194,6 +194,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
 
     def filtered(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dropped()
             items = Items(*block.value)
             for batch in smaller(batches, place):
                 found = items.search(coded_words(pc.fill_null(batch.column(place), "")), coverage)
