@@ -36,15 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df below the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def removed(df: DataFrame) -> None:
-    """Delete a table that `written` made and that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that `written` made and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -74,12 +75,6 @@ def split_words(texts: pa.Array, pattern: str = " ") -> tuple[np.ndarray, np.nda
     return coded.indices.to_numpy(), offsets - offsets[0], coded.dictionary
 
 
-def distinct_parts(texts: pa.Array, pattern: str = " ") -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """As split_words, with the distinct parts as a list."""
-    codes, first, words = split_words(texts, pattern)
-    return codes, first, words.to_numpy(zero_copy_only=False).tolist()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

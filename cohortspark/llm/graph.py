@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import removed, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,5 +34,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if (state["n"], state["s"]) == mark or not state["n"]:
             break
         mark = (state["n"], state["s"])
-        now = written(_small_star(_large_star(now)).where("u <> v").distinct(), name)
+        before, now = now, written(_small_star(_large_star(now)).where("u <> v").distinct(), name)
+        removed(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortspark.llm import graph, nearjoin, queries, templates, tiling
@@ -132,15 +133,33 @@ def test_leaks(spark, no_docs):
     text = dict(items)
     w = text[3].split()
     swapped = " ".join(w[15:] + w[:15])
-    rows = [(1, prose(100) + " " + text[2].upper() + ". " + prose(50)), (2, prose(40) + " " + swapped + " " + prose(10)), (3, prose(200)), (4, None), (5, ""), (6, "a Tiny, item here"), (7, prose(9000) + " " + text[5]), (8, " ".join(w[:10])), (None, text[4]), (1, text[2])]
+    rows = [(1, prose(100) + " " + text[2].upper() + ". " + prose(50)), (2, prose(40) + " " + swapped + " " + prose(10)), (3, prose(200)), (4, None), (5, ""), (6, "a Tiny, item here"), (9, "Tiny, item!"), (7, prose(9000) + " " + text[5]), (8, " ".join(w[:10])), (None, text[4]), (1, text[2])]
     docs, bench = as_docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     got = Counter((r.doc_id, r.item_id) for r in tiling.leaks(docs, bench).collect())
-    assert got == Counter([(1, 2), (1, 2), (2, 3), (6, 20), (7, 5), (None, 4)])
+    assert got == Counter([(1, 2), (1, 2), (2, 3), (9, 20), (7, 5), (None, 4)])
     clean = tiling.decontaminated(docs, bench)
-    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 8]
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 6, 8]
     assert tiling.leaks(no_docs, bench).count() == 0 and tiling.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_leaks_by_brute_force(spark, small):
+    """Every document of the smallest table against every item, by plain tiling."""
+    docs, bench = queries.table(spark, small, "documents"), queries.table(spark, small, "benchmark")
+    items = [(r.item_id, tiling.coded_words(pa.array([r.text or ""]))[0]) for r in bench.collect()]
+    want = set()
+    for r in docs.collect():
+        words = [w.strip("".join({c for c in w if not c.isalnum()})).lower() for w in (r.text or "").split()]
+        words = tiling.coded_words(pa.array([" ".join(w for w in words if w)]))[0]
+        own = set(words.tolist())
+        for item, w in items:
+            # Plain tiling only where enough words are shared at all.
+            if len(w) >= 5 and sum(x in own for x in w.tolist()) >= 0.5 * len(w) and sum(t[2] for t in tiling.tiles(w, words, 5)) >= 0.5 * len(w):
+                want.add((r.doc_id, item))
+    assert want and {(r.doc_id, r.item_id) for r in tiling.leaks(docs, bench).collect()} == want
+    kept = {r.doc_id for r in tiling.decontaminated(docs, bench).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     items = [(k, prose(30)) for k in range(30)]
     docs, bench = as_docs(spark, [(k, prose(30) + " " + t) for k, t in items]), spark.createDataFrame(items, "item_id long, text string")
