@@ -1,4 +1,4 @@
-"""Line dedup: a fixed-depth template tree over lines and sentences; templates that recur across documents go."""
+"""Line dedup: a fixed-depth template tree over lines and sentences, and passages by content-chosen windows; what recurs across documents goes."""
 
 from __future__ import annotations
 
@@ -10,71 +10,87 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BLANKS, distinct_parts, smaller, written
+from .common import BASE, BLANKS, dropped, hashed, mixed, smaller, split_words, written
 
-#: A template recurs if this many documents hold it.
-LEAST_DOCUMENTS = 3
+#: A line, sentence or template recurs if this many documents hold it; a passage if two do.
+LEAST_DOCUMENTS, LEAST_SHARING = 3, 2
 #: Shortest unit in words, for whole lines and for sentences inside them.
 LINE_WORDS, SENTENCE_WORDS = 3, 8
-#: Leading words that are a template's path in the tree, and the parts of a long line of which one may vary.
-LEADING, VARIABLE_PARTS, VARIABLE_WORDS = 2, 3, 12
+#: Leading words that are a line's path in the tree, and the fixed words that a template has at least, and as a share.
+LEADING, FIXED_WORDS, FIXED_SHARE = 2, 3, 2 / 3
+#: Longest line whose whole leaf is compared; of longer ones a third of the words must recur in the leaf as it stands.
+SHORT_LINE, THIRDS = 20, 3
+#: Words of a window, neighbouring windows of which the least is chosen, and the words of a run that is a passage.
+WINDOW, CHOICE, RUN = 12, 10, 30
 #: A document of whose words this share goes is itself a repeat.
 REPEAT = 0.8
-#: Recurring templates that are broadcast at most (16 bytes each); more are joined.
+#: Recurring keys that are broadcast at most (16 bytes each); more are joined.
 BROADCAST_TEMPLATES = 1_000_000
 
+#: The two lowest bits of a key tell lines and sentences, windows and gates of the tree apart.
+UNIT, PASSAGE, GATE = 0, 1, 2
 # Words that are variable fields (numbers, dates, hexadecimal ids, addresses, links).
-FIELD = re.compile(r"\W*(?:[\d.,:/%+-]*\d[\d.,:/%+-]*\w{0,3}|(?=\w*\d)[0-9a-fA-F-]{6,}|\S+@\S+|\w+://\S+|www\.\S+)\W*", re.ASCII)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-ENDS = (".", "!", "?", "…")
+FIELDS = (r"\A\W*[0-9.,:/%+-]*[0-9][0-9.,:/%+-]*\w{0,3}\W*\z", r"\A\W*(?:[0-9a-fA-F-]{5,}[0-9][0-9a-fA-F-]*|[0-9a-fA-F-]*[0-9][0-9a-fA-F-]{5,})\W*\z", r"\A\W*(?:\S+@\S+|\w+://\S+|www\.\S+)\z")
+FIELD = np.uint64(0x2545F4914F6CDD1D)
+
+
+def _flags(words: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+
+
+def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
+    """The least (or greatest) of every n neighbours."""
+    width = 1
+    while 2 * width <= n:
+        x, width = least(x[:-width], x[width:]), 2 * width
+    return least(x[: len(x) - (n - width)], x[n - width :]) if n > width else x
 
 
 class Units:
-    """The lines and sentences of a batch of texts and the template keys of each.
+    """The lines, sentences and chosen windows of a batch of texts and their keys.
 
-    A text is cut at line feeds; a sentence ends at a word that ends in one of ENDS. Word places are global in the
-    batch; a unit is [start, end) with its kind (0 a whole line, 1 a sentence of a longer line).
+    A text is cut at line feeds; a sentence ends at a word that ends in . ! ? or an ellipsis. Word places are global in
+    the batch; a unit is [start, end). A window is WINDOW words in a row, across line feeds as well; of CHOICE
+    neighbouring ones the one of the least hash is chosen, so texts that share WINDOW + CHOICE - 1 words choose a window
+    in them alike, wherever they stand.
     """
 
     def __init__(self, texts: pa.Array):
-        import xxhash
-
         for c in BLANKS:
             if c not in " \n":
                 texts = pc.replace_substring(texts, c, " ")
         # A line feed becomes a word of its own, so that one split gives words and line ends.
-        codes, first, parts = distinct_parts(pc.replace_substring(texts, "\n", " \n "))
-        hashed = np.fromiter((xxhash.xxh3_64_intdigest("<*>" if FIELD.fullmatch(w) else w) for w in parts), np.uint64, len(parts))
-        empty, feed, stop = (np.fromiter(x, bool, len(parts)) for x in ((not w for w in parts), (w == "\n" for w in parts), (w.endswith(ENDS) for w in parts)))
-        keep = ~empty[codes]
+        codes, first, parts = split_words(pc.replace_substring(texts, "\n", " \n "))
+        field = np.logical_or.reduce([_flags(parts, f) for f in FIELDS])
+        words = np.where(field, FIELD, hashed(parts))
+        feed, stop = pc.equal(parts, "\n").to_numpy(zero_copy_only=False), _flags(parts, "[.!?…]\\z")
+        keep = (pc.binary_length(parts).to_numpy(zero_copy_only=False) > 0)[codes]
         ends = np.r_[0, np.cumsum(keep)][first]
         codes = codes[keep]
         self.doc = np.repeat(np.arange(len(texts)), np.diff(ends))
         n = len(codes)
         is_feed = feed[codes]
-        new_doc = np.zeros(n + 1, bool)
-        new_doc[ends] = True
+        breaks = np.zeros(n + 1, bool)
+        breaks[ends] = True
         # Line starts: after a feed or at a new text.
-        breaks = new_doc[:-1].copy()
+        breaks = breaks[:-1]
         breaks[1:] |= is_feed[:-1]
         breaks |= is_feed
         lines = self._runs(breaks, is_feed)
-        cut = breaks.copy()
-        cut[1:] |= stop[codes][:-1]
-        sentences = self._runs(cut, is_feed)
+        breaks[1:] |= stop[codes][:-1]
+        sentences = self._runs(breaks, is_feed)
         # A sentence that is a whole line is that line's unit.
         inner = ~np.isin(sentences[:, 0] * (n + 1) + sentences[:, 1], lines[:, 0] * (n + 1) + lines[:, 1])
         sentences = sentences[inner & (sentences[:, 1] - sentences[:, 0] >= SENTENCE_WORDS)]
         lines = lines[lines[:, 1] - lines[:, 0] >= LINE_WORDS]
         spans = np.concatenate([lines, sentences])
-        self.kind = np.r_[np.zeros(len(lines), np.int8), np.ones(len(sentences), np.int8)]
-        order = np.lexsort((self.kind, spans[:, 0]))
-        self.start, self.end, self.kind = spans[order, 0], spans[order, 1], self.kind[order]
-        self.of = self.doc[self.start] if len(self.start) else np.zeros(0, np.int64)
-        self.is_feed = is_feed
-        self.text_ends = ends
+        self.lines = len(lines)
+        self.start, self.end = spans[:, 0], spans[:, 1]
+        self.of = self.doc[self.start] if len(spans) else np.zeros(0, np.int64)
+        self.is_feed, self.text_ends, self.words = is_feed, ends, words[codes]
         with np.errstate(over="ignore"):
-            self._key(hashed[codes])
+            self._key()
+            self._choose()
 
     @staticmethod
     def _runs(breaks: np.ndarray, is_feed: np.ndarray) -> np.ndarray:
@@ -83,86 +99,160 @@ class Units:
         real = ~is_feed[starts]
         return np.stack([starts[real], ends[real]], axis=1).astype(np.int64) if len(starts) else np.zeros((0, 2), np.int64)
 
-    def _mix(self, x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return x ^ (x >> np.uint64(33))
+    @staticmethod
+    def _of_kind(x: np.ndarray, kind: int) -> np.ndarray:
+        return ((mixed(x) & ~np.uint64(3)) | np.uint64(kind)).view(np.int64)
 
-    def _key(self, words: np.ndarray) -> None:
-        """keys[unit, 0] is the path (word count, leading words) and all words; others leave one part of a long line open."""
+    def _key(self) -> None:
+        """Each unit's key: its path (word count and leading words) and all its words. Lines also have gates: what must recur in the tree before a line's leaf is compared."""
         m, size = len(self.start), self.end - self.start
-        self.keys, self.valid = np.zeros((m, 1 + VARIABLE_PARTS), np.uint64), np.zeros((m, 1 + VARIABLE_PARTS), bool)
-        if not m:
-            return
-        # Every word is mixed with its place in the unit, then sums over places are exact prefix differences.
-        place = lambda at, unit: self._mix(words[at] + (at - self.start[unit]).astype(np.uint64) * BASE)
-        unit = np.repeat(np.arange(m), size)
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start, size)
-        total = np.r_[np.uint64(0), np.cumsum(place(at, unit), dtype=np.uint64)]
-        begin = np.cumsum(size) - size
-        whole = total[begin + size] - total[begin]
+        # Every word is mixed with its place in the unit, so sums over places are exact prefix differences.
+        unit, begin = np.repeat(np.arange(m), size), np.cumsum(size) - size
+        place = np.arange(len(unit)) - begin[unit]
+        total = np.r_[np.uint64(0), np.cumsum(mixed(self.words[self.start[unit] + place] + place.astype(np.uint64) * BASE), dtype=np.uint64)]
         lead = np.minimum(size, LEADING)
-        path = self._mix(total[begin + lead] - total[begin] + size.astype(np.uint64) * BASE)
-        self.keys[:, 0] = self._mix(whole + path)
-        self.valid[:, 0] = True
-        long = (self.kind == 0) & (size >= VARIABLE_WORDS)
-        rest = size - lead
-        for k in range(VARIABLE_PARTS):
-            a = begin + lead + rest * k // VARIABLE_PARTS
-            b = begin + lead + rest * (k + 1) // VARIABLE_PARTS
-            self.keys[:, 1 + k] = self._mix(whole - (total[b] - total[a]) + path * np.uint64(k + 3))
-            self.valid[:, 1 + k] = long
+        self.leaf = mixed(total[begin + lead] - total[begin] + size.astype(np.uint64) * BASE)
+        self.keys = self._of_kind(total[begin + size] - total[begin] + self.leaf, UNIT)
+        k, begin, size, lead, leaf = self.lines, begin[: self.lines], size[: self.lines], lead[: self.lines], self.leaf[: self.lines]
+        self.gates, self.gated = np.zeros((k, THIRDS), np.int64), np.zeros((k, THIRDS), bool)
+        short, long = (size > FIXED_WORDS) & (size <= SHORT_LINE), size > SHORT_LINE
+        for part in range(THIRDS):
+            a, b = (begin + lead + (size - lead) * (part + x) // THIRDS for x in (0, 1))
+            third = total[b] - total[a] + leaf * np.uint64(2 * part + 3)
+            self.gates[:, part] = self._of_kind(np.where(long, third, leaf), GATE)
+            self.gated[:, part] = long | short & (part == 0)
+
+    def _choose(self) -> None:
+        """The chosen windows: key, document and place among the words that are no line feeds."""
+        self.plain = np.flatnonzero(~self.is_feed)
+        words, doc = mixed(self.words[self.plain]), self.doc[self.plain]
+        n, span = len(words) - WINDOW + 1, WINDOW + CHOICE - 1
+        self.chosen = np.zeros(0, np.int64)
+        if len(words) >= span:
+            rolled = np.zeros(n, np.uint64)
+            for k in range(WINDOW):
+                rolled += words[k : n + k] * (np.uint64(2 * k + 1) * BASE | np.uint64(1))
+            rolled = mixed(rolled) | np.uint64(1)
+            low = _sliding(rolled, CHOICE, np.minimum)
+            low[doc[: len(low)] != doc[span - 1 :]] = 0
+            edge = np.zeros(CHOICE - 1, np.uint64)
+            self.chosen = np.flatnonzero(_sliding(np.r_[edge, low, edge], CHOICE, np.maximum) == rolled)
+            rolled = rolled[self.chosen]
+        self.window_keys = self._of_kind(rolled, PASSAGE) if len(self.chosen) else np.zeros(0, np.int64)
+        self.window_of = doc[self.chosen]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (document, key) pairs."""
-        doc = np.repeat(self.of, self.valid.sum(axis=1))
-        keys = self.keys[self.valid]
+        doc = np.concatenate([self.of, self.window_of, np.repeat(self.of[: self.lines], self.gated.sum(axis=1))])
+        keys = np.concatenate([self.keys, self.window_keys, self.gates[self.gated]])
         order = np.lexsort((keys, doc))
         doc, keys = doc[order], keys[order]
         new = np.r_[True, (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])] if len(doc) else np.zeros(0, bool)
-        return doc[new], keys[new].view(np.int64)
+        return doc[new], keys[new]
 
-    def drop(self, gone: np.ndarray) -> np.ndarray:
-        """Words to drop, given for each unit whether its template goes."""
+    def drop(self, gone: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words to drop, given for each unit and each window whether it goes; and how many units and passages each text loses."""
+        texts = len(self.text_ends) - 1
         out = np.zeros(len(self.doc) + 1, np.int64)
         np.add.at(out, self.start[gone], 1)
         np.add.at(out, self.end[gone], -1)
-        return np.cumsum(out)[:-1] > 0
+        words = np.cumsum(out)[:-1] > 0
+        cover = np.zeros(len(self.plain) + 1, np.int64)
+        np.add.at(cover, self.chosen[shared], 1)
+        np.add.at(cover, self.chosen[shared] + WINDOW, -1)
+        # A run ends with its text.
+        covered, doc = np.cumsum(cover)[:-1] > 0, self.doc[self.plain]
+        turn = np.r_[True, (covered[1:] != covered[:-1]) | (doc[1:] != doc[:-1])] if len(doc) else np.zeros(0, bool)
+        first = np.flatnonzero(turn)
+        size = np.diff(np.r_[first, len(covered)])
+        passage = covered[first] & (size >= RUN)
+        words[self.plain[np.repeat(passage, size)]] = True
+        return words, np.bincount(self.of[gone], minlength=texts) + np.bincount(doc[first[passage]], minlength=texts)
+
+
+def _places(ids: pa.Array) -> np.ndarray:
+    """The order of documents: doc_id, null ones last."""
+    return pc.fill_null(ids.cast(pa.int64()), (1 << 63) - 1).to_numpy()
+
 
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
-def _template_rows(docs: DataFrame) -> DataFrame:
-    """(key, place) of every template and document; place orders documents: doc_id, null ones last."""
+
+def recurring_keys(docs: DataFrame, least_documents: int) -> DataFrame:
+    """key and the first document's place of everything that recurs: one row for each document and key, pre-aggregated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dropped()
         for batch in smaller(batches):
             doc, keys = Units(batch.column(1)).rows()
-            ids = pc.fill_null(batch.column(0), (1 << 63) - 1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[doc])], names=["key", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(_places(batch.column(0))[doc])], names=["key", "place"])
+
+    counted = _source(docs).mapInArrow(run, "key long, place long").groupBy("key").agg(F.count("*").alias("documents"), F.min("place").alias("place"))
+    return counted.where(F.col("documents") >= F.when(F.expr(f"key & 3 = {PASSAGE}"), LEAST_SHARING).otherwise(least_documents)).select("key", "place")
 
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    return source.mapInArrow(run, "key long, place long")
 
+def _gated_lines(docs: DataFrame, gates: DataFrame, broadcast_most: int) -> DataFrame:
+    """leaf, key, place and words of every line that has a recurring gate, once for each document."""
+    few = gates.count() <= broadcast_most
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(gates.toPandas()["key"].to_numpy(np.int64)) if few else None)
 
-def recurring_templates(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """key, documents and the first document's place of every template that at least `least_documents` rows hold."""
-    counted = _template_rows(docs).groupBy("key").agg(F.count("*").alias("documents"), F.min("place").alias("place"))
-    return counted.where(F.col("documents") >= least_documents)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dropped()
+        known = shared.value
+        for batch in smaller(batches):
+            units = Units(batch.column(1))
+            places, open_ = _places(batch.column(0)), units.gated
+            if known is not None:
+                at = np.minimum(np.searchsorted(known, units.gates), max(0, len(known) - 1))
+                open_ = open_ & (known[at] == units.gates) if len(known) else np.zeros_like(open_)
+                # One gate is enough.
+                open_ = open_ & (np.cumsum(open_, axis=1) == 1)
+            line, part = np.nonzero(open_)
+            words = [units.words[a:b].view(np.int64) for a, b in zip(units.start[line].tolist(), units.end[line].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(units.gates[line, part]), pa.array(units.leaf[line].view(np.int64)), pa.array(units.keys[line]), pa.array(places[units.of[line]]), pa.array(words, pa.list_(pa.int64()))], names=["gate", "leaf", "key", "place", "words"])
+
+    lines = _source(docs).mapInArrow(run, "gate long, leaf long, key long, place long, words array<long>")
+    if not few:
+        lines = lines.join(gates.select(F.col("key").alias("gate")), "gate", "left_semi")
+    return lines.groupBy("key", "place").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words"))
+
+
+def general_templates(docs: DataFrame, gates: DataFrame, least_documents: int, broadcast_most: int) -> DataFrame:
+    """key and place of the lines whose template recurs: place is the first document's of the template.
+
+    In each leaf of the tree (word count and leading words) the values of every position are counted over all lines.
+    A value that fewer than `least_documents` documents have there is a variable field. A line's template is what
+    remains fixed, at least FIXED_WORDS words and FIXED_SHARE of them; documents are counted by doc_id.
+    """
+    lines = written(_gated_lines(docs, gates, broadcast_most), "lines")
+    once = lines.groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words"), F.count("*").alias("documents"))
+    values = once.select("key", "leaf", "documents", F.size("words").alias("n"), F.posexplode("words").alias("at", "value"))
+    fixed = values.groupBy("leaf", "at", "value").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= least_documents).drop("documents")
+    stays = values.join(fixed, ["leaf", "at", "value"], "left_semi").groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "value"))).alias("fixed"))
+    stays = stays.where((F.size("fixed") >= FIXED_WORDS) & (F.size("fixed") >= F.col("n") * FIXED_SHARE)).select("key", F.xxhash64("leaf", "n", "fixed").alias("template"))
+    held = lines.select("key", "place").join(stays, "key").select("template", "place").distinct()
+    first = held.groupBy("template").agg(F.count("*").alias("documents"), F.min("place").alias("place")).where(F.col("documents") >= least_documents)
+    return stays.join(first, "template").select("key", "place")
+
+
+def recurring_templates(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, broadcast_most: int = BROADCAST_TEMPLATES) -> DataFrame:
+    """key and first place of every recurring line, sentence and window, and of every line of a recurring template."""
+    found = written(recurring_keys(docs, least_documents), "recurring")
+    general = general_templates(docs, found.where(f"key & 3 = {GATE}").select("key"), least_documents, broadcast_most)
+    return found.where(f"key & 3 <> {GATE}").unionAll(general).groupBy("key").agg(F.min("place").alias("place"))
 
 
 def _rewritten(batch: pa.RecordBatch, place: int, gone_of, repeat: float) -> tuple:
     """New texts, words before and after, dropped units, and whether each document stays."""
-    texts = pc.fill_null(batch.column(place), "")
-    units = Units(texts)
-    gone = gone_of(units) if len(units.start) else np.zeros(0, bool)
-    dropped, words = units.drop(gone), ~units.is_feed
-    n = len(texts)
-    before, after = np.bincount(units.doc[words], minlength=n), np.bincount(units.doc[words & ~dropped], minlength=n)
-    lost = np.bincount(units.doc[dropped & words], minlength=n)
-    count = np.bincount(units.of[gone], minlength=n)
-    stays = ~((before > 0) & (lost > 0) & ((after == 0) | (lost >= repeat * before)))
+    units = Units(pc.fill_null(batch.column(place), ""))
+    gone, count = units.drop(*gone_of(units))
+    words, n = ~units.is_feed, batch.num_rows
+    before, after = np.bincount(units.doc[words], minlength=n), np.bincount(units.doc[words & ~gone], minlength=n)
+    stays = ~((after < before) & ((after == 0) | (before - after >= repeat * before)))
     out = []
     for k, text in enumerate(batch.column(place).to_pylist()):
-        out.append(text if not count[k] else _without(text, dropped[units.text_ends[k] : units.text_ends[k + 1]]))
+        out.append(text if not count[k] else _without(text, gone[units.text_ends[k] : units.text_ends[k + 1]]))
     return pa.array(out, pa.string()), before, after, count, stays
 
 
@@ -185,62 +275,70 @@ def _without(text: str, dropped: np.ndarray) -> str:
 
 
 def _marker(keys: np.ndarray, places: np.ndarray):
-    """Which units of a batch hold a recurring template first seen in another document."""
+    """Which units and windows of a batch hold a key that was first seen in an earlier document."""
     order = np.argsort(keys)
     keys, places = keys[order], places[order]
 
-    def mark(units: Units, ids: np.ndarray) -> np.ndarray:
+    def earlier(found: np.ndarray, own: np.ndarray) -> np.ndarray:
         if not len(keys):
-            return np.zeros(len(units.start), bool)
-        found = units.keys.view(np.int64)
+            return np.zeros(len(found), bool)
         at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-        return (units.valid & (keys[at] == found) & (places[at] < ids[units.of][:, None])).any(axis=1)
+        return (keys[at] == found) & (places[at] < own)
 
-    return mark
+    return lambda units, ids: (earlier(units.keys, ids[units.of]), earlier(units.window_keys, ids[units.window_of]))
 
 
 def _deduplicated(docs: DataFrame, least_documents: int, broadcast_most: int, schema, result) -> DataFrame:
-    """Map every batch of docs (any columns, doc_id and text among them) with result(batch, mark); mark(units) says which units go."""
+    """Map every batch of docs (any columns, doc_id and text among them) with result(batch, mark); mark(units) says which units and windows go."""
     spark = docs.sparkSession
     names = docs.columns
     at_id, at_text = names.index("doc_id"), names.index("text")
-    recurring = written(recurring_templates(docs, least_documents), "templates")
-    places = lambda batch: pc.fill_null(batch.column(at_id).cast(pa.int64()), (1 << 63) - 1).to_numpy()
+    recurring = written(recurring_templates(docs, least_documents, broadcast_most), "templates")
     if recurring.count() <= broadcast_most:
         rows = recurring.select("key", "place").toPandas()
         shared = spark.sparkContext.broadcast((rows["key"].to_numpy(np.int64), rows["place"].to_numpy(np.int64)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dropped()
             mark = _marker(*shared.value)
             for batch in smaller(batches, at_text):
-                ids = places(batch)
+                ids = _places(batch.column(at_id))
                 yield result(batch, lambda units: mark(units, ids))
 
         return docs.mapInArrow(run, schema)
 
     # Each document's own keys meet the recurring ones; what is found goes back to it by doc_id and a hash of its text.
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dropped()
         for batch in smaller(batches):
             doc, keys = Units(batch.column(1)).rows()
-            ids = pc.fill_null(batch.column(0), (1 << 63) - 1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[doc]), batch.column(2).take(pa.array(doc))], names=["key", "own", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(_places(batch.column(0))[doc]), batch.column(2).take(pa.array(doc))], names=["key", "own", "row"])
 
     row = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
-    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), row.alias("row"))
-    hits = named.mapInArrow(keyed, "key long, own long, row long").join(recurring.select("key", "place"), "key").where("place < own")
+    # Rows of one key on this side are split where they are many; the other side has one row for each key.
+    hits = _source(docs).withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(keyed, "key long, own long, row long").join(recurring, "key").where("place < own")
     per = hits.groupBy("row").agg(F.collect_set("key").alias("keys"))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), row.alias("row")).join(per, "row", "left")
     joined = packed.select(*[F.col("doc")[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col("keys"))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dropped()
         for batch in smaller(batches, at_text):
-            own = [np.array(x or [], np.int64) for x in batch.column(batch.num_columns - 1).to_pylist()]
-
-            def gone(units: Units) -> np.ndarray:
-                found = units.keys.view(np.int64)
-                return np.array([np.isin(found[k][units.valid[k]], own[units.of[k]]).any() for k in range(len(found))], bool)
-
-            yield result(pa.RecordBatch.from_arrays(batch.columns[:-1], names=names), gone)
+            lists = batch.column(batch.num_columns - 1)
+            own = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            order = np.lexsort((own, keys := lists.flatten().to_numpy()))
+            keys, own = keys[order], own[order]
+
+            def among(found: np.ndarray, of: np.ndarray) -> np.ndarray:
+                """Whether (key, document) is one of the sorted pairs."""
+                lo, hi = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
+                out = np.zeros(len(found), bool)
+                for k in np.flatnonzero(hi > lo).tolist():
+                    at = lo[k] + np.searchsorted(own[lo[k] : hi[k]], of[k])
+                    out[k] = at < hi[k] and own[at] == of[k]
+                return out
+
+            yield result(pa.RecordBatch.from_arrays(batch.columns[:-1], names=names), lambda units: (among(units.keys, units.of), among(units.window_keys, units.window_of)))
 
     return joined.mapInArrow(run_joined, schema)
 
@@ -248,15 +346,17 @@ def _deduplicated(docs: DataFrame, least_documents: int, broadcast_most: int, sc
 def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, repeat: float = REPEAT, broadcast_most: int = BROADCAST_TEMPLATES) -> DataFrame:
     """doc_id, text, words_before, words_after, dropped_units, kept for every document.
 
-    Units are lines, and sentences of at least SENTENCE_WORDS words inside longer lines. A unit's path in the tree
-    is its word count and its first LEADING words; words that are variable fields count as one wildcard, and in long
-    lines one of VARIABLE_PARTS parts after the path may vary. A template in at least `least_documents`
-    documents is dropped from all but the first of them (least doc_id, null last; rows of that doc_id all keep it).
+    Units are lines, and sentences of at least SENTENCE_WORDS words inside longer lines. A unit's path in the tree is
+    its word count and its first LEADING words; words that are variable fields count as one wildcard, and the leaf
+    generalises the words of lines that differ (general_templates). What at least `least_documents` documents hold is
+    dropped from all but the first of them (least doc_id, null last; rows of that doc_id all keep it). Runs of at
+    least RUN words that lie in chosen windows which an earlier document holds are passages and go from the second
+    document on; any 50 words in a row that two documents share are found, but for a few words at their ends.
     A document with nothing left, or of all whose words at least `repeat` go, is a repeat: kept is false.
-    Null and blank texts stay as they are and are kept. Only keys and doc_ids are shuffled, pre-aggregated. Keys are
-    64-bit hashes.
+    Null and blank texts stay as they are and are kept. Only keys, doc_ids and the words of lines that share a leaf are
+    shuffled, pre-aggregated. Keys are 64-bit hashes, two bits of which tell their kind.
 
-    Recurring templates are broadcast only where their count is within `broadcast_most`; beyond it each
+    Recurring keys are broadcast only where their count is within `broadcast_most`; beyond it each
     document's keys are joined to them, with the same result.
     """
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

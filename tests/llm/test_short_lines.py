@@ -1,6 +1,8 @@
 """Line dedup of documents whose own lines are too short to be units."""
 
-from cohortspark.llm import templates
+import random
+
+from cohortspark.llm import queries, templates
 
 
 def test_short_lines_are_own_text(spark):
@@ -12,3 +14,75 @@ def test_short_lines_are_own_text(spark):
         assert [k for k, r in sorted(got.items()) if not r.kept] == [11]
         assert all(got[k].words_after == 600 and "rights" not in got[k].text for k in (1, 2, 3))
     assert {r.doc_id for r in templates.without_repeats(docs).collect()} == {0, 1, 2, 3, 10}
+
+
+def test_leaf_generalises_what_differs(spark):
+    """Names in a recurring line are variable fields; ordinary lines that share a leaf stay."""
+    rng = random.Random(4)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows = [(k, f"{own(30)}\nWelcome back dear {name} to our forum today\n{own(20)}") for k, name in enumerate(["Ann", "Bob", "Cleo", "Dan", "Eve", "Finn"])]
+    rows += [(10 + k, f"once upon {own(8)}\n{own(40)}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (templates.BROADCAST_TEMPLATES, 0):
+        got = {r.doc_id: r for r in templates.line_dedup(docs, broadcast_most=most).collect()}
+        assert all(r.kept for r in got.values())
+        assert ["Welcome" in got[k].text for k in range(6)] == [True] + [False] * 5
+        assert all(got[k].text == text for k, text in rows[6:])
+
+
+def brute_passages(rows, own_words=50):
+    """Runs of words that a document shares with an earlier one, of at least own_words words: (doc, start, end)."""
+    seen, out = {}, []
+    for i, text in sorted(rows):
+        words = (text or "").split()
+        grams = [tuple(words[a : a + own_words]) for a in range(len(words) - own_words + 1)]
+        cover = [False] * len(words)
+        for a, g in enumerate(grams):
+            if g in seen:
+                cover[a : a + own_words] = [True] * own_words
+        for g in grams:
+            seen.setdefault(g, i)
+        out.append((i, words, cover))
+    return out
+
+
+def test_passages_of_two_documents(spark):
+    """50 shared words go from the second document, wherever they stand and however they are cut into sentences and lines."""
+    rng = random.Random(9)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    flat, short, lined = own(60), " ".join(f"{own(4)}." for _ in range(16)), "\n".join(own(2) for _ in range(30))
+    rows = []
+    for k, passage in enumerate((flat, short, lined)):
+        rows += [(10 * k + d, f"{own(40)} {passage} {own(40)}") for d in range(2)]
+    rows += [(50, own(20) + " " + " ".join(flat.split()[:15]) + " " + own(20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in templates.line_dedup(docs).collect()}
+    for i, words, cover in brute_passages(rows):
+        left = got[i].text.split()
+        if any(cover):
+            shared = {w for w, c in zip(words, cover) if c}
+            assert sum(w in shared for w in left) <= 2 * (templates.CHOICE - 1) and len(left) >= 80
+        else:
+            assert left == words
+
+
+def test_line_dedup_by_brute_force(spark, small):
+    """Lines of three or more documents go from all but the first; every 50 shared words go from the later document."""
+    docs = queries.table(spark, small, "documents")
+    source = {r.doc_id: r.text or "" for r in docs.collect()}
+    holders = {}
+    for i in sorted(source):
+        for line in {" ".join(x.split()) for x in source[i].split("\n")}:
+            if len(line.split()) >= templates.LINE_WORDS:
+                holders.setdefault(line, []).append(i)
+    got = {r.doc_id: r for r in templates.line_dedup(docs).collect()}
+    for line, ids in holders.items():
+        if len(ids) >= templates.LEAST_DOCUMENTS:
+            assert all(line not in [" ".join(x.split()) for x in (got[i].text or "").split("\n")] for i in ids[1:])
+    for i, words, cover in brute_passages(list(source.items())):
+        if any(cover):
+            gone = len(words) - len(got[i].text.split())
+            runs = sum(a and not b for a, b in zip(cover, cover[1:] + [False]))
+            assert gone >= sum(cover) - 2 * (templates.CHOICE - 1) * runs
+    untouched = [i for i in source if not got[i].dropped_units]
+    assert untouched and all(got[i].text == source[i] and got[i].kept for i in untouched)
