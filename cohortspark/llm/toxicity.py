@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BLANKS, distinct_parts, smaller
+from .common import BLANKS, smaller, split_words
 from .nearjoin import shingles
 
 #: Length of the common subsequences and the weight of each skipped character.
@@ -159,7 +159,8 @@ class Sentences:
         for c in BLANKS:
             if c not in " \n":
                 texts = pc.replace_substring(texts, c, " ")
-        codes, first, parts = distinct_parts(pc.replace_substring(texts, "\n", " \n "))
+        codes, first, words = split_words(pc.replace_substring(texts, "\n", " \n "))
+        parts = words.to_pylist()
         self.words = list(map(bare, parts))
         stop = np.fromiter((p.endswith(ENDS) or p == "\n" for p in parts), bool, len(parts))
         single = np.fromiter((len(w) == 2 for w in self.words), bool, len(parts))
