@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortspark.llm.common import written
-from cohortspark.llm.nearjoin import near_join
+from cohortspark.llm.nearjoin import near_classes
 from cohortspark.llm.packing import pack
 from cohortspark.llm.queries import table, tokenizer
 from cohortspark.llm.templates import without_repeats
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A null doc_id stays only where its whole group has none.
     """
-    stays = near_join(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("stays")).distinct()
+    stays = near_classes(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("stays")).distinct()
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
