@@ -2,54 +2,55 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BLANKS, smaller, split_words
+from .common import BLANKS, Seen, dropped, hashed, kept, smaller, split_words
 from .nearjoin import shingles
 
 #: Length of the common subsequences and the weight of each skipped character.
-ORDER, DECAY = 4, 0.5
+ORDER, DECAY = 4, 0.7
 #: Words of a sentence at most; longer ones are cut into several.
 SENTENCE = 64
 #: Bound of the training sample: labelled documents of each class, those of the least hashed doc_id.
 SAMPLE = 2500
-#: Landmarks from toxic and from clean documents, and the places of a word that one kernel call sees.
+#: Landmarks from toxic and from clean documents, and the characters that one kernel call sees of a longer word.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, WINDOW = 48, 6, 24
 #: Least log-likelihood ratio (G squared) of a landmark from toxic documents.
 SIGNIFICANT = 30.0
-#: Kernel shares below a landmark's floor are chance: what this share of clean training documents reaches, FLOOR at
-#: most. A power of a kernel is a kernel and tells near from far more sharply.
-CHANCE, FLOOR, POWER = 0.005, 0.4, 2
+#: A power of a normalised kernel is a kernel and tells near from far more sharply.
+POWER = 2
 #: Sentences of a training document that reach the driver.
 WITNESSES = 5
-#: Weight of all clean documents when scores are scaled.
-CLEAN_WEIGHT = 0.75
+#: A sentence near a landmark has this value of the kernel at least.
+SHOWN = 0.5
+#: Weight of all clean documents when the machine is fitted, where each of their sentences counts, and when scores are scaled.
+CLEAN_SENTENCES, CLEAN_WEIGHT = 0.97, 0.75
 #: Sentences whose values make up a document's.
 WORST = 3
-KEPT_WORDS = 800_000
-ENDS = (".", "!", "?", "…")
+#: Words whose values a worker keeps (20 bytes each).
+KEPT_WORDS = 1_000_000
 
 
 def coded(words: list[str], width: int) -> np.ndarray:
     """Words as rows of character codes, padded with 0."""
     out = np.zeros((len(words), width), np.int32)
-    for n in {len(w) for w in words}:
-        rows = [k for k, w in enumerate(words) if len(w) == n]
-        out[rows, :n] = np.frombuffer("".join(words[k] for k in rows).encode("utf-32-le", "surrogatepass"), "<i4").reshape(len(rows), n)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    out[np.arange(width)[None, :] < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<i4")
     return out
 
 
-def kernel_pairs(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Sum over the common subsequences of `order` characters of decay ** (characters skipped in both), for each pair of rows.
+def kernel_ends(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """For each pair of rows: the weight of the common subsequences of `order` characters that end at each two places.
 
-    ends[a, b] weighs the subsequences that end at a and b; one step takes it to the next length by two
+    A subsequence weighs decay ** (characters skipped in both). One step takes those of a length to the next by two
     triangular sums over earlier places.
     """
     n, m = s.shape[1], t.shape[1]
@@ -66,7 +67,12 @@ def kernel_pairs(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float
             np.multiply(total[:, b - 1], decay, out=total[:, b])
             total[:, b] += before[:, b - 1]
         ends = same * total
-    return ends.sum(axis=(0, 1), dtype=np.float64)
+    return ends
+
+
+def kernel_pairs(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """The subsequence kernel of each pair of rows."""
+    return kernel_ends(s, t, order, decay).sum(axis=(0, 1), dtype=np.float64)
 
 
 def _masks(codes: np.ndarray) -> np.ndarray:
@@ -75,15 +81,14 @@ def _masks(codes: np.ndarray) -> np.ndarray:
 
 
 class Kernel:
-    """Kernel values of words against landmarks; only pairs with enough characters in common are computed."""
+    """Normalised kernel values of words against landmarks; pairs that are left out have no common subsequence, and value 0."""
 
-    def __init__(self, landmarks: list[str], floors: np.ndarray | float = FLOOR):
-        self.landmarks, self.floors = landmarks, floors
+    def __init__(self, landmarks: list[str]):
+        self.landmarks = landmarks
         self.codes = coded(landmarks, max(map(len, landmarks), default=1))
         self.masks = _masks(self.codes)
         # A common subsequence has at least as many distinct characters as the poorest one of the landmark.
-        # A word is compared only if it has most of a landmark's letters.
-        self.least = np.array([max(self._poorest(w), -(-len(set(w)) * 3 // 5)) for w in landmarks], np.int64)
+        self.least = np.array([self._poorest(w) for w in landmarks], np.int64)
         self.own = np.maximum(kernel_pairs(self.codes, self.codes), 1e-9) if landmarks else np.ones(0)
 
     @staticmethod
@@ -97,34 +102,36 @@ class Kernel:
         return 99
 
     def values(self, words: list[str]) -> np.ndarray:
-        """A row for each word: its shares to the POWER, those under a landmark's floor as 0."""
-        shares = self.shares(words)
-        shares[shares < self.floors] = 0
-        return shares**POWER
-
-    def shares(self, words: list[str]) -> np.ndarray:
-        """A row for each word: its kernel value with each landmark as a share of the landmark's own, 1 at most.
+        """A row for each bare word: k(s, t) / sqrt(k(s, s) k(t, t)) to the POWER, for each landmark t.
 
-        A word counts as written, without its inner punctuation and without all that is no letter, whichever is
-        nearest. Words longer than the window take the greatest of overlapping windows.
+        s is the beginning of the word that is nearest to t, whole words included: an insult may have an ending. A
+        word counts as written, without its inner punctuation and without all that is no letter, whichever is nearest.
+        Words longer than the window take the greatest of overlapping windows.
         """
         out = np.zeros((len(words), len(self.landmarks)))
-        by: dict[int, list[tuple[int, str]]] = {}
-        for k, w in ((k, form) for k, w in enumerate(words) for form in forms(w)):
-            parts = [w] if len(w) <= WINDOW else [w[a : a + WINDOW] for a in range(0, len(w) - WINDOW // 2, WINDOW // 2)]
-            for p in parts:
-                if len(p) >= ORDER:
-                    by.setdefault(8 if len(p) <= 8 else 12 if len(p) <= 12 else 16 if len(p) <= 16 else WINDOW, []).append((k, p))
-        for width, items in by.items():
-            for start in range(0, len(items), 20_000):
-                some = items[start : start + 20_000]
-                owner, codes = np.array([k for k, _ in some]), coded([p for _, p in some], width)
-                common = np.bitwise_count(_masks(codes)[:, None] & self.masks[None, :])
-                a, b = np.nonzero(common >= self.least[None, :])
+        by: dict[int, tuple[list[int], list[str]]] = {}
+        for k, w in enumerate(words):
+            for form in forms(w):
+                for p in [form] if len(form) <= WINDOW else [form[a : a + WINDOW] for a in range(0, len(form) - WINDOW // 2, WINDOW // 2)]:
+                    if len(p) >= ORDER:
+                        at = by.setdefault(max(8, -(-len(p) // 4) * 4), ([], []))
+                        at[0].append(k)
+                        at[1].append(p)
+        for width, (owners, parts) in by.items():
+            for start in range(0, len(parts), 20_000):
+                owner, codes = np.array(owners[start : start + 20_000]), coded(parts[start : start + 20_000], width)
+                a, b = np.nonzero(np.bitwise_count(_masks(codes)[:, None] & self.masks[None, :]) >= self.least[None, :])
+                met, index = np.unique(a, return_inverse=True)
+                norms = np.zeros((width, len(met)), np.float32)
+                for lo in range(0, len(met), 1024):
+                    own = kernel_ends(codes[met[lo : lo + 1024]], codes[met[lo : lo + 1024]]).cumsum(axis=0).cumsum(axis=1)
+                    norms[:, lo : lo + 1024] = np.sqrt(own[np.arange(width), np.arange(width)])
                 for lo in range(0, len(a), 2048):
                     x, y = a[lo : lo + 2048], b[lo : lo + 2048]
-                    np.maximum.at(out, (owner[x], y), kernel_pairs(codes[x], self.codes[y]))
-        return np.minimum(out / self.own, 1)
+                    norm = norms[:, index[lo : lo + 2048]]
+                    share = np.divide(kernel_ends(codes[x], self.codes[y]).sum(axis=1).cumsum(axis=0), norm, out=np.zeros_like(norm), where=norm > 0).max(axis=0)
+                    np.maximum.at(out, (owner[x], y), share / np.sqrt(self.own[y]))
+        return np.minimum(out, 1) ** POWER
 
     def gram(self) -> np.ndarray:
         """The landmarks' kernel matrix, normalised."""
@@ -149,46 +156,59 @@ def forms(word: str) -> set[str]:
 
 
 class Sentences:
-    """The sentences of a batch of texts: distinct words, each word's number, and where sentences and texts begin.
+    """The sentences of a batch of texts: distinct bare words, each word's number, and where sentences and texts begin.
 
-    Sentences end at a word that ends in one of ENDS, at a line feed and after SENTENCE words. Four or more single
-    letters in a row are one word, so that spelled-out words are seen.
+    Sentences end at a word that ends in . ! ? or an ellipsis, at a line feed and after SENTENCE words. With landmarks
+    given, neighbouring words that spell one between them are joined to one more word, in the first one's place.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, landmarks: list[str] = ()):
         for c in BLANKS:
             if c not in " \n":
                 texts = pc.replace_substring(texts, c, " ")
-        codes, first, words = split_words(pc.replace_substring(texts, "\n", " \n "))
-        parts = words.to_pylist()
-        self.words = list(map(bare, parts))
-        stop = np.fromiter((p.endswith(ENDS) or p == "\n" for p in parts), bool, len(parts))
-        single = np.fromiter((len(w) == 2 for w in self.words), bool, len(parts))
-        ends = stop[codes]
+        codes, first, parts = split_words(pc.replace_substring(texts, "\n", " \n "))
+        bare_parts = pc.utf8_lower(pc.replace_substring_regex(parts, r"\A[^\pL\pN]+|[^\pL\pN]+\z", "")).dictionary_encode()
+        words, of = bare_parts.dictionary, bare_parts.indices.to_numpy().astype(np.int64)
+        nothing = (pc.binary_length(words).to_numpy(zero_copy_only=False) == 0)[of][codes]
+        ends = pc.match_substring_regex(parts, "[.!?…]\\z|\\A\n\\z").to_numpy(zero_copy_only=False)[codes]
         ends[first[1:][first[1:] > first[:-1]] - 1] = True
-        codes = codes.astype(np.int64)
-        run = single[codes]
-        if run.any():
-            edges = np.flatnonzero(np.diff(np.r_[False, run, False]))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                if b - a >= 4:
-                    joined = "^" + "".join(self.words[k][1:] for k in codes[a:b].tolist())
-                    self.words.append(joined)
-                    codes[a] = len(self.words) - 1
-                    codes[a + 1 : b] = -1
-        keep = (codes >= 0) | ends
-        self.codes = codes[keep]
+        codes = np.where(nothing, -1, of[codes])
+        keep = ~nothing | ends
+        self.codes, ends = codes[keep], ends[keep]
         self.text_first = np.r_[0, np.cumsum(keep)][first]
-        ends = ends[keep]
         begin = np.r_[True, ends[:-1]] if len(ends) else np.zeros(0, bool)
         # Cut long sentences.
         since = np.arange(len(begin)) - np.maximum.accumulate(np.where(begin, np.arange(len(begin)), 0)) if len(begin) else np.zeros(0, int)
         self.starts = np.flatnonzero(begin | (since % SENTENCE == 0))
-
-    def sums(self, per_word: np.ndarray) -> np.ndarray:
-        """Sum of a value (or row of values) of each distinct word over each sentence."""
-        values = np.where((self.codes >= 0).reshape(-1, *[1] * (per_word.ndim - 1)), per_word[self.codes], 0)
-        return np.add.reduceat(values, self.starts, axis=0) if len(self.starts) else values[:0]
+        self.words = words
+        self.joined_at, joined = self._joined(ends, landmarks)
+        self.joined = pa.array(joined, pa.string())
+
+    def _joined(self, ends: np.ndarray, landmarks: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Place and word of each row of words of one sentence, each going on where a landmark does, that begin with a whole landmark."""
+        begins, whole = {w[1:n] for w in landmarks for n in range(2, len(w) + 1)}, {w[1:] for w in landmarks}
+        if not begins or not len(self.codes):
+            return np.zeros(0, np.int64), []
+        open_ = pc.is_in(self.words, pa.array(sorted(begins))).to_numpy(zero_copy_only=False)
+        places, out, longest = [], [], max(map(len, begins))
+        for at in np.flatnonzero((self.codes >= 0) & open_[self.codes] & ~ends).tolist():
+            word, k = self.words[int(self.codes[at])].as_py(), at
+            while word in begins and k + 1 < len(ends) and not ends[k] and len(word) < longest and self.codes[k + 1] >= 0:
+                k += 1
+                more = self.words[int(self.codes[k])].as_py()
+                if word + more[0] not in begins:
+                    break
+                word += more
+                if any(word[:n] in whole for n in range(ORDER - 1, len(word) + 1)):
+                    places.append(at)
+                    out.append(word)
+        return np.array(places, np.int64), out
+
+    def greatest(self, per_word: np.ndarray, per_joined: np.ndarray) -> np.ndarray:
+        """The greatest value in each sentence, of its words and joined words; 0 at least."""
+        values = np.where(self.codes >= 0, per_word[self.codes] if len(per_word) else 0, 0)
+        np.maximum.at(values, self.joined_at, per_joined)
+        return np.maximum(np.maximum.reduceat(values, self.starts), 0) if len(self.starts) else values[:0]
 
     def of_text(self) -> np.ndarray:
         """First sentence of each text, and the end."""
@@ -200,43 +220,46 @@ def worst_values(text: np.ndarray, values: np.ndarray, texts: int) -> np.ndarray
     some = np.flatnonzero(values > 0)
     order = some[np.lexsort((-values[some], text[some]))]
     of = text[order]
-    first = np.searchsorted(of, of)
-    top = np.arange(len(of)) - first < WORST
+    top = np.arange(len(of)) - np.searchsorted(of, of) < WORST
     return np.bincount(of[top], values[order][top], minlength=texts)
 
 
 @dataclass
 class Model:
-    """Landmarks, the weight of each kernel value, and the scale of scores."""
+    """Landmarks, the first `marks` of them toxic, the weight of each kernel value, and the scale of scores."""
 
     landmarks: list[str]
     weights: np.ndarray
     scale: tuple[float, float] = (1.0, 0.0)
-    floors: np.ndarray | float = FLOOR
-    seen: dict[str, float] = field(default_factory=dict, repr=False)
+    marks: int = 0
+
+
+class Scorer:
+    """A model at work on a worker, with the values of words that it has seen."""
+
+    def __init__(self, model: Model):
+        self.model, self.kernel, self.seen = model, Kernel(model.landmarks), Seen(np.float64, KEPT_WORDS)
 
-    def word_values(self, words: list[str]) -> np.ndarray:
-        """The decision value that each word adds to its sentence."""
-        if not self.landmarks:
+    def word_values(self, words: pa.Array) -> np.ndarray:
+        """The decision value of each word (without its start mark)."""
+        if not self.model.landmarks:
             return np.zeros(len(words))
-        if len(self.seen) > KEPT_WORDS:
-            self.seen.clear()
-        got = list(map(self.seen.get, words))
-        if None in got:
-            new = list({w for w, g in zip(words, got) if g is None})
-            kernel = self.kernel = getattr(self, "kernel", None) or Kernel(self.landmarks, self.floors)
-            for k in range(0, len(new), 50_000):
-                self.seen.update(zip(new[k : k + 50_000], (kernel.values(new[k : k + 50_000]) @ self.weights).tolist()))
-            got = list(map(self.seen.__getitem__, words))
-        return np.array(got)
+        return self.seen.get(hashed(words), lambda new: self._learn(words.take(pa.array(new)).to_pylist()))
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        return np.concatenate([self.kernel.values(["^" + w for w in words[k : k + 50_000]]) @ self.model.weights for k in range(0, len(words), 50_000)])
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Score of each text: the values of its worst sentences, added, on the scale; without any it is the scale's foot."""
-        s = Sentences(texts)
-        sums = s.sums(self.word_values(s.words))
-        text = np.repeat(np.arange(len(texts)), np.diff(s.of_text()))
-        a, b = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * worst_values(text, sums, len(texts)) + b, -50, 50)))
+        if self.seen.full():
+            self.seen.trim()
+        s = Sentences(texts, self.model.landmarks[: self.model.marks])
+        once = s.joined.dictionary_encode()
+        joined = self.word_values(once.dictionary)[once.indices.to_numpy()] if len(once) else np.zeros(0)
+        values = s.greatest(self.word_values(s.words), joined)
+        worst = worst_values(np.repeat(np.arange(len(texts)), np.diff(s.of_text())), values, len(texts))
+        a, b = self.model.scale
+        return 1 / (1 + np.exp(-np.clip(a * worst + b, -50, 50)))
 
 
 def sampled_labels(labels: DataFrame, each: int = SAMPLE) -> DataFrame:
@@ -254,6 +277,7 @@ def _once(sample: DataFrame) -> DataFrame:
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dropped()
         for batch in smaller(batches):
             least = [int(s[0] >> np.uint64(1)) if len(s) else -1 for s in shingles(batch.column(1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["doc_id", "text", "toxic", "least"])
@@ -305,26 +329,9 @@ def _chosen(sample: DataFrame) -> tuple[list[str], int]:
     return chosen, wanted - CLEAN_LANDMARKS
 
 
-def _floors(sample: DataFrame, landmarks: list[str]) -> np.ndarray:
-    """For each landmark the greatest share of a document's words that all but CHANCE of the clean documents stay under, FLOOR at most."""
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = Kernel(landmarks)
-        for batch in smaller(batches):
-            s = Sentences(batch.column(1))
-            shares, first = kernel.shares(s.words), s.text_first
-            words = (np.unique(s.codes[a:b]) for a, b in zip(first.tolist(), first[1:].tolist()))
-            rows = [shares[w[w >= 0]].max(axis=0, initial=0).tolist() for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["nearest"])
-
-    rows = sample.where("toxic = 0").mapInArrow(nearest, "nearest array<double>").toPandas()
-    return np.minimum(np.quantile(np.stack(rows["nearest"].to_numpy()), 1 - CHANCE, axis=0) + 1e-6, FLOOR)
-
-
-def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Linear squared-hinge machine with balanced classes, by accelerated gradient descent."""
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 600) -> tuple[np.ndarray, float]:
+    """Linear squared-hinge machine by accelerated gradient descent."""
     z = np.c_[x, np.ones(len(x))]
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     ridge = np.r_[np.full(x.shape[1], penalty), 0]
     step = 1 / (2 * np.linalg.eigvalsh((z * weight[:, None]).T @ z)[-1] + penalty)
     w, v, t = np.zeros(z.shape[1]), np.zeros(z.shape[1]), 1.0
@@ -361,41 +368,45 @@ def _logistic(d: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     """Fit on the sentences of a bounded sample of labelled documents (`each` of either class).
 
-    Near copies in the sample count once. A document's label says that it has a toxic sentence, not which: each toxic document gives its worst sentence
-    under the current machine, and others on its toxic side, if they show a landmark at all, clean ones all that were
-    kept, in three rounds. Only landmark counts,
-    one row of shares of each clean document and WITNESSES sentence vectors a document reach the driver. Without both classes nothing is learnt and
-    every score is 0.
+    Near copies in the sample count once. A sentence stands for its word nearest to a toxic landmark. A document's label
+    says that it has a toxic sentence, not which: each toxic document gives its worst sentence under the current machine,
+    and others on its toxic side, if they show a landmark at all, clean ones all that were kept, in three rounds. Clean
+    sentences weigh so much that a landmark which clean documents have as well does not decide alone.
+    Only landmark counts and WITNESSES sentence vectors a document reach the driver. Without both classes nothing is
+    learnt and every score is 0.
     """
     spark = docs.sparkSession
     ids = F.broadcast(sampled_labels(labels, each))  # at most 2 * each rows
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
     sample = _once(source.join(ids, "doc_id").select("doc_id", "text", "toxic")).repartition(max(2, spark.sparkContext.defaultParallelism), F.xxhash64("doc_id", "text")).persist()
     landmarks, marks = _chosen(sample)
+    nothing = Model([], np.zeros(0), (0.0, -50.0))
     if not marks:
         sample.unpersist()
-        return Model([], np.zeros(0), (0.0, -50.0))
-    floors = _floors(sample, landmarks)
+        return nothing
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = Kernel(landmarks, floors)
+        dropped()
+        kernel = Kernel(landmarks)
         for batch in smaller(batches):
             s = Sentences(batch.column(1))
-            sums, of = s.sums(kernel.values(s.words)), s.of_text()
+            words = kernel.values(["^" + w for w in s.words.to_pylist()])
+            near, of = np.where(s.codes >= 0, words[:, :marks].max(axis=1, initial=0)[s.codes], -1) if len(words) else np.zeros(0), s.of_text()
             doc, vec, toxic = [], [], []
             for k, y in enumerate(batch.column(2).to_pylist()):
-                own = sums[of[k] : of[k + 1]]
-                best = np.unique(np.r_[np.argsort(-own[:, :marks].sum(axis=1))[: WITNESSES - 1], 0][: max(0, len(own) * WITNESSES)])
-                for row in own[best] if len(own) else []:
-                    doc.append(batch.column(0)[k].as_py())
-                    vec.append(row.tolist())
-                    toxic.append(y)
+                ends = np.r_[s.starts, len(s.codes)]
+                best = [int(a + near[a:b].argmax()) for a, b in zip(ends[of[k] : of[k + 1]].tolist(), ends[of[k] + 1 : of[k + 1] + 1].tolist())]
+                for at in sorted(best, key=lambda x: -near[x])[:WITNESSES]:
+                    if s.codes[at] >= 0:
+                        doc.append(batch.column(0)[k].as_py())
+                        vec.append(words[s.codes[at]].tolist())
+                        toxic.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(toxic, pa.int32()), pa.array(vec, pa.list_(pa.float64()))], names=["doc_id", "toxic", "vec"])
 
     rows = sample.mapInArrow(vectors, "doc_id long, toxic int, vec array<double>").orderBy("doc_id", "vec").toPandas()
     sample.unpersist()
     if not len(rows) or rows["toxic"].nunique() < 2:
-        return Model([], np.zeros(0), (0.0, -50.0))
+        return nothing
     kernel = np.stack(rows["vec"].to_numpy())
     # Nyström features: the landmarks' own kernel matrix to the power -1/2, small eigenvalues left out.
     values, axes = np.linalg.eigh(Kernel(landmarks).gram())
@@ -403,49 +414,49 @@ def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     whiten = axes[:, good] / np.sqrt(values[good])
     x, toxic = kernel @ whiten, rows["toxic"].to_numpy() == 1
     docs_of = rows["doc_id"].to_numpy()
-    decision = kernel[:, :marks].sum(axis=1)
+    near = kernel[:, :marks].max(axis=1)
+    decision = near.copy()
     for _ in range(3):
         order = np.lexsort((-decision, docs_of))
-        first = order[np.r_[True, docs_of[order][1:] != docs_of[order][:-1]]]
         witness = np.zeros(len(rows), bool)
-        witness[first] = True
-        use = ~toxic | ((witness | (decision > 0)) & (kernel[:, :marks].sum(axis=1) > 0))
-        w, b = _svm(x[use], np.where(toxic[use], 1.0, -1.0))
+        witness[order[np.r_[True, docs_of[order][1:] != docs_of[order][:-1]]]] = True
+        use = ~toxic | ((witness | (decision > 0)) & (near > SHOWN))
+        if not (use & toxic).any():
+            return nothing
+        share = np.where(toxic[use], (1 - CLEAN_SENTENCES) / len(set(docs_of[use & toxic])), CLEAN_SENTENCES / len(set(docs_of[~toxic])))
+        w, b = _svm(x[use], np.where(toxic[use], 1.0, -1.0), share)
         decision = x @ w + b
     # Scores: a logistic curve over each document's value, clean documents weighing more as they are more.
     place, number = np.unique(docs_of, return_index=True)[1], np.unique(docs_of, return_inverse=True)[1]
     d, y = worst_values(number, decision - b, len(place)), toxic[place].astype(float)
     balance = np.where(y == 1, (1 - CLEAN_WEIGHT) / max(1, y.sum()), CLEAN_WEIGHT / max(1, (1 - y).sum()))
-    a, c = _logistic(d, y, balance)
-    return Model(landmarks, whiten @ w, (a, c), floors)
+    return Model(landmarks, whiten @ w, _logistic(d, y, balance), marks)
 
 
-_LOADED: dict[int, Model] = {}
+def _scorer(shared) -> Scorer:
+    """This worker's scorer of a broadcast model."""
+    return kept(("toxicity", shared.value[0]), lambda: Scorer(shared.value[1]))
 
 
-def _loaded(shared) -> Model:
-    """This worker's copy of a broadcast model, with the words it has seen."""
-    kept = shared.value
-    key = id(kept)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = kept
-    return _LOADED[key]
+def _shared(docs: DataFrame, labels: DataFrame, each: int):
+    """The trained model, broadcast under a name of its own."""
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, train(docs, labels, each)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
-    held_out documents (crc32 of doc_id as text divisible by 5) never train. The model (64 landmarks and weights)
-    is broadcast and texts are scored whole where they lie. A null text is an empty one, whose score is that of a
+    held_out documents (crc32 of doc_id as text divisible by 5) never train. The model (54 landmarks and weights at most)
+    is broadcast and texts are scored whole where they lie; a sentence
+    that shows a sure landmark decides alone, weaker ones add up. A null text is an empty one, whose score is that of a
     sentence without any landmark; a null doc_id counts as an empty text for held_out. Repeated rows score alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, each))
+    shared = _shared(docs, labels, each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(shared)
+        scorer = _scorer(shared)
         for batch in smaller(batches):
-            score = model.scores(batch.column(1))
+            score = scorer.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
@@ -456,11 +467,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> DataFram
 def without_toxic(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> DataFrame:
     """The documents that score below one half, all columns as they were."""
     place = docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, each))
+    shared = _shared(docs, labels, each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(shared)
+        scorer = _scorer(shared)
         for batch in smaller(batches, place):
-            yield batch.filter(pa.array(model.scores(pc.fill_null(batch.column(place), "")) < 0.5))
+            yield batch.filter(pa.array(scorer.scores(pc.fill_null(batch.column(place), "")) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
