@@ -54,7 +54,10 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def smaller(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most `most` bytes of text, or one row: bounds what a task holds."""
+    """The same rows in batches of at most `most` bytes of text, or one row: bounds what a task holds.
+
+    At the end of a task what it has freed goes back to the system, since workers live on.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -65,6 +68,8 @@ def smaller(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4_00
             stop = max(start + 1, int(ends.searchsorted(done + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+    freed()
 
 
 def split_words(texts: pa.Array, pattern: str = " ") -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -156,14 +161,20 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def dropped() -> None:
-    """Give back what the worker kept for another stage, to the system as well."""
+    """At the start of a task: give up what the worker kept for another stage."""
+    pa.set_memory_pool(pa.system_memory_pool())
     if _KEPT:
         _KEPT.clear()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass
+    freed()
+
+
+def freed() -> None:
+    """Give unused memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def table_size(spark: SparkSession) -> int:

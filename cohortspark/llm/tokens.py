@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from .common import Seen, hashed, kept, mixed, split_words
 
 #: Words kept per worker (about 60 bytes each), and characters encoded per call.
-KEPT_WORDS, CALL_CHARS = 600_000, 400_000
+KEPT_WORDS, CALL_CHARS = 500_000, 200_000
 END = (",", ".")
 #: Told apart from a word's own hash: the same word after a space.
 AFTER_SPACE = np.uint64(0x5851F42D4C957F2D)
@@ -33,10 +33,12 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # For words of letters alone (lower-case ones to fold), which the normalizer and the split leave as they are.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain = None
+        if fold:
+            # For words of lower-case letters alone, which the normalizer and the split leave as they are.
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.lead, self.fold = lead, fold
         self._forget()
 
@@ -94,7 +96,7 @@ class WordIds:
         places[there] = self.seen.values[at[there]] >> 2
         new = np.flatnonzero(~there)
         fresh = coded.dictionary.take(pa.array(new))
-        easy = pc.match_substring_regex(fresh, LETTERS[self.fold]).to_numpy(zero_copy_only=False)
+        easy = pc.match_substring_regex(fresh, LETTERS).to_numpy(zero_copy_only=False) if self.plain else np.zeros(len(new), bool)
         lead = self.lead if salt else ""
         for part, library in ((easy, self.plain), (~easy, self.library)):
             if part.any():
@@ -136,9 +138,9 @@ class WordIds:
         return out
 
 
-# Words of letters alone and a letter before a final comma or full stop, by `fold`; and white space next to a space or at a text's
-# edge, or of a kind seldom met.
-LETTERS = {True: "\\A[a-z\\x{df}-\\x{f6}\\x{f8}-\\x{ff}]+\\z", False: "\\A[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}]+\\z"}
+# Words of lower-case letters alone; a letter before a final comma or full stop, by `fold`; and white space
+# next to a space or at a text's edge, or of a kind seldom met.
+LETTERS = "\\A[a-z\\x{df}-\\x{f6}\\x{f8}-\\x{ff}]+\\z"
 LETTER_END = {True: "[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}][,.]\\z", False: "\\pL[,.]\\z"}
 BESIDE = "[ \\t\\n\\r][ \\t\\r]|[ \\t\\r][\\n]|^[ \\n\\t\\r]|[ \\n\\t\\r]\\z|[\\x{0b}\\x{0c}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 

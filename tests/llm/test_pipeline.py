@@ -17,7 +17,7 @@ def test_kernel_is_the_subsequence_kernel():
         for i in combinations(range(len(s)), 4):
             for j in combinations(range(len(t)), 4):
                 if all(s[a] == t[b] for a, b in zip(i, j)):
-                    total += 0.5 ** (i[3] - i[0] - 3 + j[3] - j[0] - 3)
+                    total += toxicity.DECAY ** (i[3] - i[0] - 3 + j[3] - j[0] - 3)
         return total
 
     rng = random.Random(2)
