@@ -21,16 +21,17 @@ LEADING, FIXED_WORDS, FIXED_SHARE = 2, 3, 2 / 3
 #: Longest line whose whole leaf is compared; of longer ones a third of the words must recur in the leaf as it stands.
 SHORT_LINE, THIRDS = 20, 3
 #: Words of a window, neighbouring windows of which the least is chosen, and the words of a run that is a passage.
-WINDOW, CHOICE, RUN = 12, 10, 30
+WINDOW, CHOICE, RUN = 16, 16, 20
 #: A document of whose words this share goes is itself a repeat.
 REPEAT = 0.8
 #: Recurring keys that are broadcast at most (16 bytes each); more are joined.
-BROADCAST_TEMPLATES = 1_000_000
+BROADCAST_TEMPLATES = 3_000_000
 
 #: The two lowest bits of a key tell lines and sentences, windows and gates of the tree apart.
 UNIT, PASSAGE, GATE = 0, 1, 2
 # Words that are variable fields (numbers, dates, hexadecimal ids, addresses, links).
 FIELDS = (r"\A\W*[0-9.,:/%+-]*[0-9][0-9.,:/%+-]*\w{0,3}\W*\z", r"\A\W*(?:[0-9a-fA-F-]{5,}[0-9][0-9a-fA-F-]*|[0-9a-fA-F-]*[0-9][0-9a-fA-F-]{5,})\W*\z", r"\A\W*(?:\S+@\S+|\w+://\S+|www\.\S+)\z")
+ODD = r"[0-9@]|://|www"
 FIELD = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -55,14 +56,17 @@ class Units:
     in them alike, wherever they stand.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, lines_only: bool = False):
         for c in BLANKS:
             if c not in " \n":
                 texts = pc.replace_substring(texts, c, " ")
         # A line feed becomes a word of its own, so that one split gives words and line ends.
         codes, first, parts = split_words(pc.replace_substring(texts, "\n", " \n "))
-        field = np.logical_or.reduce([_flags(parts, f) for f in FIELDS])
-        words = np.where(field, FIELD, hashed(parts))
+        words = hashed(parts)
+        odd = np.flatnonzero(_flags(parts, ODD))
+        if len(odd):
+            some = parts.take(pa.array(odd))
+            words[odd[np.logical_or.reduce([_flags(some, f) for f in FIELDS])]] = FIELD
         feed, stop = pc.equal(parts, "\n").to_numpy(zero_copy_only=False), _flags(parts, "[.!?…]\\z")
         keep = (pc.binary_length(parts).to_numpy(zero_copy_only=False) > 0)[codes]
         ends = np.r_[0, np.cumsum(keep)][first]
@@ -78,7 +82,7 @@ class Units:
         breaks |= is_feed
         lines = self._runs(breaks, is_feed)
         breaks[1:] |= stop[codes][:-1]
-        sentences = self._runs(breaks, is_feed)
+        sentences = self._runs(breaks, is_feed) if not lines_only else lines
         # A sentence that is a whole line is that line's unit.
         inner = ~np.isin(sentences[:, 0] * (n + 1) + sentences[:, 1], lines[:, 0] * (n + 1) + lines[:, 1])
         sentences = sentences[inner & (sentences[:, 1] - sentences[:, 0] >= SENTENCE_WORDS)]
@@ -90,7 +94,8 @@ class Units:
         self.is_feed, self.text_ends, self.words = is_feed, ends, words[codes]
         with np.errstate(over="ignore"):
             self._key()
-            self._choose()
+            if not lines_only:
+                self._choose()
 
     @staticmethod
     def _runs(breaks: np.ndarray, is_feed: np.ndarray) -> np.ndarray:
@@ -145,10 +150,9 @@ class Units:
         """Distinct (document, key) pairs."""
         doc = np.concatenate([self.of, self.window_of, np.repeat(self.of[: self.lines], self.gated.sum(axis=1))])
         keys = np.concatenate([self.keys, self.window_keys, self.gates[self.gated]])
-        order = np.lexsort((keys, doc))
-        doc, keys = doc[order], keys[order]
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])] if len(doc) else np.zeros(0, bool)
-        return doc[new], keys[new]
+        with np.errstate(over="ignore"):
+            once = np.unique(mixed(keys.view(np.uint64) + doc.astype(np.uint64) * BASE), return_index=True)[1]
+        return doc[once], keys[once]
 
     def drop(self, gone: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words to drop, given for each unit and each window whether it goes; and how many units and passages each text loses."""
@@ -201,7 +205,7 @@ def _gated_lines(docs: DataFrame, gates: DataFrame, broadcast_most: int) -> Data
         dropped()
         known = shared.value
         for batch in smaller(batches):
-            units = Units(batch.column(1))
+            units = Units(batch.column(1), lines_only=True)
             places, open_ = _places(batch.column(0)), units.gated
             if known is not None:
                 at = np.minimum(np.searchsorted(known, units.gates), max(0, len(known) - 1))
@@ -275,9 +279,7 @@ def _without(text: str, dropped: np.ndarray) -> str:
 
 
 def _marker(keys: np.ndarray, places: np.ndarray):
-    """Which units and windows of a batch hold a key that was first seen in an earlier document."""
-    order = np.argsort(keys)
-    keys, places = keys[order], places[order]
+    """Which units and windows of a batch hold one of the sorted keys that was first seen in an earlier document."""
 
     def earlier(found: np.ndarray, own: np.ndarray) -> np.ndarray:
         if not len(keys):
@@ -295,7 +297,7 @@ def _deduplicated(docs: DataFrame, least_documents: int, broadcast_most: int, sc
     at_id, at_text = names.index("doc_id"), names.index("text")
     recurring = written(recurring_templates(docs, least_documents, broadcast_most), "templates")
     if recurring.count() <= broadcast_most:
-        rows = recurring.select("key", "place").toPandas()
+        rows = recurring.select("key", "place").toPandas().sort_values("key")
         shared = spark.sparkContext.broadcast((rows["key"].to_numpy(np.int64), rows["place"].to_numpy(np.int64)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
