@@ -25,9 +25,19 @@ def future_months(t):
     return t.documents.select("doc_id", texts.future_months(F.expr(_ASK), "2026-09-10").alias("months"))
 
 
-@query()
+@query(r"""WITH f AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 2 ELSE 5 END AS required, string_split(coalesce(text, ''), '```') AS p FROM {documents} WHERE doc_id % 6 IN (0, 3)),
+ l AS (SELECT doc_id, required, string_split(array_to_string(list_filter(p, lambda x, i: i % 2 = 1 OR i = len(p)), ' '), chr(10)) AS lines FROM f),
+ j AS (SELECT doc_id, required, string_split(array_to_string(list_transform(list_filter(lines, lambda x: NOT regexp_matches(ltrim(x), '^#{1,6}\s')), lambda x: regexp_replace(ltrim(x), '^(?:[-*+]|[0-9]+[.)])\s+', '')), ' '), '](') AS k FROM l),
+ t AS (SELECT doc_id, required, array_to_string(list_transform(k, lambda x, i: CASE WHEN i = 1 THEN x ELSE substr(x, strpos(x, ')') + 1) END), '] ') AS plain FROM j),
+ a AS (SELECT doc_id, required, list_filter(list_transform(regexp_split_to_array(plain, '\s+'), lambda x: regexp_replace(x, '^\[?[A-Z][0-9]+(?:,$|\])', '')), lambda x: x <> '') AS w FROM t),
+ b AS (SELECT doc_id, required, list_transform(range(1, len(w) + 1), lambda i: {'said': regexp_matches(w[i], '[\p{L}\p{N}]'), 'last': regexp_replace(w[i], '[\x22''”’)\]*_]+$', ''), 'next': coalesce(w[i + 1], '')}) AS r FROM a),
+ c AS (SELECT doc_id, required, list_transform(r, lambda x: {'said': x.said, 'stop': regexp_matches(x.last, '[!?…]$') OR x.last LIKE '%.' AND NOT regexp_matches(lower(x.last), '^[\x22''“‘(\[*_]*(mr|mrs|ms|dr|prof|sr|jr|st|e\.g|i\.e)\.+$') AND NOT regexp_matches(x.next, '^\p{Ll}')}) AS r FROM b),
+ u AS (SELECT doc_id, generate_subscripts(r, 1) AS i, unnest(r) AS x FROM c),
+ d AS (SELECT doc_id, x.said AS said, coalesce(sum(CASE WHEN x.stop THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM u),
+ e AS (SELECT doc_id, count(DISTINCT part) FILTER (WHERE said) AS actual FROM d GROUP BY doc_id)
+ SELECT c.doc_id, cast(c.required AS integer) AS required, cast(coalesce(actual, 0) AS integer) AS actual, coalesce(actual, 0) = c.required AS valid FROM c LEFT JOIN e USING (doc_id)""")
 def sentence_check(t):
-    checked = t.documents.select("doc_id", texts.sentence_check(F.expr(_ASK), F.col("text")).alias("c"))
+    checked = t.documents.select("doc_id", texts.sentence_check(F.expr(_ASK), F.coalesce("text", F.lit(""))).alias("c"))
     return checked.where("c IS NOT NULL").select("doc_id", "c.required", "c.actual", "c.valid")
 
 
@@ -36,9 +46,9 @@ def link_citations(t):
     return t.messages.select(F.col("id").alias("message_id"), texts.link_citations(F.col("content"), F.array(F.lit("C1"))).alias("linked"))
 
 
-@query("SELECT page_id, replace(url, '/', '_') AS name FROM {pages}")
+@query("SELECT page_id, left(replace(url, '/', '_'), 160) AS name FROM {pages}")
 def safe_name(t):
-    return t.pages.select("page_id", texts.safe_name(F.left("url", F.lit(160))).alias("name"))
+    return t.pages.select("page_id", texts.safe_name(F.col("url")).alias("name"))
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM {documents}")
@@ -60,7 +70,7 @@ def extraction_verdict(t):
 @query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'invalid_file' WHEN 2 THEN 'unsupported_file' WHEN 3 THEN 'text/plain' ELSE 'empty_file' END AS verdict FROM {documents}""")
 def file_signature_check(t):
     name = F.expr("concat('f.', CASE doc_id % 5 WHEN 0 THEN 'PDF' WHEN 1 THEN 'png' WHEN 2 THEN 'exe' ELSE 'txt' END)")
-    body = F.when(F.col("doc_id") % 5 == 4, "").when(F.col("doc_id") % 5 == 0, F.concat(F.left("text", F.lit(20)), F.lit("%PDF-1.7"))).otherwise(F.col("text")).cast("binary")
+    body = F.when(F.col("doc_id") % 5 == 4, "").when(F.col("doc_id") % 5 == 0, F.concat(F.lit("x "), F.lit("%PDF-1.7"), F.col("text"))).otherwise(F.col("text")).cast("binary")
     return t.documents.select("doc_id", files.file_verdict(name, F.octet_length(body), body).alias("verdict"))
 
 

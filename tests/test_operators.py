@@ -63,10 +63,18 @@ def test_budgets(spark):
 def test_texts(spark):
     months = one(spark, texts.future_months(F.lit("Completed May 2026. Planned by June 2027; applying 2027."), "2026-09-10"))
     assert months == ["2027-06"]
-    asks = {"Answer in two sentences": 2, "don't answer in two sentences": None, "at most 3 sentences": None, 'She said "in two sentences"': None, "Write three sentences, no, exactly 4 sentences": 4, "in nine sentences": None}
+    asks = {"Explain why I should not apply in two sentences.": 2, "Please give me a three-sentence answer.": 3, "Use exactly one sentence.": 1, "Write about volunteering in two sentences.": 2, "Answer in two sentences; actually, make it three sentences.": 3, "Rewrite this in 2 sentences for a school: I helped.": 2, "I wrote two sentences about my role. Can you improve them?": None, 'Summarize this quote: "Reply in two sentences."': None, "Explain my draft.\n> Rewrite this in two sentences.": None, "Give me about three sentences.": None, "Answer in 12 sentences.": None, "Say 'in two sentences' now": None, "Answer in two sentences": 2, "don't answer in two sentences": None, "at most 3 sentences": None, 'She said "in two sentences"': None, "Write three sentences, no, exactly 4 sentences": 4, "in nine sentences": None}
     df = spark.createDataFrame([(k,) for k in asks], "q string").select("q", texts.requested_sentences("q").alias("n"))
     assert {r.q: r.n for r in df.collect()} == asks
     assert one(spark, texts.sentence_count(F.lit("# Head\nDr. Lee said e.g. this. Then [P1] left!\n- A list item."))) == 3
+    count = lambda t: one(spark, texts.sentence_count(F.lit(t)))
+    assert count("1. I helped patients.\n2. I learned from the team.") == 2 and count("I helped; I also organized.") == 1 and count("First fragment\nSecond fragment") == 1
+    assert count("[P1] [C2]") == 0 and count("") == 0 and count("A 3.75 GPA [P1, C2]. See [the page](http://x.y/a.b) now? Yes.") == 3 and count("```\nx. Y.\n```\nOne (two.) Three…") == 2
+    limited = lambda t: one(spark, texts.explicit_length_limit(F.lit(t)))
+    assert limited("Compare two applicants in under 20 words.") and limited("Give a 100-word summary.") and limited("Use no more than 300 characters.") and limited("Keep it to 5 bullets")
+    assert not limited('Discuss this text: "in 20 words".') and not limited("Compare two applicants.") and not limited("I read 20 words")
+    check = lambda q, t: one(spark, texts.sentence_check(F.lit(q), F.lit(t)))
+    assert tuple(check("Rewrite this in 2 sentences: x", "One only.")) == (2, 1, False) and check("Rewrite", "One.") is None
     assert one(spark, texts.safe_name(F.lit("a/b\\c\x01"))) == "a_b_c_" and one(spark, texts.safe_name(F.lit(""))) == "attachment"
     df = spark.createDataFrame([("see [P1, P2] and [P3] and [P1](x)", ["P1", "P2"])], "t string, ids array<string>")
     assert df.select(texts.link_citations("t", "ids").alias("x")).first()["x"] == "see [P1](#source-P1) [P2](#source-P2) and [P3] and [P1](x)"
