@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .cohort import OUTCOMES, SOURCES, contains_literal, numeric_summary, reviewed_current
 
-#: Requests that are broadcast at most; more are joined in slices of this many.
-REQUESTS = 10_000
+#: Metrics with the width of their cells and their range; the cell of an unreported metric.
+CELLS, UNREPORTED = (("gpa", 0.1, 0.0, 4.0), ("mcat", 4.0, 472.0, 528.0)), -1
 KEYS = ("gpaMin", "gpaMax", "mcatMin", "mcatMax", "cycles", "sources", "outcomes", "activity", "school", "limit")
 
 
@@ -36,33 +36,41 @@ def validate_filters(requests: DataFrame) -> DataFrame:
     return parsed.select("request_id", F.array_compact(F.array(*errors)).alias("errors"), f("gpaMin").alias("gpa_min"), f("gpaMax").alias("gpa_max"), f("mcatMin").alias("mcat_min"), f("mcatMax").alias("mcat_max"), *[F.array_distinct(f(k)).alias(k) for k in ("cycles", "sources", "outcomes")], trimmed("activity").alias("activity"), trimmed("school").alias("school"), F.coalesce(f("limit"), F.lit(12)).cast("int").alias("limit"))
 
 
+def _cells(low: Column, high: Column, width: float, first: float, last: float) -> Column:
+    """Numbers of the cells that a range of a metric meets; without any bound also that of unreported metrics."""
+    cell = lambda x: F.floor(x / F.lit(width)).cast("int")
+    some = F.sequence(cell(F.greatest(F.coalesce(low, F.lit(first)), F.lit(first))), cell(F.least(F.coalesce(high, F.lit(last)), F.lit(last))))
+    some = F.when(F.coalesce(low, F.lit(first)) <= F.coalesce(high, F.lit(last)), some).otherwise(F.array().cast("array<int>"))
+    return F.when(low.isNull() & high.isNull(), F.concat(some, F.array(F.lit(UNREPORTED)))).otherwise(some)
+
+
 def cohort_match_many(requests: DataFrame, profiles: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(request_id, profile) of the latest matching profile of each account, for every request.
 
-    Requests: request_id, gpa_min, gpa_max, mcat_min, mcat_max, cycles, sources, outcomes (arrays or null), school. At
-    most REQUESTS are broadcast; a larger table is taken in slices. The outcome rule is an equi join of the
-    matching pairs with outcomes on (profile, cycle), not a product.
+    Requests: request_id, gpa_min, gpa_max, mcat_min, mcat_max, cycles, sources, outcomes (arrays or null), school, and
+    activity where profiles have activities_json. Ranges are an equi join: a request goes to the cells of GPA and MCAT
+    that it meets, a profile lies in one, and the exact bounds follow. A profile carries its own unconditional events of
+    its cycle, so the outcome rule needs no join of the pairs.
     """
-    slices = -(-requests.count() // REQUESTS)
+    events = outcomes.where("conditional = 0").groupBy(F.col("profile_id").alias("e_profile"), F.col("cycle").alias("e_cycle")).agg(F.collect_set(F.struct("status", "school")).alias("e"))
     base = reviewed_current(profiles)
-    out = None
-    for k in range(max(1, slices)):
-        some = requests if slices < 2 else requests.where(F.pmod(F.xxhash64("request_id"), F.lit(slices)) == k)
-        r = F.broadcast(some.select(*[F.col(c).alias(f"r_{c}") for c in some.columns]))  # bounded by REQUESTS on average
-        fits = F.lit(True)
-        for c in ("gpa", "mcat"):
-            fits &= (F.col(f"r_{c}_min").isNull() | (F.col(c) >= F.col(f"r_{c}_min"))) & (F.col(f"r_{c}_max").isNull() | (F.col(c) <= F.col(f"r_{c}_max")))
-        for c, column in (("cycles", "cycle"), ("sources", "source")):
-            fits &= F.col(f"r_{c}").isNull() | F.array_contains(f"r_{c}", F.col(column))
-        pairs = base.join(r, fits)
-        free = pairs.where("r_outcomes IS NULL AND r_school IS NULL")
-        bound = pairs.where("r_outcomes IS NOT NULL OR r_school IS NOT NULL")
-        o = outcomes.where("conditional = 0").select(F.col("profile_id").alias("o_profile"), F.col("cycle").alias("o_cycle"), F.col("status").alias("o_status"), F.col("school").alias("o_school"))
-        event = (F.col("id") == F.col("o_profile")) & (F.col("cycle") == F.col("o_cycle")) & (F.col("r_outcomes").isNull() | F.array_contains("r_outcomes", F.col("o_status"))) & (F.col("r_school").isNull() | contains_literal(F.col("o_school"), F.col("r_school")))
-        part = free.unionByName(bound.join(o, event, "left_semi"))
-        out = part if out is None else out.unionByName(part)
+    base = base.join(events, (base["id"] == events["e_profile"]) & (base["cycle"] == events["e_cycle"]), "left").drop("e_profile", "e_cycle")
+    r = requests.select(*[F.col(c).alias(f"r_{c}") for c in requests.columns])
+    for c, width, first, last in CELLS:
+        base = base.withColumn(f"{c}_cell", F.coalesce(F.floor(F.col(c) / F.lit(width)).cast("int"), F.lit(UNREPORTED)))
+        r = r.withColumn(f"{c}_cell", F.explode(_cells(F.col(f"r_{c}_min"), F.col(f"r_{c}_max"), width, first, last)))
+    fits = F.lit(True)
+    for c in ("gpa", "mcat"):
+        fits &= (F.col(f"r_{c}_min").isNull() | (F.col(c) >= F.col(f"r_{c}_min"))) & (F.col(f"r_{c}_max").isNull() | (F.col(c) <= F.col(f"r_{c}_max")))
+    for c, column in (("cycles", "cycle"), ("sources", "source")):
+        fits &= F.col(f"r_{c}").isNull() | F.array_contains(f"r_{c}", F.col(column))
+    if "activity" in requests.columns:
+        fits &= F.col("r_activity").isNull() | contains_literal(F.col("activities_json"), F.col("r_activity"))
+    event = lambda o: (F.col("r_outcomes").isNull() | F.array_contains("r_outcomes", o["status"])) & (F.col("r_school").isNull() | contains_literal(o["school"], F.col("r_school")))
+    fits &= (F.col("r_outcomes").isNull() & F.col("r_school").isNull()) | F.coalesce(F.exists("e", event), F.lit(False))
+    pairs = base.join(r, [f"{c}_cell" for c, *_ in CELLS]).where(fits)
     latest = W.partitionBy("r_request_id", "account_id").orderBy(F.desc("cycle"), F.desc("observed_at"), F.asc("id"))
-    return out.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").select(F.col("r_request_id").alias("request_id"), *profiles.columns)
+    return pairs.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").select(F.col("r_request_id").alias("request_id"), *profiles.columns)
 
 
 def match_counts(matches: DataFrame) -> DataFrame:

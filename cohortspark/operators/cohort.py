@@ -146,11 +146,22 @@ def activity_hours_summary(matched: DataFrame, categories: Sequence[str] = ("cli
     return numeric_summary(matched.select(*columns), [f"{c}_hours" for c in categories])
 
 
-def corpus_stats(profiles: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Distinct accounts in all, by source and by cycle, in one pass over distinct (account, source, cycle)."""
-    distinct = profiles_with_accounts(reviewed_current(profiles), accounts).select("account_id", "source", "cycle").distinct()
+def corpus_stats(profiles: DataFrame, accounts: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """(part, value, accounts): distinct accounts in all, by source and by cycle, in one pass over distinct (account, source, cycle).
+
+    With a ledger of imports (release, imported_at) also the parts reviewed_at, the latest review of a profile
+    (profiles have reviewed_at), and release, the latest imported; they count no accounts.
+    """
+    base = reviewed_current(profiles)
+    distinct = profiles_with_accounts(base, accounts).select("account_id", "source", "cycle").distinct()
     sets = distinct.groupingSets([[], ["source"], ["cycle"]], "source", "cycle").agg(F.countDistinct("account_id").alias("accounts"), F.grouping_id().alias("g"))
-    return sets.select(F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "source").otherwise("cycle").alias("part"), F.coalesce("source", "cycle", F.lit("")).alias("value"), "accounts")
+    stats = sets.select(F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "source").otherwise("cycle").alias("part"), F.coalesce("source", "cycle", F.lit("")).alias("value"), "accounts")
+    if imports is None:
+        return stats
+    none = F.lit(None).cast("long").alias("accounts")
+    reviewed = base.agg(F.max("reviewed_at").alias("value")).select(F.lit("reviewed_at").alias("part"), "value", none)
+    latest = imports.agg(F.max_by("release", F.struct("imported_at", "release")).alias("value")).select(F.lit("release").alias("part"), "value", none)
+    return stats.unionAll(reviewed).unionAll(latest)
 
 
 def inspect_profiles(profiles: DataFrame, ids: DataFrame) -> DataFrame:

@@ -30,6 +30,18 @@ def newest(df: DataFrame, key: str, at: str, n: int) -> DataFrame:
     return ranked(df, [key], F.desc(at), F.asc("id")).where(F.col("place") <= n)
 
 
+def owned_rows(df: DataFrame, chats: DataFrame, user_id: str) -> DataFrame:
+    """A user's own rows of a table with chat_id, those of chats being deleted left out."""
+    own = chats.where((F.col("user_id") == user_id) & F.col("deleting_at").isNull()).select(F.col("id").alias("chat_id"))
+    return df.join(own, "chat_id", "left_semi")
+
+
+def chat_documents(attachments: DataFrame, messages: DataFrame) -> DataFrame:
+    """Ready files tied to a message of their chat, in order of time; a missing text is empty."""
+    rows = attachments.where("status = 'ready'").join(messages.select(F.col("id").alias("message_id"), "chat_id"), ["message_id", "chat_id"], "left_semi")
+    return ranked(rows, ["chat_id"], F.asc("created_at"), F.asc("id")).select("chat_id", "place", "id", F.coalesce("extracted_text", F.lit("")).alias("text"))
+
+
 def pending_deletions(chats: DataFrame, n: int = 10) -> DataFrame:
     """The n oldest deletions of each user."""
     return ranked(chats.where("deleting_at IS NOT NULL"), ["user_id"], F.asc("deleting_at"), F.asc("id")).where(F.col("place") <= n)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 #: Fixed limits.
@@ -36,35 +38,39 @@ def chat_usage(messages: DataFrame, chats_most: int = 100, messages_most: int =
 def admit_storage(uploads: DataFrame, files: int = FILES, most: int = BYTES, per_day: int = UPLOADS) -> DataFrame:
     """Uploads (user_id, id, at_ms, size) in order with their verdict; what is rejected takes nothing.
 
-    Acceptance depends on all earlier acceptances, so a user's uploads are folded in order. Once a user's files are
-    full nothing more can be accepted: only the uploads up to then matter, and days beyond their limit fall out early.
+    Acceptance depends on all earlier acceptances, so a user's uploads pass in order by a small state: files, bytes and
+    the uploads of the current day. Rows stream through sorted partitions; no user's history is held.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at_ms", "id"])
-        count, used, days, out = 0, 0, {}, []
-        for at, size in zip(rows["at_ms"], rows["size"]):
-            d = at // DAY_MS
-            if days.get(d, 0) >= per_day:
-                out.append("daily_limit")
-            elif count >= files or used + size > most:
-                out.append("storage_limit")
-            else:
-                count, used = count + 1, used + size
-                days[d] = days.get(d, 0) + 1
-                out.append("accepted")
-        return rows[["user_id", "id"]].assign(verdict=out)
-
-    return uploads.select("user_id", "id", "at_ms", "size").groupBy("user_id").applyInPandas(fold, "user_id string, id string, verdict string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, count, used, day_now, today = None, 0, 0, None, 0
+        for batch in batches:
+            verdicts = []
+            for who, at, size in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                if who != user:
+                    user, count, used, day_now = who, 0, 0, None
+                if at // DAY_MS != day_now:
+                    day_now, today = at // DAY_MS, 0
+                if today >= per_day:
+                    verdicts.append("daily_limit")
+                elif count >= files or used + size > most:
+                    verdicts.append("storage_limit")
+                else:
+                    count, used, today = count + 1, used + size, today + 1
+                    verdicts.append("accepted")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.string())], names=["user_id", "id", "verdict"])
+
+    rows = uploads.select("user_id", "id", F.col("at_ms").cast("long").alias("at_ms"), F.col("size").cast("long").alias("size"))
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "at_ms", "id").mapInArrow(run, "user_id string, id string, verdict string")
 
 
 def stale_processing(attachments: DataFrame, now_ms: int, each: int = 40) -> DataFrame:
-    """Files still processing after the limit fail, the oldest `each` of a user, without text."""
-    stale = (F.col("status") == "processing") & (F.col("created_at") <= now_ms - STALE_MS)
-    order = W.partitionBy("user_id", stale).orderBy("created_at", "id")
-    fails = stale & (F.row_number().over(order) <= each)
-    rows = attachments.withColumn("fails", fails)
-    return rows.withColumn("status", F.when(F.col("fails"), "failed").otherwise(F.col("status"))).withColumn("extracted_text", F.when(~F.col("fails"), F.col("extracted_text"))).drop("fails")
+    """Files still processing after the limit fail, the oldest `each` of a user, without text. Only ids of stale files are ranked."""
+    stale = attachments.where((F.col("status") == "processing") & (F.col("created_at") <= now_ms - STALE_MS)).select("user_id", "created_at", "id")
+    order = W.partitionBy("user_id").orderBy("created_at", "id")
+    failed = stale.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("id", F.lit(True).alias("fails"))
+    rows = attachments.join(failed, "id", "left")
+    return rows.withColumn("status", F.when(F.col("fails"), "failed").otherwise(F.col("status"))).withColumn("extracted_text", F.when(F.col("fails").isNull(), F.col("extracted_text"))).select(*attachments.columns)
 
 
 def attachment_claims(requests: DataFrame, attachments: DataFrame) -> DataFrame:

@@ -213,3 +213,15 @@ def cascade_delete(t):
     gone = chats(t).where("updated_at % 7 = 0").select("id")
     files = t.attachments.withColumn("message_id", F.lit(None).cast("string"))
     return conversations.cascade_delete(chats(t), t.messages, files, users, gone)[1].select("id")
+
+
+@query("SELECT id, chat_id FROM {messages} WHERE user_id = 'u-7' AND conv_id % 3 <> 0")
+def owned_rows(t):
+    chats = t.messages.selectExpr("chat_id AS id", "user_id", "CASE WHEN conv_id % 3 = 0 THEN 1 END AS deleting_at").distinct()
+    return conversations.owned_rows(t.messages, chats, "u-7").select("id", "chat_id")
+
+
+@query("""WITH c AS (SELECT chat_id, id FROM {messages} WHERE turn = 1) SELECT a.chat_id, cast(row_number() OVER (PARTITION BY a.chat_id ORDER BY created_at, a.id) AS integer) AS place, a.id, coalesce(extracted_text, '') AS text FROM {attachments} a JOIN c ON c.chat_id = a.chat_id WHERE status = 'ready' AND doc_id % 4 <> 0""")
+def chat_documents(t):
+    files = t.attachments.join(t.messages.where("turn = 1").select("chat_id", F.col("id").alias("message_id")), "chat_id").withColumn("message_id", F.when(F.col("doc_id") % 4 != 0, F.col("message_id")))
+    return conversations.chat_documents(files, t.messages).select("chat_id", "place", "id", "text")

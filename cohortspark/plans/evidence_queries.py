@@ -51,9 +51,9 @@ def latest_cohort(t):
     return tools.latest_cohort(calls).select("answer_id", "seq")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS answer_id, ord AS seq, l_partkey % 3 AS k, cast(l_quantity AS double) AS q, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY ord) AS n, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY ord) AS u FROM {li} WHERE ord < 6)
+@query("""WITH c AS (SELECT l_orderkey AS answer_id, ord AS seq, l_partkey % 3 AS k, cast(l_quantity AS double) AS q, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY ord) AS n, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY ord) AS u FROM {li})
 SELECT answer_id, seq, CASE WHEN u > 3 THEN NULL WHEN k = 0 THEN q + l_suppkey WHEN k = 1 THEN q * 4 END AS number, CASE WHEN u > 3 THEN NULL WHEN k = 2 THEN p.cycle END AS cycle,
- CASE WHEN u > 3 THEN 'tool_limit' WHEN k = 2 AND p.cycle IS NULL THEN 'unknown_profile' END AS error FROM c LEFT JOIN {profiles} p ON p.orderkey = c.answer_id AND p.is_current = 1 AND p.review_status = 'reviewed' AND answer_id % 2 = 0""")
+ CASE WHEN u > 3 THEN 'tool_limit' WHEN k = 2 AND p.cycle IS NULL THEN 'unknown_profile' END AS error FROM c LEFT JOIN {profiles} p ON p.orderkey = c.answer_id AND p.is_current = 1 AND p.review_status = 'reviewed' AND answer_id % 2 = 0 WHERE seq < 6""")
 def replay_tool_calls(t):
     args = """CASE l_partkey % 3 WHEN 0 THEN concat('{"operation": "sum", "values": [', cast(l_quantity AS double), ', ', l_suppkey, ']}') WHEN 1 THEN concat('{"hoursPerWeek": ', cast(l_quantity AS double), ', "weeks": 4}') ELSE concat('{"profileId": "p-', lpad(l_orderkey, 10, '0'), '"}') END"""
     tool = "CASE l_partkey % 3 WHEN 0 THEN 'calculate' WHEN 1 THEN 'weekly_time_budget' ELSE 'profile_inspect' END"

@@ -62,13 +62,13 @@ SELECT event_id, 'u-' || cast(user_id AS string) AS user_id, 'c-' || cast(user_i
 FROM {events}""",
     "requests": """
 SELECT cast(p_partkey AS bigint) AS request_id,
-       CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE cast(2 + p_partkey % 15 AS double) / 10 + 1 END AS gpa_min, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE cast(3.9 AS double) END AS gpa_max,
-       CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE cast(480 + p_partkey % 20 AS bigint) END AS mcat_min, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE cast(510 + p_partkey % 18 AS bigint) END AS mcat_max,
+       CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE cast(200 + p_partkey * 7 % 180 AS double) / 100 END AS gpa_min, CASE WHEN p_partkey % 97 = 0 OR p_partkey % 31 = 0 THEN NULL ELSE cast(215 + p_partkey * 7 % 180 AS double) / 100 END AS gpa_max,
+       CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE cast(472 + p_partkey * 11 % 50 AS bigint) END AS mcat_min, CASE WHEN p_partkey % 97 = 0 OR p_partkey % 29 = 0 THEN NULL ELSE cast(480 + p_partkey * 11 % 50 AS bigint) END AS mcat_max,
        CASE p_partkey % 4 WHEN 0 THEN 'reddit' WHEN 1 THEN 'sdn' ELSE NULL END AS source,
        CASE p_partkey % 6 WHEN 0 THEN '2024-25' WHEN 1 THEN '2021-22' ELSE NULL END AS cycle,
        CASE p_partkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE NULL END AS outcome,
        CASE WHEN p_partkey % 7 = 0 THEN 'supplier#00000000' || cast(p_partkey % 10 AS string) ELSE NULL END AS school
-FROM {part} WHERE p_partkey <= 60""",
+FROM {part}""",
 }
 MILLIS = {"spark": "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz)) div 1000", "duckdb": "(epoch_us(ts) // 1000)"}
 

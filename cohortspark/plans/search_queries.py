@@ -130,9 +130,10 @@ def summary_population(t):
     return cohort.summary_population(matched(t)).select("id")
 
 
-@query(f"WITH b AS ({BASE}) SELECT 'all' AS part, '' AS value, count(DISTINCT account_id) AS accounts FROM b UNION ALL SELECT 'source', source, count(DISTINCT account_id) FROM b GROUP BY source UNION ALL SELECT 'cycle', cycle, count(DISTINCT account_id) FROM b GROUP BY cycle")
+@query(f"WITH b AS ({BASE}) SELECT 'all' AS part, '' AS value, count(DISTINCT account_id) AS accounts FROM b UNION ALL SELECT 'source', source, count(DISTINCT account_id) FROM b GROUP BY source UNION ALL SELECT 'cycle', cycle, count(DISTINCT account_id) FROM b GROUP BY cycle UNION ALL SELECT 'reviewed_at', max(observed_at), NULL FROM b UNION ALL SELECT 'release', 'r-' || cast(max(year(o_orderdate)) AS string), NULL FROM {{orders}}")
 def corpus_stats(t):
-    return cohort.corpus_stats(t.profiles, t.accounts)
+    imports = t.orders.select(F.concat(F.lit("r-"), F.year("o_orderdate").cast("string")).alias("release"), F.year("o_orderdate").alias("imported_at")).distinct()
+    return cohort.corpus_stats(t.profiles.withColumn("reviewed_at", F.col("observed_at")), t.accounts, imports)
 
 
 @query("""WITH ids AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'Bad Id ' || cast(p_partkey AS string) ELSE 'p-' || lpad(cast(p_partkey AS string), 10, '0') END AS asked FROM {part})

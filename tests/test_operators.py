@@ -132,3 +132,32 @@ def test_read_release(spark, tmp_path):
     got = sources.read_release(spark, str(path)).orderBy("ordinal").collect()
     assert [r.p.id for r in got] == ["a", "b"] and got[0].p.outcomes[0].status == "accepted" and len(got[0].content_sha256) == 64
     assert sources.artifact_digests(spark, str(tmp_path)).first()["name"] == "r.json"
+
+
+def test_batch_activity(spark):
+    p = spark.createDataFrame([("p1", "a", "2023-24", 1, "reviewed", "d", 3.9, 500, '{"category":"Lab_Work"}'), ("p2", "b", "2023-24", 1, "reviewed", "d", None, None, None)], "id string, account_id string, cycle string, is_current int, review_status string, observed_at string, gpa double, mcat long, activities_json string").withColumn("source", F.lit("sdn"))
+    o = spark.createDataFrame([], "profile_id string, cycle string, status string, school string, conditional int")
+    cols = "request_id long, gpa_min double, gpa_max double, mcat_min long, mcat_max long, cycles array<string>, sources array<string>, outcomes array<string>, school string, activity string"
+    asked = spark.createDataFrame([(1, None, None, None, None, None, None, None, None, "lab_w"), (2, None, None, None, None, None, None, None, None, None), (3, None, 4.0, None, None, None, None, None, None, None), (4, 3.9, 3.9, 500, 500, None, ["sdn"], None, None, "work"), (5, 3.0, 2.0, None, None, None, None, None, None, None)], cols)
+    got = sorted((r.request_id, r.id) for r in batch.cohort_match_many(asked, p, o).collect())
+    assert got == [(1, "p1"), (2, "p1"), (2, "p2"), (3, "p1"), (4, "p1")]
+
+
+def test_admission_over_the_tables(spark):
+    """The registered admission against a plain fold of the same rows."""
+    from cohortspark.plans.fixtures import derived
+    from cohortspark.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    files, used, days, want = {}, {}, {}, {}
+    for r in derived(spark, sf, "attachments").orderBy("created_at", "id").collect():
+        d = (r.user_id, r.created_at // quotas.DAY_MS)
+        if days.get(d, 0) >= quotas.UPLOADS:
+            want[r.id] = "daily_limit"
+        elif files.get(r.user_id, 0) >= quotas.FILES or used.get(r.user_id, 0) + r.size > quotas.BYTES:
+            want[r.id] = "storage_limit"
+        else:
+            want[r.id] = "accepted"
+            files[r.user_id], used[r.user_id], days[d] = files.get(r.user_id, 0) + 1, used.get(r.user_id, 0) + r.size, days.get(d, 0) + 1
+    got = {r.id: r.verdict for r in QUERIES["admit_storage"](spark, sf).collect()}
+    assert got == want and len(set(got.values())) > 1
