@@ -177,6 +177,19 @@ def freed() -> None:
         pass
 
 
+def gathered(df: DataFrame) -> tuple[np.ndarray, ...]:
+    """The long columns of a table of bounded size on the driver, as arrays: each partition sends its bytes, no rows."""
+    n = len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        columns = [np.concatenate([b.column(k).to_numpy() for b in parts]) if parts else np.zeros(0, np.int64) for k in range(n)]
+        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=[f"c{k}" for k in range(n)])
+
+    rows = df.mapInArrow(run, ", ".join(f"c{k} binary" for k in range(n))).collect()
+    return tuple(np.frombuffer(b"".join(r[k] for r in rows), np.int64) for k in range(n))
+
+
 def table_size(spark: SparkSession) -> int:
     """The session's shuffle partitions, the unit in which jobs here size their own."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

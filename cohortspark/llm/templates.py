@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BASE, BLANKS, dropped, hashed, mixed, smaller, split_words, written
+from .common import BASE, BLANKS, dropped, gathered, hashed, mixed, smaller, split_words, written
 
 #: A line, sentence or template recurs if this many documents hold it; a passage if two do.
 LEAST_DOCUMENTS, LEAST_SHARING = 3, 2
@@ -199,7 +199,7 @@ def recurring_keys(docs: DataFrame, least_documents: int) -> DataFrame:
 def _gated_lines(docs: DataFrame, gates: DataFrame, broadcast_most: int) -> DataFrame:
     """leaf, key, place and words of every line that has a recurring gate, once for each document."""
     few = gates.count() <= broadcast_most
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(gates.toPandas()["key"].to_numpy(np.int64)) if few else None)
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(*gathered(gates.select("key"))) if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dropped()
@@ -297,8 +297,10 @@ def _deduplicated(docs: DataFrame, least_documents: int, broadcast_most: int, sc
     at_id, at_text = names.index("doc_id"), names.index("text")
     recurring = written(recurring_templates(docs, least_documents, broadcast_most), "templates")
     if recurring.count() <= broadcast_most:
-        rows = recurring.select("key", "place").toPandas().sort_values("key")
-        shared = spark.sparkContext.broadcast((rows["key"].to_numpy(np.int64), rows["place"].to_numpy(np.int64)))
+        keys, places = gathered(recurring.select("key", "place"))
+        order = np.argsort(keys)
+        shared = spark.sparkContext.broadcast((keys[order], places[order]))
+        del keys, places, order
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dropped()
