@@ -12,8 +12,12 @@ from cohortspark.streaming import jobs
 
 
 def folder(t) -> str:
-    """A folder of this run in the cluster's shared place; a temporary one only where none is set."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A folder of this run in the cluster's shared place; where none is set a temporary one in local mode, else an error."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -45,7 +49,7 @@ def stream_idempotent_requests(t):
 @query()
 def stream_generations(t):
     op = F.expr("CASE event_type WHEN 'signup' THEN 'begin' WHEN 'view' THEN 'renew' WHEN 'click' THEN 'write' WHEN 'purchase' THEN 'finish' ELSE 'cancel' END")
-    rows = events(t).select(F.concat(F.lit("c-"), (F.col("user_id") % 50).cast("string")).alias("chat_id"), "ts", "at_ms", F.col("event_id").cast("long").alias("event_id"), op.alias("op"), F.lit("g").alias("generation_id"), F.col("event_type").alias("content"))
+    rows = events(t).select(F.concat(F.lit("c-"), (F.col("user_id") % 50).cast("string")).alias("chat_id"), "ts", "at_ms", F.col("event_id").cast("long").alias("event_id"), op.alias("op"), F.expr("concat('g-', event_id % 3)").alias("generation_id"), F.col("event_type").alias("content"))
     return jobs.run_available(jobs.generations(rows, 6 * 3600 * 1000), folder(t))
 
 
@@ -59,5 +63,5 @@ def stream_stale_uploads(t):
 def stream_answers(t):
     rows = t.spark.readStream.schema(t.conversations.schema).parquet(f"{t.sf_dir}/conversations.parque[t]").where("role = 'assistant'")
     frames = rows.select(F.concat_ws("-", F.lit("m"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("message_id"), F.posexplode(F.split("text", "(?<= )")).alias("seq", "text"), F.lit(False).alias("bad"), F.size(F.split("text", "(?<= )")).alias("n"))
-    frames = frames.select("message_id", "seq", "text", F.when(F.col("seq") == F.col("n") - 1, "stop").alias("finish"), "bad")
+    frames = frames.select("message_id", F.timestamp_millis(F.lit(1704067200000)).alias("ts"), "seq", "text", F.when(F.col("seq") == F.col("n") - 1, "stop").alias("finish"), "bad")
     return jobs.run_available(jobs.answers(frames), folder(t))

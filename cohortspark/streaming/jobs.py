@@ -100,23 +100,36 @@ def stale_uploads(events: DataFrame, limit_ms: int = 180_000, delay: str = "1 mi
     return events.withWatermark("ts", delay).groupBy("file_id").applyInPandasWithState(step, "file_id string, status string, at_ms long", "start long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def answers(frames: DataFrame) -> DataFrame:
-    """Finished answers of a stream (message_id, seq, text, finish, bad): text in order once a finish arrives, with its status."""
+def answers(frames: DataFrame, delay: str = "10 minutes", silence_ms: int = 150_000) -> DataFrame:
+    """Finished answers of a stream (message_id, ts, seq, text, finish, bad), each with its status, whatever batches its frames came in.
+
+    An answer ends when a frame with a finish and all before it (seq counts from 0) have come, or fails once the
+    watermark is `silence_ms` past its last frame. State holds its frames until then and leaves with it; the watermark
+    drops frames that come later still. Statuses are those of assemble_answers, texts are whole.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts, bad = state.get if state.exists else ("", False)
-        end = None
-        for f in pd.concat(list(batches)).sort_values("seq").itertuples():
-            parts, bad = (parts + (f.text or ""))[: ANSWER_CHARS + 1], bad or bool(f.bad)
-            end = f.finish or end
-        if end is None:
-            state.update((parts, bad))
+        held, last = state.get if state.exists else ([], 0)
+        held = {seq: (text, finish, bad) for seq, text, finish, bad in held}
+        if not state.hasTimedOut:
+            for batch in batches:
+                for f in batch.itertuples():
+                    held.setdefault(int(f.seq), (f.text or "", f.finish or "", bool(f.bad)))
+                    last = max(last, int(f.ts.timestamp() * 1000))
+        top = max((k for k, f in held.items() if f[1]), default=None)
+        whole = top is not None and all(k in held for k in range(top + 1))
+        if not whole and not state.hasTimedOut:
+            state.update(([(k, *f) for k, f in held.items()], last))
+            state.setTimeoutTimestamp(max(last + silence_ms, state.getCurrentWatermarkMs() + 1))
             return
         state.remove()
-        ok = end == "stop" and not bad and parts.strip() and len(parts) <= ANSWER_CHARS
-        yield pd.DataFrame([(key[0], parts, "complete" if ok else "failed")], columns=["message_id", "content", "status"])
+        text = "".join(held[k][0] for k in sorted(held))
+        ok = whole and held[top][1] == "stop" and not any(f[2] for f in held.values()) and text.strip() and len(text) <= ANSWER_CHARS
+        yield pd.DataFrame([(key[0], text, "complete" if ok else "failed")], columns=["message_id", "content", "status"])
 
-    return frames.groupBy("message_id").applyInPandasWithState(step, "message_id string, content string, status string", "content string, bad boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = frames.withWatermark("ts", delay)
+    kept = "frames array<struct<seq:long,text:string,finish:string,bad:boolean>>, last long"
+    return rows.groupBy("message_id").applyInPandasWithState(step, "message_id string, content string, status string", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
