@@ -234,7 +234,8 @@ def general_templates(docs: DataFrame, gates: DataFrame, least_documents: int, b
     values = once.select("key", "leaf", "documents", F.size("words").alias("n"), F.posexplode("words").alias("at", "value"))
     fixed = values.groupBy("leaf", "at", "value").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= least_documents).drop("documents")
     stays = values.join(fixed, ["leaf", "at", "value"], "left_semi").groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "value"))).alias("fixed"))
-    stays = stays.where((F.size("fixed") >= FIXED_WORDS) & (F.size("fixed") >= F.col("n") * FIXED_SHARE)).select("key", F.xxhash64("leaf", "n", "fixed").alias("template"))
+    # Written, so that the join below is free to split a line that very many documents hold.
+    stays = written(stays.where((F.size("fixed") >= FIXED_WORDS) & (F.size("fixed") >= F.col("n") * FIXED_SHARE)).select("key", F.xxhash64("leaf", "n", "fixed").alias("template")), "line-templates")
     held = lines.select("key", "place").join(stays, "key").select("template", "place").distinct()
     first = held.groupBy("template").agg(F.count("*").alias("documents"), F.min("place").alias("place")).where(F.col("documents") >= least_documents)
     return stays.join(first, "template").select("key", "place")
