@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .cohort import OUTCOMES, SOURCES, contains_literal, numeric_summary, reviewed_current
+from .cohort import OUTCOMES, SOURCES, SUMMARY_ROWS, contains_literal, numeric_summary, reviewed_current, total_accounts, with_reported_outcome
 
 #: Metrics with the width of their cells and their range; the cell of an unreported metric.
 CELLS, UNREPORTED = (("gpa", 0.1, 0.0, 4.0), ("mcat", 4.0, 472.0, 528.0)), -1
@@ -77,6 +77,20 @@ def match_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("request_id").agg(F.count("*").alias("matched"), F.countDistinct("cycle").alias("cycles"))
 
 
+def match_records(matches: DataFrame, profiles: DataFrame, outcomes: DataFrame, limit: int = 12) -> DataFrame:
+    """Per request the counts of its search: total, matched, examined, with_reported_outcomes, summarized."""
+    counted = with_reported_outcome(matches, outcomes).groupBy("request_id").agg(F.count("*").alias("matched"), F.count_if("has_reported_outcome").alias("with_reported_outcomes"))
+    most = lambda n: F.least("matched", F.lit(n).cast("long"))
+    return counted.crossJoin(total_accounts(profiles)).select("request_id", F.col("total_accounts").alias("total"), "matched", most(limit).alias("examined"), "with_reported_outcomes", most(SUMMARY_ROWS).alias("summarized"))
+
+
+def match_coverage(matches: DataFrame) -> DataFrame:
+    """(request_id, part, value, count): matches by source and by cycle, from one count of both."""
+    both = matches.groupBy("request_id", "source", "cycle").agg(F.count("*").alias("n"))
+    parts = F.array(*[F.struct(F.lit(part).alias("part"), F.col(c).alias("value")) for part, c in (("sources", "source"), ("cycles", "cycle"))])
+    return both.select("request_id", "n", F.explode(parts).alias("p")).groupBy("request_id", "p.part", "p.value").agg(F.sum("n").alias("count"))
+
+
 def match_samples(matches: DataFrame, limit: int) -> DataFrame:
     order = W.partitionBy("request_id").orderBy(F.desc("cycle"), F.asc("id"))
     return matches.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)

@@ -78,13 +78,22 @@ def scrub_evidence(messages: DataFrame, removed: DataFrame) -> DataFrame:
     return rows.select("id", "chat_id", F.when(F.col("gone").isNull() | F.col("e.sources").isNull(), F.col("evidence_json")).otherwise(F.to_json(cut)).alias("evidence_json"))
 
 
-def cohort_evidence(filters: DataFrame, counts: DataFrame, summaries: DataFrame) -> DataFrame:
-    """One evidence record per request: flattened filters, counts and statistics, cut at 6,000 characters."""
-    told = F.array_sort(F.collect_list(F.struct("statistic", "n", "missing", "min", "max", "median")))
+def cohort_evidence(filters: DataFrame, counts: DataFrame, summaries: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One evidence record per request: flattened filters, counts, statistics and coverage, and its text of at most 6,000 characters.
+
+    counts, summaries and coverage are those of the batch search. Coverage reads `value: count`, sources by name and
+    cycles from the latest.
+    """
+    told = F.array_sort(F.collect_list(F.struct("statistic", "n", F.col("missing").alias("excluded"), "min", "max", "median")))
     stats = summaries.groupBy("request_id").agg(told.alias("statistics"))
+    entry = F.when(F.col("value").isNotNull(), F.struct("value", F.concat("value", F.lit(": "), F.col("count").cast("string")).alias("told")))
+    listed = lambda part, up: F.transform(F.sort_array(F.collect_list(F.when(F.col("part") == part, entry)), up), lambda x: x["told"]).alias(part)
+    covered = coverage.groupBy("request_id").agg(listed("sources", True), listed("cycles", False))
     parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.array_join(c, ", ") if kind.startswith("array") else F.col(c).cast("string"))) for c, kind in filters.dtypes if c != "request_id"]
-    rows = filters.select("request_id", F.concat_ws("; ", *parts).alias("filters")).join(counts, "request_id").join(stats, "request_id", "left")
-    return rows.select("request_id", "matched", "filters", F.left(F.to_json(F.struct("filters", "matched", "statistics")), F.lit(6000)).alias("excerpt"))
+    rows = filters.select("request_id", F.concat_ws("; ", *parts).alias("filters")).join(counts, "request_id").join(stats, "request_id", "left").join(covered, "request_id", "left")
+    numbers = F.struct("total", "matched", "examined", "with_reported_outcomes", "summarized").alias("counts")
+    record = F.struct(numbers, "filters", "statistics", F.struct("sources", "cycles").alias("coverage"))
+    return rows.select("*", F.left(F.to_json(record), F.lit(6000)).alias("excerpt"))
 
 
 def receipts(counts: DataFrame) -> DataFrame:

@@ -107,6 +107,26 @@ def expire_generations(chats: DataFrame, messages: DataFrame, now_ms: int) -> tu
     return chats.withColumn("was", kept("generation_id")).withColumn("lease_expires_at", kept("lease_expires_at")).drop("generation_id").withColumnRenamed("was", "generation_id"), failed
 
 
+def write_evidence(messages: DataFrame, chats: DataFrame, answers: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Messages and chats after finished answers (chat_id, message_id, content, status, evidence struct) are saved.
+
+    An answer counts only while its message runs and is what its chat generates, under a lease that has not ended. Its
+    text is cut, its evidence is stored with null fields, and without evidence the earlier record stays. The chat is
+    free afterwards. There is at most one answer per message.
+    """
+    leased = chats.where(F.col("lease_expires_at") > now_ms).select(F.col("id").alias("chat_id"), F.col("generation_id").alias("message_id"))
+    running = messages.where("status = 'running'").select(F.col("id").alias("message_id"), "chat_id")
+    took = answers.join(leased, ["chat_id", "message_id"], "left_semi").join(running, ["chat_id", "message_id"], "left_semi")
+    record = F.to_json("evidence", {"ignoreNullFields": "false"})
+    new = took.select("chat_id", F.col("message_id").alias("id"), F.left("content", F.lit(SAVED_CHARS)).alias("n_content"), F.col("status").alias("n_status"), record.alias("n_evidence"))
+    saved = F.col("n_status").isNotNull()
+    columns = {"content": F.when(saved, F.col("n_content")).otherwise(F.col("content")), "status": F.coalesce("n_status", "status"), "evidence_json": F.coalesce("n_evidence", "evidence_json")}
+    written = messages.join(new, ["chat_id", "id"], "left").withColumns(columns).select(*messages.columns)
+    free = new.select(F.col("chat_id").alias("id"), F.lit(True).alias("free"))
+    kept = {c: F.when(F.col("free").isNull(), F.col(c)) for c in ("generation_id", "lease_expires_at")}
+    return written, chats.join(free, "id", "left").withColumns(kept).select(*chats.columns)
+
+
 def retry_eligible(messages: DataFrame) -> DataFrame:
     """Chats' newest messages that failed or were cancelled."""
     return newest(messages, "chat_id", "created_at", 1).where("status IN ('failed', 'cancelled')")

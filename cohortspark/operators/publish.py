@@ -9,6 +9,7 @@ from .cohort import OUTCOMES, SOURCES
 
 #: Fixed values.
 HOSTS = {"reddit": "www.reddit.com", "sdn": "forums.studentdoctor.net", "mdapplicants": "www.mdapplicants.com"}
+IMPORTS = "release string, content_sha256 string, imported_at string, profile_count long, account_count long"
 PRECISIONS = ("reported", "approximate", "explicit_absence", "unreported", "range", "lower_bound", "upper_bound")
 
 
@@ -82,7 +83,7 @@ def validate_corpus(profiles: DataFrame) -> DataFrame:
 def flatten_release(profiles: DataFrame):
     """Accounts, profiles and outcomes of nested profiles; outcome ids are the profile's and the place."""
     accounts = profiles.select(F.col("account_id").alias("id"), "source", "source_account_id", "public_handle", "ordinal")
-    rows = profiles.drop("outcomes", "activities")
+    rows = profiles.withColumn("activities_json", F.to_json("activities")).drop("outcomes", "activities")
     one = profiles.select("id", "account_id", F.posexplode("outcomes").alias("place", "o"))
     outcomes = one.select(F.concat_ws(":", "id", F.col("place").cast("string")).alias("id"), F.col("id").alias("profile_id"), "account_id", F.col("o.cycle").alias("cycle"), F.col("o.status").alias("status"), F.col("o.school").alias("school"), F.coalesce(F.col("o.conditional").cast("int"), F.lit(0)).alias("conditional"))
     return accounts, rows, outcomes
@@ -124,6 +125,55 @@ def publish_outcomes(existing: DataFrame, release_profiles: DataFrame, release_o
     return existing.join(named, "profile_id", "left_anti").select(*existing.columns).unionByName(release_outcomes.select(*existing.columns))
 
 
+def publish_accounts(existing: DataFrame, release_accounts: DataFrame) -> DataFrame:
+    """Existing accounts with a release's added: a known account keeps what was first written, the last handle counts."""
+    before = existing.select("id", "source", "source_account_id", "public_handle", F.lit(-1).cast("long").alias("ordinal"))
+    return latest_handle(before.unionByName(release_accounts.select(*before.columns)))
+
+
+def release_digest(profiles: DataFrame) -> DataFrame:
+    """One row `content_sha256`: the profiles' digests in order, hashed by tens of thousands until one is left.
+
+    No task sees more than 10,000 digests at once; three rounds reach 10^12 places. An empty release has the digest of
+    the empty text.
+    """
+    rows = profiles.select(F.col("ordinal").cast("long").alias("at"), F.col("content_sha256").alias("digest"))
+    for last in (False, False, True):
+        up = F.lit(0).cast("long") if last else F.floor(F.col("at") / 10_000).cast("long")
+        told = F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"])
+        rows = rows.groupBy(up.alias("up")).agg(F.sha2(F.array_join(told, ""), 256).alias("digest")).select(F.col("up").alias("at"), "digest")
+    return rows.agg(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("content_sha256"))
+
+
+def publish_ledger(existing: DataFrame, profiles: DataFrame, release: str, imported_at: str) -> DataFrame:
+    """The ledger of imports with this release's row in place of an earlier one of the same name."""
+    counts = profiles.agg(F.count("*").alias("profile_count"), F.countDistinct("account_id").alias("account_count"))
+    row = release_digest(profiles).crossJoin(counts).select(F.lit(release).alias("release"), "content_sha256", F.lit(imported_at).alias("imported_at"), "profile_count", "account_count")
+    return existing.where(F.col("release") != release).unionByName(row)
+
+
+def publish_release(corpus: dict[str, DataFrame] | None, profiles: DataFrame, release: str, imported_at: str) -> dict[str, DataFrame]:
+    """accounts, profiles, outcomes and imports of a corpus (None: empty) after a release of valid nested profiles.
+
+    Publishing the same release again gives the same tables.
+    """
+    accounts, rows, outcomes = flatten_release(profiles)
+    if corpus is None:
+        corpus = {
+            "accounts": accounts.drop("ordinal").where("false"),
+            "profiles": rows.drop("ordinal").withColumn("is_current", F.lit(0)).where("false"),
+            "outcomes": outcomes.where("false"),
+            "imports": profiles.sparkSession.createDataFrame([], IMPORTS),
+        }
+    written = rows.select("ordinal", *[c for c in corpus["profiles"].columns if c != "is_current"])
+    return {
+        "accounts": publish_accounts(corpus["accounts"], accounts),
+        "profiles": publish_profiles(corpus["profiles"], written),
+        "outcomes": publish_outcomes(corpus["outcomes"], rows, outcomes),
+        "imports": publish_ledger(corpus["imports"], rows, release, imported_at),
+    }
+
+
 def integrity_check(accounts: DataFrame, profiles: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(rule, key) of every broken key, reference, enumeration and range."""
     many = lambda df, rule, *keys: df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(rule).alias("rule"), F.concat_ws(":", *keys).alias("key"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators import publish
 from cohortspark.plans.register import query
 from cohortspark.plans.search_queries import nested
-from cohortspark.sources import files
+from cohortspark.sources import files, store
 
 
 def release(t):
@@ -108,3 +108,31 @@ def read_event_frames(t):
     choice = F.struct(F.struct(F.col("text").alias("content"), F.lit("hidden").alias("reasoning")).alias("delta"), F.when(F.length("text") % 2 == 0, "stop").alias("finish_reason"))
     block = F.concat(F.lit(": note\r\nevent: x\r\ndata:   "), F.to_json(F.struct(F.array(choice).alias("choices"))), F.lit("\r\n"))
     return files.read_event_frames(m.withColumn("block", block)).drop("seq")
+
+
+@query("""WITH p AS (SELECT *, sha256(id) AS sha, CASE WHEN orderkey % 4 = 1 THEN 'r-2' ELSE 'r-1' END AS release FROM {profiles}),
+a AS (SELECT release, orderkey // 10000 AS up, sha256(string_agg(sha, '' ORDER BY orderkey)) AS sha FROM p GROUP BY ALL), b AS (SELECT release, up // 10000 AS up, sha256(string_agg(sha, '' ORDER BY up)) AS sha FROM a GROUP BY ALL),
+c AS (SELECT release, sha256(string_agg(sha, '' ORDER BY up)) AS content_sha256 FROM b GROUP BY ALL)
+SELECT release, content_sha256, '2026-01-01' AS imported_at, count(*) AS profile_count, count(DISTINCT account_id) AS account_count, (SELECT count(*) FROM p) AS stored FROM p JOIN c USING (release) GROUP BY ALL""")
+def write_corpus(t):
+    """Two releases published into a store one after the other; its ledger, with the number of stored profiles."""
+    rows, path = t.written(release(t), "release"), t.folder("store")
+    for name, part in (("r-1", rows.where("orderkey % 4 <> 1")), ("r-2", rows.where("orderkey % 4 = 1"))):
+        store.publish(path, part, name, "2026-01-01")
+    corpus = store.read_corpus(t.spark, path)
+    return corpus["imports"].crossJoin(corpus["profiles"].agg(F.count("*").alias("stored")))
+
+
+@query("SELECT id, row_number() OVER (ORDER BY id) - 1 AS ordinal, account_id, cycle, gpa, coalesce(n, 0) AS activities FROM {profiles} p LEFT JOIN (SELECT profile_id, count(*) AS n FROM {activities} GROUP BY profile_id) a ON a.profile_id = p.id")
+def read_release(t):
+    """The profiles as JSON lines over many files, read back with their numbers."""
+    line = F.to_json(F.struct("id", F.col("account_id").alias("accountId"), "source", "cycle", "gpa", "activities", "outcomes"))
+    path = t.folder("lines")
+    nested(t).orderBy("id").select(line.alias("value")).write.text(path)
+    got = files.read_release(t.spark, path, lines=True)
+    return got.select("p.id", "ordinal", F.col("p.accountId").alias("account_id"), "p.cycle", "p.gpa", F.size("p.activities").cast("long").alias("activities"))
+
+
+@query()
+def artifact_digests(t):
+    return files.artifact_digests(t.spark, f"{t.sf_dir}/*.parquet")

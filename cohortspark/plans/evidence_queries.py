@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortspark.operators import batch, citations, tools
+from cohortspark.operators import batch, citations, conversations, tools
 from cohortspark.plans.register import query
-from cohortspark.plans.search_queries import _MANY, saved
+from cohortspark.plans.search_queries import _MANY, BASE, EVENT, saved
+from cohortspark.sources import files
 
 
 def evidence(t):
@@ -31,12 +32,40 @@ def carry_sources(t):
     return e.select("id", F.array_join(citations.carry_sources(F.col("s"), new)["id"], ",").alias("ids"))
 
 
-@query(_MANY + ", c AS (SELECT request_id, count(*) AS matched FROM pairs WHERE rn = 1 GROUP BY request_id) SELECT c.request_id, matched, coalesce('sources: ' || r.source, '') AS filters, true AS told FROM c JOIN {requests} r ON r.request_id = c.request_id")
+@query(_MANY + f""", one AS MATERIALIZED (SELECT * FROM pairs WHERE rn = 1), s AS (SELECT request_id, string_agg(source || ': ' || n, ', ' ORDER BY source) AS sources FROM (SELECT request_id, source, count(*) AS n FROM one GROUP BY ALL) GROUP BY request_id),
+y AS (SELECT request_id, string_agg(cycle || ': ' || n, ', ' ORDER BY cycle DESC) AS cycles FROM (SELECT request_id, cycle, count(*) AS n FROM one GROUP BY ALL) GROUP BY request_id),
+g AS (SELECT request_id, count(gpa) AS gpa_n, cast(median(gpa) AS double) AS gpa_median FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY cycle DESC, id) AS place FROM one) WHERE place <= 1000 GROUP BY request_id),
+ar AS (SELECT p.id FROM {{profiles}} p WHERE {EVENT} AND o.status IN ('accepted', 'rejected'))),
+c AS (SELECT request_id, count(*) AS matched, count(*) FILTER (WHERE id IN (SELECT id FROM ar)) AS with_reported_outcomes FROM one GROUP BY request_id)
+SELECT request_id, (SELECT count(DISTINCT account_id) FROM ({BASE})) AS total, matched, least(matched, 12) AS examined, with_reported_outcomes, least(matched, 1000) AS summarized, coalesce('sources: ' || r.source, '') AS filters, sources, cycles, gpa_n, gpa_median, true AS told
+FROM c JOIN s USING (request_id) JOIN y USING (request_id) JOIN g USING (request_id) JOIN {{requests}} r USING (request_id)""")
 def cohort_evidence(t):
     asked = saved(t)
-    found = batch.cohort_match_many(asked, t.profiles, t.outcomes)
-    rows = citations.cohort_evidence(asked.select("request_id", "sources"), batch.match_counts(found).select("request_id", "matched"), batch.match_summaries(found))
-    return rows.select("request_id", "matched", "filters", (F.contains("excerpt", F.lit("median")) & (F.length("excerpt") <= 6000)).alias("told"))
+    found = batch.cohort_match_many(asked, t.profiles, t.outcomes).select("request_id", "id", "account_id", "source", "cycle", "observed_at", "gpa", "mcat")
+    found = t.written(found, "matches")
+    rows = citations.cohort_evidence(asked.select("request_id", "sources"), batch.match_records(found, t.profiles, t.outcomes), batch.match_summaries(found), batch.match_coverage(found))
+    gpa = F.get("statistics", F.lit(0))
+    told = F.col("excerpt").startswith('{"counts":{"total":') & F.contains("excerpt", F.lit('"median"')) & (F.length("excerpt") <= 6000)
+    numbers = ("request_id", "total", "matched", "examined", "with_reported_outcomes", "summarized", "filters")
+    return rows.select(*numbers, F.array_join("sources", ", ").alias("sources"), F.array_join("cycles", ", ").alias("cycles"), gpa["n"].alias("gpa_n"), gpa["median"].alias("gpa_median"), told.alias("told"))
+
+
+@query("SELECT id, cast(5 AS bigint) AS sources, CASE WHEN length(id) % 2 = 0 THEN 'f-1' END AS attachment FROM {messages} WHERE role = 'assistant'")
+def parse_documents(t):
+    rows = files.parse_documents(evidence(t), "evidence_json", citations.SOURCE)
+    attached = F.get(F.filter("parsed.sources", lambda s: s["kind"] == "attachment"), F.lit(0))
+    return rows.select("id", F.size("parsed.sources").cast("long").alias("sources"), attached["attachmentId"].alias("attachment"))
+
+
+@query("""SELECT id, CASE WHEN saved THEN 'told: ' || content ELSE content END AS content, CASE WHEN saved THEN 'complete' WHEN status = 'cancelled' THEN 'running' ELSE status END AS status,
+ CASE WHEN saved AND conv_id % 2 = 0 THEN '{"id":"C1","note":null}' ELSE '{"id":"C0"}' END AS evidence_json, CASE WHEN NOT saved THEN id END AS generation_id
+FROM (SELECT *, status = 'cancelled' AND created_at > 1704067200000 + 40 * 3600000 AS saved FROM {messages} WHERE role = 'assistant')""")
+def write_evidence(t):
+    m = t.messages.where("role = 'assistant'").selectExpr("id", "concat('x', id) AS chat_id", "conv_id", "created_at", "content", "if(status = 'cancelled', 'running', status) AS status", """'{"id":"C0"}' AS evidence_json""")
+    chats = m.selectExpr("chat_id AS id", "id AS generation_id", "created_at AS lease_expires_at")
+    answers = m.selectExpr("chat_id", "id AS message_id", "concat('told: ', content) AS content", "'complete' AS status", "if(conv_id % 2 = 0, named_struct('id', 'C1', 'note', cast(NULL AS string)), NULL) AS evidence")
+    written, left = conversations.write_evidence(m, chats, answers, 1704067200000 + 40 * 3600000)
+    return written.join(left.select(F.col("id").alias("chat_id"), "generation_id"), "chat_id").select("id", "content", "status", "evidence_json", "generation_id")
 
 
 @query("SELECT id, cast(9 + conv_id AS string) || ' available; ' || cast(turn AS string) || ' matching; 3 retrieved; 2 supporting this answer' AS receipt FROM {messages} WHERE role = 'assistant'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,21 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def folder(self, name: str) -> str:
+        """A new folder of this run in the cluster's shared place; where none is set a temporary one in local mode, else an error."""
+        base = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not self.spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="spark-")
+        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """df written once and read again, for a table that a query uses several times."""
+        path = self.folder(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def __getattr__(self, name: str) -> DataFrame:
         return derived(self.spark, self.sf_dir, name)
 

@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from cohortspark.plans.corpus_queries import release
 from cohortspark.plans.register import query
+from cohortspark.sources.store import read_corpus
 from cohortspark.streaming import jobs
 
 
-def folder(t) -> str:
-    """A folder of this run in the cluster's shared place; where none is set a temporary one in local mode, else an error."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not t.spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def events(t):
     """The events as a stream with a UTC timestamp and milliseconds."""
     rows = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parque[t]")
@@ -31,32 +20,26 @@ def events(t):
 @query("SELECT 'u-' || cast(user_id AS string) AS user_id, cast(floor(at_ms / 86400000.0) AS bigint) AS day, count(*) AS requests FROM (SELECT user_id, at_ms FROM (SELECT user_id, MILLIS AS at_ms FROM {events})) GROUP BY ALL")
 def stream_daily_usage(t):
     rows = events(t).withColumn("user_id", F.concat(F.lit("u-"), F.col("user_id").cast("string")))
-    spark = t.spark
-    zone = spark.conf.get("spark.sql.session.timeZone")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")  # days are UTC days
-    try:
-        return jobs.run_available(jobs.daily_usage(rows), folder(t), "complete")
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", zone)
+    return jobs.run_available(jobs.daily_usage(rows), t.folder("stream"), "update", ("user_id", "day"))
 
 
 @query("SELECT DISTINCT cast(user_id AS bigint) AS user_id, event_type FROM {events}")
 def stream_idempotent_requests(t):
     rows = jobs.idempotent_requests(events(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "3650 days")
-    return jobs.run_available(rows, folder(t)).select(F.col("user_id").cast("long").alias("user_id"), "event_type")
+    return jobs.run_available(rows, t.folder("stream")).select(F.col("user_id").cast("long").alias("user_id"), "event_type")
 
 
 @query()
 def stream_generations(t):
     op = F.expr("CASE event_type WHEN 'signup' THEN 'begin' WHEN 'view' THEN 'renew' WHEN 'click' THEN 'write' WHEN 'purchase' THEN 'finish' ELSE 'cancel' END")
     rows = events(t).select(F.concat(F.lit("c-"), (F.col("user_id") % 50).cast("string")).alias("chat_id"), "ts", "at_ms", F.col("event_id").cast("long").alias("event_id"), op.alias("op"), F.expr("concat('g-', event_id % 3)").alias("generation_id"), F.col("event_type").alias("content"))
-    return jobs.run_available(jobs.generations(rows, 6 * 3600 * 1000), folder(t))
+    return jobs.run_available(jobs.generations(rows, 6 * 3600 * 1000), t.folder("stream"))
 
 
 @query()
 def stream_stale_uploads(t):
     rows = events(t).where("event_type IN ('signup', 'purchase')").select(F.col("user_id").cast("string").alias("file_id"), "ts", "at_ms", F.when(F.col("event_type") == "signup", "start").otherwise("finish").alias("op"))
-    return jobs.run_available(jobs.stale_uploads(rows, 24 * 3600 * 1000), folder(t))
+    return jobs.run_available(jobs.stale_uploads(rows, 24 * 3600 * 1000), t.folder("stream"))
 
 
 @query("SELECT 'm-' || cast(conv_id AS string) || '-' || cast(turn AS string) AS message_id, text AS content, CASE WHEN trim(text) = '' THEN 'failed' ELSE 'complete' END AS status FROM {conversations} WHERE role = 'assistant'")
@@ -64,4 +47,27 @@ def stream_answers(t):
     rows = t.spark.readStream.schema(t.conversations.schema).parquet(f"{t.sf_dir}/conversations.parque[t]").where("role = 'assistant'")
     frames = rows.select(F.concat_ws("-", F.lit("m"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("message_id"), F.posexplode(F.split("text", "(?<= )")).alias("seq", "text"), F.lit(False).alias("bad"), F.size(F.split("text", "(?<= )")).alias("n"))
     frames = frames.select("message_id", F.timestamp_millis(F.lit(1704067200000)).alias("ts"), "seq", "text", F.when(F.col("seq") == F.col("n") - 1, "stop").alias("finish"), "bad")
-    return jobs.run_available(jobs.answers(frames), folder(t))
+    return jobs.run_available(jobs.answers(frames), t.folder("stream"))
+
+
+RELEASES = """WITH p AS (SELECT *, CASE WHEN orderkey % 4 = 1 THEN 2 ELSE 1 END AS seq FROM {profiles} WHERE orderkey % 8 <> 5 OR orderkey % 4 = 1),
+h AS (SELECT account_id, arg_max(id, seq * 10000000000 + orderkey) AS handle FROM p GROUP BY account_id), o AS (SELECT profile_id, count(*) AS outcomes FROM {outcomes} GROUP BY profile_id)
+SELECT p.id, p.account_id, p.cycle, CASE WHEN seq = 2 THEN 3.25 ELSE gpa END AS gpa, CASE WHEN row_number() OVER (PARTITION BY p.account_id, cycle ORDER BY seq DESC, orderkey DESC) = 1 THEN 1 ELSE 0 END AS is_current, handle, coalesce(outcomes, 0) AS outcomes
+FROM p JOIN h ON h.account_id = p.account_id LEFT JOIN o ON o.profile_id = p.id"""
+
+
+@query(RELEASES)
+def stream_publish(t):
+    """Two releases of nested profiles arrive as files; the second one holds a quarter of all, half of them new, and comes twice."""
+    rows = t.written(release(t).withColumn("public_handle", F.col("id")), "release")
+    first = rows.where("orderkey % 4 <> 1 OR orderkey % 8 <> 5").withColumn("release", F.lit("r-1"))
+    second = rows.where("orderkey % 4 = 1").withColumn("gpa", F.lit(3.25)).withColumn("release", F.lit("r-2"))
+    files, store, seen = t.folder("files"), t.folder("store"), t.folder("checkpoint")
+    for k, part in enumerate((first.unionByName(second), second)):
+        part.write.json(f"{files}/{k}")
+        jobs.publish_files(t.spark, f"{files}/*", first.schema, store, seen, "2026-01-01").awaitTermination()
+    corpus = read_corpus(t.spark, store)
+    handles = corpus["accounts"].select(F.col("id").alias("account_id"), F.col("public_handle").alias("handle"))
+    counts = corpus["outcomes"].groupBy(F.col("profile_id").alias("id")).agg(F.count("*").alias("outcomes"))
+    found = corpus["profiles"].join(handles, "account_id").join(counts, "id", "left")
+    return found.select("id", "account_id", "cycle", "gpa", "is_current", "handle", F.coalesce("outcomes", F.lit(0).cast("long")).alias("outcomes"))

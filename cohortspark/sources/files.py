@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 PROFILE = """struct<id:string,accountId:string,source:string,sourceAccountId:string,publicHandle:string,cycle:string,version:int,gpa:double,scienceGpa:double,mcat:double,residence:string,summary:string,
 activities:array<struct<category:string,description:string,hours:struct<min:double,max:double,precision:string>,timing:string,confidence:string>>,
@@ -10,21 +10,40 @@ outcomes:array<struct<status:string,program:string,school:string,cycle:string,re
 sourceUrls:array<string>,observedAt:string,reviewStatus:string,extractionConfidence:string,reviewedAt:string,timingStatus:string,notes:array<string>,academics:map<string,string>,provenance:struct<sourceContentSha256:string,sourceArtifactKey:string>>"""
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows of files with their number over all files: the rows of earlier splits, then the place within the split.
+
+    The ids that Spark gives rise by one within a split, since one task reads it from start to end.
+    """
+    placed = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    splits = placed.groupBy("file", "start").agg(F.count("*").alias("rows"), F.min("row").alias("first"))
+    earlier = W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)  # one row per split of a file
+    before = splits.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    return placed.join(before, ["file", "start"]).select((F.col("before") + F.col("row") - F.col("first")).alias("ordinal"), "value")
+
+
 def read_release(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One profile a row with its place: a release document, or JSON lines of one profile each.
 
-    Columns ordinal, raw (the profile's text) and p (parsed). Lines are ordered by file offset within the read.
+    Columns ordinal, raw (the profile's text) and p (parsed). A line's ordinal is its number over all files in the order
+    of their names, however the files are split over tasks; blank lines count but fall out.
     """
     if lines:
-        rows = spark.read.text(path).withColumn("ordinal", F.monotonically_increasing_id()).where(F.trim("value") != "").select("ordinal", F.col("value").alias("raw"))
+        rows = _numbered(spark.read.text(path)).where(F.trim("value") != "").select("ordinal", F.col("value").alias("raw"))
     else:
         document = spark.read.schema("version int, release string, profiles array<string>").json(path, multiLine=True)
         rows = document.select("version", "release", F.posexplode("profiles").alias("ordinal", "raw"))
     return rows.withColumn("p", F.from_json("raw", PROFILE)).withColumn("content_sha256", F.sha2("raw", 256))
 
 
+def parse_documents(df: DataFrame, column: str, schema: str, name: str = "parsed") -> DataFrame:
+    """A column of stored JSON texts as a struct or array `name`; null where a text is no such JSON."""
+    return df.withColumn(name, F.from_json(column, schema))
+
+
 def artifact_digests(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
+    """(name, sha256, length) of every file below path; a file is read whole, so it has to stay under 2 GB."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256"), "length")
 
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cohortspark.operators.conversations import ANSWER_CHARS, LEASE_MS, SAVED_CHARS
+from cohortspark.sources.store import publish
 
 
 def daily_usage(attempts: DataFrame, delay: str = "1 day") -> DataFrame:
     """Attempts per user and UTC day from a stream with a timestamp `ts`."""
-    return attempts.withWatermark("ts", delay).groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("requests")).select("user_id", F.unix_date(F.to_date("w.start")).cast("long").alias("day"), "requests")
+    return attempts.withWatermark("ts", delay).groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("requests")).select("user_id", F.floor(F.unix_seconds("w.start") / 86_400).cast("long").alias("day"), "requests")
 
 
 def idempotent_requests(requests: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
@@ -132,19 +133,36 @@ def answers(frames: DataFrame, delay: str = "10 minutes", silence_ms: int = 150_
     return rows.groupBy("message_id").applyInPandasWithState(step, "message_id string, content string, status string", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Drain a stream into Parquet below path and read the result; complete results overwrite the last batch's."""
+def run_available(stream: DataFrame, path: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Drain a stream into Parquet below path and read the result.
+
+    In update mode each batch writes only what it changed, below its own number (a batch that runs again overwrites
+    itself), and the last row of each key counts.
+    """
     spark = stream.sparkSession
     writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         q = writer.format("parquet").option("path", f"{path}/rows").outputMode("append").start()
-    else:
-        q = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/rows")).start()
+        q.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    q = writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, *[f"last.{c}" for c in rest])
+
+
+def publish_files(spark: SparkSession, files: str, schema: str, store: str, checkpoint: str, imported_at: str):
+    """Publish release files (JSON lines of nested profiles with their release and ordinal) as they arrive.
+
+    A batch holds the files that are new; its releases, of which there are few, are published in the order of their
+    names, each as a version of the store. The files of one release have to arrive together. Publishing is idempotent,
+    so a batch that runs again after a failure leaves the same tables.
+    """
 
+    def step(batch: DataFrame, _: int) -> None:
+        for (name,) in batch.select("release").distinct().orderBy("release").collect():
+            publish(store, batch.where(F.col("release") == name).drop("release"), name, imported_at)
 
-def publish_files(spark: SparkSession, path: str, schema: str, publish: Callable[[DataFrame], None], checkpoint: str):
-    """Publish release files as they arrive; publishing is idempotent, so a batch that runs again changes nothing."""
-    source = spark.readStream.schema(schema).json(path)
-    return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: publish(df)).start()
+    source = spark.readStream.schema(schema).json(files)
+    return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
