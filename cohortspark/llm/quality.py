@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -88,7 +89,7 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> list[str]:
     """The rules as SQL columns pass_<name>; a metric that divides by zero counts as 0."""
     out = []
     for r in rules:
-        value = f"coalesce({r.metric.replace(' / n_words', ' / nullif(n_words, 0)').replace(' / n_lines', ' / nullif(n_lines, 0)')}, 0)"
+        value = f"coalesce({re.sub(r'/ (\w+)', r'/ nullif(\1, 0)', r.metric)}, 0)"
         parts = [f"{value} >= {r.low}"] * (r.low is not None) + [f"{value} <= {r.high}"] * (r.high is not None)
         out.append(f"({' AND '.join(parts)}) AS pass_{r.name}")
     return out

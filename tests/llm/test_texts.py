@@ -33,6 +33,38 @@ def test_quality_counts(spark, docs, no_docs, small):
     assert quality.quality_rules(no_docs).count() == 0
 
 
+def plain_verdict(text):
+    """The whole verdict in plain Python, written out rule by rule."""
+    text = text or ""
+    n, chars, symbols, dup, rep = plain_counts(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    if n < 50 or 100 * rep > 50 * n or n > 1_000_000:
+        return False
+    stops = sum(w in quality.STOP_WORDS for w in words)
+    bullets = sum(bool(re.match(r"[ \t\r\f\v]*[-*•]", x)) for x in lines)
+    dots = sum(bool(re.search(r"(\.\.\.|…)[ \t\r\f\v]*$", x)) for x in lines)
+    fine = 2 <= chars / n <= 15 and symbols <= 0.1 * n and text.count("!") <= 0.3 * n and stops >= 2 and stops >= 0.01 * n
+    return fine and dup <= 0.5 * len(lines) and bullets <= 0.9 * len(lines) and dots <= 0.3 * len(lines)
+
+
+def test_quality_verdicts(spark, docs, small):
+    words = "the cat of this house sees a bird in its tree and then that dog runs"
+    varied = lambda k, n=60: " ".join(f"{w}{k}{i}" if i % 3 else w for i, w in enumerate((words.split() * 5)[:n]))
+    planted = [varied(0), varied(1, 49), varied(2).replace(" ", " # ", 9), varied(3) + " !" * 40, "\n".join("- " + varied(k, 9) for k in range(9)), "\n".join(varied(k, 9) + " ..." for k in range(9)), "x y " * 60, "zz" * 20 + " " + varied(4)]
+    planted += ["\n".join([varied(5), "one of the lines"] + ["one of the lines"] * k) for k in (0, 1, 2, 3)] + [" ".join(f"q{i}" for i in range(80)), " ".join("w" * 20 + str(i) for i in range(80)) + " the of"]
+    rows = spark.createDataFrame(list(enumerate(planted)), "doc_id long, text string")
+    for df in (docs.select("doc_id", "text"), rows, queries.table(spark, small, "documents").select("doc_id", "text")):
+        want = Counter((r.doc_id, plain_verdict(r.text)) for r in df.collect())
+        assert Counter((r.doc_id, r.kept) for r in quality.quality_rules(df).select("doc_id", "kept").collect()) == want
+    verdicts = [plain_verdict(x) for x in planted]
+    assert verdicts[0] and not any(verdicts[1:4]) and set(verdicts[8:12]) == {True, False}
+
+
+def test_rules_divide_by_any_count():
+    assert quality.compiled((quality.Rule("x", "n_words / n_symbols", 1, None),)) == ["(coalesce(n_words / nullif(n_symbols, 0), 0) >= 1) AS pass_x"]
+
+
 def test_shards(spark, docs, no_docs, small):
     for df in (docs, queries.table(spark, small, "documents")):
         source = df.collect()
