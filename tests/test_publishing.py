@@ -1,5 +1,8 @@
 """Publishing into a store: identity, repeated releases, unfinished versions; saved answers and numbered lines."""
 
+import hashlib
+import pathlib
+
 from pyspark.sql import functions as F
 
 from cohortspark.operators import conversations, publish
@@ -77,6 +80,14 @@ def test_answers_are_saved_under_their_lease(spark):
     assert conversations.write_evidence(m, chats, none, 10)[0].where("id = 'a'").first().evidence_json == '{"old":1}'
 
 
+def test_artifact_digests(spark):
+    from cohortspark.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    want = {(f.name, hashlib.sha256(f.read_bytes()).hexdigest(), f.stat().st_size) for f in pathlib.Path(sf).glob("*.parquet")}
+    assert {tuple(r) for r in QUERIES["artifact_digests"](spark, sf).collect()} == want
+
+
 def test_broken_documents_are_null(spark):
     df = spark.createDataFrame([('{"a": 1}',), ("[",), ("",), (None,)], "t string")
     assert [r.parsed and r.parsed.a for r in files.parse_documents(df, "t", "a int").collect()] == [1, None, None, None]
