@@ -79,7 +79,42 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_benchmark_leaks, op4_token_counts, op5_best_fit_packing, op6_near_join, op7_toxicity, op8_chat_formatting, op9_token_files, op10_line_dedup)}
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import licence_scans
+
+    return licence_scans(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bursttrie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import centroid_clusters
+
+    return centroid_clusters(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_benchmark_leaks, op4_token_counts, op5_best_fit_packing, op6_near_join, op7_toxicity, op8_chat_formatting, op9_token_files, op10_line_dedup, op11_license_scans, op12_prefix_trie, op13_centroid_clustering)}
+
+
+def _clusters_sql() -> str:
+    """Three rounds and the last assignment, each a table of its own; floor division is exact also below zero."""
+    parts = [
+        "v AS (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e::DOUBLE))) = 64)",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR) NULLS LAST, x) - 1 AS c, x FROM v QUALIFY c < 16)",
+    ]
+    for r in range(4):
+        parts.append(f"d{r} AS (SELECT k, vec_id, v.x, c, list_sum(list_transform(list_zip(v.x, c{r}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM v CROSS JOIN c{r} QUALIFY row_number() OVER (PARTITION BY k ORDER BY distance, c) = 1)")
+        if r < 3:
+            parts.append(f"s{r} AS (SELECT c, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM d{r}, unnest(range(1, 65)) AS u(j) GROUP BY c, j)")
+            parts.append(f"c{r + 1} AS (SELECT c, coalesce(m.x, c{r}.x) AS x FROM c{r} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM s{r} GROUP BY c) m USING (c))")
+    return "WITH " + ", ".join(f"{p.partition(' AS ')[0]} AS MATERIALIZED {p.partition(' AS ')[2]}" for p in parts) + """
+SELECT vec_id, d3.c::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY d3.c)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM d3 JOIN c3 USING (c)"""
+
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -107,6 +142,22 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(14 + length(role) + CASE WHEN hard THEN long ELSE length(text) END)::BIGINT AS formatted_chars, true AS round_trip
 FROM e GROUP BY conv_id""",
+    # Sequences as lists of (role, text): a node is a list, its subtree what lies between its ends in the sorted order of lists.
+    "op12_prefix_trie": """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, md5(coalesce(role, '') || chr(0) || coalesce(text, '')) AS id,
+                            octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM conversations WHERE conv_id IS NOT NULL),
+     a AS (SELECT conv_id, list({'id': id, 'size': size} ORDER BY pos) AS l FROM t GROUP BY conv_id),
+     h AS (SELECT conv_id, l, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                                              lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) % 9 AS h FROM a),
+     r AS (SELECT h.conv_id, list_concat(coalesce(o.l[1:h.h], []), h.l[h.h + 1:]) AS l FROM h LEFT JOIN a o ON o.conv_id = h.conv_id - h.conv_id % 5),
+     n AS (SELECT conv_id, d, l[1:d] AS p, len(l) AS long, CASE WHEN d > 0 THEN l[d].size ELSE 0 END AS size FROM r, unnest(range(0, len(l) + 1)) AS u(d)),
+     g AS (SELECT p, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE long = d), '') AS ends FROM n GROUP BY p),
+     c AS (SELECT p[1:len(p) - 1] AS up, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+     f AS (SELECT g.*, coalesce(c.n_children, 0) AS n_children FROM g LEFT JOIN c ON c.up = g.p),
+     s AS (SELECT f.p[1:k] AS p, sum((n_convs - 1) * size) AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM f, unnest(range(0, depth + 1)) AS u(k) GROUP BY 1)
+SELECT f.conv_id, depth::BIGINT AS depth, CASE WHEN depth > 0 THEN up.conv_id END AS parent_conv_id, f.n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM f JOIN s USING (p) LEFT JOIN (SELECT p, conv_id FROM g) up ON up.p = f.p[1:depth - 1] AND depth > 0""",
+    "op13_centroid_clustering": _clusters_sql(),
 }
 
 
