@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .cohort import OUTCOMES, SOURCES, SUMMARY_ROWS, contains_literal, numeric_summary, reviewed_current, total_accounts, with_reported_outcome
+from .cohort import LOWER, OUTCOMES, SOURCES, SUMMARY_ROWS, UPPER, numeric_summary, reported, reviewed_current, total_accounts, with_reported_outcome
 
 #: Metrics with the width of their cells and their range; the cell of an unreported metric.
 CELLS, UNREPORTED = (("gpa", 0.1, 0.0, 4.0), ("mcat", 4.0, 472.0, 528.0)), -1
@@ -36,41 +36,60 @@ def validate_filters(requests: DataFrame) -> DataFrame:
     return parsed.select("request_id", F.array_compact(F.array(*errors)).alias("errors"), f("gpaMin").alias("gpa_min"), f("gpaMax").alias("gpa_max"), f("mcatMin").alias("mcat_min"), f("mcatMax").alias("mcat_max"), *[F.array_distinct(f(k)).alias(k) for k in ("cycles", "sources", "outcomes")], trimmed("activity").alias("activity"), trimmed("school").alias("school"), F.coalesce(f("limit"), F.lit(12)).cast("int").alias("limit"))
 
 
+def _cell(x: Column, width: float, first: float, last: float) -> Column:
+    """The number of a value's cell; what lies beyond the range counts to its outermost cells."""
+    return F.floor(F.greatest(F.lit(first), F.least(F.lit(last), x.cast("double"))) / F.lit(width)).cast("int")
+
+
 def _cells(low: Column, high: Column, width: float, first: float, last: float) -> Column:
     """Numbers of the cells that a range of a metric meets; without any bound also that of unreported metrics."""
-    cell = lambda x: F.floor(x / F.lit(width)).cast("int")
-    some = F.sequence(cell(F.greatest(F.coalesce(low, F.lit(first)), F.lit(first))), cell(F.least(F.coalesce(high, F.lit(last)), F.lit(last))))
-    some = F.when(F.coalesce(low, F.lit(first)) <= F.coalesce(high, F.lit(last)), some).otherwise(F.array().cast("array<int>"))
+    some = F.sequence(_cell(F.coalesce(low, F.lit(first)), width, first, last), _cell(F.coalesce(high, F.lit(last)), width, first, last))
+    some = F.when(F.coalesce(low <= high, F.lit(True)), some).otherwise(F.array().cast("array<int>"))
     return F.when(low.isNull() & high.isNull(), F.concat(some, F.array(F.lit(UNREPORTED)))).otherwise(some)
 
 
-def cohort_match_many(requests: DataFrame, profiles: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(request_id, profile) of the latest matching profile of each account, for every request.
+def matching_pairs(requests: DataFrame, base: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(request_id, account_id, rank): for every request the best rank of a matching row of `base` in each account.
 
-    Requests: request_id, gpa_min, gpa_max, mcat_min, mcat_max, cycles, sources, outcomes (arrays or null), school, and
-    activity where profiles have activities_json. Ranges are an equi join: a request goes to the cells of GPA and MCAT
-    that it meets, a profile lies in one, and the exact bounds follow. A profile carries its own unconditional events of
-    its cycle, so the outcome rule needs no join of the pairs.
+    base: reviewed current profiles with their _rank in the account. Ranges are an equi join: a request goes to the cells of GPA
+    and MCAT that it meets, a profile lies in one (the outermost ones are open), and the exact bounds follow. A row carries
+    its own unconditional events of its cycle, so the outcome rule needs no join of the pairs. Texts are folded
+    once per profile and per request; pairs carry keys alone.
     """
-    events = outcomes.where("conditional = 0").groupBy(F.col("profile_id").alias("e_profile"), F.col("cycle").alias("e_cycle")).agg(F.collect_set(F.struct("status", "school")).alias("e"))
-    base = reviewed_current(profiles)
-    base = base.join(events, (base["id"] == events["e_profile"]) & (base["cycle"] == events["e_cycle"]), "left").drop("e_profile", "e_cycle")
-    r = requests.select(*[F.col(c).alias(f"r_{c}") for c in requests.columns])
+    fold = lambda c: F.translate(c, UPPER, LOWER)
+    events = outcomes.where("conditional = 0").groupBy(F.col("profile_id").alias("e_profile"), F.col("cycle").alias("e_cycle")).agg(F.collect_set(F.struct("status", fold(F.col("school")).alias("school"))).alias("e"))
+    searched = "activity" in requests.columns
+    rows = base.select("id", "account_id", F.col("_rank").alias("rank"), "cycle", "source", *[reported(c).alias(c) for c, *_ in CELLS], *([fold(F.col("activities_json") if "activities_json" in base.columns else F.lit(None).cast("string")).alias("activities")] if searched else []))
+    rows = rows.join(events, (rows["id"] == events["e_profile"]) & (rows["cycle"] == events["e_cycle"]), "left").drop("e_profile", "e_cycle", "id")
+    r = requests.select(*[(fold(F.col(c)) if c in ("school", "activity") else F.col(c)).alias(f"r_{c}") for c in requests.columns])
     for c, width, first, last in CELLS:
-        base = base.withColumn(f"{c}_cell", F.coalesce(F.floor(F.col(c) / F.lit(width)).cast("int"), F.lit(UNREPORTED)))
+        rows = rows.withColumn(f"{c}_cell", F.when(F.col(c).isNull(), UNREPORTED).otherwise(_cell(F.col(c), width, first, last)))
         r = r.withColumn(f"{c}_cell", F.explode(_cells(F.col(f"r_{c}_min"), F.col(f"r_{c}_max"), width, first, last)))
     fits = F.lit(True)
-    for c in ("gpa", "mcat"):
+    for c, *_ in CELLS:
         fits &= (F.col(f"r_{c}_min").isNull() | (F.col(c) >= F.col(f"r_{c}_min"))) & (F.col(f"r_{c}_max").isNull() | (F.col(c) <= F.col(f"r_{c}_max")))
     for c, column in (("cycles", "cycle"), ("sources", "source")):
         fits &= F.col(f"r_{c}").isNull() | F.array_contains(f"r_{c}", F.col(column))
-    if "activity" in requests.columns:
-        fits &= F.col("r_activity").isNull() | contains_literal(F.col("activities_json"), F.col("r_activity"))
-    event = lambda o: (F.col("r_outcomes").isNull() | F.array_contains("r_outcomes", o["status"])) & (F.col("r_school").isNull() | contains_literal(o["school"], F.col("r_school")))
+    if searched:
+        fits &= F.col("r_activity").isNull() | F.coalesce(F.contains("activities", F.col("r_activity")), F.lit(False))
+    event = lambda o: (F.col("r_outcomes").isNull() | F.array_contains("r_outcomes", o["status"])) & (F.col("r_school").isNull() | F.coalesce(F.contains(o["school"], F.col("r_school")), F.lit(False)))
     fits &= (F.col("r_outcomes").isNull() & F.col("r_school").isNull()) | F.coalesce(F.exists("e", event), F.lit(False))
-    pairs = base.join(r, [f"{c}_cell" for c, *_ in CELLS]).where(fits)
-    latest = W.partitionBy("r_request_id", "account_id").orderBy(F.desc("cycle"), F.desc("observed_at"), F.asc("id"))
-    return pairs.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").select(F.col("r_request_id").alias("request_id"), *profiles.columns)
+    pairs = rows.join(r, [f"{c}_cell" for c, *_ in CELLS]).where(fits)
+    return pairs.groupBy(F.col("r_request_id").alias("request_id"), "account_id").agg(F.min("rank").alias("rank"))
+
+
+def cohort_match_many(requests: DataFrame, profiles: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(request_id, profile) of the latest matching profile of each account, for every request.
+
+    Requests: request_id, gpa_min, gpa_max, mcat_min, mcat_max, cycles, sources, outcomes (arrays or null), school, and
+    activity (over activities_json; without that column nothing matches). An account's profiles are ranked once (latest first); the pairs keep
+    the best rank that matches, and the profile's columns join afterwards. A metric that is no finite number is unreported.
+    """
+    latest = W.partitionBy("account_id").orderBy(F.desc("cycle"), F.desc("observed_at"), F.asc("id"))
+    base = reviewed_current(profiles).withColumn("_rank", F.row_number().over(latest))
+    best = matching_pairs(requests, base, outcomes).select("request_id", F.col("account_id").alias("_account"), F.col("rank").alias("_best"))
+    found = best.join(base, F.col("account_id").eqNullSafe(F.col("_account")) & (F.col("_rank") == F.col("_best")))
+    return found.select("request_id", *profiles.columns)
 
 
 def match_counts(matches: DataFrame) -> DataFrame:

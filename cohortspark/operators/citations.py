@@ -66,16 +66,49 @@ def carry_sources(previous: Column, new: Column) -> Column:
     return F.concat(F.filter(last, lambda s: s["kind"].isin("profile", "calculation")), new)
 
 
-SOURCE = "struct<sources:array<struct<id:string,kind:string,title:string,excerpt:string,applicantId:string,profileId:string,attachmentId:string>>,notes:array<string>>"
+def scrub_evidence(messages: DataFrame, removed: DataFrame) -> DataFrame:
+    """messages with their evidence_json freed of attachment sources that carry a removed id (chat_id, attachment_id) or none.
 
+    Only messages of a chat with a removal change. A record is edited as VARIANT, so everything else in it stays,
+    unknown keys, nulls and numbers of up to 38 digits included; keys come out in order of their names. A record
+    without a list of sources gets an empty one; a null or one that is no JSON object stays as it is.
+    """
+    gone = removed.groupBy("chat_id").agg(F.collect_set("attachment_id").alias("_gone"))
+    rows = messages.join(gone, "chat_id", "left").withColumn("_v", F.when(F.col("_gone").isNotNull(), F.try_parse_json("evidence_json")))
+    file = lambda s: F.try_variant_get(s, "$.attachmentId", "string")
+    stays = lambda s: ~F.try_variant_get(s, "$.kind", "string").eqNullSafe("attachment") | F.coalesce(~F.array_contains("_gone", file(s)), F.lit(False))
+    kept = F.filter(F.coalesce(F.try_variant_get("_v", "$.sources", "array<variant>"), F.array().cast("array<variant>")), stays)
+    others = F.map_filter(F.try_variant_get("_v", "$", "map<string,variant>"), lambda k, _: k != "sources")
+    edited = F.to_json(F.to_variant_object(F.map_concat(others, F.create_map(F.lit("sources"), F.to_variant_object(kept)))))
+    return rows.select(*[F.coalesce(edited, "evidence_json").alias(c) if c == "evidence_json" else F.col(c) for c in messages.columns])
+
+
+def remove_attachments(messages: DataFrame, chats: DataFrame, attachments: DataFrame, removals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables after removals (user_id, attachment_id, at_ms) of files by their owners.
+
+    A file's text goes and its removal is noted; the evidence of its chat is scrubbed; a message that still runs in
+    that chat is cancelled and the chat's lease ends. A removal by someone else, or of a file in another's chat, does nothing
+    beyond what that user owns. Removing twice changes no more than times.
+    """
+    asked = removals.groupBy("user_id", "attachment_id").agg(F.max("at_ms").alias("at_ms"))
+    files = attachments.select(F.col("id").alias("attachment_id"), "user_id", "chat_id")
+    own = asked.join(files, ["user_id", "attachment_id"])
+    touched = own.join(chats.select(F.col("id").alias("chat_id"), "user_id", "generation_id"), ["chat_id", "user_id"])
+    at = touched.groupBy("chat_id").agg(F.max("at_ms").alias("_at"), F.max("generation_id").alias("_generation"))
+    rows = scrub_evidence(messages, touched.select("chat_id", "attachment_id")).join(at, "chat_id", "left")
+    cancelled = F.coalesce((F.col("id") == F.col("_generation")) & F.col("status").isin("pending", "running"), F.lit(False))
+    changed = F.col("_at").isNotNull() & (cancelled | F.col("evidence_json").isNotNull())
+    new = {"status": F.when(cancelled, "cancelled").otherwise(F.col("status")), "updated_at": F.when(changed, F.col("_at")).otherwise(F.col("updated_at"))}
+    messages = rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in messages.columns])
+    ended = chats.join(at.select(F.col("chat_id").alias("id"), "_at"), "id", "left")
+    chats = ended.select(*[F.when(F.col("_at").isNull(), F.col(c)).alias(c) if c in ("generation_id", "lease_expires_at") else F.col(c) for c in chats.columns])
+    marks = {"status": "failed", "extracted_text": None, "error": "Removal in progress."}
+    marked = attachments.join(own.select(F.col("attachment_id").alias("id"), F.lit(True).alias("_own")), "id", "left")
+    attachments = marked.select(*[F.when(F.col("_own"), F.lit(marks[c])).otherwise(F.col(c)).alias(c) if c in marks else F.col(c) for c in attachments.columns])
+    return messages, chats, attachments
 
-def scrub_evidence(messages: DataFrame, removed: DataFrame) -> DataFrame:
-    """messages (id, chat_id, evidence_json) without attachment sources that carry a removed id of the chat or none."""
-    gone = removed.groupBy("chat_id").agg(F.collect_set("attachment_id").alias("gone"))
-    rows = messages.join(gone, "chat_id", "left").withColumn("e", F.from_json("evidence_json", SOURCE))
-    stays = lambda s: ~s["kind"].eqNullSafe("attachment") | F.coalesce(~F.array_contains("gone", s["attachmentId"]), F.lit(False))
-    cut = F.col("e").withField("sources", F.filter(F.col("e.sources"), stays))
-    return rows.select("id", "chat_id", F.when(F.col("gone").isNull() | F.col("e.sources").isNull(), F.col("evidence_json")).otherwise(F.to_json(cut)).alias("evidence_json"))
+
+SOURCE = "struct<sources:array<struct<id:string,kind:string,title:string,excerpt:string,applicantId:string,profileId:string,attachmentId:string>>,notes:array<string>>"
 
 
 def cohort_evidence(filters: DataFrame, counts: DataFrame, summaries: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -18,13 +18,19 @@ def reviewed_current(profiles: DataFrame) -> DataFrame:
     return profiles.where("is_current = 1 AND review_status = 'reviewed'")
 
 
+def reported(metric: str) -> Column:
+    """A metric as reported: null, NaN and the infinities are not."""
+    number = F.col(metric).cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), F.col(metric))
+
+
 def metric_range(df: DataFrame, gpa_min=None, gpa_max=None, mcat_min=None, mcat_max=None) -> DataFrame:
-    """Inclusive bounds; a null metric drops out only where its bound is given."""
+    """Inclusive bounds; a metric that is not reported drops out only where its bound is given."""
     for column, low, high in (("gpa", gpa_min, gpa_max), ("mcat", mcat_min, mcat_max)):
         if low is not None:
-            df = df.where(F.col(column) >= low)
+            df = df.where((F.col(column) >= low) & reported(column).isNotNull())
         if high is not None:
-            df = df.where(F.col(column) <= high)
+            df = df.where((F.col(column) <= high) & reported(column).isNotNull())
     return df
 
 
@@ -114,24 +120,45 @@ def summary_population(matched: DataFrame, cap: int | None = SUMMARY_ROWS) -> Da
     return matched if cap is None else cohort_sample(matched, cap)
 
 
+#: The middle is looked for between these shares of a group's rows, as a sketch of that accuracy sees them.
+MIDDLE, ACCURACY = (0.4999, 0.5001), 20_000
+
+
 def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows (by..., statistic, n, missing, min, max, median) for each column; NaN and infinities are missing.
 
-    Values are counted first, so the exact median needs one row per distinct value of a group.
+    The median is exact and found by selection: a sketch gives two values around the middle, equal values are counted
+    once, the counts below, between and above the two say where the middle lies, and only that part is sorted.
+    However wrong the sketch, the part is the right one; as a rule it has a few ten-thousandths of a group's values.
     """
-    keys = list(by)
+    keys = [*by, "statistic"]
     one = F.explode(F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value")) for c in columns])).alias("s")
-    rows = df.select(*keys, one).select(*keys, "s.*")
-    finite = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
-    keys.append("statistic")
-    counted = rows.withColumn("value", finite).groupBy(*keys, "value").agg(F.count("*").alias("c"))
-    group = W.partitionBy(*keys)
-    upto = group.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    known = F.when(F.col("value").isNotNull(), F.col("c")).otherwise(0)
-    placed = counted.withColumn("k", known).withColumn("n", F.sum("k").over(group)).withColumn("last", F.sum("k").over(upto)).withColumn("first", F.col("last") - F.col("k") + 1)
+    rows = df.select(*by, one).select(*by, "s.*")
+    rows = rows.withColumn("value", F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value")))
+    about = F.percentile_approx("value", list(MIDDLE), ACCURACY)
+    stats = rows.groupBy(*keys).agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.min("value").alias("min"), F.max("value").alias("max"), about.alias("about"))
+    counted = rows.where("value IS NOT NULL").groupBy(*keys, "value").agg(F.count("*").alias("c"))
+
+    def matched(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        """Joined by the keys, a null being equal to a null."""
+        named = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+        on = [left[k].eqNullSafe(named[f"_{k}"]) for k in keys]
+        for c in on[1:]:
+            on[0] = on[0] & c
+        return left.join(named, on[0], how).drop(*[f"_{k}" for k in keys])
+
+    part = F.when(F.col("value") < F.col("about")[0], 0).when(F.col("value") <= F.col("about")[1], 1).otherwise(2)
+    placed = matched(counted, stats.select(*keys, "n", "about")).withColumn("part", part)
+    sizes = placed.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(F.when(F.col("part") == 0, F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("part") <= 1, F.col("c")).otherwise(0)).alias("upto"))
     low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    has = lambda p: F.max(F.when((F.col("k") > 0) & (F.col("first") <= p) & (p <= F.col("last")), F.col("value")))
-    return placed.groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(F.col("c") - F.col("k")).alias("missing"), F.min("value").alias("min"), F.max("value").alias("max"), ((has(low) + has(high)) / 2).alias("median"))
+    lies = lambda p: F.when(p <= F.col("below"), 0).when(p <= F.col("upto"), 1).otherwise(2)
+    sought = matched(placed.drop("n", "about"), sizes.withColumn("low", lies(low)).withColumn("high", lies(high))).where("part IN (low, high)")
+    upto = W.partitionBy(*keys, "part").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    before = F.when(F.col("part") == 0, F.lit(0)).when(F.col("part") == 1, F.col("below")).otherwise(F.col("upto"))
+    ranked = sought.withColumn("last", before + F.sum("c").over(upto)).withColumn("first", F.col("last") - F.col("c") + 1)
+    has = lambda p: F.max(F.when((F.col("first") <= p) & (p <= F.col("last")), F.col("value")))
+    middle = ranked.groupBy(*keys).agg(((has(low) + has(high)) / 2).alias("median"))
+    return matched(stats.drop("about"), middle, "left").select(*keys, "n", "missing", "min", "max", "median")
 
 
 def first_hours(activities: Column, timing_status: Column, category: str) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.functions.budgets import calculate, weekly_budget
-from cohortspark.operators.cohort import inspect_profiles
+from cohortspark.operators.batch import cohort_match_many, match_samples, validate_filters
+from cohortspark.operators.cohort import SUMMARY_ROWS, inspect_profiles, total_accounts, with_reported_outcome
 from cohortspark.operators.conversations import tool_call_budget
 
 
@@ -14,20 +15,59 @@ def latest_cohort(calls: DataFrame) -> DataFrame:
     return calls.groupBy("answer_id").agg(F.max_by(F.struct("seq", "counts"), F.struct("round", "seq")).alias("l")).select("answer_id", "l.seq", "l.counts")
 
 
-def replay_tool_calls(calls: DataFrame, profiles: DataFrame, seen: DataFrame) -> DataFrame:
+#: Profiles that a search gives back at most, and where a call names no limit.
+MOST_RETURNED, RETURNED = 12, 10
+
+
+def search_requests(calls: DataFrame) -> DataFrame:
+    """The different searches of calls (args JSON) as validated requests: request_id is the text of its arguments.
+
+    A limit that is no number counts as 10, one above 12 as 12.
+    """
+    parsed = F.try_parse_json("args")
+    given = F.try_variant_get(parsed, "$.limit", "variant")
+    number = F.schema_of_variant(given).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    limit = F.least(F.when(number, F.try_variant_get(parsed, "$.limit", "double")).otherwise(F.lit(float(RETURNED))), F.lit(float(MOST_RETURNED)))
+    others = F.map_filter(F.try_variant_get(parsed, "$", "map<string,variant>"), lambda k, _: k != "limit")
+    raw = F.to_json(F.to_variant_object(F.map_concat(others, F.create_map(F.lit("limit"), limit.cast("variant")))))
+    return validate_filters(calls.select(F.col("args").alias("request_id"), raw.alias("raw")).distinct())
+
+
+def replay_tool_calls(calls: DataFrame, profiles: DataFrame, outcomes: DataFrame, previous: DataFrame, written=lambda df, name: df) -> DataFrame:
     """Calls (answer_id, round, seq, tool, args JSON) with a result or an error.
 
-    Admission follows tool_call_budget. calculate and weekly_time_budget are column arithmetic; profile_inspect
-    gives the cycle of a profile that the answer has seen (answer_id, id); searches are answered by
-    cohort_match_many, here only marked.
+    Admission follows tool_call_budget. calculate and weekly_time_budget are column arithmetic. The different searches of
+    all answers become one table of requests, searched together, and their counts go back to every call that asked.
+    profile_inspect gives the cycle of a profile that an earlier search of the answer returned or that the answer before
+    had (previous: answer_id, id). `written` stores the matches, which are read several times.
     """
-    admitted = tool_call_budget(calls).join(calls.select("answer_id", "round", "seq", "args"), ["answer_id", "round", "seq"])
-    a = F.from_json("args", "operation string, values array<double>, hoursPerWeek double, weeks double, plannedHours double, profileId string")
-    rows = admitted.withColumn("a", a).withColumn("asked", F.when((F.col("verdict") == "admitted") & (F.col("tool") == "profile_inspect"), F.col("a.profileId")))
-    allowed = rows.where("asked IS NOT NULL").select("answer_id", F.col("asked").alias("id")).distinct().join(seen, ["answer_id", "id"], "left_semi")
-    read = inspect_profiles(profiles, allowed.select("id").distinct()).select(F.col("asked").alias("found"), F.col("cycle").alias("found_cycle"))
-    known = allowed.join(read, allowed["id"] == read["found"]).select("answer_id", F.col("id").alias("asked"), "found_cycle")
-    rows = rows.join(known, ["answer_id", "asked"], "left")
-    number = F.when(F.col("tool") == "calculate", calculate(F.col("a.operation"), F.col("a.values"))).when(F.col("tool") == "weekly_time_budget", weekly_budget(F.col("a.hoursPerWeek"), F.col("a.weeks"), F.col("a.plannedHours"))["total"])
-    error = F.when(F.col("verdict") != "admitted", F.col("verdict")).when((F.col("tool") == "profile_inspect") & F.col("found_cycle").isNull(), "unknown_profile").when(F.col("tool").isin("calculate", "weekly_time_budget") & number.isNull(), "invalid_input")
-    return rows.select("answer_id", "round", "seq", "tool", F.when(error.isNull(), number).alias("number"), F.when(error.isNull(), F.col("found_cycle")).alias("cycle"), error.alias("error"))
+    key = ["answer_id", "round", "seq"]
+    admitted = tool_call_budget(calls).join(calls.select(*key, "args"), key)
+    a = F.from_json("args", "operation string, values array<double>, hoursPerWeek double, weeks double, plannedHours double, id string")
+    rows = admitted.withColumn("a", a).withColumn("asked", F.when((F.col("verdict") == "admitted") & (F.col("tool") == "profile_inspect"), F.col("a.id")))
+
+    searches = rows.where("verdict = 'admitted' AND tool = 'cohort_search'").select(*key, "args")
+    requests = written(search_requests(searches), "requests")
+    asked = requests.where(F.size("errors") == 0)
+    found = written(cohort_match_many(asked.drop("errors", "limit"), profiles, outcomes).select("request_id", "id", "account_id", "source", "cycle"), "matches")
+    # A search without any match has counts as well.
+    counts = with_reported_outcome(found, outcomes).groupBy("request_id").agg(F.count("*").alias("matched"), F.count_if("has_reported_outcome").alias("with_reported_outcomes"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    matched = zero(F.col("matched"))
+    counts = requests.join(counts, "request_id", "left").crossJoin(total_accounts(profiles)).select(
+        F.col("request_id").alias("args"), F.concat_ws(",", "errors").alias("invalid"), F.when(F.size("errors") == 0, F.struct(F.col("total_accounts").alias("total"), matched.alias("matched"), F.least(matched, F.col("limit").cast("long")).alias("examined"), zero(F.col("with_reported_outcomes")).alias("with_reported_outcomes"), F.least(matched, F.lit(SUMMARY_ROWS).cast("long")).alias("summarized"))).alias("cohort")
+    )
+    returned = match_samples(found, MOST_RETURNED).join(asked.select("request_id", "limit"), "request_id").where("place <= limit").select(F.col("request_id").alias("args"), "id")
+    seen = searches.join(returned, "args").groupBy("answer_id", "id").agg(F.min(F.struct("round", "seq")).alias("since"))
+    seen = seen.unionByName(previous.select("answer_id", "id", F.lit(None).cast(seen.schema["since"].dataType).alias("since"))).groupBy("answer_id", "id").agg(F.max(F.col("since").isNull()).alias("before"), F.min("since").alias("since"))
+
+    wanted = rows.where("asked IS NOT NULL").select(*key, F.col("asked").alias("id")).join(seen, ["answer_id", "id"]).where(F.col("before") | (F.col("since") < F.struct("round", "seq")))
+    read = inspect_profiles(profiles, wanted.select("id").distinct()).select(F.col("asked").alias("id"), F.col("cycle").alias("found_cycle"), F.lit(True).alias("allowed"))
+    rows = rows.join(wanted.join(read, "id").select(*key, "found_cycle", "allowed"), key, "left").join(counts, "args", "left")
+    tool = F.col("tool")
+    number = F.when(tool == "calculate", calculate(F.col("a.operation"), F.col("a.values"))).when(tool == "weekly_time_budget", weekly_budget(F.col("a.hoursPerWeek"), F.col("a.weeks"), F.col("a.plannedHours"))["total"])
+    search = tool == "cohort_search"
+    error = F.when(F.col("verdict") != "admitted", F.col("verdict")).when((tool == "profile_inspect") & F.col("allowed").isNull(), "not_returned").when((tool == "profile_inspect") & F.col("found_cycle").isNull(), "unknown_profile")
+    error = error.when(tool.isin("calculate", "weekly_time_budget") & number.isNull(), "invalid_input").when(search & (F.col("invalid") != ""), F.col("invalid"))
+    fine = lambda c: F.when(error.isNull(), c)
+    return rows.select(*key, "tool", fine(number).alias("number"), fine(F.col("found_cycle")).alias("cycle"), fine(F.when(search, F.col("cohort"))).alias("cohort"), error.alias("error"))

@@ -67,8 +67,21 @@ SELECT cast(p_partkey AS bigint) AS request_id,
        CASE p_partkey % 4 WHEN 0 THEN 'reddit' WHEN 1 THEN 'sdn' ELSE NULL END AS source,
        CASE p_partkey % 6 WHEN 0 THEN '2024-25' WHEN 1 THEN '2021-22' ELSE NULL END AS cycle,
        CASE p_partkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE NULL END AS outcome,
-       CASE WHEN p_partkey % 7 = 0 THEN 'supplier#00000000' || cast(p_partkey % 10 AS string) ELSE NULL END AS school
+       CASE WHEN p_partkey % 7 = 0 THEN 'supplier#00000000' || cast(p_partkey % 10 AS string) ELSE NULL END AS school,
+       CASE p_partkey % 18 WHEN 0 THEN '2022-23' WHEN 6 THEN '2016-17' ELSE NULL END AS cycle2, CASE p_partkey % 8 WHEN 0 THEN 'mdapplicants' ELSE NULL END AS source2,
+       CASE p_partkey % 9 WHEN 0 THEN 'waitlisted' WHEN 1 THEN 'accepted' ELSE NULL END AS outcome2, CASE p_partkey % 13 WHEN 0 THEN 'RESEARCH Work' WHEN 1 THEN 'other WORK; ]' ELSE NULL END AS activity
 FROM {part}""",
+    "activity_texts": """
+SELECT profile_id, '[' || max(CASE WHEN category = 'clinical' THEN 'Clinical work; ' ELSE '' END) || max(CASE WHEN category = 'research' THEN 'Research work; ' ELSE '' END) || max(CASE WHEN category = 'other' THEN 'Other work; ' ELSE '' END) || ']' AS activities_json
+FROM {activities} GROUP BY profile_id""",
+    "evidence": """
+SELECT id, chat_id, user_id, conv_id, turn, status, reply_to_id, created_at, created_at AS updated_at, translate(head, '<>', chr(123) || chr(125)) AS head, translate(other_file, '<>', chr(123) || chr(125)) AS other_file,
+       translate('<"id":"A3","kind":"attachment","title":"legacy">', '<>', chr(123) || chr(125)) AS legacy, translate(web, '<>', chr(123) || chr(125)) AS web, translate(rest, '<>', chr(123) || chr(125)) AS rest
+FROM (SELECT *, '<"sources":[<"id":"P1","kind":"profile","applicantId":"a-' || cast(turn % 3 AS string) || '","excerpt":null>,<"id":"A1","kind":"attachment","title":"x","attachmentId":"f-' || cast(conv_id AS string) || '","excerpt":"private">,' AS head,
+       '<"id":"A2","kind":"attachment","title":"y","attachmentId":"f-' || cast(conv_id + 1 AS string) || '">' AS other_file,
+       '<"id":"W1","kind":"official","observedAt":"2026-01-0' || cast(1 + turn % 9 AS string) || '","title":"t","url":"https://aamc.org/">' AS web,
+       '"cohort":<"filters":<"gpaMin":3.25,"school":null>,"total":' || cast(conv_id + 58 AS string) || '>,"later":<"b":[1,2.5,null,true]>,"notes":["n ' || cast(turn AS string) || '"]' AS rest
+FROM {messages} WHERE role = 'assistant') m""",
 }
 MILLIS = {"spark": "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz)) div 1000", "duckdb": "(epoch_us(ts) // 1000)"}
 

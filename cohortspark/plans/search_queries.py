@@ -152,29 +152,35 @@ def profile_snapshot(t):
 
 
 def saved(t: Tables) -> DataFrame:
-    one = lambda c: F.when(F.col(c).isNotNull(), F.array(c))
-    return t.requests.select("request_id", "gpa_min", "gpa_max", "mcat_min", "mcat_max", one("cycle").alias("cycles"), one("source").alias("sources"), one("outcome").alias("outcomes"), "school")
+    some = lambda c: F.when(F.col(c).isNotNull(), F.array_compact(F.array(c, f"{c}2")))
+    return t.requests.select("request_id", "gpa_min", "gpa_max", "mcat_min", "mcat_max", some("cycle").alias("cycles"), some("source").alias("sources"), some("outcome").alias("outcomes"), "school", "activity")
 
 
-_MANY = f"""WITH pairs AS (SELECT r.request_id, p.*, row_number() OVER (PARTITION BY r.request_id, account_id ORDER BY p.cycle DESC, observed_at DESC, p.id) AS rn FROM {{requests}} r JOIN ({BASE}) p
+def searched(t: Tables) -> DataFrame:
+    """Profiles with the text of their activities."""
+    p, texts = t.profiles, t.activity_texts
+    return p.join(texts, p["id"] == texts["profile_id"], "left").drop("profile_id")
+
+
+_MANY = f"""WITH pairs AS (SELECT r.request_id, p.*, row_number() OVER (PARTITION BY r.request_id, account_id ORDER BY p.cycle DESC, observed_at DESC, p.id) AS rn FROM {{requests}} r JOIN (SELECT b.*, activities_json FROM ({BASE}) b LEFT JOIN {{activity_texts}} x ON x.profile_id = b.id) p
  ON (r.gpa_min IS NULL OR p.gpa >= r.gpa_min) AND (r.gpa_max IS NULL OR p.gpa <= r.gpa_max) AND (r.mcat_min IS NULL OR p.mcat >= r.mcat_min) AND (r.mcat_max IS NULL OR p.mcat <= r.mcat_max)
- AND (r.cycle IS NULL OR p.cycle = r.cycle) AND (r.source IS NULL OR p.source = r.source)
- WHERE (r.outcome IS NULL AND r.school IS NULL) OR {EVENT} AND (r.outcome IS NULL OR o.status = r.outcome) AND (r.school IS NULL OR contains(lower(o.school), lower(r.school)))))"""
+ AND (r.cycle IS NULL OR p.cycle IN (r.cycle, r.cycle2)) AND (r.source IS NULL OR p.source IN (r.source, r.source2)) AND (r.activity IS NULL OR contains(lower(p.activities_json), lower(r.activity)))
+ WHERE (r.outcome IS NULL AND r.school IS NULL) OR {EVENT} AND (r.outcome IS NULL OR o.status IN (r.outcome, r.outcome2)) AND (r.school IS NULL OR contains(lower(o.school), lower(r.school)))))"""
 
 
 @query(_MANY + " SELECT request_id, count(*) AS matched, count(DISTINCT cycle) AS cycles FROM pairs WHERE rn = 1 GROUP BY request_id")
 def cohort_match_many(t):
-    return batch.match_counts(batch.cohort_match_many(saved(t), t.profiles, t.outcomes))
+    return batch.match_counts(batch.cohort_match_many(saved(t), searched(t), t.outcomes))
 
 
 @query(_MANY + " SELECT request_id, id, cast(place AS integer) AS place FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY cycle DESC, id) AS place FROM pairs WHERE rn = 1) WHERE place <= 5")
 def cohort_match_samples(t):
-    return batch.match_samples(batch.cohort_match_many(saved(t), t.profiles, t.outcomes), 5).select("request_id", "id", "place")
+    return batch.match_samples(batch.cohort_match_many(saved(t), searched(t), t.outcomes), 5).select("request_id", "id", "place")
 
 
 @query(_MANY + ", pop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY cycle DESC, id) AS place FROM pairs WHERE rn = 1) WHERE place <= 1000) SELECT request_id, 'gpa' AS statistic, " + SUMMARY.format(c="gpa") + " FROM pop GROUP BY request_id UNION ALL SELECT request_id, 'mcat', " + SUMMARY.format(c="mcat") + " FROM pop GROUP BY request_id")
 def cohort_match_summaries(t):
-    return batch.match_summaries(batch.cohort_match_many(saved(t), t.profiles, t.outcomes))
+    return batch.match_summaries(batch.cohort_match_many(saved(t), searched(t), t.outcomes))
 
 
 _RAW = """CASE p_partkey % 9 WHEN 0 THEN '{"gpaMin": 3.9, "gpaMax": 3.1}' WHEN 1 THEN '{"mcatMin": 500.5}' WHEN 2 THEN '{"cycles": ["2024-26"]}' WHEN 3 THEN '{"sources": ["reddit", "reddit"], "limit": 5}'

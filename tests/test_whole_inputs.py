@@ -10,9 +10,9 @@ SF = "/root/testdata/sf0.001"
 def test_replay_sees_every_call(spark, monkeypatch):
     seen, replay = [], tools.replay_tool_calls
 
-    def watched(calls, profiles, named):
+    def watched(calls, *rest):
         seen.append(calls.where("seq >= 6").count())
-        return replay(calls, profiles, named)
+        return replay(calls, *rest)
 
     monkeypatch.setattr(tools, "replay_tool_calls", watched)
     got = QUERIES["replay_tool_calls"](spark, SF)
