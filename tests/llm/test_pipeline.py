@@ -78,3 +78,56 @@ def test_stages(spark, small):
     packed = pipeline.STAGES[-1][1](spark, docs, small).collect()
     assert {r.doc_id for r in packed} == set(after)
     assert pipeline.run(spark, small).count() == len(packed)
+
+
+A = " ".join(f"w{k}" for k in range(60))
+B = " ".join(f"v{k}" for k in range(60))
+
+
+def stayed(spark, rows, more="source string"):
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, f"doc_id long, text string, {more}"), "")
+    return sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+
+
+def test_near_duplicates_by_row(spark):
+    """Repeated and null doc_ids whose texts differ are rows of their own."""
+    rows = [(1, A, "x"), (5, A + " end", "x"), (5, B, "x"), (None, "other words here", "x"), (None, A + " tail", "x"), (1, A, "x"), (7, None, "x"), (8, "", "x"), (8, "", "x")]
+    assert stayed(spark, rows) == sorted([(1, A), (5, B), (None, "other words here"), (7, None), (8, "")], key=repr)
+    assert stayed(spark, [(None, A, "x"), (None, A + " tail", "x"), (9, A + " end", "x")]) == [(9, A + " end")]
+    assert stayed(spark, [(3, A, "x"), (3, A + " end", "x")]) in ([(3, A)], [(3, A + " end")])
+    assert stayed(spark, []) == []
+
+
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
+def test_hostile_rows(spark, small, docs, no_docs, name):
+    """Nulls, blanks, repeated rows, a long text, clashing column names, no n_chars, no rows."""
+    stage = dict(pipeline.STAGES)[name]
+    clashing = docs.selectExpr("*", "1 AS k", "'x' AS line", "2 AS class_id", "'y' AS _row", "3 AS score", "'z' AS shingles", "4 AS item_id")
+    got = stage(spark, clashing, small)
+    rows = got.collect()
+    assert stage(spark, no_docs, small).count() == 0
+    if name == "packing":
+        want = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect())
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows if r.piece == 0) == want
+        return
+    assert got.columns == clashing.columns
+    # Clean rows stay: repeats may be one, and texts without words stay untouched.
+    texts = {(r.doc_id, r.text) for r in rows}
+    assert {(2, None), (3, ""), (4, " \t\n")} <= texts
+    every = {(r.doc_id, r.text) for r in docs.collect()}
+    assert {d for d, _ in texts} == {d for d, _ in every}
+    if name != "line_dedup":
+        assert texts == every
+
+
+def test_filters_equal_their_operators(spark, small):
+    """Each row stays by the verdict on its own text; the rows that stay are whole."""
+    from cohortspark.llm import tiling
+
+    docs = queries.table(spark, small, "documents")
+    labels, items = queries.table(spark, small, "labels"), queries.table(spark, small, "benchmark")
+    toxic = {r.doc_id for r in toxicity.toxicity(docs, labels).where("predicted = 1").collect()}
+    leaking = {r.doc_id for r in tiling.leaks(docs, items).collect()}
+    rows = sorted(map(tuple, docs.collect()))
+    assert sorted(map(tuple, pipeline.toxicity(spark, docs, small).collect())) == [r for r in rows if r[0] not in toxic]
+    assert sorted(map(tuple, pipeline.decontamination(spark, docs, small).collect())) == [r for r in rows if r[0] not in leaking] != rows
