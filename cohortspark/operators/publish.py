@@ -60,7 +60,7 @@ def row_rules() -> list[Column]:
         _no(_all("activities", lambda a: h(a)["precision"].isin(*PRECISIONS)), "hours_precision"),
         _no(F.exists("outcomes", lambda o: F.coalesce(o["status"].isin("accepted", "rejected") & (F.length(o["evidence"]) > 0), F.lit(False))), "explicit_outcome"),
         _no(_all("outcomes", lambda o: o["status"].isin(*OUTCOMES)), "outcome_status"),
-        _no(_all("outcomes", lambda o: o["reported_count"].isNull() | (o["reported_count"] > 0)), "outcome_count"),
+        _no(_all("outcomes", lambda o: o["reported_count"].isNull() | ((o["reported_count"] > 0) & (o["reported_count"] == F.floor(o["reported_count"])))), "outcome_count"),
         _no(_all("outcomes", lambda o: F.length(o["evidence"]) > 0), "outcome_evidence"),
         _no(_all("outcomes", lambda o: F.array_contains("source_urls", o["source_url"])), "outcome_url"),
         _no(_all("outcomes", lambda o: o["cycle"].rlike(r"\A20[0-9]{2}-[0-9]{2}\z")), "outcome_cycle"),
@@ -80,12 +80,43 @@ def validate_corpus(profiles: DataFrame) -> DataFrame:
     return rows.unionByName(duplicate_keys(profiles).select(F.col("key").alias("profile_id"), "rule"))
 
 
+def validate_release(headers: DataFrame) -> DataFrame:
+    """(release, rule) of release documents (release, version, profiles: their number) of another format or without profiles."""
+    rules = [_no(F.col("version") == 1, "format_version"), _no(F.col("profiles") > 0, "empty_corpus")]
+    return headers.select("release", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+
+
+#: An outcome's columns in the published corpus and their types.
+OUTCOME = {"cycle": "string", "status": "string", "program": "string", "school": "string", "reported_count": "long", "count_kind": "string", "conditional": "int", "source_url": "string", "evidence": "string"}
+
+
+def release_profiles(rows: DataFrame) -> DataFrame:
+    """What read_release gives (ordinal, raw, p) as nested profiles in the library's names; raw stays, as the profile's document."""
+    p = lambda name, to=None: F.col(f"p.{name}").alias(to or name)
+    named = {"reported_count": "reportedCount", "count_kind": "countKind", "source_url": "sourceUrl"}
+    outcome = lambda o: F.struct(*[o[named.get(c, c)].alias(c) for c in OUTCOME])
+    return rows.select(
+        "ordinal", "raw", p("id"), p("accountId", "account_id"), p("source"), p("sourceAccountId", "source_account_id"), p("publicHandle", "public_handle"), p("cycle"), F.coalesce("p.version", F.lit(1)).alias("version"),
+        p("reviewStatus", "review_status"), p("observedAt", "observed_at"), p("reviewedAt", "reviewed_at"), p("gpa"), p("scienceGpa", "science_gpa"), p("mcat"), p("residence"), p("summary"), p("timingStatus", "timing_status"), p("extractionConfidence", "extraction_confidence"),
+        p("activities"), F.transform("p.outcomes", outcome).alias("outcomes"), p("sourceUrls", "source_urls"), p("notes"), p("provenance.sourceContentSha256", "content_sha256"), p("provenance.sourceArtifactKey", "artifact_key"),
+    )
+
+
 def flatten_release(profiles: DataFrame):
-    """Accounts, profiles and outcomes of nested profiles; outcome ids are the profile's and the place."""
+    """Accounts, profiles and outcomes of nested profiles; outcome ids are the profile's and the place.
+
+    A profile's document profile_json is its raw text where there is one, else all its columns as JSON. A field that
+    the outcomes do not have is null; conditional counts as 0 unless it is true or 1.
+    """
     accounts = profiles.select(F.col("account_id").alias("id"), "source", "source_account_id", "public_handle", "ordinal")
-    rows = profiles.withColumn("activities_json", F.to_json("activities")).drop("outcomes", "activities")
+    document = F.col("raw") if "raw" in profiles.columns else F.to_json(F.struct(*[c for c in profiles.columns if c != "ordinal"]))
+    rows = profiles if "profile_json" in profiles.columns else profiles.withColumn("profile_json", document)
+    rows = rows.withColumn("activities_json", F.to_json("activities")).drop("outcomes", "activities", "raw")
     one = profiles.select("id", "account_id", F.posexplode("outcomes").alias("place", "o"))
-    outcomes = one.select(F.concat_ws(":", "id", F.col("place").cast("string")).alias("id"), F.col("id").alias("profile_id"), "account_id", F.col("o.cycle").alias("cycle"), F.col("o.status").alias("status"), F.col("o.school").alias("school"), F.coalesce(F.col("o.conditional").cast("int"), F.lit(0)).alias("conditional"))
+    given = profiles.schema["outcomes"].dataType.elementType.names
+    fields = {c: F.col(f"o.{c}").cast(kind) if c in given else F.lit(None).cast(kind) for c, kind in OUTCOME.items()}
+    fields["conditional"] = F.coalesce(fields["conditional"], F.lit(0))
+    outcomes = one.select(F.concat_ws(":", "id", F.col("place").cast("string")).alias("id"), F.col("id").alias("profile_id"), "account_id", *[x.alias(c) for c, x in fields.items()])
     return accounts, rows, outcomes
 
 
@@ -106,14 +137,15 @@ def publish_profiles(existing: DataFrame, release: DataFrame) -> DataFrame:
     Of several rows of one id the last ordinal is written. A release row demotes the others of its account and cycle as it
     names them; among the release's own rows the last written stays current. Running it twice changes nothing.
     """
-    new = release.groupBy("id").agg(*[F.max_by(c, "ordinal").alias(f"n_{c}") for c in release.columns if c not in ("id", "ordinal")], F.max("ordinal").alias("n_ordinal"))
+    others = [c for c in release.columns if c not in ("id", "ordinal")]
+    last_row = release.groupBy("id").agg(F.max_by(F.struct(*others), "ordinal").alias("r"), F.max("ordinal").alias("n_ordinal"))
+    new = last_row.select("id", *[F.col(f"r.{c}").alias(f"n_{c}") for c in others], "n_ordinal")
     both = existing.join(new, "id", "full_outer")
     given = F.col("n_ordinal").isNotNull()
     fixed = ("account_id", "cycle", "version")
-    out = both.select("id", *[(F.coalesce(c, f"n_{c}") if c in fixed else F.when(given, F.col(f"n_{c}")).otherwise(F.col(c))).alias(c) for c in existing.columns if c not in ("id", "is_current")], F.coalesce("is_current", F.lit(0)).alias("was"), F.col("n_account_id"), F.col("n_cycle"), "n_ordinal")
+    out = both.select("id", *[(F.coalesce(c, f"n_{c}") if c in fixed else F.when(given, F.col(f"n_{c}")).otherwise(F.col(c))).alias(c) for c in existing.columns if c not in ("id", "is_current")], F.coalesce("is_current", F.lit(0)).alias("was"), "n_ordinal")
     # Writes as (account, cycle) that they name: later writes demote earlier ones and older rows.
-    demoted = out.where("n_ordinal IS NOT NULL").select(F.col("n_account_id").alias("account_id"), F.col("n_cycle").alias("cycle"), F.col("n_ordinal").alias("at"))
-    last = demoted.groupBy("account_id", "cycle").agg(F.max("at").alias("last"))
+    last = new.groupBy(F.col("n_account_id").alias("account_id"), F.col("n_cycle").alias("cycle")).agg(F.max("n_ordinal").alias("last"))
     rows = out.join(last, ["account_id", "cycle"], "left")
     current = F.when(F.col("n_ordinal").isNotNull(), (F.coalesce("last", F.lit(-1)) <= F.col("n_ordinal")).cast("int")).when(F.col("last").isNotNull(), F.lit(0)).otherwise(F.col("was"))
     return rows.withColumn("is_current", current).select(*existing.columns)
@@ -186,11 +218,18 @@ def integrity_check(accounts: DataFrame, profiles: DataFrame, outcomes: DataFram
 
 
 def release_counts(profiles: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(part, value, n): profiles, accounts in all, by source and by cycle, outcome observations, mixed timing."""
-    row = lambda df, part: df.select(F.lit(part).alias("part"), F.lit("").alias("value"), "n")
-    by = lambda c: profiles.groupBy(F.col(c).alias("value")).agg(F.countDistinct("account_id").alias("n")).select(F.lit(f"accounts_by_{c}").alias("part"), "value", "n")
-    parts = [row(profiles.agg(F.count("*").alias("n")), "profiles"), row(profiles.agg(F.countDistinct("account_id").alias("n")), "accounts"), row(outcomes.agg(F.count("*").alias("n")), "outcomes"), row(profiles.agg(F.count_if(F.col("timing_status") == "retrospective_mixed").alias("n")), "mixed_timing")]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).unionAll(by("source")).unionAll(by("cycle"))
+    """(part, value, n): profiles, accounts in all, by source and by cycle, outcome observations, mixed timing.
+
+    Profiles are counted once by (account, source, cycle); sets of these give all parts.
+    """
+    mixed = F.count_if(F.col("timing_status") == "retrospective_mixed")
+    few = profiles.groupBy("account_id", "source", "cycle").agg(F.count("*").alias("n"), mixed.alias("mixed"))
+    sets = few.groupingSets([[], ["source"], ["cycle"]], "source", "cycle").agg(F.countDistinct("account_id").alias("accounts"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("mixed"), F.lit(0)).alias("mixed"), F.grouping_id().alias("g"))
+    part = lambda name, n, value=None: F.struct(F.lit(name).alias("part"), (F.lit("") if value is None else F.col(value)).alias("value"), F.col(n).cast("long").alias("n"))
+    whole = F.array(part("profiles", "n"), part("accounts", "accounts"), part("mixed_timing", "mixed"))
+    parts = F.when(F.col("g") == 3, whole).when(F.col("g") == 1, F.array(part("accounts_by_source", "accounts", "source"))).otherwise(F.array(part("accounts_by_cycle", "accounts", "cycle")))
+    counted = sets.select(F.explode(parts).alias("p")).select("p.*")
+    return counted.unionAll(outcomes.agg(F.count("*").alias("n")).select(F.lit("outcomes"), F.lit(""), "n"))
 
 
 def coverage_check(published: DataFrame, counted: DataFrame) -> DataFrame:

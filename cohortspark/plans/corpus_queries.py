@@ -17,7 +17,7 @@ def release(t):
     return (
         p.withColumn("url", url)
         .withColumn("source_urls", F.array("url"))
-        .withColumn("outcomes", F.transform("outcomes", lambda o: o.withField("reported_count", F.lit(None).cast("long")).withField("source_url", F.col("url"))))
+        .withColumn("outcomes", F.transform("outcomes", lambda o: o.withField("program", F.concat(F.lit("MD "), o["status"])).withField("count_kind", F.lit("explicit")).withField("reported_count", F.when(o["ord"] % 2 == 0, (o["ord"] + 1).cast("double"))).withField("source_url", F.col("url"))))
         .withColumn("science_gpa", F.when(F.col("orderkey") % 23 == 0, F.col("gpa") + 3))
         .withColumn("extraction_confidence", F.lit("high"))
         .withColumn("content_sha256", F.sha2("id", 256))
@@ -27,11 +27,41 @@ def release(t):
     )
 
 
-@query("""WITH a AS (SELECT profile_id, count(*) AS n FROM {activities} GROUP BY profile_id), o AS (SELECT profile_id, count(*) FILTER (WHERE status IN ('accepted', 'rejected')) AS ar FROM {outcomes} GROUP BY profile_id)
-SELECT id AS profile_id, 'review_status' AS rule FROM {profiles} WHERE review_status <> 'reviewed' UNION ALL SELECT id, 'science_gpa' FROM {profiles} WHERE orderkey % 23 = 0 AND gpa + 3 > 4 UNION ALL SELECT id, 'source_urls' FROM {profiles} WHERE orderkey % 19 = 0
-UNION ALL SELECT p.id, 'activity_count' FROM {profiles} p LEFT JOIN a ON a.profile_id = p.id WHERE coalesce(a.n, 0) < 2 UNION ALL SELECT p.id, 'explicit_outcome' FROM {profiles} p LEFT JOIN o ON o.profile_id = p.id WHERE coalesce(o.ar, 0) = 0""")
+def broken(t):
+    """The release with every rule of a row broken somewhere, by the order's number."""
+    p = release(t)
+    k = F.col("orderkey") % 97
+    on = lambda n, column, value: F.when(k == n, value).otherwise(F.col(column))
+    hours = lambda a, **f: a.withField("hours", F.struct(*[(f.get(c, a["hours"][c])).alias(c) for c in ("min", "max", "precision")]))
+    acts = F.when(k == 14, F.transform("activities", lambda a: a.withField("description", F.lit("")))).when(k == 15, F.transform("activities", lambda a: hours(a, min=F.lit(-1.0)))).when(k == 16, F.transform("activities", lambda a: hours(a, min=a["hours"]["max"] + 1)))
+    for n, word in ((17, "explicit_absence"), (18, "unreported"), (19, "odd")):
+        acts = acts.when(k == n, F.transform("activities", lambda a: hours(a, precision=F.lit(word))))  # noqa: B023
+    acts = acts.when(k == 26, F.transform("activities", lambda a: hours(a, min=F.lit(float("inf"))))).otherwise(F.col("activities"))
+    outs = F.when(k == 20, F.transform("outcomes", lambda o: o.withField("status", F.lit("odd"))))
+    for n, field, value in ((21, "reported_count", F.lit(0.0)), (22, "reported_count", F.lit(1.5)), (23, "evidence", F.lit("")), (24, "source_url", F.lit("https://other")), (25, "cycle", F.lit("1999-00"))):
+        outs = outs.when(k == n, F.transform("outcomes", lambda o: o.withField(field, value)))  # noqa: B023
+    none = F.array().cast("array<string>")
+    changed = {
+        "id": on(0, "id", F.upper("id")), "source": on(1, "source", F.lit("other")), "account_id": on(2, "account_id", F.concat(F.lit("x-"), "id")), "version": on(3, "version", F.col("orderkey")), "cycle": on(3, "cycle", F.lit("2024-26")), "extraction_confidence": on(4, "extraction_confidence", F.lit("low")), "timing_status": on(5, "timing_status", F.lit("other")),
+        "gpa": F.when(k == 6, F.lit(4.5)).when(k == 7, F.lit(float("nan"))).otherwise(F.col("gpa")), "mcat": F.when(k == 8, F.lit(471.0)).when(k == 9, F.lit(500.5)).otherwise(F.col("mcat").cast("double")), "source_urls": on(10, "source_urls", none), "content_sha256": on(11, "content_sha256", F.lit("zz")), "artifact_key": on(12, "artifact_key", F.lit("x")),
+        "notes": on(13, "notes", F.array(F.lit(None).cast("string"))), "activities": acts, "outcomes": outs.otherwise(F.col("outcomes")),
+    }
+    return p.withColumns(changed)
+
+
+#: Rules and where `broken` and the tables themselves break them; k is the order's number mod 97, a and o count activities and outcomes.
+_BROKEN = {
+    "profile_id": "k = 0", "source": "k = 1", "account_identity": "k IN (1, 2)", "cycle": "k = 3", "review_status": "review_status <> 'reviewed'", "confidence": "k = 4", "timing_status": "k = 5", "gpa": "k IN (6, 7)", "science_gpa": "orderkey % 23 = 0 AND gpa + 3 > 4", "mcat": "k IN (8, 9)",
+    "source_urls": "orderkey % 19 = 0 OR k IN (1, 10)", "sha256": "k = 11", "artifact_key": "k = 12", "notes": "k = 13", "activity_count": "a < 2", "activity_description": "k = 14 AND a > 0", "hours_bound": "k IN (15, 26) AND a > 0", "hours_order": "k IN (16, 26) AND a > 0", "hours_absence": "k = 17 AND a > 0", "hours_unreported": "k = 18 AND a > 0", "hours_precision": "k = 19 AND a > 0",
+    "explicit_outcome": "ar = 0 OR k IN (20, 23)", "outcome_status": "k = 20 AND o > 0", "outcome_count": "k IN (21, 22) AND o > 0", "outcome_evidence": "k = 23 AND o > 0", "outcome_url": "k IN (10, 24) AND o > 0", "outcome_cycle": "k = 25 AND o > 0",
+}
+
+
+@query(f"""WITH x AS (SELECT profile_id, count(*) AS n FROM {{activities}} GROUP BY profile_id), y AS (SELECT profile_id, count(*) AS n, count(*) FILTER (WHERE status IN ('accepted', 'rejected')) AS ar FROM {{outcomes}} GROUP BY profile_id),
+p AS (SELECT p.*, orderkey % 97 AS k, coalesce(x.n, 0) AS a, coalesce(y.n, 0) AS o, coalesce(y.ar, 0) AS ar FROM {{profiles}} p LEFT JOIN x ON x.profile_id = p.id LEFT JOIN y ON y.profile_id = p.id)
+{" UNION ALL ".join(f"SELECT CASE WHEN k = 0 THEN upper(id) ELSE id END AS profile_id, '{rule}' AS rule FROM p WHERE {where}" for rule, where in _BROKEN.items())}""")
 def validate_corpus(t):
-    return publish.validate_corpus(release(t))
+    return publish.validate_corpus(broken(t))
 
 
 @query("SELECT 'duplicate_version' AS rule, account_id || ':' || cycle || ':1' AS key, count(*) AS rows FROM {profiles} GROUP BY account_id, cycle HAVING count(*) > 1")
@@ -39,9 +69,28 @@ def duplicate_keys(t):
     return publish.duplicate_keys(t.profiles.withColumn("version", F.lit(None).cast("long")))
 
 
-@query("SELECT id, profile_id, account_id, cycle, status, school, conditional FROM {outcomes}")
+_URL = "CASE WHEN p.orderkey % 19 = 0 THEN 'http://' ELSE 'https://' END || CASE p.source WHEN 'reddit' THEN 'www.reddit.com' WHEN 'sdn' THEN 'forums.studentdoctor.net' ELSE 'www.mdapplicants.com' END || '/x'"
+#: The three tables as one: each row's table, id and its columns as text.
+_OUTCOMES = f"SELECT 'outcomes' AS part, o.id, concat_ws('|', o.profile_id, o.account_id, o.cycle, o.status, 'MD ' || o.status, coalesce(o.school, '-'), CASE WHEN ord % 2 = 0 THEN cast(ord + 1 AS string) ELSE '-' END, 'explicit', cast(o.conditional AS string), {_URL}, 'told: ' || o.status) AS told FROM {{outcomes}} o JOIN {{profiles}} p ON p.id = o.profile_id"
+
+
+def told_outcomes(outcomes):
+    """Outcomes as (part, id, told)."""
+    text = F.concat_ws("|", "profile_id", "account_id", "cycle", "status", "program", F.coalesce("school", F.lit("-")), F.coalesce(F.col("reported_count").cast("string"), F.lit("-")), "count_kind", F.col("conditional").cast("string"), "source_url", "evidence")
+    return outcomes.select(F.lit("outcomes").alias("part"), "id", text.alias("told"))
+
+
+@query(f"""{_OUTCOMES} UNION ALL SELECT 'accounts', account_id, concat_ws('|', p.source, a.source_account_id, a.public_handle, cast(p.orderkey AS string)) FROM {{profiles}} p JOIN {{accounts}} a ON a.id = p.account_id
+UNION ALL SELECT 'profiles', p.id, concat_ws('|', p.account_id, p.cycle, coalesce(cast(gpa AS string), '-'), p.id || ' in ' || p.cycle, cast(coalesce(n, 0) AS string), coalesce(k, '')) FROM {{profiles}} p
+LEFT JOIN (SELECT profile_id, count(*) AS n, string_agg(category, ',' ORDER BY ord) AS k FROM {{activities}} GROUP BY profile_id) x ON x.profile_id = p.id""")
 def flatten_release(t):
-    return publish.flatten_release(release(t))[2]
+    """All three tables; of a profile the activities are read back from its document."""
+    accounts, rows, outcomes = publish.flatten_release(release(t))
+    handles = accounts.select(F.lit("accounts").alias("part"), "id", F.concat_ws("|", "source", "source_account_id", "public_handle", F.col("ordinal").cast("string")).alias("told"))
+    document = F.from_json("profile_json", "account_id string, cycle string, gpa double, summary string, activities array<struct<category:string>>")
+    told = F.concat_ws("|", "d.account_id", "d.cycle", F.coalesce(F.col("d.gpa").cast("string"), F.lit("-")), "d.summary", F.size("d.activities").cast("string"), F.array_join("d.activities.category", ","))
+    profiles = rows.select("id", document.alias("d")).select(F.lit("profiles").alias("part"), "id", told.alias("told"))
+    return told_outcomes(outcomes).unionAll(handles).unionAll(profiles)
 
 
 @query("SELECT account_id AS id, source, arg_max(id, orderkey) AS public_handle FROM {profiles} GROUP BY account_id, source")
@@ -75,11 +124,17 @@ def publish_outcomes(t):
     return publish.publish_outcomes(t.outcomes, named, new).select("id", "profile_id", "status")
 
 
-@query("""SELECT 'profile_account' AS rule, p.id AS key FROM {profiles} p JOIN {accounts} a ON a.id = p.account_id WHERE a.custkey % 10 = 0
-UNION ALL SELECT 'outcome_profile', o.id FROM {outcomes} o WHERE substr(o.profile_id, 12, 1) = '7' UNION ALL SELECT 'one_current', account_id || ':' || cycle FROM {profiles} WHERE NOT substr(id, 12, 1) = '7' GROUP BY account_id, cycle HAVING count(*) > 1""")
+@query("""WITH p AS (SELECT *, substr(id, 12, 1) = '7' AS lost FROM {profiles}), c AS (SELECT account_id, cycle FROM p WHERE NOT lost GROUP BY ALL HAVING count(*) > 1)
+SELECT 'profile_account' AS rule, p.id AS key FROM p JOIN {accounts} a ON a.id = p.account_id WHERE a.custkey % 10 = 0 AND NOT lost UNION ALL SELECT 'outcome_profile', o.id FROM {outcomes} o JOIN p ON p.id = o.profile_id WHERE lost UNION ALL SELECT 'outcome_profile', o.id FROM {outcomes} o JOIN p ON p.id = o.profile_id WHERE lost AND ord = 4 AND status = 'accepted'
+UNION ALL SELECT 'one_current', account_id || ':' || cycle FROM c UNION ALL SELECT 'version_key', account_id || ':' || cycle || ':1' FROM c UNION ALL SELECT 'account_key', id FROM {accounts} WHERE custkey % 10 <> 0 AND custkey % 17 = 0
+UNION ALL SELECT 'profile_range', id FROM p WHERE NOT lost AND orderkey % 41 = 0 UNION ALL SELECT 'outcome_status', id FROM {outcomes} WHERE ord = 3 AND status = 'pending' UNION ALL SELECT 'outcome_key', id FROM {outcomes} WHERE ord = 4 AND status = 'accepted'""")
 def integrity_check(t):
-    profiles = t.profiles.withColumn("is_current", F.lit(1))
-    return publish.integrity_check(t.accounts.where("custkey % 10 <> 0"), profiles, t.outcomes).where("rule <> 'outcome_profile' AND rule <> 'one_current'").unionAll(publish.integrity_check(t.accounts, profiles.where("substr(id, 12, 1) <> '7'"), t.outcomes))
+    """Every rule broken somewhere: accounts and profiles missing and doubled, all profiles current and of version 1, a metric and a status out of range."""
+    a, o = t.accounts.where("custkey % 10 <> 0"), t.outcomes
+    profiles = t.profiles.where("substr(id, 12, 1) <> '7'").withColumns({"is_current": F.lit(1), "version": F.lit(1), "gpa": F.when(F.col("orderkey") % 41 == 0, F.lit(4.5)).otherwise(F.col("gpa"))})
+    outcomes = o.withColumn("status", F.when((F.col("ord") == 3) & (F.col("status") == "pending"), "odd").otherwise(F.col("status")))
+    twice = outcomes.where("ord = 4 AND status = 'accepted'")
+    return publish.integrity_check(a.unionAll(a.where("custkey % 17 = 0")), profiles, outcomes.unionAll(twice))
 
 
 _COUNTS = """SELECT 'profiles' AS part, '' AS value, count(*) AS n FROM {profiles} UNION ALL SELECT 'accounts', '', count(DISTINCT account_id) FROM {profiles} UNION ALL SELECT 'outcomes', '', count(*) FROM {outcomes}
@@ -91,9 +146,11 @@ def release_counts(t):
     return publish.release_counts(t.profiles, t.outcomes)
 
 
-@query("WITH a AS (SELECT cycle, count(DISTINCT account_id) AS n FROM {profiles} GROUP BY cycle), b AS (SELECT cycle, count(DISTINCT account_id) AS n FROM {profiles} WHERE review_status = 'reviewed' GROUP BY cycle) SELECT 'accounts_by_cycle' AS part, a.cycle AS value, a.n AS published, b.n AS counted FROM a FULL JOIN b USING (cycle) WHERE a.n IS DISTINCT FROM b.n")
+@query(f"""WITH a AS ({_COUNTS}), b AS ({_COUNTS.replace("{profiles}", "r").replace("FROM a", "FROM r")}) SELECT part, value, a.n AS published, b.n AS counted FROM a FULL JOIN b USING (part, value) WHERE a.n IS DISTINCT FROM b.n""".replace("WITH a AS", "WITH r AS (SELECT * FROM {profiles} WHERE review_status = 'reviewed' AND cycle <> '2019-20'), a AS"))
 def coverage_check(t):
-    return publish.coverage_check(publish.release_counts(t.profiles, t.outcomes), publish.release_counts(t.profiles.where("review_status = 'reviewed'"), t.outcomes)).where("part = 'accounts_by_cycle'")
+    """All parts: a count of the reviewed profiles without one cycle against what all profiles give."""
+    reviewed = t.profiles.where("review_status = 'reviewed' AND cycle <> '2019-20'")
+    return publish.coverage_check(publish.release_counts(t.profiles, t.outcomes), publish.release_counts(reviewed, t.outcomes))
 
 
 @query("SELECT id, id AS name, CASE WHEN orderkey % 3 = 0 THEN 'missing' ELSE 'differs' END AS reason FROM {profiles} WHERE orderkey % 3 = 0 OR orderkey % 5 = 0")
@@ -118,7 +175,7 @@ def write_corpus(t):
     """Two releases published into a store one after the other; its ledger, with the number of stored profiles."""
     rows, path = t.written(release(t), "release"), t.folder("store")
     for name, part in (("r-1", rows.where("orderkey % 4 <> 1")), ("r-2", rows.where("orderkey % 4 = 1"))):
-        store.publish(path, part, name, "2026-01-01")
+        store.publish(path, part, name, "2026-01-01", 16)
     corpus = store.read_corpus(t.spark, path)
     return corpus["imports"].crossJoin(corpus["profiles"].agg(F.count("*").alias("stored")))
 

@@ -36,6 +36,12 @@ def read_release(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return rows.withColumn("p", F.from_json("raw", PROFILE)).withColumn("content_sha256", F.sha2("raw", 256))
 
 
+def release_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(release, version, profiles: their number) of release documents, empty ones included."""
+    documents = spark.read.schema("version int, release string, profiles array<string>").json(path, multiLine=True)
+    return documents.select("release", "version", F.coalesce(F.nullif(F.size("profiles"), F.lit(-1)), F.lit(0)).alias("profiles"))
+
+
 def parse_documents(df: DataFrame, column: str, schema: str, name: str = "parsed") -> DataFrame:
     """A column of stored JSON texts as a struct or array `name`; null where a text is no such JSON."""
     return df.withColumn(name, F.from_json(column, schema))

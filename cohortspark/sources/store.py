@@ -1,14 +1,18 @@
-"""A published corpus on shared storage: whole versions beside each other, the newest finished one counts."""
+"""A published corpus on shared storage: each release writes the buckets it touches, the newest finished version counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cohortspark.operators.publish import publish_release
 
-#: Tables of a version and the columns by which they are laid out, so that reads by them skip files.
-LAYOUT = {"accounts": ("id",), "profiles": ("account_id", "cycle"), "outcomes": ("profile_id",), "imports": ()}
-DONE = "_PUBLISHED"
+#: The column by whose hash a table is cut into buckets; the ledger is small and written whole.
+LAYOUT = {"accounts": "id", "profiles": "account_id", "outcomes": "profile_id", "imports": None}
+#: Within a bucket rows lie sorted by these, so that reads by them skip files.
+ORDER = {"accounts": ("id",), "profiles": ("account_id", "cycle"), "outcomes": ("profile_id",)}
+DONE, BUCKETS = "_PUBLISHED", 64
 
 
 def _files(spark: SparkSession, path: str):
@@ -16,46 +20,110 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
-    """(number, finished) of each version below path, in order; their number stays small, see `keep`."""
+def _folders(spark: SparkSession, path: str) -> list[str]:
     fs, at = _files(spark, path)
-    if not fs.exists(at):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
-    known = sorted(int(n[2:]) for n in names if n.startswith("v-") and n[2:].isdigit())
-    return [(n, fs.exists(_files(spark, f"{path}/v-{n:08d}/{DONE}")[1])) for n in known]
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """(number, finished) of each version below path, in order."""
+    known = sorted(int(n[2:]) for n in _folders(spark, path) if n.startswith("v-") and n[2:].isdigit())
+    return [(n, _files(spark, path)[0].exists(_files(spark, f"{path}/v-{n:08d}/{DONE}")[1])) for n in known]
+
+
+def _marker(spark: SparkSession, path: str, number: int) -> dict:
+    """What a finished version says: the number of buckets, the tables' schemas, and the version that holds each bucket."""
+    fs, at = _files(spark, f"{path}/v-{number:08d}/{DONE}")
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def newest(spark: SparkSession, path: str) -> tuple[int, dict] | None:
+    done = [n for n, finished in versions(spark, path) if finished]
+    return (done[-1], _marker(spark, path, done[-1])) if done else None
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _table(spark: SparkSession, path: str, marker: dict, name: str, only: set[int] | None = None) -> DataFrame:
+    """A table of a version, or those of its buckets: from each version that holds some, the partitions it holds."""
+    schema = T.StructType.fromJson(marker["schemas"][name])
+    held: dict[int, list[int]] = {}
+    for bucket, number in marker["held"][name].items():
+        if only is None or int(bucket) in only:
+            held.setdefault(number, []).append(int(bucket))
+    out = spark.createDataFrame([], schema)
+    for number, wanted in sorted(held.items()):
+        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{path}/v-{number:08d}/{name}")
+        rows = rows.where(F.col("bucket").isin(wanted)).drop("bucket")
+        out = out.unionAll(rows) if len(held) > 1 else rows
+    return out
 
 
 def read_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
     """The tables of the newest finished version, None where there is none."""
-    done = [n for n, finished in versions(spark, path) if finished]
-    return {name: spark.read.parquet(f"{path}/v-{done[-1]:08d}/{name}") for name in LAYOUT} if done else None
+    found = newest(spark, path)
+    return {name: _table(spark, path, found[1], name) for name in LAYOUT} if found else None
 
 
-def write_corpus(tables: dict[str, DataFrame], path: str, keep: int = 2) -> int:
-    """Write a new version and finish it with a marker file; readers see the old one until then.
+def write_version(tables: dict[str, DataFrame], path: str, touched: dict[str, set[int]], buckets: int, keep: int = 2) -> int:
+    """Write the touched buckets of each table as a new version and finish it with a marker file; readers see the old one until then.
 
-    The tables may read the store itself. A version that was left unfinished is never read. Afterwards all but the
-    newest `keep` finished versions go, so a job that still reads the one before goes on. One publisher at a time.
+    The tables hold the rows of the touched buckets alone and may read the store itself. All other buckets stay where they
+    lie. A version left unfinished is never read. Afterwards versions go that none of the newest `keep` still
+    needs, so a job that reads the one before goes on. One publisher at a time.
     """
     spark = tables["accounts"].sparkSession
+    before = newest(spark, path)
     number = max((n for n, _ in versions(spark, path)), default=0) + 1
     folder = f"{path}/v-{number:08d}"
-    for name, by in LAYOUT.items():
-        df = tables[name]
-        if by:
-            df = df.repartitionByRange(*by).sortWithinPartitions(*by)
-        df.write.parquet(f"{folder}/{name}")
+    held = {name: dict(before[1]["held"][name]) if before else {} for name in LAYOUT}
+    for name, key in LAYOUT.items():
+        df = tables[name].withColumn("bucket", bucket_of(F.col(key), buckets) if key else F.lit(0))
+        if key:
+            df = df.repartitionByRange("bucket", *ORDER[name]).sortWithinPartitions("bucket", *ORDER[name])
+        df.write.partitionBy("bucket").parquet(f"{folder}/{name}")
+        held[name].update({str(b): number for b in touched[name]})
+    told = {"buckets": buckets, "held": held, "schemas": {name: json.loads(tables[name].schema.json()) for name in LAYOUT}}
     fs, marker = _files(spark, f"{folder}/{DONE}")
-    fs.create(marker, True).close()
-    done = [n for n, finished in versions(spark, path) if finished]
-    for n, _ in versions(spark, path):
-        if n < number and n not in done[-keep:]:
+    stream = fs.create(marker, True)
+    stream.write(bytearray(json.dumps(told).encode()))
+    stream.close()
+    known = versions(spark, path)
+    done = [n for n, finished in known if finished][-keep:]
+    needed = {n for v in done for part in _marker(spark, path, v)["held"].values() for n in part.values()} | set(done)
+    for n, _ in known:
+        if n < number and n not in needed:
             fs.delete(_files(spark, f"{path}/v-{n:08d}")[1], True)
     return number
 
 
-def publish(path: str, profiles: DataFrame, release: str, imported_at: str) -> int:
-    """Publish a release into the store at path as a new version."""
-    corpus = read_corpus(profiles.sparkSession, path)
-    return write_corpus(publish_release(corpus, profiles, release, imported_at), path)
+def _buckets(keys: DataFrame, buckets: int) -> set[int]:
+    return {r[0] for r in keys.select(bucket_of(F.col(keys.columns[0]), buckets)).distinct().collect()}
+
+
+def publish(path: str, profiles: DataFrame, release: str, imported_at: str, buckets: int = BUCKETS) -> int:
+    """Publish a release into the store at path as a new version; what it writes follows the release, not the corpus.
+
+    Touched are the buckets of the release's accounts, of the accounts that its known profiles have had, and of its profiles'
+    outcomes. Of the rest of the corpus only ids and accounts are read. The number of buckets is that of the first version.
+    """
+    spark = profiles.sparkSession
+    found = newest(spark, path)
+    corpus = None
+    if found:
+        marker = found[1]
+        buckets = marker["buckets"]
+        named = profiles.select("id").distinct()
+        moved = _table(spark, path, marker, "profiles").select("account_id", "id").join(named, "id", "left_semi").select("account_id")
+        owners = _buckets(profiles.select("account_id").unionAll(moved), buckets)
+        touched = {"accounts": owners, "profiles": owners, "outcomes": _buckets(named, buckets), "imports": {0}}
+        corpus = {name: _table(spark, path, marker, name, touched[name]) for name in LAYOUT}
+    else:
+        touched = {name: set(range(buckets)) if key else {0} for name, key in LAYOUT.items()}
+    return write_version(publish_release(corpus, profiles, release, imported_at), path, touched, buckets)

@@ -1,11 +1,12 @@
 """Publishing into a store: identity, repeated releases, unfinished versions; saved answers and numbered lines."""
 
 import hashlib
+import json
 import pathlib
 
 from pyspark.sql import functions as F
 
-from cohortspark.operators import conversations, publish
+from cohortspark.operators import cohort, conversations, publish
 from cohortspark.sources import files, store
 
 PROFILE = """id string, account_id string, source string, source_account_id string, public_handle string, cycle string, version int, review_status string, gpa double,
@@ -40,7 +41,42 @@ def test_store(spark, tmp_path):
     first.write.parquet(f"{path}/v-00000009/profiles")
     assert stored(spark, path) == once and store.versions(spark, path)[-1] == (9, False)
     store.publish(path, second, "r2", "t2")
-    assert stored(spark, path) == once and [n for n, _ in store.versions(spark, path)] == [3, 10]
+    # The first version still holds the buckets that no later release touched; the second one is needed no more.
+    assert stored(spark, path) == once and [n for n, _ in store.versions(spark, path)] == [1, 3, 10]
+
+
+def test_a_release_writes_what_it_touches(spark, tmp_path):
+    """Rows written follow the release: a later one of a single account leaves all other buckets where they lie."""
+    path = str(tmp_path / "store")
+    big = [profile(f"p{k}", f"a{k}", "h", k, [("2023-24", "accepted", "S", None)] * 3) for k in range(400)]
+    store.publish(path, spark.createDataFrame(big, PROFILE), "r1", "t1", 32)
+    store.publish(path, spark.createDataFrame([profile("p7", "elsewhere", "new", 0)], PROFILE), "r2", "t2")
+    rows = lambda v, name: spark.read.parquet(f"{path}/v-{v:08d}/{name}").count()
+    # Two of 32 buckets at most: the account that is named and the one that the profile has had.
+    assert rows(1, "profiles") == 400 and rows(2, "profiles") < 60 and rows(2, "outcomes") < 120
+    got = store.read_corpus(spark, path)
+    assert got["profiles"].count() == 400 and got["outcomes"].count() == 399 * 3 and got["accounts"].count() == 401
+    kept = got["profiles"].where("id = 'p7'").first()
+    assert (kept.account_id, json.loads(kept.profile_json)["public_handle"]) == ("sdn:a7", "new")
+
+
+def test_documents_come_back(spark, tmp_path):
+    """A release file, read, validated, published and inspected: the profile's document is its own text."""
+    raw = {"id": "p1", "accountId": "sdn:x", "source": "sdn", "sourceAccountId": "X", "publicHandle": "X", "cycle": "2023-24", "gpa": 3.5, "scienceGpa": None, "mcat": 510, "residence": None, "summary": "s", "timingStatus": "cycle_report", "reviewStatus": "reviewed", "extractionConfidence": "high", "observedAt": "d", "notes": ["n"], "extra": {"kept": [1, None]},
+           "activities": [{"category": c, "description": "d", "hours": {"min": None, "max": None, "precision": "unreported"}} for c in ("clinical", "research")], "sourceUrls": ["https://forums.studentdoctor.net/x"],
+           "outcomes": [{"status": "accepted", "program": "MD", "school": None, "cycle": "2023-24", "reportedCount": 2, "countKind": "exact", "evidence": "e", "sourceUrl": "https://forums.studentdoctor.net/x", "conditional": True}], "provenance": {"sourceContentSha256": "a" * 64, "sourceArtifactKey": "corpus/x"}}
+    (tmp_path / "r.json").write_text(json.dumps({"version": 1, "release": "r", "profiles": [raw]}))
+    (tmp_path / "e.json").write_text(json.dumps({"version": 2, "release": "e", "profiles": []}))
+    headers = files.release_headers(spark, str(tmp_path / "*.json"))
+    assert sorted(map(tuple, publish.validate_release(headers).collect())) == [("e", "empty_corpus"), ("e", "format_version")]
+    nested = publish.release_profiles(files.read_release(spark, str(tmp_path / "r.json")))
+    assert publish.validate_corpus(nested).count() == 0
+    store.publish(str(tmp_path / "store"), nested, "r", "t", 4)
+    corpus = store.read_corpus(spark, str(tmp_path / "store"))
+    found = cohort.inspect_profiles(corpus["profiles"], spark.createDataFrame([("p1",)], "id string")).first()
+    assert json.loads(found.profile_json) == raw
+    o = corpus["outcomes"].first()
+    assert (o.program, o.reported_count, o.count_kind, o.conditional, o.source_url, o.evidence) == ("MD", 2, "exact", 1, raw["sourceUrls"][0], "e")
 
 
 def test_empty_release(spark, tmp_path):
