@@ -23,10 +23,20 @@ def stream_daily_usage(t):
     return jobs.run_available(jobs.daily_usage(rows), t.folder("stream"), "update", ("user_id", "day"))
 
 
-@query("SELECT DISTINCT cast(user_id AS bigint) AS user_id, event_type FROM {events}")
+#: A request id counts for 20 days from its first content on; each next first one is sought from the last.
+_VERDICTS = """WITH RECURSIVE e AS (SELECT cast(user_id % 30 AS bigint) AS user_id, event_type AS request_id, at_ms, sha256(cast(event_id % 3 AS string)) AS digest FROM (SELECT *, MILLIS AS at_ms FROM {events})),
+f AS (SELECT user_id, request_id, min(at_ms) AS at_ms FROM e GROUP BY ALL UNION ALL SELECT f.user_id, f.request_id, min(e.at_ms) FROM f JOIN e ON e.user_id = f.user_id AND e.request_id = f.request_id AND e.at_ms >= f.at_ms + 1728000000 GROUP BY f.user_id, f.request_id, f.at_ms),
+h AS (SELECT f.user_id, f.request_id, f.at_ms, min(digest) AS first FROM f JOIN e USING (user_id, request_id, at_ms) GROUP BY ALL),
+r AS (SELECT e.*, h.at_ms AS since, h.first, row_number() OVER (PARTITION BY e.user_id, e.request_id, h.at_ms ORDER BY e.at_ms, digest) AS k FROM e ASOF JOIN h ON h.user_id = e.user_id AND h.request_id = e.request_id AND e.at_ms >= h.at_ms)
+SELECT user_id, request_id, at_ms, digest, CASE WHEN k = 1 THEN 'new' WHEN digest = first THEN 'repeat' ELSE 'conflict' END AS verdict FROM r"""
+
+
+@query(_VERDICTS)
 def stream_idempotent_requests(t):
-    rows = jobs.idempotent_requests(events(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "3650 days")
-    return jobs.run_available(rows, t.folder("stream")).select(F.col("user_id").cast("long").alias("user_id"), "event_type")
+    """Event types as request ids of thirty users, with one of three contents."""
+    rows = events(t).select((F.col("user_id") % 30).cast("long").alias("user_id"), F.col("event_type").alias("request_id"), "ts", (F.col("event_id") % 3).cast("string").alias("content"))
+    got = jobs.run_available(jobs.request_verdicts(rows, ["user_id", "request_id"], 20 * 86_400_000), t.folder("stream"))
+    return got.select("user_id", "request_id", F.unix_millis("ts").alias("at_ms"), "digest", "verdict")
 
 
 @query()
@@ -52,22 +62,26 @@ def stream_answers(t):
 
 RELEASES = """WITH p AS (SELECT *, CASE WHEN orderkey % 4 = 1 THEN 2 ELSE 1 END AS seq FROM {profiles} WHERE orderkey % 8 <> 5 OR orderkey % 4 = 1),
 h AS (SELECT account_id, arg_max(id, seq * 10000000000 + orderkey) AS handle FROM p GROUP BY account_id), o AS (SELECT profile_id, count(*) AS outcomes FROM {outcomes} GROUP BY profile_id)
-SELECT p.id, p.account_id, p.cycle, CASE WHEN seq = 2 THEN 3.25 ELSE gpa END AS gpa, CASE WHEN row_number() OVER (PARTITION BY p.account_id, cycle ORDER BY seq DESC, orderkey DESC) = 1 THEN 1 ELSE 0 END AS is_current, handle, coalesce(outcomes, 0) AS outcomes
+SELECT p.id, p.account_id, p.cycle, CASE WHEN seq = 2 THEN 3.25 ELSE gpa END AS gpa, CASE WHEN row_number() OVER (PARTITION BY p.account_id, cycle ORDER BY seq DESC, orderkey DESC) = 1 THEN 1 ELSE 0 END AS is_current, handle, coalesce(outcomes, 0) AS outcomes,
+ (SELECT string_agg(release || ':' || n || ':' || a, ',' ORDER BY release) FROM (SELECT CASE WHEN k = 1 THEN 'r-2' ELSE 'r-1' END AS release, count(*) AS n, count(DISTINCT account_id) AS a FROM (SELECT account_id, CASE WHEN orderkey % 4 = 1 THEN 1 ELSE 0 END AS k FROM {profiles} UNION ALL SELECT account_id, 0 FROM {profiles} WHERE orderkey % 8 = 1) GROUP BY k)) AS ledger
 FROM p JOIN h ON h.account_id = p.account_id LEFT JOIN o ON o.profile_id = p.id"""
 
 
 @query(RELEASES)
 def stream_publish(t):
-    """Two releases of nested profiles arrive as files; the second one holds a quarter of all, half of them new, and comes twice."""
+    """Two releases of nested profiles arrive as files in parts that mix them; the second one holds a quarter of all, half of them new, and comes twice."""
     rows = t.written(release(t).withColumn("public_handle", F.col("id")), "release")
     first = rows.where("orderkey % 4 <> 1 OR orderkey % 8 <> 5").withColumn("release", F.lit("r-1"))
     second = rows.where("orderkey % 4 = 1").withColumn("gpa", F.lit(3.25)).withColumn("release", F.lit("r-2"))
+    first, second = (df.crossJoin(df.agg(F.countDistinct("ordinal").alias("release_size"))) for df in (first, second))
     files, store, seen = t.folder("files"), t.folder("store"), t.folder("checkpoint")
-    for k, part in enumerate((first.unionByName(second), second)):
+    half = lambda df, k: df.where(F.floor(F.col("orderkey") / 8) % 2 == k)
+    for k, part in enumerate((half(first, 0), half(first, 1).unionByName(half(second, 1)), half(second, 0), second)):
         part.write.json(f"{files}/{k}")
-        jobs.publish_files(t.spark, f"{files}/*", first.schema, store, seen, "2026-01-01").awaitTermination()
+        jobs.publish_files(t.spark, f"{files}/*", first.schema, store, seen, "2026-01-01", buckets=16).awaitTermination()
     corpus = read_corpus(t.spark, store)
     handles = corpus["accounts"].select(F.col("id").alias("account_id"), F.col("public_handle").alias("handle"))
     counts = corpus["outcomes"].groupBy(F.col("profile_id").alias("id")).agg(F.count("*").alias("outcomes"))
     found = corpus["profiles"].join(handles, "account_id").join(counts, "id", "left")
-    return found.select("id", "account_id", "cycle", "gpa", "is_current", "handle", F.coalesce("outcomes", F.lit(0).cast("long")).alias("outcomes"))
+    ledger = corpus["imports"].agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "release", F.col("profile_count").cast("string"), F.col("account_count").cast("string")))), ",").alias("ledger"))
+    return found.crossJoin(ledger).select("id", "account_id", "cycle", "gpa", "is_current", "handle", F.coalesce("outcomes", F.lit(0).cast("long")).alias("outcomes"), "ledger")

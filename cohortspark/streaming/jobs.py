@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from cohortspark.operators.conversations import ANSWER_CHARS, LEASE_MS, SAVED_CHARS
-from cohortspark.sources.store import publish
+from cohortspark.sources.store import BUCKETS, publish
 
 
 def daily_usage(attempts: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -17,14 +18,64 @@ def daily_usage(attempts: DataFrame, delay: str = "1 day") -> DataFrame:
     return attempts.withWatermark("ts", delay).groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("requests")).select("user_id", F.floor(F.unix_seconds("w.start") / 86_400).cast("long").alias("day"), "requests")
 
 
-def idempotent_requests(requests: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
-    """The first of equal requests within the delay."""
-    return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def conflicting_requests(requests: DataFrame, keys: list[str]) -> DataFrame:
-    """Batch check: request ids that came with different contents."""
-    return requests.groupBy(*keys).agg(F.countDistinct("content").alias("contents")).where("contents > 1")
+def keyed(rows: DataFrame, keys: list[str], processor: StatefulProcessor, out: str) -> DataFrame:
+    """A processor over the keys of a stream with a watermark; its state lies in RocksDB, entry by entry."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "append", "eventTime")
+
+
+class Verdicts(StatefulProcessor):
+    """Of each request the digest of its first content and when it came; it is forgotten `keep_ms` after that."""
+
+    def __init__(self, keys: list[str], keep_ms: int):
+        self.keys, self.keep_ms = keys, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "digest string, at_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = self.first.get() if self.first.exists() else None
+        known = first
+        said = []
+        came = pd.concat(list(rows))
+        came["at_ms"] = [int(x.timestamp() * 1000) for x in came["ts"]]
+        for e in came.sort_values(["at_ms", "digest"], kind="stable").itertuples():
+            if first is None or e.at_ms >= first[1] + self.keep_ms:
+                first = (e.digest, e.at_ms)
+                verdict = "new"
+            else:
+                verdict = "repeat" if e.digest == first[0] else "conflict"
+            said.append((*key, e.ts, e.digest, verdict))
+        if first != known:
+            if known is not None:
+                self.handle.deleteTimer(int(known[1]) + self.keep_ms)
+            self.first.update(first)
+            self.handle.registerTimer(int(first[1]) + self.keep_ms)
+        yield pd.DataFrame(said, columns=[*self.keys, "ts", "digest", "verdict"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.first.clear()
+        return iter(())
+
+
+def request_verdicts(requests: DataFrame, keys: list[str], keep_ms: int, delay: str = "1 hour") -> DataFrame:
+    """Each request of a stream (keys, ts, content) as new, repeat or conflict, with the digest of its content.
+
+    The first content of a request id counts for `keep_ms`; the same content again is a repeat, another one a conflict. After that
+    the id is new again, and its state has gone with the watermark. Requests of one batch are taken by time, then digest.
+    """
+    rows = requests.select(*keys, "ts", F.sha2(F.coalesce(F.col("content"), F.lit("")), 256).alias("digest")).withWatermark("ts", delay)
+    kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
+    return keyed(rows, keys, Verdicts(keys, keep_ms), f"{kinds}, ts timestamp, digest string, verdict string")
+
+
+def idempotent_requests(requests: DataFrame, keys: list[str], keep_ms: int, delay: str = "1 hour") -> DataFrame:
+    """The requests that request_verdicts calls new."""
+    return request_verdicts(requests, keys, keep_ms, delay).where("verdict = 'new'")
 
 
 GENERATION = "chat_id string, generation_id string, status string, ended_ms long, writes long, content string"
@@ -101,36 +152,64 @@ def stale_uploads(events: DataFrame, limit_ms: int = 180_000, delay: str = "1 mi
     return events.withWatermark("ts", delay).groupBy("file_id").applyInPandasWithState(step, "file_id string, status string, at_ms long", "start long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def answers(frames: DataFrame, delay: str = "10 minutes", silence_ms: int = 150_000) -> DataFrame:
-    """Finished answers of a stream (message_id, ts, seq, text, finish, bad), each with its status, whatever batches its frames came in.
+class Assembly(StatefulProcessor):
+    """The frames of an answer as a list, to which each batch appends its own, and where the answer stands."""
 
-    An answer ends when a frame with a finish and all before it (seq counts from 0) have come, or fails once the
-    watermark is `silence_ms` past its last frame. State holds its frames until then and leaves with it; the watermark
-    drops frames that come later still. Statuses are those of assemble_answers, texts are whole.
-    """
+    def __init__(self, silence_ms: int):
+        self.silence_ms = silence_ms
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, last = state.get if state.exists else ([], 0)
-        held = {seq: (text, finish, bad) for seq, text, finish, bad in held}
-        if not state.hasTimedOut:
-            for batch in batches:
-                for f in batch.itertuples():
-                    held.setdefault(int(f.seq), (f.text or "", f.finish or "", bool(f.bad)))
-                    last = max(last, int(f.ts.timestamp() * 1000))
-        top = max((k for k, f in held.items() if f[1]), default=None)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.frames = handle.getListState("frames", "seq long, text string, finish string, bad boolean")
+        self.stand = handle.getValueState("stand", "frames long, top long, last long")
+
+    def whole(self, key, top: int | None, late: bool) -> pd.DataFrame | None:
+        """The answer from all frames (of one number the first counts), or None while some before `top` are missing."""
+        held = {}
+        for seq, text, finish, bad in self.frames.get():
+            held.setdefault(int(seq), (text, finish, bad))
         whole = top is not None and all(k in held for k in range(top + 1))
-        if not whole and not state.hasTimedOut:
-            state.update(([(k, *f) for k, f in held.items()], last))
-            state.setTimeoutTimestamp(max(last + silence_ms, state.getCurrentWatermarkMs() + 1))
-            return
-        state.remove()
+        if not whole and not late:
+            return None
         text = "".join(held[k][0] for k in sorted(held))
         ok = whole and held[top][1] == "stop" and not any(f[2] for f in held.values()) and text.strip() and len(text) <= ANSWER_CHARS
-        yield pd.DataFrame([(key[0], text, "complete" if ok else "failed")], columns=["message_id", "content", "status"])
+        self.frames.clear()
+        self.stand.clear()
+        return pd.DataFrame([(key[0], text, "complete" if ok else "failed")], columns=["message_id", "content", "status"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        count, top, last = self.stand.get() if self.stand.exists() else (0, -1, 0)
+        before = int(last)
+        for batch in rows:
+            new = [(int(f.seq), f.text or "", f.finish or "", bool(f.bad)) for f in batch.itertuples()]
+            self.frames.appendList(new)
+            count += len(new)
+            top = max([int(top), *(f[0] for f in new if f[2])])
+            last = max([int(last), *(int(t.timestamp() * 1000) for t in batch["ts"])])
+        # Fewer frames than numbers up to the last one: nothing has to be read.
+        done = self.whole(key, int(top), False) if top >= 0 and count > top else None
+        if before:
+            self.handle.deleteTimer(before + self.silence_ms)
+        if done is not None:
+            yield done
+            return
+        self.stand.update((int(count), int(top), int(last)))
+        self.handle.registerTimer(int(last) + self.silence_ms)
 
-    rows = frames.withWatermark("ts", delay)
-    kept = "frames array<struct<seq:long,text:string,finish:string,bad:boolean>>, last long"
-    return rows.groupBy("message_id").applyInPandasWithState(step, "message_id string, content string, status string", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        top = int(self.stand.get()[1])
+        yield self.whole(key, top if top >= 0 else None, True)
+
+
+def answers(frames: DataFrame, delay: str = "10 minutes", silence_ms: int = 150_000) -> DataFrame:
+    """Finished answers of a stream (message_id, ts, seq, text, finish, bad), each with its status, whatever batches its frames came in.
+
+    An answer ends when a frame with a finish and all before it (seq counts from 0) have come, or fails once the
+    watermark is `silence_ms` past its last frame. A frame is written into state once and leaves with its answer; the watermark
+    drops frames that come later still. Statuses are those of assemble_answers, texts are whole.
+    """
+    rows = frames.select("message_id", "ts", "seq", "text", "finish", "bad").withWatermark("ts", delay)
+    return keyed(rows, ["message_id"], Assembly(silence_ms), "message_id string, content string, status string")
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -152,17 +231,33 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", keys: tupl
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, *[f"last.{c}" for c in rest])
 
 
-def publish_files(spark: SparkSession, files: str, schema: str, store: str, checkpoint: str, imported_at: str):
-    """Publish release files (JSON lines of nested profiles with their release and ordinal) as they arrive.
+def _gone(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    A batch holds the files that are new; its releases, of which there are few, are published in the order of their
-    names, each as a version of the store. The files of one release have to arrive together. Publishing is idempotent,
-    so a batch that runs again after a failure leaves the same tables.
-    """
 
-    def step(batch: DataFrame, _: int) -> None:
-        for (name,) in batch.select("release").distinct().orderBy("release").collect():
-            publish(store, batch.where(F.col("release") == name).drop("release"), name, imported_at)
+def publish_files(spark: SparkSession, files: str, schema: str, store: str, checkpoint: str, imported_at: str, staging: str | None = None, buckets: int = BUCKETS):
+    """Publish release files (JSON lines of nested profiles with release, release_size and ordinal) as they arrive, in parts of any size.
 
+    Each batch is staged under its number. A release is published once as many ordinals as its release_size says have come, in
+    whatever batches; of an ordinal that comes again the latest row counts. What is staged of it then goes. Staging and
+    publishing are idempotent, so a batch that runs again after a failure leaves the same tables. A batch gathers only
+    the names of its releases.
+    """
+    staging = staging or f"{checkpoint.rstrip('/')}-staged"
     source = spark.readStream.schema(schema).json(files)
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("release").parquet(f"{staging}/batch={number}")
+        names = [r[0] for r in spark.read.schema(batch.schema).parquet(f"{staging}/batch={number}").select("release").distinct().orderBy("release").collect()]
+        kinds = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+        staged = spark.read.schema(kinds).option("basePath", staging).parquet(f"{staging}/batch=*").where(F.col("release").isin(names))
+        have = staged.groupBy("release").agg(F.countDistinct("ordinal").alias("n"), F.max_by("release_size", "batch").alias("size")).where("n >= size")
+        for name in sorted(r.release for r in have.select("release").collect()):
+            latest = W.partitionBy("ordinal").orderBy(F.desc("batch"))
+            rows = staged.where(F.col("release") == name).withColumn("_place", F.row_number().over(latest)).where("_place = 1")
+            publish(store, rows.drop("release", "release_size", "batch", "_place"), name, imported_at, buckets)
+            for held in staged.where(F.col("release") == name).select("batch").distinct().collect():
+                _gone(spark, f"{staging}/batch={held.batch}/release={name}")
+
     return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()

@@ -61,3 +61,61 @@ def test_stale_uploads_over_batches(spark, tmp_path):
     ]
     got = sorted((r.file_id, r.status) for r in drained(spark, tmp_path, schema, batches, jobs.stale_uploads))
     assert got == [("a", "ready"), ("b", "failed"), ("c", "failed"), ("d", "ready")]
+
+
+def test_verdicts_over_batches(spark, tmp_path):
+    """Repeats and conflicts in later batches; after the time to live an id is new again and its state has gone."""
+    schema = "chat_id string, request_id string, ts timestamp, content string"
+    batches = [
+        [("c", "r1", at(0), "hello"), ("c", "r2", at(1), None)],
+        [("c", "r1", at(10), "hello"), ("d", "r1", at(11), "other"), ("c", "r1", at(12), "changed"), ("c", "r2", at(12), "")],
+        [("c", "r9", at(50_000), "x")],
+        [("c", "r1", at(50_001), "changed"), ("c", "r9", at(50_002), "y")],
+    ]
+    job = lambda s: jobs.request_verdicts(s, ["chat_id", "request_id"], 3_600_000, "1 second")
+    rows = drained(spark, tmp_path, schema, batches, job)
+    got = sorted((r.chat_id, r.request_id, int((r.ts - at(0)).total_seconds()), r.verdict) for r in rows)
+    assert got == [("c", "r1", 0, "new"), ("c", "r1", 10, "repeat"), ("c", "r1", 12, "conflict"), ("c", "r1", 50_001, "new"), ("c", "r2", 1, "new"), ("c", "r2", 12, "repeat"), ("c", "r9", 50_000, "new"), ("c", "r9", 50_002, "conflict"), ("d", "r1", 11, "new")]
+    state = spark.read.format("statestore").option("stateVarName", "first").load(f"{tmp_path}/out/checkpoint")
+    assert sorted((r.key.chat_id, r.key.request_id) for r in state.select("key").collect()) == [("c", "r1"), ("c", "r9")]
+
+
+def test_frames_are_written_once(spark, tmp_path):
+    """Over twelve batches of one answer the entries written into state grow with the frames, not with their square."""
+    schema = "message_id string, ts timestamp, seq long, text string, finish string, bad boolean"
+    source, out, written = tmp_path / "in", tmp_path / "out", []
+    for k in range(12):
+        rows = [("a", at(k), 40 * k + i, "x" * 50, "stop" if (k, i) == (11, 39) else None, False) for i in range(40)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = jobs.answers(spark.readStream.schema(schema).parquet(str(source)))
+        q = stream.writeStream.option("checkpointLocation", str(out / "c")).trigger(availableNow=True).format("parquet").option("path", str(out / "rows")).outputMode("append").start()
+        q.awaitTermination()
+        written.append(sum(p.stateOperators[0].customMetrics.get("rocksdbTotalBytesWritten", 0) for p in q.recentProgress if p.stateOperators))
+    got = spark.read.parquet(str(out / "rows")).collect()
+    assert [(len(r.content), r.status) for r in got] == [(480 * 50, "complete")]
+    assert max(written[1:]) <= 2 * max(1, min(written[1:-1])), written
+
+
+def test_releases_in_parts(spark, tmp_path):
+    """However a release is split over batches, it is published once as a whole, with one ledger row."""
+    from test_publishing import PROFILE, profile
+
+    from cohortspark.sources import store
+
+    rows = [profile(f"p{k}", f"a{k % 4}", "h", k) for k in range(10)]
+    schema = PROFILE + ", release string, release_size long"
+    for name, cuts in (("one", [10]), ("many", [1, 2, 7, 10])):
+        files, path, start = str(tmp_path / name / "in"), str(tmp_path / name / "store"), 0
+        for k, stop in enumerate(cuts):
+            # The row before comes again with each part.
+            part = [(*r, "r", 10) for r in rows[max(0, start - 1) : stop]]
+            spark.createDataFrame(part, schema).write.json(f"{files}/{k}")
+            jobs.publish_files(spark, f"{files}/*", schema, path, str(tmp_path / name / "c"), "t", buckets=4).awaitTermination()
+            assert (store.read_corpus(spark, path) is None) == (stop < 10)
+            start = stop
+        corpus = store.read_corpus(spark, path)
+        assert [(r.release, r.profile_count, r.account_count) for r in corpus["imports"].collect()] == [("r", 10, 4)]
+        assert sorted(r.id for r in corpus["profiles"].collect()) == sorted(r[0] for r in rows)
+        assert [n for n, _ in store.versions(spark, path)] == [1]
+        left = [p for p in (tmp_path / name / "c-staged").rglob("*.parquet")]
+        assert left == []
