@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 #: Fixed limits.
@@ -35,32 +37,87 @@ def chat_usage(messages: DataFrame, chats_most: int = 100, messages_most: int =
     return per.groupBy("user_id").agg(F.count("*").alias("chats"), F.max("n").alias("most_messages"), ((F.count("*") < chats_most) & (F.max("n") + 2 <= messages_most)).alias("open"))
 
 
+VERDICTS = np.array(["accepted", "daily_limit", "storage_limit"])
+
+
+class Storage:
+    """What one user holds on the way through their uploads: files, bytes, and the uploads of the last day."""
+
+    def __init__(self, files: int, most: int, per_day: int):
+        self.files, self.most, self.per_day = files, most, per_day
+        self.count, self.used, self.day, self.today = 0, 0, None, 0
+
+    def accepted(self, days: np.ndarray, sizes: np.ndarray) -> int:
+        """How many of the next uploads are accepted before one is not; they are taken in."""
+        n = min(len(days), self.files - self.count)
+        if n <= 0:
+            return 0
+        days, sizes = days[:n], sizes[:n]
+        begins = np.r_[True, days[1:] != days[:-1]]
+        place = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+        today = place + np.where(days == self.day, self.today, 0) if self.day is not None else place
+        used = self.used + np.cumsum(sizes)
+        bad = (today >= self.per_day) | (used > self.most)
+        n = int(bad.argmax()) if bad.any() else n
+        if n:
+            self.count, self.used, self.day, self.today = self.count + n, int(used[n - 1]), days[n - 1], int(today[n - 1]) + 1
+        return n
+
+    def rejected(self, days: np.ndarray, sizes: np.ndarray) -> tuple[int, int]:
+        """How many of the next uploads, the first of which is not accepted, are refused for the same reason, and the reason."""
+        if self.day is not None and days[0] == self.day and self.today >= self.per_day:
+            return int(np.searchsorted(days, self.day, side="right")), 1
+        if self.count >= self.files:
+            return len(days), 2
+        fits = sizes <= self.most - self.used
+        return (int(fits.argmax()) if fits.any() else len(days)), 2
+
+
 def admit_storage(uploads: DataFrame, files: int = FILES, most: int = BYTES, per_day: int = UPLOADS) -> DataFrame:
     """Uploads (user_id, id, at_ms, size) in order with their verdict; what is rejected takes nothing.
 
-    Acceptance depends on all earlier acceptances, so a user's uploads pass in order by a small state: files, bytes and
-    the uploads of the current day. Rows stream through sorted partitions; no user's history is held.
+    Acceptance depends on all earlier acceptances, so a user's uploads pass in order by a small state. Runs of them are decided
+    at once from sums over arrays, and as a user holds `files` files at most, there are few runs. Rows stream through
+    sorted partitions; no user's history is held. A null time or size counts as 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user, count, used, day_now, today = None, 0, 0, None, 0
+        user, state = None, None
         for batch in batches:
-            verdicts = []
-            for who, at, size in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                if who != user:
-                    user, count, used, day_now = who, 0, 0, None
-                if at // DAY_MS != day_now:
-                    day_now, today = at // DAY_MS, 0
-                if today >= per_day:
-                    verdicts.append("daily_limit")
-                elif count >= files or used + size > most:
-                    verdicts.append("storage_limit")
-                else:
-                    count, used, today = count + 1, used + size, today + 1
-                    verdicts.append("accepted")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.string())], names=["user_id", "id", "verdict"])
-
-    rows = uploads.select("user_id", "id", F.col("at_ms").cast("long").alias("at_ms"), F.col("size").cast("long").alias("size"))
+            if not batch.num_rows:
+                continue
+            codes = pc.fill_null(batch.column(0).dictionary_encode().indices, -1).to_numpy()
+            days, sizes = batch.column(2).to_numpy() // DAY_MS, batch.column(3).to_numpy()
+            out = np.zeros(len(codes), np.int8)
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            ends = np.r_[starts[1:], len(codes)]
+            # Users new in this batch whose uploads all fit are accepted without a look at each.
+            at = np.arange(len(codes))
+            fresh = np.repeat(starts, ends - starts)
+            begins = np.r_[True, (codes[1:] != codes[:-1]) | (days[1:] != days[:-1])]
+            total = np.cumsum(sizes)
+            bad = (at - fresh >= files) | (total - (total - sizes)[fresh] > most) | (at - np.maximum.accumulate(np.where(begins, at, 0)) >= per_day)
+            plain = np.add.reduceat(bad, starts) == 0
+            for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+                last = b == len(codes)
+                who = batch.column(0)[a].as_py() if k == 0 or last else None
+                known = k == 0 and state is not None and who == user
+                if plain[k] and not known and not last:
+                    continue
+                if not known:
+                    state = Storage(files, most, per_day)
+                while a < b:
+                    a += state.accepted(days[a:b], sizes[a:b])
+                    if a < b:
+                        n, reason = state.rejected(days[a:b], sizes[a:b])
+                        out[a : a + n] = reason
+                        a += n
+                if last:
+                    user = who
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(VERDICTS[out])], names=["user_id", "id", "verdict"])
+
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
+    rows = uploads.select("user_id", "id", whole("at_ms"), whole("size"))
     return rows.repartition("user_id").sortWithinPartitions("user_id", "at_ms", "id").mapInArrow(run, "user_id string, id string, verdict string")
 
 

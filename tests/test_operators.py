@@ -1,6 +1,7 @@
 """Known answers and hostile rows for single operators."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -110,6 +111,28 @@ def test_admission(spark):
     assert verdicts.count("accepted") == 21 and verdicts.count("daily_limit") == 5
 
 
+def test_admission_of_hot_users(spark):
+    """Ten users with thousands of uploads, many small ones and the null user, against a plain fold, over batches of a few rows."""
+    r = random.Random(8)
+    rows = [(f"hot{u}" if u else None, f"{u}-{k:05d}", r.randrange(40) * quotas.DAY_MS // 4, r.choice([0, 1 << 20, 5 << 20, 70 << 20, None])) for u in range(11) for k in range(400)]
+    rows += [(f"u{k}", f"s{k}-{i}", i, 1) for k in range(300) for i in range(3)]
+    want, held = {}, {}
+    for user, key, at, size in sorted(rows, key=lambda x: (x[0] or "", x[2], x[1])):
+        count, used, days = held.setdefault(user, [0, 0, {}])
+        today = days.get(at // quotas.DAY_MS, 0)
+        want[key] = "daily_limit" if today >= 4 else "storage_limit" if count >= 30 or used + (size or 0) > quotas.BYTES else "accepted"
+        if want[key] == "accepted":
+            held[user] = [count + 1, used + (size or 0), {**days, at // quotas.DAY_MS: today + 1}]
+    df = spark.createDataFrame(rows, "user_id string, id string, at_ms long, size long")
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {x.id: x.verdict for x in quotas.admit_storage(df, files=30, per_day=4).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want and len(set(want.values())) == 3
+
+
 def test_frames(spark):
     block = 'event: x\r\ndata: {"choices": [{"delta": {"content": "Hi "}}]}\r\n'
     rows = [("m", 1, block), ("m", 2, ": nothing"), ("m", 3, 'data: {"choices": [{"delta": {"content": "you"}, "finish_reason": "stop"}]}'), ("m", 4, "data: [DONE]"), ("n", 1, "data: {broken")]
