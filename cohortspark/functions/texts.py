@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -72,25 +73,84 @@ def requested_sentences(text: Column | str) -> Column:
     return _asked_sentences(own_words(F.col(text) if isinstance(text, str) else text))
 
 
-def sentence_count(text: Column) -> Column:
-    """Sentences of prose that have a letter or digit: code, headings, link targets, citations and list marks left out.
+# Punctuation by the role it has at the end of a sentence.
+FULL_STOPS, MARKS = ".\u2024\ufe52\uff0e", "!?\u0589\u061d\u061e\u061f\u06d4\u203c\u203d\u2047\u2048\u2049\u3002\ufe56\ufe57\uff01\uff1f\uff61"
+CONTINUES, QUOTES = ",-:;\u055d\u060c\u060d\u2013\u2014\u3001\uff0c\uff0d\uff1a\uff64", "\"'\u00a1\u00bf"
+
+
+class _Roles(dict):
+    """The role of each character, worked out when it is first met: U, L, O letters, N digits, M other numbers, A full stops, T marks, C closing, S blanks, K continuing, X others, nothing for what joins the character before."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind in ("Mn", "Me", "Mc", "Cf"):
+            role = ""
+        elif c in FULL_STOPS or c in MARKS:
+            role = "A" if c in FULL_STOPS else "T"
+        elif c in CONTINUES:
+            role = "K"
+        elif c in QUOTES or kind in ("Ps", "Pe", "Pi", "Pf"):
+            role = "C"
+        elif c.isspace():
+            role = "S"
+        elif kind[0] == "L":
+            role = "L" if c.islower() else "U" if c.isupper() or kind == "Lt" else "O"
+        else:
+            role = {"Nd": "N", "Nl": "M", "No": "M"}.get(kind, "X")
+        self[code] = role
+        return role
+
 
-    A sentence ends at a word in . ! ? or an ellipsis, before closing quotes or brackets; a full stop does not end it
-    after an abbreviation or before a small letter.
+_ROLES, _END, _SMALL_FOLLOWS, _SAYS = _Roles(), re.compile("([AT])C*S*"), re.compile("[^OULAT]*L"), re.compile("[ULONM]")
+
+
+def sentences(prose: str) -> int:
+    """Sentences with a letter or number, by the boundary rules of Unicode's text segmentation, over one line of prose.
+
+    A mark, with what closes and the blanks behind it, ends a sentence unless another mark or a comma, dash, colon or
+    semicolon follows. A full stop does not before a digit, between letters before a capital, or where the next letter
+    is small and no other letter or mark comes before it.
     """
+    roles = prose.translate(_ROLES)
+    count, start = 0, 0
+    for m in _END.finditer(roles):
+        end = m.end()
+        after = roles[end : end + 1]
+        if after in ("K", "A", "T"):
+            continue
+        if m[1] == "A" and after:
+            alone = end == m.start() + 1
+            if alone and (after == "N" or after == "U" and roles[m.start() - 1 : m.start()] in ("U", "L")):
+                continue
+            if _SMALL_FOLLOWS.match(roles, end):
+                continue
+        count += bool(_SAYS.search(roles, start, end))
+        start = end
+    return count + bool(_SAYS.search(roles, start))
+
+
+@F.pandas_udf(T.IntegerType())
+def _sentences(prose: pd.Series) -> pd.Series:
+    return prose.map(sentences, na_action="ignore").astype("Int32")
+
+
+def plain_prose(text: Column) -> Column:
+    """A text's prose in one line: code, headings, link targets, citations and list marks left out, full stops of abbreviations masked."""
     lines = F.filter(F.split(outside(text, "```"), "\n"), lambda x: ~F.ltrim(x).rlike(r"\A#{1,6}\s"))
     lines = F.transform(lines, lambda x: F.regexp_replace(F.ltrim(x), r"\A(?:[-*+]|[0-9]+[.)])\s+", ""))
     linked = F.split(F.array_join(lines, " "), r"\]\(")
     plain = F.array_join(F.transform(linked, lambda x, k: F.when(k == 0, x).otherwise(F.substr(x, F.locate(")", x) + 1))), "] ")
     cited = lambda w: F.regexp_replace(w, r"\A\[?[A-Z][0-9]+(?:,\z|\])", "")
-    words = F.filter(F.transform(F.split(plain, r"\s+"), cited), lambda w: w != "")
-    after = F.concat(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), F.array(F.lit("")))
-    body = lambda w: F.regexp_replace(w, r"[\"'”’)\]*_]+\z", "")
-    short = lambda w: F.rtrim(F.lower(F.regexp_replace(w, r"\A[\"'“‘(\[*_]+", "")), F.lit(".")).isin(*ABBREVIATIONS)
-    ends = F.zip_with(words, after, lambda w, x: F.struct(w.rlike(r"[\p{L}\p{N}]").alias("said"), (body(w).rlike(r"[!?…]\z") | body(w).endswith(".") & ~short(body(w)) & ~x.rlike(r"\A\p{Ll}")).alias("end")))
-    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("open"))
-    step = lambda a, w: F.struct((a["n"] + ((a["open"] | w["said"]) & w["end"]).cast("int")).alias("n"), ((a["open"] | w["said"]) & ~w["end"]).alias("open"))
-    return F.when(F.size(words) == 0, 0).otherwise(F.aggregate(ends, start, step, lambda a: a["n"] + a["open"].cast("int")))
+    told = F.array_join(F.filter(F.transform(F.split(plain, r"\s+"), cited), lambda w: w != ""), " ")
+    titles = [a.capitalize() for a in ABBREVIATIONS if "." not in a]
+    told = F.regexp_replace(told, r"\b(" + "|".join(titles) + r")\.", "$1\ue000")
+    return F.regexp_replace(told, r"(?i)\b(e|i)\.(g|e)\.", "$1\ue000$2\ue000")
+
+
+def sentence_count(text: Column) -> Column:
+    """Sentences of a text's prose that have a letter or number; see sentences and plain_prose."""
+    return _sentences(plain_prose(text))
 
 
 def sentence_check(request: Column, answer: Column) -> Column:
@@ -128,8 +188,9 @@ def future_months(text: Column, today: str) -> Column:
 
 @F.pandas_udf(T.StringType())
 def link_citations(text: pd.Series, ids: pd.Series) -> pd.Series:
-    """Bracketed citations whose ids are all known become links, unless a parenthesis follows."""
-    group = re.compile(r"\[((?:[PWAC]\d+)(?:\s*,\s*[PWAC]\d+)*)\](?!\()")
+    """Bracketed groups of ids (a letter, then up to 30 of letters, digits, _ and -) that are all known become links, unless a parenthesis follows."""
+    one_id = "[A-Za-z][A-Za-z0-9_-]{0,30}"
+    group = re.compile(rf"\[({one_id}(?:\s*,\s*{one_id})*)\](?!\()")
 
     def one(t, known):
         if t is None:

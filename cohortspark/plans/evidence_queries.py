@@ -59,22 +59,25 @@ def carry_sources(t):
     return e.select("id", F.array_join(citations.carry_sources(F.col("s"), new)["id"], ",").alias("ids"))
 
 
-@query(_MANY + f""", one AS MATERIALIZED (SELECT * FROM pairs WHERE rn = 1), s AS (SELECT request_id, string_agg(source || ': ' || n, ', ' ORDER BY source) AS sources FROM (SELECT request_id, source, count(*) AS n FROM one GROUP BY ALL) GROUP BY request_id),
-y AS (SELECT request_id, string_agg(cycle || ': ' || n, ', ' ORDER BY cycle DESC) AS cycles FROM (SELECT request_id, cycle, count(*) AS n FROM one GROUP BY ALL) GROUP BY request_id),
-g AS (SELECT request_id, count(gpa) AS gpa_n, cast(median(gpa) AS double) AS gpa_median FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY cycle DESC, id) AS place FROM one) WHERE place <= 1000 GROUP BY request_id),
+_TOLD = "concat_ws('; ', " + ", ".join(f"'{c}: ' || cast({c} AS string)" for c in ("gpa_min", "gpa_max", "mcat_min", "mcat_max")) + ", " + ", ".join(f"'{c}: ' || r.{one} || coalesce(', ' || r.{one}2, '')" for c, one in (("cycles", "cycle"), ("sources", "source"), ("outcomes", "outcome"))) + ", 'school: ' || school, 'activity: ' || activity)"
+#: One statistic of a record, without what is null, and a record's braces as < and >.
+_STAT = """'<"statistic":"{c}","n":' || count({c}) || ',"excluded":' || (count(*) - count({c})) || coalesce(',"min":' || cast(min({c}) AS double) || ',"max":' || cast(max({c}) AS double) || ',"median":' || cast(median({c}) AS double), '') || '>'"""
+
+
+@query(_MANY + f""", one AS MATERIALIZED (SELECT * FROM pairs WHERE rn = 1), s AS (SELECT request_id, string_agg('"' || source || ': ' || n || '"', ',' ORDER BY source) AS sources FROM (SELECT request_id, source, count(*) AS n FROM one GROUP BY ALL) GROUP BY request_id),
+y AS (SELECT request_id, string_agg('"' || cycle || ': ' || n || '"', ',' ORDER BY cycle DESC) AS cycles FROM (SELECT request_id, cycle, count(*) AS n FROM one GROUP BY ALL) GROUP BY request_id),
+g AS (SELECT request_id, {_STAT.format(c="gpa")} || ',' || {_STAT.format(c="mcat")} AS stats FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY cycle DESC, id) AS place FROM one) WHERE place <= 1000 GROUP BY request_id),
 ar AS (SELECT p.id FROM {{profiles}} p WHERE {EVENT} AND o.status IN ('accepted', 'rejected'))),
-c AS (SELECT request_id, count(*) AS matched, count(*) FILTER (WHERE id IN (SELECT id FROM ar)) AS with_reported_outcomes FROM one GROUP BY request_id)
-SELECT request_id, (SELECT count(DISTINCT account_id) FROM ({BASE})) AS total, matched, least(matched, 12) AS examined, with_reported_outcomes, least(matched, 1000) AS summarized, coalesce('sources: ' || r.source || coalesce(', ' || r.source2, ''), '') AS filters, sources, cycles, gpa_n, gpa_median, true AS told
+c AS (SELECT request_id, count(*) AS matched, count(*) FILTER (WHERE id IN (SELECT id FROM ar)) AS reported FROM one GROUP BY request_id)
+SELECT request_id, left(translate('<"counts":<"total":' || (SELECT count(DISTINCT account_id) FROM ({BASE})) || ',"matched":' || matched || ',"examined":' || least(matched, 12) || ',"with_reported_outcomes":' || reported || ',"summarized":' || least(matched, 1000) || '>,"filters":"' || {_TOLD} || '","statistics":[' || stats || '],"coverage":<"sources":[' || sources || '],"cycles":[' || cycles || ']>>', '<>', chr(123) || chr(125)), 6000) AS excerpt
 FROM c JOIN s USING (request_id) JOIN y USING (request_id) JOIN g USING (request_id) JOIN {{requests}} r USING (request_id)""")
 def cohort_evidence(t):
+    """Whole records of all requests, as their text."""
     asked = saved(t)
     found = batch.cohort_match_many(asked, searched(t), t.outcomes).select("request_id", "id", "account_id", "source", "cycle", "observed_at", "gpa", "mcat")
     found = t.written(found, "matches")
-    rows = citations.cohort_evidence(asked.select("request_id", "sources"), batch.match_records(found, t.profiles, t.outcomes), batch.match_summaries(found), batch.match_coverage(found))
-    gpa = F.get("statistics", F.lit(0))
-    told = F.col("excerpt").startswith('{"counts":{"total":') & F.contains("excerpt", F.lit('"median"')) & (F.length("excerpt") <= 6000)
-    numbers = ("request_id", "total", "matched", "examined", "with_reported_outcomes", "summarized", "filters")
-    return rows.select(*numbers, F.array_join("sources", ", ").alias("sources"), F.array_join("cycles", ", ").alias("cycles"), gpa["n"].alias("gpa_n"), gpa["median"].alias("gpa_median"), told.alias("told"))
+    rows = citations.cohort_evidence(asked, batch.match_records(found, t.profiles, t.outcomes), batch.match_summaries(found), batch.match_coverage(found))
+    return rows.select("request_id", "excerpt")
 
 
 @query("SELECT id, cast(5 AS bigint) AS sources, CASE WHEN length(id) % 2 = 0 THEN 'f-1' END AS attachment FROM {messages} WHERE role = 'assistant'")

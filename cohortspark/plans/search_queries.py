@@ -143,12 +143,30 @@ def inspect_profiles(t):
     return cohort.inspect_profiles(t.profiles, ids).select("asked", "valid", "cycle", "gpa")
 
 
-@query("""SELECT p.id, coalesce(count(o.id) FILTER (WHERE o.cycle = p.cycle AND o.conditional = 0), 0) AS own, count(o.id) - coalesce(count(o.id) FILTER (WHERE o.cycle = p.cycle AND o.conditional = 0), 0) AS excluded,
- coalesce(bool_or(o.status = 'accepted' AND o.cycle = p.cycle AND o.conditional = 0), false) AS has_acceptance, (SELECT count(*) FROM {activities} a WHERE a.profile_id = p.id AND p.timing_status <> 'retrospective_mixed' AND a.category NOT IN ('publications', 'other')) AS with_hours
- FROM {profiles} p LEFT JOIN {outcomes} o ON o.profile_id = p.id GROUP BY p.id, p.timing_status""")
+_SNAPSHOT = """WITH a AS (SELECT profile_id, string_agg(CASE WHEN timing_status = 'retrospective_mixed' THEN concat_ws('|', category, timing, '-', 'mixed_timing_not_attributed_to_cycle', '-', '-')
+  ELSE concat_ws('|', category, timing, CASE WHEN ord % 5 = 4 THEN '  ' ELSE left(repeat(category || ' work ', 60), 500) END, CASE WHEN ord % 5 = 4 THEN 'no_description_reported' ELSE 'reported_text' END, CASE WHEN category IN ('publications', 'other') THEN 'narrative_not_hours' ELSE 'hours' END,
+   CASE WHEN category IN ('publications', 'other') THEN '-' ELSE cast(hours_min AS string) || '/' || cast(hours_max AS string) || '/' || hours_precision END) END, '; ' ORDER BY ord) AS activities FROM {activities} x JOIN {profiles} p ON p.id = x.profile_id GROUP BY profile_id),
+o AS (SELECT profile_id, string_agg(concat_ws('|', o.cycle, status, coalesce(school, '-'), left(repeat('told: ' || status || ' ', 40), 400)), '; ' ORDER BY ord) FILTER (WHERE o.cycle = p.cycle AND conditional = 0) AS outcomes, count(*) FILTER (WHERE NOT (o.cycle = p.cycle AND conditional = 0)) AS excluded,
+  bool_or(status = 'accepted' AND o.cycle = p.cycle AND conditional = 0) AS acceptance FROM {outcomes} o JOIN {profiles} p ON p.id = o.profile_id GROUP BY profile_id)
+SELECT p.id, account_id, cycle, gpa, mcat, timing_status, CASE WHEN timing_status = 'retrospective_mixed' THEN cycle || ' applicant with retrospectively reported activities; amounts are omitted because what was done before this application is not known.' ELSE left(repeat(p.id || ' in ' || cycle || ' ', 100), 2000) END AS summary,
+ coalesce(activities, '') AS activities, coalesce(outcomes, '') AS outcomes, coalesce(acceptance, false) AS has_acceptance, coalesce(excluded, 0) AS excluded FROM {profiles} p LEFT JOIN a ON a.profile_id = p.id LEFT JOIN o ON o.profile_id = p.id"""
+
+
+@query(_SNAPSHOT)
 def profile_snapshot(t):
-    s = cohort.profile_snapshot(nested(t))
-    return s.select("id", F.size("outcomes").cast("long").alias("own"), F.col("excluded_outcome_events").cast("long").alias("excluded"), "has_acceptance", F.size(F.filter("activities", lambda a: a["hours"].isNotNull())).cast("long").alias("with_hours"))
+    """Whole snapshots of profiles whose summary, descriptions and evidence are longer than what is kept; some descriptions are blank."""
+    long = lambda c, n: F.repeat(F.concat(c, F.lit(" ")), F.lit(n))
+    p = nested(t).withColumns({
+        "summary": long(F.col("summary"), 100),
+        "activities": F.transform("activities", lambda a: a.withField("description", F.when(a["ord"] % 5 == 4, "  ").otherwise(long(a["description"], 60)))),
+        "outcomes": F.transform("outcomes", lambda o: o.withField("evidence", long(o["evidence"], 40))),
+    })
+    none = lambda c: F.coalesce(c, F.lit("-"))
+    hours = lambda h: none(F.when(h.isNotNull(), F.concat_ws("/", h["min"].cast("string"), h["max"].cast("string"), h["precision"])))
+    acts = F.transform("activities", lambda a: F.concat_ws("|", a["category"], a["timing"], none(a["reported_text"]), a["reporting_status"], none(a["measurement_type"]), hours(a["hours"])))
+    outs = F.transform("outcomes", lambda o: F.concat_ws("|", o["cycle"], o["status"], none(o["school"]), o["evidence"]))
+    s = cohort.profile_snapshot(p)
+    return s.select("id", "account_id", "cycle", "gpa", "mcat", "timing_status", "summary", F.array_join(acts, "; ").alias("activities"), F.array_join(outs, "; ").alias("outcomes"), "has_acceptance", F.col("excluded_outcome_events").cast("long").alias("excluded"))
 
 
 def saved(t: Tables) -> DataFrame:

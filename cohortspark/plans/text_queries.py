@@ -30,20 +30,24 @@ def future_months(t):
  j AS (SELECT doc_id, required, string_split(array_to_string(list_transform(list_filter(lines, lambda x: NOT regexp_matches(ltrim(x), '^#{1,6}\s')), lambda x: regexp_replace(ltrim(x), '^(?:[-*+]|[0-9]+[.)])\s+', '')), ' '), '](') AS k FROM l),
  t AS (SELECT doc_id, required, array_to_string(list_transform(k, lambda x, i: CASE WHEN i = 1 THEN x ELSE substr(x, strpos(x, ')') + 1) END), '] ') AS plain FROM j),
  a AS (SELECT doc_id, required, list_filter(list_transform(regexp_split_to_array(plain, '\s+'), lambda x: regexp_replace(x, '^\[?[A-Z][0-9]+(?:,$|\])', '')), lambda x: x <> '') AS w FROM t),
- b AS (SELECT doc_id, required, list_transform(range(1, len(w) + 1), lambda i: {'said': regexp_matches(w[i], '[\p{L}\p{N}]'), 'last': regexp_replace(w[i], '[\x22''”’)\]*_]+$', ''), 'next': coalesce(w[i + 1], '')}) AS r FROM a),
- c AS (SELECT doc_id, required, list_transform(r, lambda x: {'said': x.said, 'stop': regexp_matches(x.last, '[!?…]$') OR x.last LIKE '%.' AND NOT regexp_matches(lower(x.last), '^[\x22''“‘(\[*_]*(mr|mrs|ms|dr|prof|sr|jr|st|e\.g|i\.e)\.+$') AND NOT regexp_matches(x.next, '^\p{Ll}')}) AS r FROM b),
- u AS (SELECT doc_id, generate_subscripts(r, 1) AS i, unnest(r) AS x FROM c),
- d AS (SELECT doc_id, x.said AS said, coalesce(sum(CASE WHEN x.stop THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM u),
- e AS (SELECT doc_id, count(DISTINCT part) FILTER (WHERE said) AS actual FROM d GROUP BY doc_id)
- SELECT c.doc_id, cast(c.required AS integer) AS required, cast(coalesce(actual, 0) AS integer) AS actual, coalesce(actual, 0) = c.required AS valid FROM c LEFT JOIN e USING (doc_id)""")
+ b AS (SELECT doc_id, required, regexp_replace(regexp_replace(array_to_string(w, ' '), '\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St)\.', '\1_', 'g'), '(?i)\b(e|i)\.(g|e)\.', '\1_\2_', 'g') AS t FROM a),
+ r AS (SELECT doc_id, required, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\p{M}\p{Cf}]', '', 'g'), '\p{Ll}', 'a', 'g'), '[\p{Lu}\p{Lt}]', 'B', 'g'), '[\p{Lm}\p{Lo}]', '字', 'g'), '\p{Nd}', '1', 'g') AS t FROM b),
+ q AS (SELECT doc_id, required, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\p{Nl}\p{No}]', '½', 'g'), '[\p{Ps}\p{Pe}\p{Pi}\p{Pf}''¡¿"]', '"', 'g'), '\s', ' ', 'g'), '[-:;–—]', ',', 'g'), '\?', '!', 'g') AS t FROM r),
+ n AS (SELECT doc_id, required, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\.1', '_1', 'g'), '([aB])\.B', '\1_B', 'g'), '([aB])\.B', '\1_B', 'g'), '\.(\x22* *[^字Ba.!]*a)', '_\1', 'g') AS t FROM q),
+ m AS (SELECT doc_id, required, regexp_replace(regexp_replace(regexp_replace(t, '(?:[.!]\x22* *)+([.!])', '\1', 'g'), '[.!](\x22* *,)', '_\1', 'g'), '[.!]\x22* *', chr(10), 'g') AS t FROM n)
+ SELECT doc_id, cast(required AS integer) AS required, cast(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[aB字1½]'))) AS integer) AS actual, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[aB字1½]'))) = required AS valid FROM m""")
 def sentence_check(t):
     checked = t.documents.select("doc_id", texts.sentence_check(F.expr(_ASK), F.coalesce("text", F.lit(""))).alias("c"))
     return checked.where("c IS NOT NULL").select("doc_id", "c.required", "c.actual", "c.valid")
 
 
-@query(r"SELECT id AS message_id, regexp_replace(content, '\[C1\]', '[C1](#source-C1)', 'g') AS linked FROM {messages}")
+@query(r"""WITH m AS (SELECT *, cast(1 + (conv_id + turn) % 4 AS string) AS x, cast(1 + (conv_id * 3 + turn) % 6 AS string) AS y FROM {messages})
+SELECT id AS message_id, CASE WHEN role <> 'assistant' THEN content ELSE regexp_replace(regexp_replace(content, '\[P\d, P[1-4]\] ', '[P' || x || '](#source-P' || x || ') [P' || y || '](#source-P' || y || ') '), '\[C1\]', '[C1](#source-C1)') END AS linked FROM m""")
 def link_citations(t):
-    return t.messages.select(F.col("id").alias("message_id"), texts.link_citations(F.col("content"), F.array(F.lit("C1"))).alias("linked"))
+    """Groups of two against the sources of their own message: P1 to P4 and C1 are known, P5 and P6 are not."""
+    m, known = t.messages, t.sources.groupBy("message_id").agg(F.collect_set("id").alias("known"))
+    rows = m.join(known, m["id"] == known["message_id"], "left").drop("message_id")
+    return rows.select(F.col("id").alias("message_id"), texts.link_citations(F.col("content"), F.col("known")).alias("linked"))
 
 
 @query("SELECT page_id, left(replace(url, '/', '_'), 160) AS name FROM {pages}")

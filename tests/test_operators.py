@@ -102,6 +102,25 @@ def test_citations(spark):
     assert {(r.chat_id, r.key): r.id for r in citations.citation_ledger(history, new).collect()} == {("c", "3"): "A8", ("c", "4"): "A13", ("d", "x"): "P1"}
 
 
+def test_sentences(spark):
+    """The source's own cases, then abbreviations, decimals, quotes, ellipses, other scripts and edges."""
+    cases = {
+        "Dr. Lee supervised my clinic role. I earned a 3.8 GPA. [P1, P2]": 2, "1. I helped patients.\n2. I learned from the team.": 2, "I helped patients; I also organized appointments.": 1, "First fragment\nSecond fragment": 1, "[P1] [C2]": 0,
+        "I assisted patients with scheduling (e.g. finding the right appointment). I volunteered weekly.": 2,
+        "": 0, "...": 0, "?!": 0, "Wait... what?": 1, "Wait... What?": 2, "Really?! Yes.": 2, "He said \"Go.\" She went.": 2, "He said (go.) then left.": 1, "U.S. policy is A.B.C. now.": 1, "Version 1.2.3 came. It works.": 2, "Score 3.5! Good": 2, "One.Two": 1, "one.two three": 1, "End.) Next": 2,
+        "Prof. Ada and Mrs. Bo agreed. i.e. all": 1, "I.E. All of it.": 1, "Yes.  5 days left.": 1, "Yes. 5 Days left.": 2, "Это раз. Это два.": 2, "你好。再见。": 2, "a. b. c.": 1, "No stop": 1, "Stop!, then go.": 1, "x. — y": 1, "```code. Code.``` Text.": 1, "# Head. Line\nBody.": 1, "See [this. That](http://x.y/a.B) now.": 2, "½. ½.": 2, "Fin.\u200b Next.": 2,
+    }
+    rows = spark.createDataFrame([(t, n) for t, n in cases.items()] + [(None, None)], "t string, n int").withColumn("got", texts.sentence_count(F.col("t"))).collect()
+    assert [(r.t, r.got) for r in rows] == [(r.t, r.n) for r in rows]
+
+
+def test_citation_links(spark):
+    known = ["P1", "W-2", "calc_3", "a" * 31, "Z"]
+    cases = {"[P1]": "[P1](#source-P1)", "[P1 ,W-2] [P1](x)": "[P1](#source-P1) [W-2](#source-W-2) [P1](x)", "[P1, Q]": "[P1, Q]", "[calc_3][Z]": "[calc_3](#source-calc_3)[Z](#source-Z)", f"[{'a' * 31}]": f"[{'a' * 31}](#source-{'a' * 31})", f"[{'a' * 32}] [1P] [P1,]": f"[{'a' * 32}] [1P] [P1,]", "[P١]": "[P١]"}
+    df = spark.createDataFrame([(t, known) for t in cases] + [("[P1]", None), (None, known)], "t string, k array<string>")
+    assert [r.x for r in df.select(texts.link_citations(F.col("t"), F.col("k")).alias("x")).collect()] == [*cases.values(), "[P1]", None]
+
+
 def test_admission(spark):
     rows = [("u", f"f{k:02d}", k, 30 << 20) for k in range(4)] + [("u", "f9", 9, 1), ("v", "g", 0, 1)]
     got = {r.id: r.verdict for r in quotas.admit_storage(spark.createDataFrame(rows, "user_id string, id string, at_ms long, size long")).collect()}
