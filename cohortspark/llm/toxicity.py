@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,26 +15,28 @@ from pyspark.sql import DataFrame, functions as F
 from .common import BLANKS, Seen, dropped, hashed, kept, smaller, split_words
 from .nearjoin import shingles
 
-#: Length of the common subsequences and the weight of each skipped character.
-ORDER, DECAY = 4, 0.7
+#: What each character of a common subsequence, of whatever length, and each skipped character multiply its weight by.
+STEP, DECAY = 2.0, 0.95
+#: A power of a normalised kernel is a kernel and tells near from far more sharply.
+POWER = 2
+#: Shortest landmark.
+SHORTEST = 4
+#: Smaller values count as 0: those of words that differ from a landmark by two characters or more.
+FLOOR = 0.45
 #: Words of a sentence at most; longer ones are cut into several.
 SENTENCE = 64
 #: Bound of the training sample: labelled documents of each class, those of the least hashed doc_id.
 SAMPLE = 2500
 #: Landmarks from toxic and from clean documents, and the characters that one kernel call sees of a longer word.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, WINDOW = 48, 6, 24
-#: Least log-likelihood ratio (G squared) of a landmark from toxic documents.
-SIGNIFICANT = 30.0
-#: A power of a normalised kernel is a kernel and tells near from far more sharply.
-POWER = 2
 #: Sentences of a training document that reach the driver.
 WITNESSES = 5
+#: Order of the norm over a document's sentences: the higher, the more its strongest one stands out.
+GAIN = 2.0
 #: A sentence near a landmark has this value of the kernel at least.
 SHOWN = 0.5
-#: Weight of all clean documents when the machine is fitted, where each of their sentences counts, and when scores are scaled.
-CLEAN_SENTENCES, CLEAN_WEIGHT = 0.97, 0.75
-#: Sentences whose values make up a document's.
-WORST = 3
+#: Weight of all clean documents when the machine is fitted, where each of their sentences counts, and when scores are scaled; of what is left, the share of disguised landmarks.
+CLEAN_SENTENCES, CLEAN_WEIGHT, DISGUISED = 0.95, 0.75, 0.5
 #: Words whose values a worker keeps (20 bytes each).
 KEPT_WORDS = 1_000_000
 
@@ -47,80 +49,82 @@ def coded(words: list[str], width: int) -> np.ndarray:
     return out
 
 
-def kernel_ends(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """For each pair of rows: the weight of the common subsequences of `order` characters that end at each two places.
+def kernel_ends(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """For each pair of rows: the weight of the common subsequences, of all lengths, that end at each two places.
 
-    A subsequence weighs decay ** (characters skipped in both). One step takes those of a length to the next by two
-    triangular sums over earlier places.
+    A subsequence of n characters weighs STEP ** n * DECAY ** (characters skipped in both). A row of places at a time
+    goes on from the decayed sums over all places before it.
     """
     n, m = s.shape[1], t.shape[1]
     # Pairs lie last, so that every step works on long contiguous rows.
     letters, others = np.ascontiguousarray(s.T)[:, None, :], np.ascontiguousarray(t.T)[None, :, :]
-    same = ((letters == others) & (letters > 0)).astype(np.float32)
-    ends, decay = same, np.float32(decay)
-    before, total = np.zeros_like(same), np.zeros_like(same)
-    for _ in range(order - 1):
-        for a in range(1, n):
-            np.multiply(before[a - 1], decay, out=before[a])
-            before[a] += ends[a - 1]
-        for b in range(1, m):
-            np.multiply(total[:, b - 1], decay, out=total[:, b])
-            total[:, b] += before[:, b - 1]
-        ends = same * total
+    ends = ((letters == others) & (letters > 0)).astype(np.float32)
+    ends *= np.float32(STEP)
+    decay, before = np.float32(DECAY), np.zeros(ends.shape[1:], np.float32)
+    for i in range(n):
+        ends[i, 1:] *= 1 + before[:-1]
+        row = ends[i].copy()
+        for j in range(1, m):
+            row[j] += decay * row[j - 1]
+        before *= decay
+        before += row
     return ends
 
 
-def kernel_pairs(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+def kernel_pairs(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """The subsequence kernel of each pair of rows."""
-    return kernel_ends(s, t, order, decay).sum(axis=(0, 1), dtype=np.float64)
-
-
-def _masks(codes: np.ndarray) -> np.ndarray:
-    bits = np.left_shift(np.uint64(1), (codes % 64).astype(np.uint64))
-    return np.bitwise_or.reduce(np.where(codes > 0, bits, np.uint64(0)), axis=1)
+    return kernel_ends(s, t).sum(axis=(0, 1), dtype=np.float64)
 
 
 class Kernel:
-    """Normalised kernel values of words against landmarks; pairs that are left out have no common subsequence, and value 0."""
+    """Normalised kernel values of words against landmarks, below FLOOR 0; only what may reach FLOOR is computed."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         self.codes = coded(landmarks, max(map(len, landmarks), default=1))
-        self.masks = _masks(self.codes)
-        # A common subsequence has at least as many distinct characters as the poorest one of the landmark.
-        self.least = np.array([self._poorest(w) for w in landmarks], np.int64)
+        self.sizes = np.array([len(w) for w in landmarks], np.int64)
         self.own = np.maximum(kernel_pairs(self.codes, self.codes), 1e-9) if landmarks else np.ones(0)
+        self.alphabet = np.unique(self.codes[self.codes > 0])
+        # For each landmark its different characters, and for each set of them whether a word with just these can reach FLOOR.
+        self.letters = [np.unique(c[c > 0]) for c in self.codes]
+        self.open = [self._reach(c, letters) >= FLOOR for c, letters in zip(self.codes, self.letters)]
 
     @staticmethod
-    def _poorest(word: str) -> int:
-        """Fewest distinct codes (modulo 64, as in the masks) that ORDER characters of the word can have."""
-        total = 0
-        for n, (_, times) in enumerate(Counter(ord(c) % 64 for c in word).most_common(), 1):
-            total += times
-            if total >= ORDER:
-                return n
-        return 99
-
-    def values(self, words: list[str]) -> np.ndarray:
-        """A row for each bare word: k(s, t) / sqrt(k(s, s) k(t, t)) to the POWER, for each landmark t.
-
-        s is the beginning of the word that is nearest to t, whole words included: an insult may have an ending. A
-        word counts as written, without its inner punctuation and without all that is no letter, whichever is nearest.
-        Words longer than the window take the greatest of overlapping windows.
+    def _reach(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The bound sqrt(k'(t, t) / k(t, t)) for every set of a landmark's characters, k' being the kernel over these alone."""
+        sets = np.arange(1 << len(letters))
+        within = (sets[:, None] >> np.searchsorted(letters, np.where(codes > 0, codes, letters[0]))[None, :]) & 1
+        kept = np.where(within.astype(bool) & (codes > 0), codes, 0).astype(np.int32)
+        own = np.concatenate([kernel_pairs(kept[k : k + 4096], kept[k : k + 4096]) for k in range(0, len(kept), 4096)])
+        return np.sqrt(own / max(own[-1], 1e-9))
+
+    def _pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and landmarks whose value may reach FLOOR."""
+        there = np.zeros((len(codes), len(self.alphabet)), bool)
+        place = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        row, column = np.nonzero((self.alphabet[place] == codes) & (codes > 0))
+        there[row, place[row, column]] = True
+        out = [], []
+        for k, (letters, fits) in enumerate(zip(self.letters, self.open)):
+            which = there[:, np.searchsorted(self.alphabet, letters)] @ (1 << np.arange(len(letters)))
+            met = np.flatnonzero(fits[which])
+            out[0].append(met)
+            out[1].append(np.full(len(met), k))
+        return np.concatenate(out[0]), np.concatenate(out[1])
+
+    def parts(self, parts: list[str]) -> np.ndarray:
+        """A row for each part s of a word: k(s', t) / sqrt(k(s', s') k(t, t)) to the POWER, for each landmark t.
+
+        s' is the beginning of s that is nearest to t, of at least t's length or s itself: an insult may have an ending.
         """
-        out = np.zeros((len(words), len(self.landmarks)))
-        by: dict[int, tuple[list[int], list[str]]] = {}
-        for k, w in enumerate(words):
-            for form in forms(w):
-                for p in [form] if len(form) <= WINDOW else [form[a : a + WINDOW] for a in range(0, len(form) - WINDOW // 2, WINDOW // 2)]:
-                    if len(p) >= ORDER:
-                        at = by.setdefault(max(8, -(-len(p) // 4) * 4), ([], []))
-                        at[0].append(k)
-                        at[1].append(p)
-        for width, (owners, parts) in by.items():
-            for start in range(0, len(parts), 20_000):
-                owner, codes = np.array(owners[start : start + 20_000]), coded(parts[start : start + 20_000], width)
-                a, b = np.nonzero(np.bitwise_count(_masks(codes)[:, None] & self.masks[None, :]) >= self.least[None, :])
+        out = np.zeros((len(parts), len(self.landmarks)))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        widths = np.maximum(8, -(-sizes // 4) * 4)
+        for width in np.unique(widths).tolist():
+            every = np.flatnonzero(widths == width)
+            for at in (every[k : k + 20_000] for k in range(0, len(every), 20_000)):
+                codes = coded([parts[k] for k in at.tolist()], width)
+                a, b = self._pairs(codes)
                 met, index = np.unique(a, return_inverse=True)
                 norms = np.zeros((width, len(met)), np.float32)
                 for lo in range(0, len(met), 1024):
@@ -129,9 +133,23 @@ class Kernel:
                 for lo in range(0, len(a), 2048):
                     x, y = a[lo : lo + 2048], b[lo : lo + 2048]
                     norm = norms[:, index[lo : lo + 2048]]
-                    share = np.divide(kernel_ends(codes[x], self.codes[y]).sum(axis=1).cumsum(axis=0), norm, out=np.zeros_like(norm), where=norm > 0).max(axis=0)
-                    np.maximum.at(out, (owner[x], y), share / np.sqrt(self.own[y]))
-        return np.minimum(out, 1) ** POWER
+                    share = np.divide(kernel_ends(codes[x], self.codes[y]).sum(axis=1).cumsum(axis=0), norm, out=np.zeros_like(norm), where=norm > 0)
+                    long = np.arange(width)[:, None] + 1 >= np.minimum(self.sizes[y], sizes[at[x]])[None, :]
+                    out[at[x], y] = np.where(long, share, 0).max(axis=0) / np.sqrt(self.own[y])
+        return np.where(out < FLOOR, 0, np.minimum(out, 1) ** POWER)
+
+    def values(self, words: list[str]) -> np.ndarray:
+        """A row for each bare word; the greatest values of its forms and, where it is longer than a window, of its windows."""
+        owners, parts = [], []
+        for k, w in enumerate(words):
+            for form in forms(w):
+                for p in windows(form):
+                    owners.append(k)
+                    parts.append(p)
+        out = np.zeros((len(words), len(self.landmarks)))
+        if parts and self.landmarks:
+            np.maximum.at(out, np.array(owners), self.parts(parts))
+        return out
 
     def gram(self) -> np.ndarray:
         """The landmarks' kernel matrix, normalised."""
@@ -140,6 +158,19 @@ class Kernel:
         return (kernel_pairs(self.codes[a], self.codes[b]).reshape(n, n) / np.sqrt(np.outer(self.own, self.own))) ** POWER
 
 
+def windows(form: str) -> list[str]:
+    """A form whole, or windows of it that begin at each third place, so that a landmark stands near the beginning of one."""
+    return [form] if len(form) <= WINDOW else [form[a : a + WINDOW] for a in range(0, len(form) - SHORTEST, 3)]
+
+
+def disguises(landmark: str) -> list[str]:
+    """A landmark with one strange character more, one doubled, or one less, at every place within it."""
+    mark, word = landmark[0], landmark[1:]
+    inner = range(1, len(word))
+    more = [mark + word[:k] + "\x01" + word[k:] for k in inner] + [mark + word[:k] + word[k - 1] + word[k:] for k in inner]
+    return more + ([mark + word[:k] + word[k + 1 :] for k in inner[:-1]] if len(word) > SHORTEST else [])
+
+
 def bare(word: str) -> str:
     """Lower case, without outer punctuation, after a start mark; empty if nothing is left."""
     word = word.lower()
@@ -199,7 +230,7 @@ class Sentences:
                 if word + more[0] not in begins:
                     break
                 word += more
-                if any(word[:n] in whole for n in range(ORDER - 1, len(word) + 1)):
+                if any(word[:n] in whole for n in range(SHORTEST - 1, len(word) + 1)):
                     places.append(at)
                     out.append(word)
         return np.array(places, np.int64), out
@@ -215,21 +246,21 @@ class Sentences:
         return np.searchsorted(self.starts, self.text_first)
 
 
-def worst_values(text: np.ndarray, values: np.ndarray, texts: int) -> np.ndarray:
-    """For each text the sum of its WORST largest sentence values above 0."""
-    some = np.flatnonzero(values > 0)
-    order = some[np.lexsort((-values[some], text[some]))]
-    of = text[order]
-    top = np.arange(len(of)) - np.searchsorted(of, of) < WORST
-    return np.bincount(of[top], values[order][top], minlength=texts)
+def document_values(text: np.ndarray, decisions: np.ndarray, texts: int, bias: float) -> np.ndarray:
+    """For each text what its sentences' decisions exceed the bias by, as a norm of order GAIN over all of them.
+
+    One sentence counts as it is, further ones add less than their own; sentences near no landmark add nothing, however many.
+    """
+    return np.bincount(text, np.maximum(0, decisions - bias) ** GAIN, minlength=texts) ** (1 / GAIN)
 
 
 @dataclass
 class Model:
-    """Landmarks, the first `marks` of them toxic, the weight of each kernel value, and the scale of scores."""
+    """Landmarks, the first `marks` of them toxic, the weight of each kernel value, the bias, and the scale of scores."""
 
     landmarks: list[str]
     weights: np.ndarray
+    bias: float = 0.0
     scale: tuple[float, float] = (1.0, 0.0)
     marks: int = 0
 
@@ -250,16 +281,16 @@ class Scorer:
         return np.concatenate([self.kernel.values(["^" + w for w in words[k : k + 50_000]]) @ self.model.weights for k in range(0, len(words), 50_000)])
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """Score of each text: the values of its worst sentences, added, on the scale; without any it is the scale's foot."""
+        """Score of each text: its value on the scale."""
         if self.seen.full():
             self.seen.trim()
         s = Sentences(texts, self.model.landmarks[: self.model.marks])
         once = s.joined.dictionary_encode()
         joined = self.word_values(once.dictionary)[once.indices.to_numpy()] if len(once) else np.zeros(0)
-        values = s.greatest(self.word_values(s.words), joined)
-        worst = worst_values(np.repeat(np.arange(len(texts)), np.diff(s.of_text())), values, len(texts))
+        values = s.greatest(self.word_values(s.words), joined) + self.model.bias
+        whole = document_values(np.repeat(np.arange(len(texts)), np.diff(s.of_text())), values, len(texts), self.model.bias)
         a, b = self.model.scale
-        return 1 / (1 + np.exp(-np.clip(a * worst + b, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(a * whole + b, -50, 50)))
 
 
 def sampled_labels(labels: DataFrame, each: int = SAMPLE) -> DataFrame:
@@ -308,7 +339,13 @@ def _chosen(sample: DataFrame) -> tuple[list[str], int]:
     t, c = F.col("t") / toxic, F.col("c") / clean
     base = (F.col("t") + F.col("c")) / (toxic + clean)
     worth = 2 * (F.col("t") * F.log(t / base) + F.when(F.col("c") > 0, F.col("c") * F.log(c / base)).otherwise(0.0))
-    rows = parts.where((t > 3 * c) & (worth >= SIGNIFICANT)).orderBy(worth.desc(), F.desc("n"), "part").limit(80 * TOXIC_LANDMARKS).collect()
+    # What so many candidates reach by chance alone is not enough, unless nothing reaches more than twice as much.
+    seen = parts.where(t > 3 * c).agg(F.count("*").alias("n"), F.max(worth).alias("most")).first()
+    if not seen["n"]:
+        parts.unpersist()
+        return [], 0
+    enough = min(2 * math.log(max(2, parts.count())), seen["most"] / 2)
+    rows = parts.where((t > 3 * c) & (worth >= enough)).orderBy(worth.desc(), F.desc("n"), "part").limit(80 * TOXIC_LANDMARKS).collect()
     found: dict[str, int] = {}
     for r in rows:
         longer = [p for p in found if p.startswith(r["part"])]
@@ -370,7 +407,8 @@ def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
 
     Near copies in the sample count once. A sentence stands for its word nearest to a toxic landmark. A document's label
     says that it has a toxic sentence, not which: each toxic document gives its worst sentence under the current machine,
-    and others on its toxic side, if they show a landmark at all, clean ones all that were kept, in three rounds. Clean
+    and others on its toxic side, if they show a landmark at all, clean ones all that were kept, in three rounds. Landmarks in
+    disguise (a character more, doubled or less) are toxic examples as well, so that the margin leaves room for them. Clean
     sentences weigh so much that a landmark which clean documents have as well does not decide alone.
     Only landmark counts and WITNESSES sentence vectors a document reach the driver. Without both classes nothing is
     learnt and every score is 0.
@@ -380,7 +418,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
     sample = _once(source.join(ids, "doc_id").select("doc_id", "text", "toxic")).repartition(max(2, spark.sparkContext.defaultParallelism), F.xxhash64("doc_id", "text")).persist()
     landmarks, marks = _chosen(sample)
-    nothing = Model([], np.zeros(0), (0.0, -50.0))
+    nothing = Model([], np.zeros(0), 0.0, (0.0, -50.0))
     if not marks:
         sample.unpersist()
         return nothing
@@ -409,12 +447,15 @@ def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
         return nothing
     kernel = np.stack(rows["vec"].to_numpy())
     # Nyström features: the landmarks' own kernel matrix to the power -1/2, small eigenvalues left out.
-    values, axes = np.linalg.eigh(Kernel(landmarks).gram())
+    kernel_of = Kernel(landmarks)
+    values, axes = np.linalg.eigh(kernel_of.gram())
     good = values > 1e-6 * values[-1]
     whiten = axes[:, good] / np.sqrt(values[good])
     x, toxic = kernel @ whiten, rows["toxic"].to_numpy() == 1
     docs_of = rows["doc_id"].to_numpy()
     near = kernel[:, :marks].max(axis=1)
+    # Landmarks in disguise are toxic, too.
+    hidden = kernel_of.parts([d for w in landmarks[:marks] for d in disguises(w)]) @ whiten
     decision = near.copy()
     for _ in range(3):
         order = np.lexsort((-decision, docs_of))
@@ -423,14 +464,16 @@ def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
         use = ~toxic | ((witness | (decision > 0)) & (near > SHOWN))
         if not (use & toxic).any():
             return nothing
-        share = np.where(toxic[use], (1 - CLEAN_SENTENCES) / len(set(docs_of[use & toxic])), CLEAN_SENTENCES / len(set(docs_of[~toxic])))
-        w, b = _svm(x[use], np.where(toxic[use], 1.0, -1.0), share)
+        share = np.where(toxic[use], (1 - CLEAN_SENTENCES) * (1 - DISGUISED) / len(set(docs_of[use & toxic])), CLEAN_SENTENCES / len(set(docs_of[~toxic])))
+        share = np.r_[share, np.full(len(hidden), (1 - CLEAN_SENTENCES) * DISGUISED / len(hidden))]
+        w, b = _svm(np.r_[x[use], hidden], np.r_[np.where(toxic[use], 1.0, -1.0), np.ones(len(hidden))], share)
         decision = x @ w + b
     # Scores: a logistic curve over each document's value, clean documents weighing more as they are more.
     place, number = np.unique(docs_of, return_index=True)[1], np.unique(docs_of, return_inverse=True)[1]
-    d, y = worst_values(number, decision - b, len(place)), toxic[place].astype(float)
-    balance = np.where(y == 1, (1 - CLEAN_WEIGHT) / max(1, y.sum()), CLEAN_WEIGHT / max(1, (1 - y).sum()))
-    return Model(landmarks, whiten @ w, _logistic(d, y, balance), marks)
+    d, y = document_values(number, decision, len(place), b), toxic[place].astype(float)
+    balance = np.where(y == 1, (1 - CLEAN_WEIGHT) * (1 - DISGUISED) / max(1, y.sum()), CLEAN_WEIGHT / max(1, (1 - y).sum()))
+    d, y, balance = np.r_[d, document_values(np.arange(len(hidden)), hidden @ w + b, len(hidden), b)], np.r_[y, np.ones(len(hidden))], np.r_[balance, np.full(len(hidden), (1 - CLEAN_WEIGHT) * DISGUISED / len(hidden))]
+    return Model(landmarks, whiten @ w, float(b), _logistic(d, y, balance), marks)
 
 
 def _scorer(shared) -> Scorer:
@@ -447,9 +490,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> DataFram
     """doc_id, held_out, score, predicted for every document.
 
     held_out documents (crc32 of doc_id as text divisible by 5) never train. The model (54 landmarks and weights at most)
-    is broadcast and texts are scored whole where they lie; a sentence
-    that shows a sure landmark decides alone, weaker ones add up. A null text is an empty one, whose score is that of a
-    sentence without any landmark; a null doc_id counts as an empty text for held_out. Repeated rows score alike.
+    is broadcast and texts are scored whole where they lie; a sentence that shows a sure landmark decides alone, weaker
+    ones add up. A null text is an empty one, whose score is that of a text without any landmark; a null doc_id counts as an
+    empty text for held_out. Repeated rows score alike; columns other than doc_id and text play no part; an empty table
+    gives no rows. Landmarks of equal worth are taken by length, then by name.
     """
     shared = _shared(docs, labels, each)
 

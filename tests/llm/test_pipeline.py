@@ -14,18 +14,46 @@ def test_kernel_is_the_subsequence_kernel():
 
     def plain(s, t):
         total = 0.0
-        for i in combinations(range(len(s)), 4):
-            for j in combinations(range(len(t)), 4):
-                if all(s[a] == t[b] for a, b in zip(i, j)):
-                    total += toxicity.DECAY ** (i[3] - i[0] - 3 + j[3] - j[0] - 3)
+        for n in range(1, min(len(s), len(t)) + 1):
+            for i in combinations(range(len(s)), n):
+                for j in combinations(range(len(t)), n):
+                    if all(s[a] == t[b] for a, b in zip(i, j)):
+                        total += toxicity.STEP**n * toxicity.DECAY ** (i[-1] - i[0] - n + 1 + j[-1] - j[0] - n + 1)
         return total
 
     rng = random.Random(2)
-    words = ["".join(rng.choice("abcd^é") for _ in range(rng.randint(1, 9))) for _ in range(30)]
+    words = ["".join(rng.choice("abcd^é") for _ in range(rng.randint(1, 7))) for _ in range(30)]
     pairs = [(a, b) for a in words[:15] for b in words[15:]]
     s, t = (toxicity.coded([p[k] for p in pairs], 9) for k in (0, 1))
     got = toxicity.kernel_pairs(s, t)
-    assert max(abs(g - plain(*p)) for g, p in zip(got, pairs)) < 1e-4
+    assert max(abs(g / max(1, plain(*p)) - 1) for g, p in zip(got, pairs) if plain(*p)) < 1e-4 and all(g == 0 for g, p in zip(got, pairs) if not plain(*p))
+
+
+def test_only_small_values_are_left_out():
+    """Every pair that is not computed lies below the floor, and values equal those of the plain formula."""
+    rng = random.Random(4)
+    marks = ["^idiot", "^worthless", "^scum", "^aaaa", "^moron"]
+    words = ["^" + w for w in ("idiot", "idxiot", "idit", "scumbag", "aaab", "worth", "wortthless", "nomor", "moronic", "moon")] + ["^" + "".join(rng.choice("idotwrhlescuman") for _ in range(rng.randint(1, 9))) for _ in range(200)]
+    kernel = toxicity.Kernel(marks)
+    got = kernel.parts(words)
+    for k, w in enumerate(words):
+        for j, m in enumerate(marks):
+            best = 0.0
+            for n in range(min(len(w), len(m)), len(w) + 1):
+                a, b = toxicity.coded([w[:n]], 12), toxicity.coded([m], 12)
+                best = max(best, float(toxicity.kernel_pairs(a, b)[0] / (toxicity.kernel_pairs(a, a)[0] * toxicity.kernel_pairs(b, b)[0]) ** 0.5))
+            assert abs(got[k, j] - (min(best, 1.0) ** toxicity.POWER if best >= toxicity.FLOOR else 0.0)) < 1e-4 or abs(best - toxicity.FLOOR) < 1e-5, (w, m)
+
+
+@pytest.mark.parametrize(("size", "recall"), [("sf0.001", 0.5), ("sf0.01", 0.5)])
+def test_small_label_sets_are_learnt(spark, size, recall):
+    """With ten or fifty toxic labels the insults seen are found, and clean documents stay."""
+    sf = f"/root/testdata/{size}"
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).collect()}
+    toxic = [got[r.doc_id] for r in labels.collect() if r.toxic]
+    clean = [got[r.doc_id] for r in labels.collect() if not r.toxic]
+    assert sum(toxic) >= recall * len(toxic) and sum(clean) <= 0.06 * len(clean)
 
 
 def test_toxicity_held_out(spark):
