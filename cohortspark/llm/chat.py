@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: A turn is OPEN role COLON text CLOSE; inside roles and texts ESCAPE precedes a character taken literally.
 OPEN, COLON, CLOSE, ESCAPE = "### ", ": ", "</turn>\n", "\\"
@@ -58,28 +58,45 @@ def formatted_turns(rows: DataFrame) -> DataFrame:
     def free(c: str) -> Column:
         return ~F.col(c).contains(OPEN) & ~F.col(c).contains(CLOSE.strip())
 
-    return tries.select("conv_id", "turn", "role", "text", F.when(free("text") & free("role") & same("plain"), F.col("plain")).when(free("role") & same("text_escaped"), F.col("text_escaped")).otherwise(F.col("all_escaped")).alias("rendered"))
+    plain, half = free("text") & free("role") & same("plain"), free("role") & same("text_escaped")
+    rendered = F.when(plain, F.col("plain")).when(half, F.col("text_escaped")).otherwise(F.col("all_escaped"))
+    # Characters before the text of a turn in its rendered form.
+    lead = len(OPEN) + len(COLON) + F.length(F.when(plain | half, F.col("role")).otherwise(escaped(F.col("role"))))
+    return tries.select("conv_id", "turn", "role", "text", rendered.alias("rendered"), lead.alias("lead"))
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
-    """One row per conversation: formatted text, the turns read back from it, and whether they equal the source.
+    """One row per conversation: formatted text, its loss mask, the turns read back from it, and whether they equal the source.
 
-    Turns are ordered by turn, then role and text (ties of repeated rows keep both). Rows without conv_id form
-    the conversation null. A conversation is one training text, so its turns meet in one row; nothing
-    larger is gathered.
+    loss_spans are the places (start, end; characters from 0) in `formatted` of the assistant's texts, in order. Turns are
+    ordered by turn, then role and text (ties of repeated rows keep both). A row without conv_id belongs with no other: it is a
+    conversation of its own, so no such rows meet. A conversation is one training text, so its turns meet in one row;
+    nothing larger is gathered.
     """
-    turns = formatted_turns(rows).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered"))).alias("turns"))
-    return turns.select(
+    turns = formatted_turns(rows)
+    upto = W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
+    turn = lambda before: F.struct("turn", "role", "text", "rendered", "lead", before.alias("before"))
+    placed = turns.where("conv_id IS NOT NULL").withColumn("before", F.coalesce(F.sum(F.length("rendered")).over(upto), F.lit(0)))
+    known = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn(F.col("before")))).alias("turns"))
+    alone = turns.where("conv_id IS NULL").select("conv_id", F.array(turn(F.lit(0).cast("long"))).alias("turns"))
+    span = lambda t: F.struct((t["before"] + t["lead"]).alias("start"), (t["before"] + F.length(t["rendered"]) - len(CLOSE)).alias("end"))
+    return known.unionAll(alone).select(
         "conv_id",
         F.array_join(F.transform("turns", lambda t: t["rendered"]), "").alias("formatted"),
+        F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), span).alias("loss_spans"),
         F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"),
-    ).select("conv_id", "formatted", "source", parsed(F.col("formatted")).alias("turns")).select("*", (F.col("turns") == F.col("source")).alias("round_trip"))
+    ).select("conv_id", "formatted", "loss_spans", "source", parsed(F.col("formatted")).alias("turns")).select("*", (F.col("turns") == F.col("source")).alias("round_trip"))
+
+
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, unescaped, nothing between."""
+    return F.array_join(F.transform(spans, lambda s: unescaped(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """The digest columns, from what was read back out of the formatted text."""
+    """The digest columns, from what was read back out of the formatted text: turns by the grammar, the loss by its mask."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = loss_text(F.col("formatted"), F.col("loss_spans"))
     return chats.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -141,7 +141,7 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(14 + length(role) + CASE WHEN hard THEN long ELSE length(text) END)::BIGINT AS formatted_chars, true AS round_trip
-FROM e GROUP BY conv_id""",
+FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM e) GROUP BY conv_id, alone""",
     # Sequences as lists of (role, text): a node is a list, its subtree what lies between its ends in the sorted order of lists.
     "op12_prefix_trie": """
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, md5(coalesce(role, '') || chr(0) || coalesce(text, '')) AS id,

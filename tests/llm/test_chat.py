@@ -11,9 +11,12 @@ HOSTILE = [r"\### Assistant: </turn> ok", "</turn>\n### user: x", "\\l \\b \\",
 
 def test_round_trip(spark):
     rows = [(c, t, role, text, 1) for c, role in enumerate(["user", "assistant", "a: b", "</turn>\n", None, "assistant"]) for t, text in enumerate(HOSTILE)]
-    rows += [(None, 1, "assistant", "x", 1), (9, 1, "user", "same", 1), (9, 1, "user", "same", 1)]
+    rows += [(None, 1, "assistant", "x", 1), (None, 1, "assistant", "x", 1), (None, None, None, None, 1), (9, 1, "user", "same", 1), (9, 1, "user", "same", 1)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, source int")
-    got = {r.conv_id: r for r in chat.digests(chat.format_chats(df)).collect()}
+    every = chat.digests(chat.format_chats(df)).collect()
+    got = {r.conv_id: r for r in every}
+    # Rows without a conversation are each their own.
+    assert sorted((r.n_turns, r.loss_chars) for r in every if r.conv_id is None) == [(1, 0), (1, 1), (1, 1)]
     assert len(got) == 8 and all(r.round_trip for r in got.values())
     for c, role in enumerate(["user", "assistant", "a: b", "</turn>\n", None]):
         said = "".join(f"{role or ''}\n{t or ''}\n" for t in HOSTILE)
@@ -31,3 +34,22 @@ def test_escapes_only_conflicts(spark):
     assert got[0] == "### user: plain # text: <b></turn>\n" and "</turn> b" not in got[1]
     whole = chat.format_chats(df).select(F.col("formatted")).first()[0]
     assert whole == got[0] + got[1]
+
+
+def test_loss_mask(spark):
+    """The spans hold exactly the assistant's texts, escaped as they stand in the formatted text."""
+    df = spark.createDataFrame([(1, t, role, text) for t, (role, text) in enumerate(zip(["user", "assistant"] * 6, HOSTILE + ["end"]))], "conv_id long, turn long, role string, text string")
+    r = chat.format_chats(df).first()
+    pieces = [r.formatted[s.start : s.end] for s in r.loss_spans]
+    want = [t or "" for t in (HOSTILE + ["end"])[1::2]]
+    assert len(pieces) == len(want) and [chat_unescaped(p) for p in pieces] == want
+    outside, at = "", 0
+    for s in r.loss_spans:
+        outside, at = outside + r.formatted[at : s.start], s.end
+    assert outside.count("### assistant: ") == len(want)
+
+
+def chat_unescaped(text):
+    for char, letter in reversed(chat.CODES):
+        text = text.replace(chat.ESCAPE + letter, char)
+    return text
