@@ -9,10 +9,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BLANKS, dropped, hashed, smaller, split_words
+from .common import BLANKS, dropped, hashed, smaller, split_words, texts_of
 
 #: Shortest tile in words, and the share of an item's words that tiles must cover.
 LEAST_TILE, COVERAGE = 5, 0.5
+#: An item shorter than that is a tile as a whole; it must not stand in more than this share of all documents, nor in more than so many of a few.
+COMMON, FEW = 0.01, 10
 #: Words of benchmark items that one broadcast block holds.
 BLOCK_WORDS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -94,25 +96,40 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = LEAST_TILE) -> list[tu
 class Items:
     """A block of benchmark items with the seeds by which documents find them."""
 
-    def __init__(self, ids: list, texts: list[str], least: int):
+    def __init__(self, ids: list, texts: list[str], least: int, common: frozenset[int] = frozenset()):
         self.ids, self.least = ids, least
         self.words = coded_words(pa.array(texts, pa.string()))
-        self.short: dict[bytes, list[int]] = {}
-        parts = []
-        for k, w in enumerate(self.words):
-            if len(w) >= least:
-                parts.append((rolled(w, least), np.full(len(w) - least + 1, k), np.arange(len(w) - least + 1)))
-            elif len(w):
-                self.short.setdefault(w.tobytes(), []).append(k)
+        # Items shorter than a seed, by their number of words: hashes in order, and the item of each.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        parts = [(rolled(w, least), np.full(len(w) - least + 1, k), np.arange(len(w) - least + 1)) for k, w in enumerate(self.words) if len(w) >= least]
+        for n in range(1, least):
+            of = np.array([k for k, w in enumerate(self.words) if len(w) == n and k not in common], np.int64)
+            if len(of):
+                h = np.array([rolled(self.words[k], n)[0] for k in of], np.uint64)
+                order = np.argsort(h, kind="stable")
+                self.short[n] = h[order], of[order]
         h, item, at = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         order = np.argsort(h, kind="stable")
         self.seeds, self.item_of, self.place = h[order], item[order], at[order]
 
+    def short_hits(self, docs: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(document, item) for each short item that stands in a document, once."""
+        out: set[tuple[int, int]] = set()
+        if not docs or not self.short:
+            return []
+        words, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+        for n, (hashes, items) in self.short.items():
+            h = rolled(words, n)
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            hit = np.flatnonzero(lo < hi)
+            doc = np.searchsorted(ends, hit, side="right")
+            for at, d in zip(hit[hit + n <= ends[doc]].tolist(), doc[hit + n <= ends[doc]].tolist()):
+                out |= {(d, k) for k in items[lo[at] : hi[at]].tolist() if (self.words[k] == words[at : at + n]).all()}
+        return sorted(out)
+
     def search(self, docs: list[np.ndarray], coverage: float) -> list[tuple[int, int, int, int, int, int]]:
         """(document, item, item words, covered words, tiles, longest tile) wherever coverage is reached."""
-        out = []
-        if self.short:
-            out += [(d, k, len(w), len(w), 1, len(w)) for d, w in enumerate(docs) if 0 < len(w) < self.least for k in self.short.get(w.tobytes(), ())]
+        out = [(d, k, n, n, 1, n) for d, k in self.short_hits(docs) for n in (len(self.words[k]),)]
         if not docs or not len(self.seeds):
             return out
         n, words, ends = self.least, np.concatenate(docs), np.cumsum([len(d) for d in docs])
@@ -141,8 +158,11 @@ class Items:
         return out
 
 
-def item_blocks(benchmark: DataFrame, least: int = LEAST_TILE, words: int = BLOCK_WORDS):
-    """The benchmark's items in broadcast blocks of a bounded number of words (or one item); rows without text or words match nothing."""
+def item_blocks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE, common: float = COMMON, words: int = BLOCK_WORDS):
+    """The benchmark's items in broadcast blocks of a bounded number of words (or one item); rows without text or words match nothing.
+
+    Where a block has items shorter than a seed, the documents (doc_id, text) that hold each are counted in one more pass.
+    """
     spark = benchmark.sparkSession
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text IS NOT NULL")
     counted = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
@@ -151,7 +171,31 @@ def item_blocks(benchmark: DataFrame, least: int = LEAST_TILE, words: int = BLOC
         # Bounded by the block's size.
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         if rows:
-            yield spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows], least))
+            ids, texts = [r["item_id"] for r in rows], [r["text"] for r in rows]
+            often = common_items(docs, Items(ids, texts, least), ids, texts, least, common)
+            yield spark.sparkContext.broadcast((ids, texts, least, often))
+
+
+def common_items(docs: DataFrame, items: Items, ids: list, texts: list[str], least: int, common: float) -> frozenset[int]:
+    """Numbers of the short items that stand in more than the share `common` of all documents, and in more than FEW."""
+    if not items.short:
+        return frozenset()
+    shared = docs.sparkSession.sparkContext.broadcast((ids, texts, least))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dropped()
+        own = Items(*shared.value)
+        counts = np.zeros(len(own.ids) + 1, np.int64)
+        for batch in smaller(batches):
+            counts[-1] += batch.num_rows
+            np.add.at(counts, [k for _, k in own.short_hits(coded_words(batch.column(1)))], 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["item", "n"])
+
+    rows = docs.mapInArrow(run, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).collect()
+    count = {r["item"]: r["n"] for r in rows}
+    most = max(FEW, common * count.pop(len(ids), 0))
+    return frozenset(k for k, n in count.items() if n > most)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST_TILE) -> DataFrame:
@@ -160,9 +204,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
 
     Words are compared in lower case without outer punctuation. Seeds are windows of `least` words shared by both
     texts; where they could cover enough of an item, tiles are laid, so passages in another order are found as well.
-    An item of fewer words has no seed: it leaks only into documents that consist of just its words, else a common
-    word or phrase would mark most of the corpus. Documents are never shuffled or cut: blocks of items come to them,
-    one pass per block. Null or empty texts leak nothing; repeated rows give their rows again; items of
+    An item of fewer words is a seed and a tile by itself, wherever it stands; one that more than the share COMMON of all
+    documents (and more than FEW) hold is a common word or phrase and leaks nowhere. Documents are never shuffled or cut: blocks of items come to
+    them, one pass per block, and one more where a block has such short items. Null or empty texts leak nothing; repeated rows give their rows again; items of
     equal text each match.
     """
     schema = "doc_id long, item_id long, item_words long, covered_words long, coverage double, tiles long, longest_tile long"
@@ -182,7 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
 
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     out = None
-    for block in item_blocks(benchmark, least):
+    for block in item_blocks(source, benchmark, least):
         part = source.mapInArrow(searched(block), schema)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
@@ -204,6 +248,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
 
         return run
 
-    for block in item_blocks(benchmark, least):
+    for block in item_blocks(texts_of(docs), benchmark, least):
         docs = docs.mapInArrow(filtered(block), docs.schema)
     return docs

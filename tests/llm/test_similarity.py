@@ -136,12 +136,31 @@ def test_leaks(spark, no_docs):
     rows = [(1, prose(100) + " " + text[2].upper() + ". " + prose(50)), (2, prose(40) + " " + swapped + " " + prose(10)), (3, prose(200)), (4, None), (5, ""), (6, "a Tiny, item here"), (9, "Tiny, item!"), (7, prose(9000) + " " + text[5]), (8, " ".join(w[:10])), (None, text[4]), (1, text[2])]
     docs, bench = as_docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     got = Counter((r.doc_id, r.item_id) for r in tiling.leaks(docs, bench).collect())
-    assert got == Counter([(1, 2), (1, 2), (2, 3), (9, 20), (7, 5), (None, 4)])
+    assert got == Counter([(1, 2), (1, 2), (2, 3), (6, 20), (9, 20), (7, 5), (None, 4)])
     clean = tiling.decontaminated(docs, bench)
-    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 6, 8]
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 8]
     assert tiling.leaks(no_docs, bench).count() == 0 and tiling.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_short_items(spark):
+    """Items of one to four words count like others where they stand, unless they are common; words stand in one document only."""
+    items = [(1, "zyxomma"), (2, "capital of France"), (3, "the of"), (4, "a b c d"), (5, "of"), (6, "Zyxomma!"), (7, "one two three four five")]
+    texts = ["Question: the capital of France is Paris.", "capital of", "France zyxomma", "x a b c d y", "a b c", "d a b", "zyxomma", "", None, "one two three four five", "one two three"]
+    docs = as_docs(spark, [(k, t) for k, t in enumerate(texts)] + [(100 + k, f"{prose(5)} the of {prose(5)}") for k in range(30)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = Counter()
+    for r in docs.collect():
+        own = [w.strip(".!?:,").lower() for w in (r.text or "").split()]
+        for k, t in items:
+            w = [x.strip("!").lower() for x in t.split()]
+            if k not in (3, 5, 7) and any(own[i : i + len(w)] == w for i in range(len(own))):
+                want[(r.doc_id, k)] += 1
+    want[(9, 7)] += 1
+    assert Counter((r.doc_id, r.item_id) for r in tiling.leaks(docs, bench).collect()) == want and (0, 2) in want
+    kept = {r.doc_id for r in tiling.decontaminated(docs, bench).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
+
+
 def test_leaks_by_brute_force(spark, small):
     """Every document of the smallest table against every item, by plain tiling."""
     docs, bench = queries.table(spark, small, "documents"), queries.table(spark, small, "benchmark")
@@ -164,9 +183,9 @@ def test_leaks_in_blocks(spark, monkeypatch):
     items = [(k, prose(30)) for k in range(30)]
     docs, bench = as_docs(spark, [(k, prose(30) + " " + t) for k, t in items]), spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(tuple, tiling.leaks(docs, bench).collect()))
-    blocks = list(tiling.item_blocks(bench, words=100))
+    blocks = list(tiling.item_blocks(docs, bench, words=100))
     assert len(blocks) > 3 and sorted(i for b in blocks for i in b.value[0]) == list(range(30))
-    monkeypatch.setattr(tiling.item_blocks, "__defaults__", (tiling.LEAST_TILE, 100))
+    monkeypatch.setattr(tiling.item_blocks, "__defaults__", (tiling.LEAST_TILE, tiling.COMMON, 100))
     assert sorted(map(tuple, tiling.leaks(docs, bench).collect())) == whole and len(whole) == 30
 
 
