@@ -302,6 +302,7 @@ def _deduplicated(docs: DataFrame, least_documents: int, broadcast_most: int, sc
         order = np.argsort(keys)
         shared = spark.sparkContext.broadcast((keys[order], places[order]))
         del keys, places, order
+        removed(recurring)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dropped()
