@@ -10,16 +10,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BASE, BLANKS, dropped, gathered, hashed, mixed, smaller, split_words, written
+from .common import BASE, BLANKS, dropped, gathered, hashed, mixed, removed, smaller, split_words, written
 
 #: A line, sentence or template recurs if this many documents hold it; a passage if two do.
 LEAST_DOCUMENTS, LEAST_SHARING = 3, 2
 #: Shortest unit in words, for whole lines and for sentences inside them.
 LINE_WORDS, SENTENCE_WORDS = 3, 8
-#: Leading words that are a line's path in the tree, and the fixed words that a template has at least, and as a share.
+#: Leading words that are a unit's path in the tree, and the fixed words that a template has at least, and as a share.
 LEADING, FIXED_WORDS, FIXED_SHARE = 2, 3, 2 / 3
-#: Longest line whose whole leaf is compared; of longer ones a third of the words must recur in the leaf as it stands.
-SHORT_LINE, THIRDS = 20, 3
 #: Words of a window, neighbouring windows of which the least is chosen, and the words of a run that is a passage.
 WINDOW, CHOICE, RUN = 16, 16, 20
 #: A document of whose words this share goes is itself a repeat.
@@ -27,8 +25,8 @@ REPEAT = 0.8
 #: Recurring keys that are broadcast at most (16 bytes each); more are joined.
 BROADCAST_TEMPLATES = 3_000_000
 
-#: The two lowest bits of a key tell lines and sentences, windows and gates of the tree apart.
-UNIT, PASSAGE, GATE = 0, 1, 2
+#: The two lowest bits of a key tell lines and sentences, windows and leaves of the tree apart.
+UNIT, PASSAGE, LEAF = 0, 1, 2
 # Words that are variable fields (numbers, dates, hexadecimal ids, addresses, links).
 FIELDS = (r"\A\W*[0-9.,:/%+-]*[0-9][0-9.,:/%+-]*\w{0,3}\W*\z", r"\A\W*(?:[0-9a-fA-F-]{5,}[0-9][0-9a-fA-F-]*|[0-9a-fA-F-]*[0-9][0-9a-fA-F-]{5,})\W*\z", r"\A\W*(?:\S+@\S+|\w+://\S+|www\.\S+)\z")
 ODD = r"[0-9@]|://|www"
@@ -56,7 +54,7 @@ class Units:
     in them alike, wherever they stand.
     """
 
-    def __init__(self, texts: pa.Array, lines_only: bool = False):
+    def __init__(self, texts: pa.Array, windows: bool = True):
         for c in BLANKS:
             if c not in " \n":
                 texts = pc.replace_substring(texts, c, " ")
@@ -82,19 +80,18 @@ class Units:
         breaks |= is_feed
         lines = self._runs(breaks, is_feed)
         breaks[1:] |= stop[codes][:-1]
-        sentences = self._runs(breaks, is_feed) if not lines_only else lines
+        sentences = self._runs(breaks, is_feed)
         # A sentence that is a whole line is that line's unit.
         inner = ~np.isin(sentences[:, 0] * (n + 1) + sentences[:, 1], lines[:, 0] * (n + 1) + lines[:, 1])
         sentences = sentences[inner & (sentences[:, 1] - sentences[:, 0] >= SENTENCE_WORDS)]
         lines = lines[lines[:, 1] - lines[:, 0] >= LINE_WORDS]
         spans = np.concatenate([lines, sentences])
-        self.lines = len(lines)
         self.start, self.end = spans[:, 0], spans[:, 1]
         self.of = self.doc[self.start] if len(spans) else np.zeros(0, np.int64)
         self.is_feed, self.text_ends, self.words = is_feed, ends, words[codes]
         with np.errstate(over="ignore"):
             self._key()
-            if not lines_only:
+            if windows:
                 self._choose()
 
     @staticmethod
@@ -109,7 +106,10 @@ class Units:
         return ((mixed(x) & ~np.uint64(3)) | np.uint64(kind)).view(np.int64)
 
     def _key(self) -> None:
-        """Each unit's key: its path (word count and leading words) and all its words. Lines also have gates: what must recur in the tree before a line's leaf is compared."""
+        """Each unit's key, of its path (word count and leading words) and all its words, and the leaf at the end of its path.
+
+        A unit of so few words that no template fits in lies in no leaf.
+        """
         m, size = len(self.start), self.end - self.start
         # Every word is mixed with its place in the unit, so sums over places are exact prefix differences.
         unit, begin = np.repeat(np.arange(m), size), np.cumsum(size) - size
@@ -118,14 +118,7 @@ class Units:
         lead = np.minimum(size, LEADING)
         self.leaf = mixed(total[begin + lead] - total[begin] + size.astype(np.uint64) * BASE)
         self.keys = self._of_kind(total[begin + size] - total[begin] + self.leaf, UNIT)
-        k, begin, size, lead, leaf = self.lines, begin[: self.lines], size[: self.lines], lead[: self.lines], self.leaf[: self.lines]
-        self.gates, self.gated = np.zeros((k, THIRDS), np.int64), np.zeros((k, THIRDS), bool)
-        short, long = (size > FIXED_WORDS) & (size <= SHORT_LINE), size > SHORT_LINE
-        for part in range(THIRDS):
-            a, b = (begin + lead + (size - lead) * (part + x) // THIRDS for x in (0, 1))
-            third = total[b] - total[a] + leaf * np.uint64(2 * part + 3)
-            self.gates[:, part] = self._of_kind(np.where(long, third, leaf), GATE)
-            self.gated[:, part] = long | short & (part == 0)
+        self.leaves, self.deep = self._of_kind(self.leaf, LEAF), size > FIXED_WORDS
 
     def _choose(self) -> None:
         """The chosen windows: key, document and place among the words that are no line feeds."""
@@ -148,8 +141,8 @@ class Units:
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (document, key) pairs."""
-        doc = np.concatenate([self.of, self.window_of, np.repeat(self.of[: self.lines], self.gated.sum(axis=1))])
-        keys = np.concatenate([self.keys, self.window_keys, self.gates[self.gated]])
+        doc = np.concatenate([self.of, self.window_of, self.of[self.deep]])
+        keys = np.concatenate([self.keys, self.window_keys, self.leaves[self.deep]])
         with np.errstate(over="ignore"):
             once = np.unique(mixed(keys.view(np.uint64) + doc.astype(np.uint64) * BASE), return_index=True)[1]
         return doc[once], keys[once]
@@ -196,56 +189,74 @@ def recurring_keys(docs: DataFrame, least_documents: int) -> DataFrame:
     return counted.where(F.col("documents") >= F.when(F.expr(f"key & 3 = {PASSAGE}"), LEAST_SHARING).otherwise(least_documents)).select("key", "place")
 
 
-def _gated_lines(docs: DataFrame, gates: DataFrame, broadcast_most: int) -> DataFrame:
-    """leaf, key, place and words of every line that has a recurring gate, once for each document."""
-    few = gates.count() <= broadcast_most
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(*gathered(gates.select("key"))) if few else None)
+def _leaf_units(docs: DataFrame, found: DataFrame, broadcast_most: int) -> DataFrame:
+    """leaf, key and place of every unit in a leaf that recurs, once for each document, and the words of each key once at least.
+
+    found: the recurring keys and their first places. A unit that recurs as it stands gives its words in its first
+    document only.
+    """
+    few = found.count() <= broadcast_most
+    leaves, whole = found.where(f"key & 3 = {LEAF}").select("key"), found.where(f"key & 3 = {UNIT}").select("key", "place")
+    known = (np.sort(*gathered(leaves)), *gathered(whole)) if few else None
+    if few:
+        order = np.argsort(known[1])
+        known = known[0], known[1][order], known[2][order]
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dropped()
         known = shared.value
         for batch in smaller(batches):
-            units = Units(batch.column(1), lines_only=True)
-            places, open_ = _places(batch.column(0)), units.gated
+            units = Units(batch.column(1), windows=False)
+            places, open_ = _places(batch.column(0))[units.of], units.deep
+            told = np.ones(len(open_), bool)
             if known is not None:
-                at = np.minimum(np.searchsorted(known, units.gates), max(0, len(known) - 1))
-                open_ = open_ & (known[at] == units.gates) if len(known) else np.zeros_like(open_)
-                # One gate is enough.
-                open_ = open_ & (np.cumsum(open_, axis=1) == 1)
-            line, part = np.nonzero(open_)
-            words = [units.words[a:b].view(np.int64) for a, b in zip(units.start[line].tolist(), units.end[line].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(units.gates[line, part]), pa.array(units.leaf[line].view(np.int64)), pa.array(units.keys[line]), pa.array(places[units.of[line]]), pa.array(words, pa.list_(pa.int64()))], names=["gate", "leaf", "key", "place", "words"])
-
-    lines = _source(docs).mapInArrow(run, "gate long, leaf long, key long, place long, words array<long>")
+                own, keys, firsts = known
+                open_ = open_ & (own[np.minimum(np.searchsorted(own, units.leaves), len(own) - 1)] == units.leaves) if len(own) else np.zeros(len(open_), bool)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, units.keys), len(keys) - 1)
+                    told = (keys[at] != units.keys) | (firsts[at] == places)
+            some = np.flatnonzero(open_)
+            words = [units.words[a:b].view(np.int64) if t else None for a, b, t in zip(units.start[some].tolist(), units.end[some].tolist(), told[some].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(units.leaves[some]), pa.array(units.keys[some]), pa.array(places[some]), pa.array(words, pa.list_(pa.int64()))], names=["leaf", "key", "place", "words"])
+
+    units = _source(docs).mapInArrow(run, "leaf long, key long, place long, words array<long>")
     if not few:
-        lines = lines.join(gates.select(F.col("key").alias("gate")), "gate", "left_semi")
-    return lines.groupBy("key", "place").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words"))
+        units = units.join(leaves.select(F.col("key").alias("leaf")), "leaf", "left_semi")
+    return units.groupBy("key", "place").agg(F.first("leaf").alias("leaf"), F.first("words", True).alias("words"))
 
 
-def general_templates(docs: DataFrame, gates: DataFrame, least_documents: int, broadcast_most: int) -> DataFrame:
-    """key and place of the lines whose template recurs: place is the first document's of the template.
+def general_templates(docs: DataFrame, found: DataFrame, least_documents: int, broadcast_most: int) -> DataFrame:
+    """key and place of the units whose template recurs: place is the first document's of the template.
 
-    In each leaf of the tree (word count and leading words) the values of every position are counted over all lines.
-    A value that fewer than `least_documents` documents have there is a variable field. A line's template is what
-    remains fixed, at least FIXED_WORDS words and FIXED_SHARE of them; documents are counted by doc_id.
+    In each leaf of the tree (word count and leading words) the values of every position are counted over all its units,
+    lines and sentences of any length. A value that fewer than `least_documents` documents have there is a variable
+    field. A unit's template is what remains fixed, at least FIXED_WORDS words and FIXED_SHARE of them; documents are counted by
+    doc_id.
     """
-    lines = written(_gated_lines(docs, gates, broadcast_most), "lines")
-    once = lines.groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words"), F.count("*").alias("documents"))
-    values = once.select("key", "leaf", "documents", F.size("words").alias("n"), F.posexplode("words").alias("at", "value"))
+    units = written(_leaf_units(docs, found, broadcast_most), "units")
+    once = units.groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("words", True).alias("words"), F.count("*").alias("documents"))
+    # A leaf of one unit has nothing to generalise: what recurs there recurs as it stands.
+    several = once.groupBy("leaf").agg(F.count("*").alias("units")).where("units > 1").select("leaf")
+    values = once.join(several, "leaf", "left_semi").select("key", "leaf", "documents", F.size("words").alias("n"), F.posexplode("words").alias("at", "value"))
     fixed = values.groupBy("leaf", "at", "value").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= least_documents).drop("documents")
     stays = values.join(fixed, ["leaf", "at", "value"], "left_semi").groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "value"))).alias("fixed"))
-    # Written, so that the join below is free to split a line that very many documents hold.
-    stays = written(stays.where((F.size("fixed") >= FIXED_WORDS) & (F.size("fixed") >= F.col("n") * FIXED_SHARE)).select("key", F.xxhash64("leaf", "n", "fixed").alias("template")), "line-templates")
-    held = lines.select("key", "place").join(stays, "key").select("template", "place").distinct()
+    # Written, so that the join below is free to split a unit that very many documents hold.
+    stays = written(stays.where((F.size("fixed") >= FIXED_WORDS) & (F.size("fixed") >= F.col("n") * FIXED_SHARE)).select("key", F.xxhash64("leaf", "n", "fixed").alias("template")), "unit-templates")
+    held = units.select("key", "place").join(stays, "key").select("template", "place").distinct()
     first = held.groupBy("template").agg(F.count("*").alias("documents"), F.min("place").alias("place")).where(F.col("documents") >= least_documents)
-    return stays.join(first, "template").select("key", "place")
+    out = written(stays.join(first, "template").select("key", "place"), "general")
+    removed(units, stays)
+    return out
 
 
 def recurring_templates(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, broadcast_most: int = BROADCAST_TEMPLATES) -> DataFrame:
-    """key and first place of every recurring line, sentence and window, and of every line of a recurring template."""
+    """key and first place of every recurring line, sentence and window, and of every line and sentence of a recurring template."""
     found = written(recurring_keys(docs, least_documents), "recurring")
-    general = general_templates(docs, found.where(f"key & 3 = {GATE}").select("key"), least_documents, broadcast_most)
-    return found.where(f"key & 3 <> {GATE}").unionAll(general).groupBy("key").agg(F.min("place").alias("place"))
+    general = general_templates(docs, found, least_documents, broadcast_most)
+    out = written(found.where(f"key & 3 <> {LEAF}").unionAll(general).groupBy("key").agg(F.min("place").alias("place")), "templates")
+    removed(found, general)
+    return out
 
 
 def _rewritten(batch: pa.RecordBatch, place: int, gone_of, repeat: float) -> tuple:
@@ -296,7 +307,7 @@ def _deduplicated(docs: DataFrame, least_documents: int, broadcast_most: int, sc
     spark = docs.sparkSession
     names = docs.columns
     at_id, at_text = names.index("doc_id"), names.index("text")
-    recurring = written(recurring_templates(docs, least_documents, broadcast_most), "templates")
+    recurring = recurring_templates(docs, least_documents, broadcast_most)
     if recurring.count() <= broadcast_most:
         keys, places = gathered(recurring.select("key", "place"))
         order = np.argsort(keys)
@@ -354,12 +365,12 @@ def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, repeat:
 
     Units are lines, and sentences of at least SENTENCE_WORDS words inside longer lines. A unit's path in the tree is
     its word count and its first LEADING words; words that are variable fields count as one wildcard, and the leaf
-    generalises the words of lines that differ (general_templates). What at least `least_documents` documents hold is
+    generalises the words of units that differ (general_templates). What at least `least_documents` documents hold is
     dropped from all but the first of them (least doc_id, null last; rows of that doc_id all keep it). Runs of at
     least RUN words that lie in chosen windows which an earlier document holds are passages and go from the second
     document on; any 50 words in a row that two documents share are found, but for a few words at their ends.
     A document with nothing left, or of all whose words at least `repeat` go, is a repeat: kept is false.
-    Null and blank texts stay as they are and are kept. Only keys, doc_ids and the words of lines that share a leaf are
+    Null and blank texts stay as they are and are kept; an empty table gives no rows; other columns play no part. Only keys, doc_ids and the words of units that share a leaf are
     shuffled, pre-aggregated. Keys are 64-bit hashes, two bits of which tell their kind.
 
     Recurring keys are broadcast only where their count is within `broadcast_most`; beyond it each

@@ -1,6 +1,9 @@
 """Line dedup of documents whose own lines are too short to be units."""
 
 import random
+import re
+
+import pyarrow as pa
 
 from cohortspark.llm import queries, templates
 
@@ -86,3 +89,66 @@ def test_line_dedup_by_brute_force(spark, small):
             assert gone >= sum(cover) - 2 * (templates.CHOICE - 1) * runs
     untouched = [i for i in source if not got[i].dropped_units]
     assert untouched and all(got[i].text == source[i] and got[i].kept for i in untouched)
+
+
+def plain_tree(rows):
+    """The template tree in plain Python: the lines and sentences that recur in three documents, as they stand or generalised, and the first document of each."""
+    field = [re.compile(x.replace(r"\z", r"\Z")) for x in templates.FIELDS]
+    units = {}
+    for i, text in rows:
+        for line in text.split("\n"):
+            words = line.split()
+            cuts = [k + 1 for k, w in enumerate(words) if re.search(r"[.!?…]$", w)]
+            parts = [words[a:b] for a, b in zip([0, *cuts], [*cuts, len(words)]) if b > a]
+            for unit in [words] * (len(words) >= templates.LINE_WORDS) + [p for p in parts if p != words and len(p) >= templates.SENTENCE_WORDS]:
+                units.setdefault(tuple("*" if any(f.search(w) for f in field) else w for w in unit), set()).add(i)
+    first = {u: min(d) for u, d in units.items() if len(d) >= templates.LEAST_DOCUMENTS}
+    leaves, held = {}, {}
+    for u in units:
+        if len(u) > templates.FIXED_WORDS:
+            leaves.setdefault((len(u), u[: templates.LEADING]), []).append(u)
+    for leaf, those in leaves.items():
+        count = {}
+        for u in those:
+            for at, w in enumerate(u):
+                count[at, w] = count.get((at, w), 0) + len(units[u])
+        for u in those:
+            fixed = tuple((at, w) for at, w in enumerate(u) if count[at, w] >= templates.LEAST_DOCUMENTS)
+            if len(fixed) >= templates.FIXED_WORDS and len(fixed) >= len(u) * templates.FIXED_SHARE:
+                held.setdefault((leaf, fixed), []).append(u)
+    for those in held.values():
+        documents = set().union(*(units[u] for u in those))
+        if len(documents) >= templates.LEAST_DOCUMENTS:
+            for u in those:
+                first[u] = min(first.get(u, 1 << 62), min(documents))
+    return units, first
+
+
+def test_tree_of_lines_and_sentences_of_any_length(spark, monkeypatch):
+    """Templates of 5 to 60 words with names in up to a third of them, as lines and inside lines, against a plain template tree."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    own = lambda n: " ".join(word() for _ in range(n))
+    shapes = []
+    for n in (5, 8, 12, 20, 21, 22, 40, 60):
+        shapes.append(([word() for _ in range(n)], set(rng.sample(range(2, n), max(1, n // 3 - 1)))))
+    said = lambda shape: " ".join(word() if k in shape[1] else w for k, w in enumerate(shape[0]))
+    rows = []
+    for d in range(11):
+        lines = [said(s) for s in shapes] + [f"{own(9)}. {said(s)}. {own(9)}." for s in shapes] + [own(30), f"posted on 2024-01-{d + 10} by us all"]
+        rng.shuffle(lines)
+        rows.append((d, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    units, first = plain_tree(rows)
+    # A unit's key is that of a line of its words, wherever it stands.
+    coded = {u: int(templates.Units(pa.array([" ".join("2024-01-01" if w == "*" else w for w in u)])).keys[0]) for u in units}
+    for most in (templates.BROADCAST_TEMPLATES, 0):
+        got = {r.key: r.place for r in templates.recurring_templates(docs, broadcast_most=most).where(f"key & 3 = {templates.UNIT}").collect()}
+        assert got == {coded[u]: p for u, p in first.items()}
+    monkeypatch.setattr(templates, "RUN", 10**9)  # passages aside
+    out = {r.doc_id: r for r in templates.line_dedup(docs, repeat=2.0).collect()}
+    for fixed, places in shapes:
+        frame = [w for k, w in enumerate(fixed) if k not in places]
+        # A sentence of fewer than eight words is no unit.
+        gone = [frame[0] not in out[d].text for d in range(1, 11)]
+        assert all(gone) or len(fixed) < templates.SENTENCE_WORDS, len(fixed)
