@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortspark.operators import publish
+from cohortspark.operators import batch, publish
 from cohortspark.plans.register import query
 from cohortspark.plans.search_queries import nested
 from cohortspark.sources import files, store
@@ -193,3 +193,25 @@ def read_release(t):
 @query()
 def artifact_digests(t):
     return files.artifact_digests(t.spark, f"{t.sf_dir}/*.parquet")
+
+
+@query("SELECT id, source || ':' || lower(source_account_id) = id AS same, source || ':' || lower(source_account_id || 'X') AS other FROM {accounts}")
+def account_identity(t):
+    return t.accounts.select("id", (publish.account_identity(F.col("source"), F.col("source_account_id")) == F.col("id")).alias("same"), publish.account_identity(F.col("source"), F.concat("source_account_id", F.lit("X"))).alias("other"))
+
+
+@query(r"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'reddit' WHEN 1 THEN 'sdn' WHEN 2 THEN 'mdapplicants' ELSE 'other' END AS source, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN replace(url, regexp_extract(url, '//([^/]*)', 1), 'www.reddit.com') ELSE replace(regexp_replace(url, '^https?:', 'http:'), regexp_extract(url, '//([^/]*)', 1), 'forums.studentdoctor.net') END AS url FROM {pages})
+SELECT page_id, regexp_extract(url, '^(\w+):', 1) = 'https' AND regexp_extract(url, '//([^/:?#]*)', 1) = CASE source WHEN 'reddit' THEN 'www.reddit.com' WHEN 'sdn' THEN 'forums.studentdoctor.net' WHEN 'mdapplicants' THEN 'www.mdapplicants.com' ELSE '-' END AS ok FROM u""")
+def source_url_ok(t):
+    """Page addresses as they are, on the host of a source, and without encryption."""
+    host = F.regexp_extract("url", "//([^/]*)", 1)
+    url = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.replace("url", host, F.lit("www.reddit.com"))).otherwise(F.replace(F.regexp_replace("url", "^https?:", "http:"), host, F.lit("forums.studentdoctor.net")))
+    source = F.element_at(F.array(*map(F.lit, ("reddit", "sdn", "mdapplicants", "other"))), (F.col("page_id") % 4 + 1).cast("int"))
+    return t.pages.select("page_id", publish.source_url_ok(url, source).alias("ok"))
+
+
+@query("SELECT o_orderkey, a = 20 AND (b + 1) % 100 = c AS valid FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 19 ELSE 20 END AS a, o_orderkey % 100 AS b, (o_orderkey + o_orderkey % 3) % 100 AS c FROM {orders})")
+def valid_cycle(t):
+    """Cycles whose second year follows the first in every third order, in every seventh of another century."""
+    text = F.format_string("%d%02d-%02d", F.when(F.col("o_orderkey") % 7 == 0, 19).otherwise(20), F.col("o_orderkey") % 100, (F.col("o_orderkey") + F.col("o_orderkey") % 3) % 100)
+    return t.orders.select("o_orderkey", batch.valid_cycle(text).alias("valid"))

@@ -25,7 +25,7 @@ def future_months(t):
     return t.documents.select("doc_id", texts.future_months(F.expr(_ASK), "2026-09-10").alias("months"))
 
 
-@query(r"""WITH f AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 2 ELSE 5 END AS required, string_split(coalesce(text, ''), '```') AS p FROM {documents} WHERE doc_id % 6 IN (0, 3)),
+_SENTENCES = r"""WITH f AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 2 ELSE 5 END AS required, string_split(coalesce(text, ''), '```') AS p FROM {documents}),
  l AS (SELECT doc_id, required, string_split(array_to_string(list_filter(p, lambda x, i: i % 2 = 1 OR i = len(p)), ' '), chr(10)) AS lines FROM f),
  j AS (SELECT doc_id, required, string_split(array_to_string(list_transform(list_filter(lines, lambda x: NOT regexp_matches(ltrim(x), '^#{1,6}\s')), lambda x: regexp_replace(ltrim(x), '^(?:[-*+]|[0-9]+[.)])\s+', '')), ' '), '](') AS k FROM l),
  t AS (SELECT doc_id, required, array_to_string(list_transform(k, lambda x, i: CASE WHEN i = 1 THEN x ELSE substr(x, strpos(x, ')') + 1) END), '] ') AS plain FROM j),
@@ -34,13 +34,21 @@ def future_months(t):
  r AS (SELECT doc_id, required, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\p{M}\p{Cf}]', '', 'g'), '\p{Ll}', 'a', 'g'), '[\p{Lu}\p{Lt}]', 'B', 'g'), '[\p{Lm}\p{Lo}]', '字', 'g'), '\p{Nd}', '1', 'g') AS t FROM b),
  q AS (SELECT doc_id, required, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\p{Nl}\p{No}]', '½', 'g'), '[\p{Ps}\p{Pe}\p{Pi}\p{Pf}''¡¿"]', '"', 'g'), '\s', ' ', 'g'), '[-:;–—]', ',', 'g'), '\?', '!', 'g') AS t FROM r),
  n AS (SELECT doc_id, required, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\.1', '_1', 'g'), '([aB])\.B', '\1_B', 'g'), '([aB])\.B', '\1_B', 'g'), '\.(\x22* *[^字Ba.!]*a)', '_\1', 'g') AS t FROM q),
- m AS (SELECT doc_id, required, regexp_replace(regexp_replace(regexp_replace(t, '(?:[.!]\x22* *)+([.!])', '\1', 'g'), '[.!](\x22* *,)', '_\1', 'g'), '[.!]\x22* *', chr(10), 'g') AS t FROM n)
- SELECT doc_id, cast(required AS integer) AS required, cast(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[aB字1½]'))) AS integer) AS actual, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[aB字1½]'))) = required AS valid FROM m""")
+ m AS (SELECT doc_id, required, regexp_replace(regexp_replace(regexp_replace(t, '(?:[.!]\x22* *)+([.!])', '\1', 'g'), '[.!](\x22* *,)', '_\1', 'g'), '[.!]\x22* *', chr(10), 'g') AS t FROM n)"""
+
+
+@query(_SENTENCES + r"""
+ SELECT doc_id, cast(required AS integer) AS required, cast(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[aB字1½]'))) AS integer) AS actual, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[aB字1½]'))) = required AS valid FROM m WHERE doc_id % 6 IN (0, 3)""")
 def sentence_check(t):
     checked = t.documents.select("doc_id", texts.sentence_check(F.expr(_ASK), F.coalesce("text", F.lit(""))).alias("c"))
     return checked.where("c IS NOT NULL").select("doc_id", "c.required", "c.actual", "c.valid")
 
 
+@query(_SENTENCES + " SELECT doc_id, cast(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[aB字1½]'))) AS integer) AS sentences FROM m")
+def sentence_count(t):
+    return t.documents.select("doc_id", texts.sentence_count(F.coalesce("text", F.lit(""))).alias("sentences"))
+
+
 @query(r"""WITH m AS (SELECT *, cast(1 + (conv_id + turn) % 4 AS string) AS x, cast(1 + (conv_id * 3 + turn) % 6 AS string) AS y FROM {messages})
 SELECT id AS message_id, CASE WHEN role <> 'assistant' THEN content ELSE regexp_replace(regexp_replace(content, '\[P\d, P[1-4]\] ', '[P' || x || '](#source-P' || x || ') [P' || y || '](#source-P' || y || ') '), '\[C1\]', '[C1](#source-C1)') END AS linked FROM m""")
 def link_citations(t):

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from cohortspark.operators.conversations import ANSWER_CHARS, LEASE_MS, SAVED_CHARS
@@ -79,7 +78,59 @@ def idempotent_requests(requests: DataFrame, keys: list[str], keep_ms: int, dela
 
 
 GENERATION = "chat_id string, generation_id string, status string, ended_ms long, writes long, content string"
-GENERATION_STATE = "generation_id string, lease long, writes long, content string"
+
+
+class Generations(StatefulProcessor):
+    """The running generation of a chat and, apart from it, the text that it has saved, so that a renewal writes no text."""
+
+    def __init__(self, lease_ms: int):
+        self.lease_ms = lease_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.running = handle.getValueState("running", "generation_id string, lease long, writes long")
+        self.text = handle.getValueState("text", "content string")
+
+    def ended(self, key, running: list, content: str | None, status: str, at: int) -> tuple:
+        if content is None:
+            content = self.text.get()[0] if self.text.exists() else ""
+        return key[0], running[0], status, int(at), int(running[2]), content
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = list(self.running.get()) if self.running.exists() else None
+        lease, content, out = now and int(now[1]), None, []
+        for e in pd.concat(list(rows)).sort_values(["at_ms", "event_id"]).itertuples():
+            if now and now[1] <= e.at_ms:
+                out.append(self.ended(key, now, content, "failed", now[1]))
+                now = None
+            if e.op == "begin" and now is None:
+                now, content = [e.generation_id, int(e.at_ms) + self.lease_ms, 0], ""
+            elif now and now[0] == e.generation_id:
+                if e.op == "renew":
+                    now[1] = int(e.at_ms) + self.lease_ms
+                elif e.op == "write":
+                    now[2], content = now[2] + 1, (e.content or "")[:SAVED_CHARS]
+                elif e.op in ("finish", "cancel"):
+                    out.append(self.ended(key, now, content, "complete" if e.op == "finish" else "cancelled", e.at_ms))
+                    now = None
+        if lease is not None:
+            self.handle.deleteTimer(lease)
+        if now is None:
+            self.running.clear()
+            self.text.clear()
+        else:
+            self.running.update((now[0], int(now[1]), int(now[2])))
+            if content is not None:
+                self.text.update((content,))
+            self.handle.registerTimer(int(now[1]))
+        if out:
+            yield pd.DataFrame(out, columns=["chat_id", "generation_id", "status", "ended_ms", "writes", "content"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = list(self.running.get())
+        yield pd.DataFrame([self.ended(key, now, None, "failed", now[1])], columns=["chat_id", "generation_id", "status", "ended_ms", "writes", "content"])
+        self.running.clear()
+        self.text.clear()
 
 
 def generations(events: DataFrame, lease_ms: int = LEASE_MS, delay: str = "1 minute") -> DataFrame:
@@ -87,69 +138,51 @@ def generations(events: DataFrame, lease_ms: int = LEASE_MS, delay: str = "1 min
 
     One generation runs in a chat at a time. begin starts one unless another's lease still runs; renew and write
     count only for the running one before its lease ends; renew moves the lease; finish and cancel end it. A lease that
-    ends fails the generation and keeps its text. State is one row per running chat and leaves with it.
+    ends fails the generation and keeps its text. State is one row per running chat and its text, and leaves with it.
     """
+    rows = events.select("chat_id", "ts", "at_ms", "event_id", "op", "generation_id", "content").withWatermark("ts", delay)
+    return keyed(rows, ["chat_id"], Generations(lease_ms), GENERATION)
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        now = list(state.get) if state.exists else None
-
-        def end(status: str, at: int) -> None:
-            nonlocal now
-            out.append((key[0], now[0], status, at, now[2], now[3]))
-            now = None
-
-        if state.hasTimedOut:
-            if now:
-                end("failed", now[1])
-        else:
-            for e in pd.concat(list(batches)).sort_values(["at_ms", "event_id"]).itertuples():
-                if now and now[1] <= e.at_ms:
-                    end("failed", now[1])
-                if e.op == "begin" and now is None:
-                    now = [e.generation_id, e.at_ms + lease_ms, 0, ""]
-                elif now and now[0] == e.generation_id:
-                    if e.op == "renew":
-                        now[1] = e.at_ms + lease_ms
-                    elif e.op == "write":
-                        now[2], now[3] = now[2] + 1, (e.content or "")[:SAVED_CHARS]
-                    elif e.op in ("finish", "cancel"):
-                        end("complete" if e.op == "finish" else "cancelled", e.at_ms)
-        if now:
-            state.update(tuple(now))
-            state.setTimeoutTimestamp(max(int(now[1]), state.getCurrentWatermarkMs() + 1))
-        else:
-            state.remove()
-        yield pd.DataFrame(out, columns=["chat_id", "generation_id", "status", "ended_ms", "writes", "content"])
 
-    rows = events.withWatermark("ts", delay)
-    return rows.groupBy("chat_id").applyInPandasWithState(step, GENERATION, GENERATION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+class Uploads(StatefulProcessor):
+    """When a file's upload began."""
 
+    def __init__(self, limit_ms: int):
+        self.limit_ms = limit_ms
 
-def stale_uploads(events: DataFrame, limit_ms: int = 180_000, delay: str = "1 minute") -> DataFrame:
-    """Uploads (file_id, ts, at_ms, op start or finish) with their end: ready within the limit, else failed for good."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.start = handle.getValueState("start", "at_ms long")
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        (start,) = state.get if state.exists else (None,)
-        if state.hasTimedOut:
-            out.append((key[0], "failed", start + limit_ms))
-            state.remove()
-        else:
-            for e in pd.concat(list(batches)).sort_values(["at_ms", "op"], ascending=[True, False]).itertuples():
-                if e.op == "start" and start is None:
-                    start = int(e.at_ms)
-                elif e.op == "finish" and start is not None:
-                    out.append((key[0], "ready", int(e.at_ms)) if e.at_ms < start + limit_ms else (key[0], "failed", start + limit_ms))
-                    start = None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        start = int(self.start.get()[0]) if self.start.exists() else None
+        known, out = start, []
+        for e in pd.concat(list(rows)).sort_values(["at_ms", "op"], ascending=[True, False]).itertuples():
+            if e.op == "start" and start is None:
+                start = int(e.at_ms)
+            elif e.op == "finish" and start is not None:
+                out.append((key[0], "ready", int(e.at_ms)) if e.at_ms < start + self.limit_ms else (key[0], "failed", start + self.limit_ms))
+                start = None
+        if start != known:
+            if known is not None:
+                self.handle.deleteTimer(known + self.limit_ms)
             if start is None:
-                state.remove() if state.exists else None
+                self.start.clear()
             else:
-                state.update((start,))
-                state.setTimeoutTimestamp(max(start + limit_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["file_id", "status", "at_ms"])
+                self.start.update((start,))
+                self.handle.registerTimer(start + self.limit_ms)
+        if out:
+            yield pd.DataFrame(out, columns=["file_id", "status", "at_ms"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame([(key[0], "failed", int(self.start.get()[0]) + self.limit_ms)], columns=["file_id", "status", "at_ms"])
+        self.start.clear()
 
-    return events.withWatermark("ts", delay).groupBy("file_id").applyInPandasWithState(step, "file_id string, status string, at_ms long", "start long", "append", GroupStateTimeout.EventTimeTimeout)
+
+def stale_uploads(events: DataFrame, limit_ms: int = 180_000, delay: str = "1 minute") -> DataFrame:
+    """Uploads (file_id, ts, at_ms, op start or finish) with their end: ready within the limit, else failed for good."""
+    rows = events.select("file_id", "ts", "at_ms", "op").withWatermark("ts", delay)
+    return keyed(rows, ["file_id"], Uploads(limit_ms), "file_id string, status string, at_ms long")
 
 
 class Assembly(StatefulProcessor):
