@@ -190,10 +190,10 @@ def recurring_keys(docs: DataFrame, least_documents: int) -> DataFrame:
 
 
 def _leaf_units(docs: DataFrame, found: DataFrame, broadcast_most: int) -> DataFrame:
-    """leaf, key and place of every unit in a leaf that recurs, once for each document, and the words of each key once at least.
+    """leaf, key and place of every unit in a leaf that recurs, and the words of each key once at least.
 
     found: the recurring keys and their first places. A unit that recurs as it stands gives its words in its first
-    document only.
+    document only; one that stands several times in a document gives several rows.
     """
     few = found.count() <= broadcast_most
     leaves, whole = found.where(f"key & 3 = {LEAF}").select("key"), found.where(f"key & 3 = {UNIT}").select("key", "place")
@@ -223,7 +223,27 @@ def _leaf_units(docs: DataFrame, found: DataFrame, broadcast_most: int) -> DataF
     units = _source(docs).mapInArrow(run, "leaf long, key long, place long, words array<long>")
     if not few:
         units = units.join(leaves.select(F.col("key").alias("leaf")), "leaf", "left_semi")
-    return units.groupBy("key", "place").agg(F.first("leaf").alias("leaf"), F.first("words", True).alias("words"))
+    return units
+
+
+def _sorted_if_few(longs: DataFrame, most: int):
+    """The one long column of a table as a broadcast sorted array, or None where it has more than `most` rows."""
+    return longs.sparkSession.sparkContext.broadcast(np.sort(*gathered(longs))) if longs.count() <= most else None
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _slots(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Of units (key, leaf, documents, words): the hash of leaf, position and word for each of their words, and the unit of each."""
+    words = batch.column(3)
+    offsets = words.offsets.to_numpy().astype(np.int64)
+    values = words.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
+    unit = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+    at = (np.arange(len(values)) - (offsets[:-1] - offsets[0])[unit]).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return mixed(mixed(values + (at + np.uint64(1)) * BASE) + batch.column(1).to_numpy().view(np.uint64)[unit]).view(np.int64), unit
 
 
 def general_templates(docs: DataFrame, found: DataFrame, least_documents: int, broadcast_most: int) -> DataFrame:
@@ -235,18 +255,52 @@ def general_templates(docs: DataFrame, found: DataFrame, least_documents: int, b
     doc_id.
     """
     units = written(_leaf_units(docs, found, broadcast_most), "units")
-    once = units.groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("words", True).alias("words"), F.count("*").alias("documents"))
+    documents = units.select("key", "place").distinct().groupBy("key").agg(F.count("*").alias("documents"))
+    once = units.where("words IS NOT NULL").groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words"))
+    once = written(once.join(documents, "key").select("key", "leaf", "documents", "words"), "units-once")
     # A leaf of one unit has nothing to generalise: what recurs there recurs as it stands.
     several = once.groupBy("leaf").agg(F.count("*").alias("units")).where("units > 1").select("leaf")
-    values = once.join(several, "leaf", "left_semi").select("key", "leaf", "documents", F.size("words").alias("n"), F.posexplode("words").alias("at", "value"))
-    fixed = values.groupBy("leaf", "at", "value").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= least_documents).drop("documents")
-    stays = values.join(fixed, ["leaf", "at", "value"], "left_semi").groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "value"))).alias("fixed"))
+    leaves = _sorted_if_few(several, broadcast_most)
+    source = once if leaves else once.join(several, "leaf", "left_semi").select("key", "leaf", "documents", "words")
+
+    def shared(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(_among(batch.column(1).to_numpy(), leaves.value))) if leaves else batch
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dropped()
+        for batch in map(shared, batches):
+            slots, unit = _slots(batch)
+            once, of = np.unique(slots, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(once), pa.array(np.bincount(of, batch.column(2).to_numpy()[unit], len(once)).astype(np.int64))], names=["slot", "documents"])
+
+    fixed = source.mapInArrow(counted, "slot long, documents long").groupBy("slot").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= least_documents).select("slot")
+    fixed = written(fixed, "fixed-words")
+    known = _sorted_if_few(fixed, broadcast_most)
+
+    def generalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """key, words, and what is fixed: each word's slot, or at once their number and the template they make."""
+        dropped()
+        for batch in map(shared, batches):
+            slots, unit = _slots(batch)
+            sizes = np.bincount(unit, minlength=batch.num_rows)
+            if known is None:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(unit)), pa.array(sizes[unit]), pa.array(np.ones(len(unit), np.int64)), pa.array(slots)], names=["key", "n", "fixed", "template"])
+                continue
+            stays = _among(slots, known.value)
+            slots, unit = slots[stays], unit[stays]
+            some, first = np.unique(unit, return_index=True)
+            template = np.bitwise_xor.reduceat(slots, first) if len(first) else slots
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(sizes[some]), pa.array(np.bincount(unit, minlength=batch.num_rows)[some]), pa.array(template)], names=["key", "n", "fixed", "template"])
+
+    stays = source.mapInArrow(generalised, "key long, n long, fixed long, template long")
+    if known is None:
+        stays = stays.join(fixed.withColumnRenamed("slot", "template"), "template", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.sum("fixed").alias("fixed"), F.bit_xor("template").alias("template"))
     # Written, so that the join below is free to split a unit that very many documents hold.
-    stays = written(stays.where((F.size("fixed") >= FIXED_WORDS) & (F.size("fixed") >= F.col("n") * FIXED_SHARE)).select("key", F.xxhash64("leaf", "n", "fixed").alias("template")), "unit-templates")
+    stays = written(stays.where((F.col("fixed") >= FIXED_WORDS) & (F.col("fixed") >= F.col("n") * FIXED_SHARE)).select("key", "template"), "unit-templates")
     held = units.select("key", "place").join(stays, "key").select("template", "place").distinct()
     first = held.groupBy("template").agg(F.count("*").alias("documents"), F.min("place").alias("place")).where(F.col("documents") >= least_documents)
     out = written(stays.join(first, "template").select("key", "place"), "general")
-    removed(units, stays)
+    removed(units, once, fixed, stays)
     return out
 
 
