@@ -217,8 +217,11 @@ def _leaf_units(docs: DataFrame, found: DataFrame, broadcast_most: int) -> DataF
                     at = np.minimum(np.searchsorted(keys, units.keys), len(keys) - 1)
                     told = (keys[at] != units.keys) | (firsts[at] == places)
             some = np.flatnonzero(open_)
-            words = [units.words[a:b].view(np.int64) if t else None for a, b, t in zip(units.start[some].tolist(), units.end[some].tolist(), told[some].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(units.leaves[some]), pa.array(units.keys[some]), pa.array(places[some]), pa.array(words, pa.list_(pa.int64()))], names=["leaf", "key", "place", "words"])
+            sizes = np.where(told[some], units.end[some] - units.start[some], 0)
+            ends = np.cumsum(sizes)
+            at = np.repeat(units.start[some] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+            words = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(units.words[at].view(np.int64)), mask=pa.array(~told[some]))
+            yield pa.RecordBatch.from_arrays([pa.array(units.leaves[some]), pa.array(units.keys[some]), pa.array(places[some]), words], names=["leaf", "key", "place", "words"])
 
     units = _source(docs).mapInArrow(run, "leaf long, key long, place long, words array<long>")
     if not few:
