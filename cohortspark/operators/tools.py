@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.functions.budgets import calculate, weekly_budget
-from cohortspark.operators.batch import cohort_match_many, match_samples, validate_filters
-from cohortspark.operators.cohort import SUMMARY_ROWS, inspect_profiles, total_accounts, with_reported_outcome
+from cohortspark.operators.batch import first_matches, match_records, matches, searchable, tallies, validate_filters
+from cohortspark.operators.cohort import SUMMARY_ROWS, inspect_profiles, total_accounts
 from cohortspark.operators.conversations import tool_call_budget
 
 
@@ -39,7 +39,7 @@ def replay_tool_calls(calls: DataFrame, profiles: DataFrame, outcomes: DataFrame
     Admission follows tool_call_budget. calculate and weekly_time_budget are column arithmetic. The different searches of
     all answers become one table of requests, searched together, and their counts go back to every call that asked.
     profile_inspect gives the cycle of a profile that an earlier search of the answer returned or that the answer before
-    had (previous: answer_id, id). `written` stores the matches, which are read several times.
+    had (previous: answer_id, id). `written` stores what is read several times.
     """
     key = ["answer_id", "round", "seq"]
     admitted = tool_call_budget(calls).join(calls.select(*key, "args"), key)
@@ -49,15 +49,17 @@ def replay_tool_calls(calls: DataFrame, profiles: DataFrame, outcomes: DataFrame
     searches = rows.where("verdict = 'admitted' AND tool = 'cohort_search'").select(*key, "args")
     requests = written(search_requests(searches), "requests")
     asked = requests.where(F.size("errors") == 0)
-    found = written(cohort_match_many(asked.drop("errors", "limit"), profiles, outcomes).select("request_id", "id", "account_id", "source", "cycle"), "matches")
+    base = written(searchable(profiles, outcomes), "searchable")
+    filters = asked.drop("errors", "limit")
+    counted = written(tallies(matches(filters, base)), "tallies")
     # A search without any match has counts as well.
-    counts = with_reported_outcome(found, outcomes).groupBy("request_id").agg(F.count("*").alias("matched"), F.count_if("has_reported_outcome").alias("with_reported_outcomes"))
+    counts = match_records(counted, profiles).drop("total", "examined", "summarized")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     matched = zero(F.col("matched"))
     counts = requests.join(counts, "request_id", "left").crossJoin(total_accounts(profiles)).select(
         F.col("request_id").alias("args"), F.concat_ws(",", "errors").alias("invalid"), F.when(F.size("errors") == 0, F.struct(F.col("total_accounts").alias("total"), matched.alias("matched"), F.least(matched, F.col("limit").cast("long")).alias("examined"), zero(F.col("with_reported_outcomes")).alias("with_reported_outcomes"), F.least(matched, F.lit(SUMMARY_ROWS).cast("long")).alias("summarized"))).alias("cohort")
     )
-    returned = match_samples(found, MOST_RETURNED).join(asked.select("request_id", "limit"), "request_id").where("place <= limit").select(F.col("request_id").alias("args"), "id")
+    returned = first_matches(filters, base, counted, MOST_RETURNED).join(asked.select("request_id", "limit"), "request_id").where("place <= limit").select(F.col("request_id").alias("args"), "id")
     seen = searches.join(returned, "args").groupBy("answer_id", "id").agg(F.min(F.struct("round", "seq")).alias("since"))
     seen = seen.unionByName(previous.select("answer_id", "id", F.lit(None).cast(seen.schema["since"].dataType).alias("since"))).groupBy("answer_id", "id").agg(F.max(F.col("since").isNull()).alias("before"), F.min("since").alias("since"))
 

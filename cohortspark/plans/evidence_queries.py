@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortspark.operators import batch, citations, conversations, tools
+from cohortspark.operators import batch, citations, cohort, conversations, tools
 from cohortspark.plans.register import query
-from cohortspark.plans.search_queries import _MANY, BASE, EVENT, saved, searched
+from cohortspark.plans.search_queries import _MANY, BASE, EVENT, found, saved, searched
 from cohortspark.sources import files
 
 
@@ -73,11 +73,11 @@ SELECT request_id, left(translate('<"counts":<"total":' || (SELECT count(DISTINC
 FROM c JOIN s USING (request_id) JOIN y USING (request_id) JOIN g USING (request_id) JOIN {{requests}} r USING (request_id)""")
 def cohort_evidence(t):
     """Whole records of all requests, as their text."""
-    asked = saved(t)
-    found = batch.cohort_match_many(asked, searched(t), t.outcomes).select("request_id", "id", "account_id", "source", "cycle", "observed_at", "gpa", "mcat")
-    found = t.written(found, "matches")
-    rows = citations.cohort_evidence(asked, batch.match_records(found, t.profiles, t.outcomes), batch.match_summaries(found), batch.match_coverage(found))
-    return rows.select("request_id", "excerpt")
+    def records(asked):
+        asked, counted, first = found(t, asked, cohort.SUMMARY_ROWS)
+        return citations.cohort_evidence(asked, batch.match_records(counted, t.profiles), batch.match_summaries(first), batch.match_coverage(counted)).select("request_id", "excerpt")
+
+    return batch.once(saved(t), records)
 
 
 @query("SELECT id, cast(5 AS bigint) AS sources, CASE WHEN length(id) % 2 = 0 THEN 'f-1' END AS attachment FROM {messages} WHERE role = 'assistant'")

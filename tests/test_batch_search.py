@@ -97,3 +97,37 @@ def test_replay_of_searches(spark):
     assert "invalid_gpaMin" in got["y", 0].error and cohort_of(("y", 1)) == (2, 0, 0, 0, 0)
     assert (got["y", 2].cycle, got["y", 3].error, got["y", 4].number) == ("2023-24", "unknown_profile", 3.0)
     assert got["z", 0].error and "invalid_limit" in got["z", 1].error and len(got) == len(calls)
+
+
+NO_FILTER = (None,) * 9
+
+
+def test_crowded_accounts_and_first_matches(spark):
+    """One row of an account whatever the number of its profiles; the first matches are those of the whole order, found in few of its parts."""
+    p = spark.createDataFrame([(f"p{k:04d}", "crowd" if k < 100 else f"a{k}", "sdn", "2022-23" if k % 3 else "2023-24", "d", 3.0 + k % 7 / 10, 500, "reviewed", 1, "cycle_report", None) for k in range(1000)], PROFILES)
+    o = spark.createDataFrame([("p0098", "2022-23", "odd", "S", 0), ("p0500", "2022-23", "other", "S", 0)], OUTCOMES)
+    asked = spark.createDataFrame([(1, *NO_FILTER), (2, 3.6, *NO_FILTER[1:]), (3, *NO_FILTER[:6], ["odd"], None, None)], REQUESTS)
+    base = batch.searchable(p, o).cache()
+    rows = batch.matches(asked, base).select("request_id", "account_id", "id", "cycle").collect()
+    assert len({(r.request_id, r.account_id) for r in rows}) == len(rows)
+    assert [r.id for r in rows if r.account_id == "crowd"] and {r.id for r in rows if r.request_id == 3} == {"p0098"}
+    assert len([r for r in rows if r.request_id == 1]) == 901
+    counted = batch.tallies(batch.matches(asked, base)).cache()
+    first = batch.first_matches(asked, base, counted, 40).collect()
+    for k in (1, 2, 3):
+        order = sorted((r for r in rows if r.request_id == k), key=lambda r: (-int(r.cycle[:4]), r.id))[:40]
+        assert [r.id for r in sorted((r for r in first if r.request_id == k), key=lambda r: r.place)] == [r.id for r in order]
+    slots = [r.slot for r in counted.select("slot").distinct().collect()]
+    assert len(slots) > 20 and max(r._slot for r in first if r.request_id == 1) < max(slots) / 2
+
+
+def test_equal_filters_are_searched_once(spark):
+    asked = spark.createDataFrame([(k, None, 3.0 if k % 2 else None, *NO_FILTER[2:4], ["2022-23"], *NO_FILTER[5:]) for k in range(10)], REQUESTS)
+    seen = []
+
+    def search(requests):
+        seen.append(sorted(r.request_id for r in requests.collect()))
+        return requests.select("request_id", "gpa_max")
+
+    got = {r.request_id: r.gpa_max for r in batch.once(asked, search).collect()}
+    assert seen == [[0, 1]] and got == {k: 3.0 if k % 2 else None for k in range(10)}
