@@ -196,31 +196,37 @@ class Assembly(StatefulProcessor):
         self.frames = handle.getListState("frames", "seq long, text string, finish string, bad boolean")
         self.stand = handle.getValueState("stand", "frames long, top long, last long")
 
-    def whole(self, key, top: int | None, late: bool) -> pd.DataFrame | None:
+    @staticmethod
+    def whole(key, frames, top: int | None, late: bool) -> pd.DataFrame | None:
         """The answer from all frames (of one number the first counts), or None while some before `top` are missing."""
         held = {}
-        for seq, text, finish, bad in self.frames.get():
+        for seq, text, finish, bad in frames:
             held.setdefault(int(seq), (text, finish, bad))
         whole = top is not None and all(k in held for k in range(top + 1))
         if not whole and not late:
             return None
         text = "".join(held[k][0] for k in sorted(held))
         ok = whole and held[top][1] == "stop" and not any(f[2] for f in held.values()) and text.strip() and len(text) <= ANSWER_CHARS
-        self.frames.clear()
-        self.stand.clear()
         return pd.DataFrame([(key[0], text, "complete" if ok else "failed")], columns=["message_id", "content", "status"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        count, top, last = self.stand.get() if self.stand.exists() else (0, -1, 0)
-        before = int(last)
+        known = self.stand.exists()
+        count, top, last = self.stand.get() if known else (0, -1, 0)
+        before, new = int(last), []
         for batch in rows:
-            new = [(int(f.seq), f.text or "", f.finish or "", bool(f.bad)) for f in batch.itertuples()]
+            new += [(int(seq), text or "", finish or "", bool(bad)) for seq, text, finish, bad in zip(batch["seq"], batch["text"], batch["finish"], batch["bad"])]
+            last = max(int(last), int(batch["ts"].max().timestamp() * 1000))
+        count += len(new)
+        top = max([int(top), *(f[0] for f in new if f[2])])
+        # Fewer frames than numbers up to the last one: nothing has to be read. An answer that comes whole in one batch never enters the state.
+        full = top >= 0 and count > top
+        done = self.whole(key, new, int(top), False) if full and not known else None
+        if done is None:
             self.frames.appendList(new)
-            count += len(new)
-            top = max([int(top), *(f[0] for f in new if f[2])])
-            last = max([int(last), *(int(t.timestamp() * 1000) for t in batch["ts"])])
-        # Fewer frames than numbers up to the last one: nothing has to be read.
-        done = self.whole(key, int(top), False) if top >= 0 and count > top else None
+            done = self.whole(key, self.frames.get(), int(top), False) if full and known else None
+            if done is not None:
+                self.frames.clear()
+                self.stand.clear()
         if before:
             self.handle.deleteTimer(before + self.silence_ms)
         if done is not None:
@@ -231,7 +237,9 @@ class Assembly(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         top = int(self.stand.get()[1])
-        yield self.whole(key, top if top >= 0 else None, True)
+        yield self.whole(key, self.frames.get(), top if top >= 0 else None, True)
+        self.frames.clear()
+        self.stand.clear()
 
 
 def answers(frames: DataFrame, delay: str = "10 minutes", silence_ms: int = 150_000) -> DataFrame:

@@ -119,3 +119,18 @@ def test_releases_in_parts(spark, tmp_path):
         assert [n for n, _ in store.versions(spark, path)] == [1]
         left = [p for p in (tmp_path / name / "c-staged").rglob("*.parquet")]
         assert left == []
+
+
+def test_whole_answers_do_not_enter_the_state():
+    """An answer whose frames come in one batch is told from them; nothing is appended, updated or timed."""
+    import pandas as pd
+
+    class Untouched:
+        def exists(self):
+            return False
+
+    frames = pd.DataFrame([(1, "there", "stop", False), (0, "Hi ", None, False)], columns=["seq", "text", "finish", "bad"]).assign(ts=at(1))
+    job = jobs.Assembly(1000)
+    job.handle, job.frames, job.stand = object(), Untouched(), Untouched()
+    got = [tuple(r) for out in job.handleInputRows(("a",), iter([frames.iloc[:1], frames.iloc[1:]]), None) for r in out.itertuples(index=False)]
+    assert got == [("a", "Hi there", "complete")]
