@@ -85,7 +85,7 @@ UNION ALL SELECT 'profiles', p.id, concat_ws('|', p.account_id, p.cycle, coalesc
 LEFT JOIN (SELECT profile_id, count(*) AS n, string_agg(category, ',' ORDER BY ord) AS k FROM {{activities}} GROUP BY profile_id) x ON x.profile_id = p.id""")
 def flatten_release(t):
     """All three tables; of a profile the activities are read back from its document."""
-    accounts, rows, outcomes = publish.flatten_release(release(t))
+    accounts, rows, outcomes = publish.flatten_release(t.written(release(t), "release"))
     handles = accounts.select(F.lit("accounts").alias("part"), "id", F.concat_ws("|", "source", "source_account_id", "public_handle", F.col("ordinal").cast("string")).alias("told"))
     document = F.from_json("profile_json", "account_id string, cycle string, gpa double, summary string, activities array<struct<category:string>>")
     told = F.concat_ws("|", "d.account_id", "d.cycle", F.coalesce(F.col("d.gpa").cast("string"), F.lit("-")), "d.summary", F.size("d.activities").cast("string"), F.array_join("d.activities.category", ","))
@@ -182,10 +182,10 @@ def write_corpus(t):
 
 @query("SELECT id, row_number() OVER (ORDER BY id) - 1 AS ordinal, account_id, cycle, gpa, coalesce(n, 0) AS activities FROM {profiles} p LEFT JOIN (SELECT profile_id, count(*) AS n FROM {activities} GROUP BY profile_id) a ON a.profile_id = p.id")
 def read_release(t):
-    """The profiles as JSON lines over many files, read back with their numbers."""
+    """The profiles as JSON lines over many packed files, read back with their numbers."""
     line = F.to_json(F.struct("id", F.col("account_id").alias("accountId"), "source", "cycle", "gpa", "activities", "outcomes"))
     path = t.folder("lines")
-    nested(t).orderBy("id").select(line.alias("value")).write.text(path)
+    nested(t).select("id", line.alias("value")).orderBy("id").select("value").write.text(path, compression="gzip")
     got = files.read_release(t.spark, path, lines=True)
     return got.select("p.id", "ordinal", F.col("p.accountId").alias("account_id"), "p.cycle", "p.gpa", F.size("p.activities").cast("long").alias("activities"))
 

@@ -19,7 +19,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     splits = placed.groupBy("file", "start").agg(F.count("*").alias("rows"), F.min("row").alias("first"))
     earlier = W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)  # one row per split of a file
     before = splits.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-    return placed.join(before, ["file", "start"]).select((F.col("before") + F.col("row") - F.col("first")).alias("ordinal"), "value")
+    return placed.join(F.broadcast(before), ["file", "start"]).select((F.col("before") + F.col("row") - F.col("first")).alias("ordinal"), "value")
 
 
 def read_release(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -19,3 +19,35 @@ def test_replay_sees_every_call(spark, monkeypatch):
     assert seen == [derived(spark, SF, "li").where("ord >= 6").count()] and seen[0] > 0
     # Of a reply's calls only the first six stand.
     assert got.where("seq >= 6").count() == 0 and got.count() == derived(spark, SF, "li").where("ord < 6").count()
+
+
+def test_release_deals_lines_out_once(spark, tmp_path):
+    """Activities and outcomes of all profiles come from one shuffle of the lines; an unknown supplier's line is an activity alone."""
+    import shutil
+
+    from cohortspark.plans.register import Tables
+    from cohortspark.plans.search_queries import nested
+
+    sf = str(tmp_path / "sf")
+    shutil.copytree(SF, sf)
+    few = spark.read.parquet(f"{SF}/supplier.parquet").where("s_suppkey % 3 > 0")
+    shutil.rmtree(f"{sf}/supplier.parquet", ignore_errors=True) if (tmp_path / "sf/supplier.parquet").is_dir() else (tmp_path / "sf/supplier.parquet").unlink()
+    few.write.parquet(f"{sf}/supplier.parquet")
+    t = Tables(spark, sf)
+    rows = nested(t)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber") > 0 and plan.count("lineitem.parquet") + plan.count("Relation [l_orderkey") == 1
+    arrays = rows.selectExpr("id", "transform(activities, a -> a.ord) AS a", "transform(outcomes, o -> o.id) AS o").collect()
+    acts = {(r.profile_id, r.ord) for r in t.activities.select("profile_id", "ord").collect()}
+    outs = {r.id for r in t.outcomes.select("id").collect()}
+    assert {(r.id, k) for r in arrays for k in r.a} == acts and {x for r in arrays for x in r.o} == outs and 0 < len(outs) < len(acts)
+
+
+def test_lines_of_a_release_are_packed(spark, tmp_path, monkeypatch):
+    """What read_release writes is a small part of the text that it reads back."""
+    from cohortspark.plans.register import Tables
+
+    monkeypatch.setattr(Tables, "folder", lambda self, name: str(tmp_path / name))
+    QUERIES["read_release"](spark, SF)
+    text = spark.read.text(str(tmp_path / "lines")).selectExpr("sum(length(value)) AS n").first().n
+    assert 0 < sum(f.stat().st_size for f in (tmp_path / "lines").glob("part-*")) < text / 5
