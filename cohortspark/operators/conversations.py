@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 #: Fixed limits: lease, saved characters, context messages, characters a message and in all.
 LEASE_MS, SAVED_CHARS, ANSWER_CHARS = 180_000, 120_000, 35_000
 HISTORY, CONTEXT, MESSAGE_CHARS, CONTEXT_CHARS = 24, 20, 16_000, 100_000
+MOST_ARGS = 5000
 TOOL_LIMITS = {"cohort_search": 2, "profile_inspect": 3, "calculate": 3, "weekly_time_budget": 3}
 
 
@@ -138,14 +139,22 @@ def tool_call_budget(calls: DataFrame) -> DataFrame:
     Per reply only the first six stand; an answer has four rounds and seven calls; each tool has its own limit, which
     oversized calls do not use up.
     """
+    large = F.length("args") > MOST_ARGS
+    return admission(calls.select("answer_id", "round", "seq", "tool", large.alias("large"))).drop("large")
+
+
+def admission(calls: DataFrame) -> DataFrame:
+    """The verdicts of calls (answer_id, round, seq, tool, large: whether the arguments are oversized); other columns stay.
+
+    The arguments themselves are neither sorted nor dealt out.
+    """
     rows = ranked(calls, ["answer_id", "round"], F.asc("seq"), name="in_reply")
     standing = rows.where((F.col("in_reply") <= 6) & (F.col("round") < 4))
     standing = ranked(standing, ["answer_id"], F.asc("round"), F.asc("seq"), name="in_answer").where(F.col("in_answer") <= 7)
-    large = F.length("args") > 5000
     limit = F.create_map(*[x for k, v in TOOL_LIMITS.items() for x in (F.lit(k), F.lit(v))])
-    counted = F.sum(F.when(~large, 1).otherwise(0)).over(W.partitionBy("answer_id", "tool").orderBy("round", "seq").rowsBetween(W.unboundedPreceding, 0))
-    verdict = F.when(large, "too_large").when(F.try_element_at(limit, F.col("tool")).isNull(), "unknown_tool").when(counted > F.try_element_at(limit, F.col("tool")), "tool_limit").otherwise("admitted")
-    return standing.select("answer_id", "round", "seq", "tool", verdict.alias("verdict"))
+    counted = F.sum(F.when(~F.col("large"), 1).otherwise(0)).over(W.partitionBy("answer_id", "tool").orderBy("round", "seq").rowsBetween(W.unboundedPreceding, 0))
+    verdict = F.when(F.col("large"), "too_large").when(F.try_element_at(limit, F.col("tool")).isNull(), "unknown_tool").when(counted > F.try_element_at(limit, F.col("tool")), "tool_limit").otherwise("admitted")
+    return standing.select(*calls.columns, verdict.alias("verdict"))
 
 
 def assemble_answers(frames: DataFrame, limit: int = ANSWER_CHARS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortspark.functions.budgets import calculate, weekly_budget
 from cohortspark.operators.batch import first_matches, match_records, matches, searchable, tallies, validate_filters
 from cohortspark.operators.cohort import SUMMARY_ROWS, inspect_profiles, total_accounts
-from cohortspark.operators.conversations import tool_call_budget
+from cohortspark.operators.conversations import MOST_ARGS, admission
 
 
 def latest_cohort(calls: DataFrame) -> DataFrame:
@@ -36,13 +36,15 @@ def search_requests(calls: DataFrame) -> DataFrame:
 def replay_tool_calls(calls: DataFrame, profiles: DataFrame, outcomes: DataFrame, previous: DataFrame, written=lambda df, name: df) -> DataFrame:
     """Calls (answer_id, round, seq, tool, args JSON) with a result or an error.
 
-    Admission follows tool_call_budget. calculate and weekly_time_budget are column arithmetic. The different searches of
+    Admission follows tool_call_budget, with the arguments beside it. calculate and weekly_time_budget are column arithmetic. The different searches of
     all answers become one table of requests, searched together, and their counts go back to every call that asked.
     profile_inspect gives the cycle of a profile that an earlier search of the answer returned or that the answer before
     had (previous: answer_id, id). `written` stores what is read several times.
     """
     key = ["answer_id", "round", "seq"]
-    admitted = tool_call_budget(calls).join(calls.select(*key, "args"), key)
+    # Oversized arguments are known by their size alone; no call that is let through has them.
+    large = F.length("args") > MOST_ARGS
+    admitted = admission(calls.select(*key, "tool", F.when(~large, F.col("args")).alias("args"), large.alias("large"))).drop("large")
     a = F.from_json("args", "operation string, values array<double>, hoursPerWeek double, weeks double, plannedHours double, id string")
     rows = admitted.withColumn("a", a).withColumn("asked", F.when((F.col("verdict") == "admitted") & (F.col("tool") == "profile_inspect"), F.col("a.id")))
 

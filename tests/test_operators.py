@@ -214,3 +214,13 @@ def test_a_number_with_full_stops_is_no_mark_before_it(spark):
 def test_check_of_an_answer_with_an_address(spark):
     got = one(spark, texts.sentence_check(F.lit("Answer in two sentences."), F.lit("It is die. 80.134.228.59 chlla now. So.")))
     assert tuple(got) == (2, 2, True)
+
+
+def test_budget_sorts_no_arguments(spark):
+    """Arguments are measured before calls are dealt out and sorted; null ones are not oversized."""
+    calls = spark.createDataFrame([(1, 0, 0, "calculate", "x" * 5001), (1, 0, 1, "calculate", None), (1, 0, 2, "other", "{}")], "answer_id long, round int, seq int, tool string, args string")
+    got = conversations.tool_call_budget(calls)
+    assert [r.verdict for r in got.orderBy("seq").collect()] == ["too_large", "admitted", "unknown_tool"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and not any("args" in line for line in plan.split("\n") if "Window" in line or "Sort" in line)
+    assert "args" not in plan[: plan.rindex("Window")]
