@@ -131,24 +131,47 @@ def current_versions(imports: DataFrame) -> DataFrame:
     return imports.withColumn("is_current", (F.row_number().over(last) == 1).cast("int"))
 
 
-def publish_profiles(existing: DataFrame, release: DataFrame) -> DataFrame:
+def publish_profiles(existing: DataFrame, release: DataFrame, place=None) -> DataFrame:
     """Existing profiles with a release's written over them; account, cycle and version of a known id never change.
 
     Of several rows of one id the last ordinal is written. A release row demotes the others of its account and cycle as it
     names them; among the release's own rows the last written stays current. Running it twice changes nothing.
+
+    Whole rows are dealt out once, to their account and cycle, where all is decided. Only ids are compared before: those
+    whose rows name different accounts or cycles get the place where they belong, and a row without content demotes where
+    they are named. `place` (a column of the account) leads the order in which rows are dealt out and stays as `bucket`;
+    then it is asked first whether any id is out of place, so that whole rows are joined with none.
     """
-    others = [c for c in release.columns if c not in ("id", "ordinal")]
-    last_row = release.groupBy("id").agg(F.max_by(F.struct(*others), "ordinal").alias("r"), F.max("ordinal").alias("n_ordinal"))
-    new = last_row.select("id", *[F.col(f"r.{c}").alias(f"n_{c}") for c in others], "n_ordinal")
-    both = existing.join(new, "id", "full_outer")
-    given = F.col("n_ordinal").isNotNull()
-    fixed = ("account_id", "cycle", "version")
-    out = both.select("id", *[(F.coalesce(c, f"n_{c}") if c in fixed else F.when(given, F.col(f"n_{c}")).otherwise(F.col(c))).alias(c) for c in existing.columns if c not in ("id", "is_current")], F.coalesce("is_current", F.lit(0)).alias("was"), "n_ordinal")
-    # Writes as (account, cycle) that they name: later writes demote earlier ones and older rows.
-    last = new.groupBy(F.col("n_account_id").alias("account_id"), F.col("n_cycle").alias("cycle")).agg(F.max("n_ordinal").alias("last"))
-    rows = out.join(last, ["account_id", "cycle"], "left")
-    current = F.when(F.col("n_ordinal").isNotNull(), (F.coalesce("last", F.lit(-1)) <= F.col("n_ordinal")).cast("int")).when(F.col("last").isNotNull(), F.lit(0)).otherwise(F.col("was"))
-    return rows.withColumn("is_current", current).select(*existing.columns)
+    key = ["account_id", "cycle"]
+    rest = [c for c in existing.columns if c != "is_current"]
+    old = existing.select(*rest, F.coalesce("is_current", F.lit(0)).alias("was"), F.lit(False).alias("_new"), F.lit(None).cast("long").alias("n_ordinal"))
+    new = release.select(*rest, F.lit(0).alias("was"), F.lit(True).alias("_new"), F.col("ordinal").cast("long").alias("n_ordinal"))
+    both = old.unionByName(new)
+    named, known = F.struct(*key), F.col("_known")
+    ids = both.select("id", *key, "_new", "n_ordinal").groupBy("id").agg(
+        F.min(named).alias("a"), F.max(named).alias("b"), F.max_by(named, "n_ordinal").alias("last"), F.max("n_ordinal").alias("last_ordinal"), F.max(F.when(~F.col("_new"), named)).alias("_known"), F.max("_new").alias("_named")
+    )
+    moved = ids.where(F.col("_named") & ~F.col("a").eqNullSafe(F.col("b"))).select("id", *[F.coalesce(known[c], F.col("last")[c]).alias(f"to_{c}") for c in key], "last", "last_ordinal")
+    if place is not None and moved.isEmpty():
+        both = both.withColumns({"_moved": F.lit(False), "_told": F.lit(False)})
+    else:
+        both = both.join(moved.select("id", *[f"to_{c}" for c in key], F.lit(True).alias("_moved")), "id", "left").withColumn("_moved", F.coalesce("_moved", F.lit(False)))
+        both = both.withColumns({c: F.when(F.col("_moved"), F.col(f"to_{c}")).otherwise(F.col(c)) for c in key}).select(*rest, "was", "_new", "n_ordinal", "_moved", F.lit(False).alias("_told"))
+        told = moved.select(*[F.col("last")[c].alias(c) for c in key], F.col("last_ordinal").alias("n_ordinal"), F.lit(True).alias("_told"))
+        both = both.unionByName(told, allowMissingColumns=True)
+    spot = [*(["bucket"] if place is not None else []), *key]
+    if place is not None:
+        both = both.withColumn("bucket", place).repartitionByRange(*spot)
+    # Rows of one id lie together, the last written first; a known id's version stays.
+    same = W.partitionBy(*spot, "id")
+    version = F.coalesce(F.max(F.when(~F.col("_new"), F.col("version"))).over(same), "version")
+    nth = F.row_number().over(same.orderBy(F.desc("_new"), F.desc_nulls_last("n_ordinal")))
+    chosen = both.withColumns({"version": version, "_nth": nth}).where("_nth = 1 OR _told")
+    # A row demotes where it lies, one of a moved id where it is told.
+    said = F.max(F.when(F.col("_told") | (F.col("_new") & ~F.col("_moved")), F.col("n_ordinal"))).over(W.partitionBy(*spot))
+    last = F.when(F.col("account_id").isNotNull() & F.col("cycle").isNotNull(), said)
+    current = F.when(F.col("_new"), (F.coalesce("last", F.lit(-1)) <= F.coalesce("n_ordinal", F.lit(-1))).cast("int")).when(F.col("last").isNotNull(), F.lit(0)).otherwise(F.col("was"))
+    return chosen.withColumn("last", last).where("NOT _told").withColumn("is_current", current).select(*existing.columns, *spot[:-2])
 
 
 def publish_outcomes(existing: DataFrame, release_profiles: DataFrame, release_outcomes: DataFrame) -> DataFrame:
@@ -184,10 +207,10 @@ def publish_ledger(existing: DataFrame, profiles: DataFrame, release: str, impor
     return existing.where(F.col("release") != release).unionByName(row)
 
 
-def publish_release(corpus: dict[str, DataFrame] | None, profiles: DataFrame, release: str, imported_at: str) -> dict[str, DataFrame]:
+def publish_release(corpus: dict[str, DataFrame] | None, profiles: DataFrame, release: str, imported_at: str, place=None) -> dict[str, DataFrame]:
     """accounts, profiles, outcomes and imports of a corpus (None: empty) after a release of valid nested profiles.
 
-    Publishing the same release again gives the same tables.
+    Publishing the same release again gives the same tables. `place` is that of publish_profiles.
     """
     accounts, rows, outcomes = flatten_release(profiles)
     if corpus is None:
@@ -200,7 +223,7 @@ def publish_release(corpus: dict[str, DataFrame] | None, profiles: DataFrame, re
     written = rows.select("ordinal", *[c for c in corpus["profiles"].columns if c != "is_current"])
     return {
         "accounts": publish_accounts(corpus["accounts"], accounts),
-        "profiles": publish_profiles(corpus["profiles"], written),
+        "profiles": publish_profiles(corpus["profiles"], written, place),
         "outcomes": publish_outcomes(corpus["outcomes"], rows, outcomes),
         "imports": publish_ledger(corpus["imports"], rows, release, imported_at),
     }

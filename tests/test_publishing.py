@@ -127,3 +127,21 @@ def test_artifact_digests(spark):
 def test_broken_documents_are_null(spark):
     df = spark.createDataFrame([('{"a": 1}',), ("[",), ("",), (None,)], "t string")
     assert [r.parsed and r.parsed.a for r in files.parse_documents(df, "t", "a int").collect()] == [1, None, None, None]
+
+
+def test_whole_rows_are_dealt_out_once(spark, tmp_path):
+    """Profiles go to their buckets in one shuffle; an id that names another account or comes twice still ends where it belongs."""
+    path = str(tmp_path / "store")
+    rows = [profile(f"p{k}", f"a{k % 5}", "h", k) for k in range(20)]
+    store.publish(path, spark.createDataFrame(rows, PROFILE), "r1", "t1", 4)
+    corpus = store.read_corpus(spark, path)
+    before = corpus["profiles"]
+    again = before.withColumn("ordinal", F.lit(100).cast("long")).drop("is_current").where("id = 'p1'")
+    dealt = publish.publish_profiles(before, again, store.bucket_of(F.col("account_id"), 4))
+    assert dealt._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert "Join" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+    elsewhere = again.withColumn("account_id", F.lit("sdn:a2")).unionAll(again.withColumns({"account_id": F.lit("sdn:a3"), "ordinal": F.lit(99).cast("long")}))
+    got = {r.id: r for r in publish.publish_profiles(before, elsewhere, store.bucket_of(F.col("account_id"), 4)).collect()}
+    # p1 stays with a1, of whose profiles p16 was current; a2's are demoted, as the last row names it; a3's are not.
+    assert len(got) == 20 and got["p1"].account_id == "sdn:a1" and got["p1"].is_current == 1 and got["p16"].is_current == 1
+    assert (got["p17"].is_current, got["p18"].is_current) == (0, 1)
