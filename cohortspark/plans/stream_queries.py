@@ -69,7 +69,7 @@ FROM p JOIN h ON h.account_id = p.account_id LEFT JOIN o ON o.profile_id = p.id"
 
 @query(RELEASES)
 def stream_publish(t):
-    """Two releases of nested profiles arrive as files in parts that mix them; the second one holds a quarter of all, half of them new, and comes twice."""
+    """Two releases of nested profiles arrive as packed files in parts that mix them; the second one holds a quarter of all, half of them new, and comes twice."""
     rows = t.written(release(t).withColumn("public_handle", F.col("id")), "release")
     first = rows.where("orderkey % 4 <> 1 OR orderkey % 8 <> 5").withColumn("release", F.lit("r-1"))
     second = rows.where("orderkey % 4 = 1").withColumn("gpa", F.lit(3.25)).withColumn("release", F.lit("r-2"))
@@ -77,7 +77,7 @@ def stream_publish(t):
     files, store, seen = t.folder("files"), t.folder("store"), t.folder("checkpoint")
     half = lambda df, k: df.where(F.floor(F.col("orderkey") / 8) % 2 == k)
     for k, part in enumerate((half(first, 0), half(first, 1).unionByName(half(second, 1)), half(second, 0), second)):
-        part.write.json(f"{files}/{k}")
+        part.write.json(f"{files}/{k}", compression="gzip")
         jobs.publish_files(t.spark, f"{files}/*", first.schema, store, seen, "2026-01-01", buckets=16).awaitTermination()
     corpus = read_corpus(t.spark, store)
     handles = corpus["accounts"].select(F.col("id").alias("account_id"), F.col("public_handle").alias("handle"))

@@ -281,7 +281,7 @@ def publish_files(spark: SparkSession, files: str, schema: str, store: str, chec
     """Publish release files (JSON lines of nested profiles with release, release_size and ordinal) as they arrive, in parts of any size.
 
     Each batch is staged under its number. A release is published once as many ordinals as its release_size says have come, in
-    whatever batches; of an ordinal that comes again the latest row counts. What is staged of it then goes. Staging and
+    whatever batches; of an ordinal that comes again the latest row counts (only then rows are dealt out by ordinal). What is staged of it then goes. Staging and
     publishing are idempotent, so a batch that runs again after a failure leaves the same tables. A batch gathers only
     the names of its releases.
     """
@@ -293,10 +293,12 @@ def publish_files(spark: SparkSession, files: str, schema: str, store: str, chec
         names = [r[0] for r in spark.read.schema(batch.schema).parquet(f"{staging}/batch={number}").select("release").distinct().orderBy("release").collect()]
         kinds = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
         staged = spark.read.schema(kinds).option("basePath", staging).parquet(f"{staging}/batch=*").where(F.col("release").isin(names))
-        have = staged.groupBy("release").agg(F.countDistinct("ordinal").alias("n"), F.max_by("release_size", "batch").alias("size")).where("n >= size")
-        for name in sorted(r.release for r in have.select("release").collect()):
-            latest = W.partitionBy("ordinal").orderBy(F.desc("batch"))
-            rows = staged.where(F.col("release") == name).withColumn("_place", F.row_number().over(latest)).where("_place = 1")
+        have = staged.groupBy("release").agg(F.countDistinct("ordinal").alias("n"), F.count("*").alias("rows"), F.max_by("release_size", "batch").alias("size")).where("n >= size")
+        for name, given, ordinals in sorted(map(tuple, have.select("release", "rows", "n").collect())):
+            rows = staged.where(F.col("release") == name).withColumn("_place", F.lit(1))
+            if given > ordinals:
+                latest = W.partitionBy("ordinal").orderBy(F.desc("batch"))
+                rows = rows.withColumn("_place", F.row_number().over(latest)).where("_place = 1")
             publish(store, rows.drop("release", "release_size", "batch", "_place"), name, imported_at, buckets)
             for held in staged.where(F.col("release") == name).select("batch").distinct().collect():
                 _gone(spark, f"{staging}/batch={held.batch}/release={name}")
