@@ -51,3 +51,16 @@ def test_lines_of_a_release_are_packed(spark, tmp_path, monkeypatch):
     QUERIES["read_release"](spark, SF)
     text = spark.read.text(str(tmp_path / "lines")).selectExpr("sum(length(value)) AS n").first().n
     assert 0 < sum(f.stat().st_size for f in (tmp_path / "lines").glob("part-*")) < text / 5
+
+
+def test_snapshots_look_at_no_whole_description(spark):
+    """Whether an activity is described is told at its first character that is no blank, and the lines lie in parts by their work."""
+    from cohortspark.operators import batch, cohort
+
+    plan = QUERIES["profile_snapshot"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_replace" not in plan and f"], {batch.working_parts(spark)}" in plan.split("repartitionbyexpression")[1].split("\n")[0]
+    texts = [None, "", " \t\n", "\u00a0", " x ", "x"]
+    row = [("p", "a", "2024-25", None, None, "s", "cycle_report", [("clinical", t, "reported", None) for t in texts], [])]
+    schema = "id string, account_id string, cycle string, gpa double, mcat long, summary string, timing_status string, activities array<struct<category:string,description:string,timing:string,hours:struct<min:double,max:double,precision:string>>>, outcomes array<struct<status:string,cycle:string,conditional:int,evidence:string>>"
+    got = cohort.profile_snapshot(spark.createDataFrame(row, schema)).first().activities
+    assert [a.reporting_status == "reported_text" for a in got] == [False, False, False, True, True, True]
