@@ -64,3 +64,14 @@ def test_snapshots_look_at_no_whole_description(spark):
     schema = "id string, account_id string, cycle string, gpa double, mcat long, summary string, timing_status string, activities array<struct<category:string,description:string,timing:string,hours:struct<min:double,max:double,precision:string>>>, outcomes array<struct<status:string,cycle:string,conditional:int,evidence:string>>"
     got = cohort.profile_snapshot(spark.createDataFrame(row, schema)).first().activities
     assert [a.reporting_status == "reported_text" for a in got] == [False, False, False, True, True, True]
+
+
+def test_rules_are_evaluated_once(spark):
+    """The rules of a release are in one projection, not in a generator and in a filter before it; items are passed over once."""
+    from cohortspark.operators import publish
+
+    df = QUERIES["validate_corpus"](spark, SF)
+    nodes = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("Generate" in n and "hours_precision" in n for n in nodes) and not any("Filter" in n and "profile_id THEN" in n for n in nodes)
+    assert sum(n.count("THEN hours_precision") for n in nodes) == 1
+    assert set(publish.item_rules()["activities"]) < {r.rule for r in df.select("rule").distinct().collect()}
