@@ -152,7 +152,10 @@ def admission(calls: DataFrame) -> DataFrame:
     standing = rows.where((F.col("in_reply") <= 6) & (F.col("round") < 4))
     standing = ranked(standing, ["answer_id"], F.asc("round"), F.asc("seq"), name="in_answer").where(F.col("in_answer") <= 7)
     limit = F.create_map(*[x for k, v in TOOL_LIMITS.items() for x in (F.lit(k), F.lit(v))])
-    counted = F.sum(F.when(~F.col("large"), 1).otherwise(0)).over(W.partitionBy("answer_id", "tool").orderBy("round", "seq").rowsBetween(W.unboundedPreceding, 0))
+    # A count for each tool in the order of the answer's calls, so that they are not sorted by tool once more.
+    so_far = W.partitionBy("answer_id").orderBy("round", "seq").rowsBetween(W.unboundedPreceding, 0)
+    counts = [F.when(F.col("tool") == k, F.sum(F.when((F.col("tool") == k) & ~F.col("large"), 1).otherwise(0)).over(so_far)) for k in TOOL_LIMITS]
+    counted = F.coalesce(*counts)
     verdict = F.when(F.col("large"), "too_large").when(F.try_element_at(limit, F.col("tool")).isNull(), "unknown_tool").when(counted > F.try_element_at(limit, F.col("tool")), "tool_limit").otherwise("admitted")
     return standing.select(*calls.columns, verdict.alias("verdict"))
 

@@ -129,11 +129,12 @@ LEFT JOIN ({BASE}) p ON p.id = wants"""
 @query(_REPLAY)
 def replay_tool_calls(t):
     """Four tools in turn; half of the searches name a limit above the most, some a source that does not exist."""
-    profiles, outcomes = t.written(searched(t), "profiles"), t.written(t.outcomes, "outcomes")
+    profiles = t.written(searched(t), "profiles")
+    base = t.written(batch.searchable(profiles, t.outcomes), "searchable")
     c = t.li.withColumn("v", F.expr("l_suppkey % 20")).withColumn("w", F.expr("l_partkey % 3"))
     more = F.expr("CASE WHEN v >= 18 THEN ', \"sources\": [\"none\"]' WHEN w = 0 THEN ', \"sources\": [\"sdn\"]' WHEN w = 1 THEN ', \"sources\": [\"reddit\"]' ELSE ', \"outcomes\": [\"accepted\", \"waitlisted\"]' END")
     search = F.concat(F.lit('{"gpaMin": '), F.expr("2.0D + v / 10.0D").cast("string"), more, F.expr("CASE WHEN v % 2 = 0 THEN ', \"limit\": 20}' ELSE '}' END"))
-    top = batch.match_samples(batch.cohort_match_many(t.spark.sql("SELECT 'x' AS request_id, 2.5D AS gpa_min, cast(NULL AS double) AS gpa_max, cast(NULL AS double) AS mcat_min, cast(NULL AS double) AS mcat_max, cast(NULL AS array<string>) AS cycles, array('sdn') AS sources, cast(NULL AS array<string>) AS outcomes, cast(NULL AS string) AS school"), profiles, outcomes), 1)
+    top = t.written(batch.match_samples(batch.matches(t.spark.sql("SELECT 'x' AS request_id, 2.5D AS gpa_min, cast(NULL AS double) AS gpa_max, cast(NULL AS double) AS mcat_min, cast(NULL AS double) AS mcat_max, cast(NULL AS array<string>) AS cycles, array('sdn') AS sources, cast(NULL AS array<string>) AS outcomes, cast(NULL AS string) AS school"), base), 1).select("id"), "top")
     c = c.crossJoin(top.select(F.col("id").alias("top")).unionAll(t.spark.sql("SELECT 'p-none'")).agg(F.min("top").alias("top")))
     own = F.concat(F.lit("p-"), F.lpad(F.col("l_orderkey").cast("string"), 10, "0"))
     args = F.expr("""CASE l_partkey % 4 WHEN 0 THEN concat('{"operation": "sum", "values": [', cast(l_quantity AS double), ', ', l_suppkey, ']}') WHEN 1 THEN concat('{"hoursPerWeek": ', cast(l_quantity AS double), ', "weeks": 4}') END""")
@@ -142,5 +143,5 @@ def replay_tool_calls(t):
     tool = F.expr("CASE l_partkey % 4 WHEN 0 THEN 'calculate' WHEN 1 THEN 'weekly_time_budget' WHEN 2 THEN 'cohort_search' ELSE 'profile_inspect' END")
     calls = c.select(F.col("l_orderkey").alias("answer_id"), F.lit(0).alias("round"), F.col("ord").alias("seq"), tool.alias("tool"), args.alias("args"))
     previous = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("answer_id"), F.concat(F.lit("p-"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("id"))
-    got = tools.replay_tool_calls(calls, profiles, outcomes, previous, t.written)
+    got = tools.replay_tool_calls(calls, profiles, t.outcomes, previous, t.written, base)
     return got.select("answer_id", "seq", "number", "cycle", "cohort.total", "cohort.matched", "cohort.examined", "cohort.with_reported_outcomes", "error")

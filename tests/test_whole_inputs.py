@@ -75,3 +75,28 @@ def test_rules_are_evaluated_once(spark):
     assert not any("Generate" in n and "hours_precision" in n for n in nodes) and not any("Filter" in n and "profile_id THEN" in n for n in nodes)
     assert sum(n.count("THEN hours_precision") for n in nodes) == 1
     assert set(publish.item_rules()["activities"]) < {r.rule for r in df.select("rule").distinct().collect()}
+
+
+def test_replay_admits_and_prepares_once(spark, monkeypatch):
+    """Calls are admitted once and stored, and profiles are made ready for searches once; what searches return is not dealt out by answer."""
+    from cohortspark.operators import batch
+
+    made, searchable = [], batch.searchable
+    for module in (batch, tools):
+        monkeypatch.setattr(module, "searchable", lambda *tables: made.append(1) or searchable(*tables))
+    got = QUERIES["replay_tool_calls"](spark, SF)
+    assert len(made) == 1 and not any("lineitem" in f for f in got.inputFiles())
+
+
+def test_replay_looks_back_within_an_answer(spark):
+    """A profile may be inspected after a search of the same answer that came earlier and returned it, or where the answer before had it."""
+    p = spark.createDataFrame([("p-1", "a1", "reddit", "2024-25", 1, 1, "reviewed", "2024-01-01", 3.5, 510)], "id string, account_id string, source string, cycle string, version long, is_current int, review_status string, observed_at string, gpa double, mcat long")
+    o = spark.createDataFrame([], "profile_id string, cycle string, conditional int, status string, school string")
+    look, find, none = '{"id": "p-1"}', '{"gpaMin": 3.0}', '{"gpaMin": 3.9}'
+    inspect, search = "profile_inspect", "cohort_search"
+    calls = [("x", 0, 0, inspect, look), ("x", 0, 1, search, find), ("x", 0, 2, inspect, look), ("x", 1, 0, inspect, look), ("y", 0, 0, search, none), ("y", 0, 1, inspect, look), ("z", 0, 0, inspect, look), ("z", 0, 1, search, find), ("w", 0, 0, search, find), ("v", 0, 1, inspect, look), ("v", 0, 2, "odd", "{}"), ("v", 0, 3, None, "{}")]
+    before = spark.createDataFrame([("z", "p-1"), ("z", "p-1"), ("y", None)], "answer_id string, id string")
+    got = tools.replay_tool_calls(spark.createDataFrame(calls, "answer_id string, round int, seq int, tool string, args string"), p, o, before)
+    assert {(r.answer_id, r.round, r.seq): r.cycle or r.error for r in got.where("tool = 'profile_inspect' OR tool IS NULL OR tool = 'odd'").collect()} == {
+        ("x", 0, 0): "not_returned", ("x", 0, 2): "2024-25", ("x", 1, 0): "2024-25", ("y", 0, 1): "not_returned", ("z", 0, 0): "2024-25", ("v", 0, 1): "not_returned", ("v", 0, 2): "unknown_tool", ("v", 0, 3): "unknown_tool",
+    }
