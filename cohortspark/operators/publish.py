@@ -67,7 +67,7 @@ def _items(array: str, rules: dict) -> Column:
 
 
 def row_rules() -> list[Column]:
-    """A column for every rule with its name where a row breaks it; the items' bits are in _activities and _outcomes."""
+    """A column for every rule with its name where a row breaks it; what the items tell is in _activities, _outcomes (bits), _count and _explicit."""
     grade = lambda c: F.col(c).isNull() | (_finite(F.col(c)) & F.col(c).between(0, 4))
     items = [_no(F.col(f"_{array}").bitwiseAND(F.lit(1 << k)) == 0, rule) for array, rules in item_rules().items() for k, rule in enumerate(rules)]
     return [
@@ -85,8 +85,8 @@ def row_rules() -> list[Column]:
         _no(F.col("content_sha256").rlike(r"\A[a-f0-9]{64}\z"), "sha256"),
         _no(F.col("artifact_key").startswith("corpus/"), "artifact_key"),
         _no(_all("notes", lambda n: n.isNotNull()), "notes"),
-        _no(F.size("activities") >= 2, "activity_count"),
-        _no(F.exists("outcomes", lambda o: F.coalesce(o["status"].isin("accepted", "rejected") & (F.length(o["evidence"]) > 0), F.lit(False))), "explicit_outcome"),
+        _no(F.col("_count") >= 2, "activity_count"),
+        _no(F.col("_explicit"), "explicit_outcome"),
         *items,
     ]
 
@@ -103,7 +103,10 @@ def validate_corpus(profiles: DataFrame) -> DataFrame:
 
     The rules are columns of one projection, evaluated once; generators alone would interpret them, and filter by them first.
     """
-    items = profiles.withColumns({f"_{array}": _items(array, rules) for array, rules in item_rules().items()})
+    # The items are not carried on to the rules.
+    told = {f"_{array}": _items(array, rules) for array, rules in item_rules().items()}
+    explicit = F.exists("outcomes", lambda o: F.coalesce(o["status"].isin("accepted", "rejected") & (F.length(o["evidence"]) > 0), F.lit(False)))
+    items = profiles.withColumns(told | {"_count": F.size("activities"), "_explicit": explicit})
     broken = items.select(F.col("id").alias("profile_id"), F.array(*row_rules()).alias("rules"))
     rows = broken.select("profile_id", F.explode_outer("rules").alias("rule")).where("rule IS NOT NULL")
     return rows.unionByName(duplicate_keys(profiles).select(F.col("key").alias("profile_id"), "rule"))
