@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+from urllib.parse import quote, unquote
+
+import _hashlib
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+#: A file of more bytes is hashed in pieces of so many, each by a task of its own.
+PIECE = 256 << 20
+#: Bytes of OpenSSL's SHA-256 state (plain memory, which can be taken up elsewhere), of a digest, and read at once.
+STATE, DIGEST, READ = 112, 32, 8 << 20
+
 PROFILE = """struct<id:string,accountId:string,source:string,sourceAccountId:string,publicHandle:string,cycle:string,version:int,gpa:double,scienceGpa:double,mcat:double,residence:string,summary:string,
 activities:array<struct<category:string,description:string,hours:struct<min:double,max:double,precision:string>,timing:string,confidence:string>>,
 outcomes:array<struct<status:string,program:string,school:string,cycle:string,reportedCount:double,countKind:string,evidence:string,sourceUrl:string,conditional:boolean>>,
@@ -47,10 +57,63 @@ def parse_documents(df: DataFrame, column: str, schema: str, name: str = "parsed
     return df.withColumn(name, F.from_json(column, schema))
 
 
-def artifact_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sha256, length) of every file below path; a file is read whole, so it has to stay under 2 GB."""
+def _opened(path: str):
+    """A file by the name that Spark gives it, on any file system that Arrow knows."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file(rest)
+    system, place = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+    return system.open_input_file(place)
+
+
+def _hashed_on(path: str, length: int, start: int, piece: int, state: bytes | None) -> bytes:
+    """The SHA-256 state of a file after the piece at start, given the state before it; the digest after the last piece."""
+    openssl, held = ctypes.CDLL(_hashlib.__file__), ctypes.create_string_buffer(state or b"", STATE)
+    if state is None:
+        openssl.SHA256_Init(held)
+    stop = min(start + piece, length)
+    with _opened(path) as file:
+        file.seek(start)
+        while start < stop:
+            data = file.read(min(READ, stop - start))
+            if not data:
+                raise OSError(f"{path} ends before its {length} bytes")
+            openssl.SHA256_Update(held, data, ctypes.c_size_t(len(data)))
+            start += len(data)
+    if stop < length:
+        return held.raw
+    digest = ctypes.create_string_buffer(DIGEST)
+    openssl.SHA256_Final(digest, held)
+    return digest.raw
+
+
+def artifact_digests(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """(name, sha256, length) of every file below path, of any size.
+
+    A SHA-256 is a chain over a file's bytes. A file of more than `piece` bytes takes a round for each piece: a task takes up the
+    state that the last round left, reads one piece and gives the state back, so no task reads more. The driver
+    holds the names of files, as it does to list them, and these states. Spark reads no empty files; they are those
+    that it lists only.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256"), "length")
+    name = F.substring_index("path", "/", -1).alias("name")
+    listed = spark.createDataFrame([(file, unquote(file.rsplit("/", 1)[-1])) for file in files.inputFiles()], "file string, name string")
+    place = lambda file: F.regexp_replace(file, "^file:/+", "/").alias("file")
+    empty = listed.withColumn("file", place("file")).join(files.select(place("_metadata.file_path")), "file", "left_anti")
+    empty = empty.select("name", F.sha2(F.lit("").cast("binary"), 256).alias("sha256"), F.lit(0).cast("long").alias("length"))
+    whole = files.where(F.col("length") <= piece).select(name, F.sha2("content", 256).alias("sha256"), "length").unionAll(empty)
+    large = [(r.path, r.length, None) for r in files.where(F.col("length") > piece).select("path", "length").collect()]
+    if not large:
+        return whole
+    done, start = [], 0
+    while large:
+        step = lambda r, at=start: (r[0], r[1], _hashed_on(r[0], r[1], at, piece, r[2]))
+        large = spark.sparkContext.parallelize(large, len(large)).map(step).collect()
+        start += piece
+        done += [r for r in large if r[1] <= start]
+        large = [r for r in large if r[1] > start]
+    hashed = spark.createDataFrame([(p, bytes(digest), n) for p, n, digest in done], "path string, digest binary, length long")
+    return whole.unionAll(hashed.select(name, F.lower(F.hex("digest")).alias("sha256"), "length"))
 
 
 def frame_data(block: Column) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import pathlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -124,6 +125,22 @@ def test_artifact_digests(spark):
     assert {tuple(r) for r in QUERIES["artifact_digests"](spark, sf).collect()} == want
 
 
+def test_artifacts_of_any_size(spark, tmp_path):
+    """Files about a piece's size and of several pieces, and one that is too large for a row."""
+    whole = random.Random(3).randbytes(12_345)
+    for n in (0, 1, 999, 1000, 1001, 2000, 2001, 12_345):
+        (tmp_path / f"a b%20#{n}.gz").write_bytes(whole[:n])
+    got = {tuple(r) for r in files.artifact_digests(spark, str(tmp_path), piece=1000).collect()}
+    assert got == {(f.name, hashlib.sha256(f.read_bytes()).hexdigest(), f.stat().st_size) for f in tmp_path.iterdir()} and len(got) == 8
+    (tmp_path / "large").mkdir()
+    with open(tmp_path / "large" / "x", "wb") as f:
+        f.write(b"x")
+        f.truncate((2 << 30) + 5)
+    with open(tmp_path / "large" / "x", "rb") as f:
+        want = hashlib.file_digest(f, "sha256").hexdigest()
+    assert [tuple(r) for r in files.artifact_digests(spark, str(tmp_path / "large")).collect()] == [("x", want, (2 << 30) + 5)]
+
+
 def test_broken_documents_are_null(spark):
     df = spark.createDataFrame([('{"a": 1}',), ("[",), ("",), (None,)], "t string")
     assert [r.parsed and r.parsed.a for r in files.parse_documents(df, "t", "a int").collect()] == [1, None, None, None]
