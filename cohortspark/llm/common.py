@@ -82,27 +82,77 @@ def split_words(texts: pa.Array, pattern: str = " ") -> tuple[np.ndarray, np.nda
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x = x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
-def hashed(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of strings (none null): the sum of a mixed number for each byte and its place, mixed with the length."""
-    n = len(words)
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings (none null) one after the other, and where each begins (and the end)."""
+    n = len(texts)
     if not n:
-        return np.zeros(0, np.uint64)
-    if pa.types.is_large_string(words.type):
-        words = words.cast(pa.string())
-    _, places, data = words.buffers()
-    at = np.frombuffer(places, np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.string())
+    _, places, data = texts.buffers()
+    at = np.frombuffer(places, np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
-    at = at - at[0]
-    size = np.diff(at)
+    return raw, at - at[0]
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all spans, one span after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _byte_hashes(byte_at: np.ndarray) -> np.ndarray:
+    """A mixed number for each byte and its place in its word, given as byte + 256 * place."""
+    return mixed((byte_at.astype(np.uint64) + np.uint64(1)) * BASE)
+
+
+with np.errstate(over="ignore"):
+    #: Those of the first 64 places of a word, looked up.
+    _BYTES = _byte_hashes(np.arange(64 * 256))
+
+
+def summed(x: np.ndarray) -> np.ndarray:
+    """Prefix sums, with the nought before them."""
+    out = np.zeros(len(x) + 1, x.dtype)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
+def hashed_words(raw: np.ndarray, size: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+    """64-bit hashes of words, whose bytes lie one after the other: the sum of a mixed number for each byte and its place, mixed with the length.
+
+    `most` words at a time, so that what is at work stays near the processor.
+    """
+    out, at = np.zeros(len(size), np.uint64), 0
     with np.errstate(over="ignore"):
-        place = (np.arange(len(raw)) - np.repeat(at[:-1], size)).astype(np.uint64)
-        total = np.r_[np.uint64(0), np.cumsum(mixed((raw.astype(np.uint64) + (place << np.uint64(8)) + np.uint64(1)) * BASE), dtype=np.uint64)]
-        return mixed(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64) * BASE)
+        for k in range(0, len(size), most):
+            long = size[k : k + most]
+            ends = summed(long)
+            byte_at = np.arange(ends[-1])
+            byte_at -= np.repeat(ends[:-1], long)
+            byte_at <<= 8
+            byte_at |= raw[at : at + ends[-1]]
+            values = _BYTES.take(byte_at, mode="clip")
+            far = np.flatnonzero(byte_at >= len(_BYTES))
+            values[far] = _byte_hashes(byte_at[far])
+            total = summed(values)
+            out[k : k + most] = mixed(total[ends[1:]] - total[ends[:-1]] + long.astype(np.uint64) * BASE)
+            at += ends[-1]
+    return out
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings (none null)."""
+    raw, at = bytes_of(words)
+    return hashed_words(raw, np.diff(at))
 
 
 class Seen:

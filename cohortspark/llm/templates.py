@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BASE, BLANKS, dropped, gathered, hashed, mixed, removed, smaller, split_words, written
+from .common import BASE, BLANKS, bytes_of, dropped, gathered, hashed_words, mixed, removed, smaller, spread, summed, written
 
 #: A line, sentence or template recurs if this many documents hold it; a passage if two do.
 LEAST_DOCUMENTS, LEAST_SHARING = 3, 2
@@ -29,10 +28,15 @@ BROADCAST_TEMPLATES = 3_000_000
 UNIT, PASSAGE, LEAF = 0, 1, 2
 # Words that are variable fields (numbers, dates, hexadecimal ids, addresses, links).
 FIELDS = (r"\A\W*[0-9.,:/%+-]*[0-9][0-9.,:/%+-]*\w{0,3}\W*\z", r"\A\W*(?:[0-9a-fA-F-]{5,}[0-9][0-9a-fA-F-]*|[0-9a-fA-F-]*[0-9][0-9a-fA-F-]{5,})\W*\z", r"\A\W*(?:\S+@\S+|\w+://\S+|www\.\S+)\z")
-ODD = r"[0-9@]|://|www"
 FIELD = np.uint64(0x2545F4914F6CDD1D)
 
 
+#: For each byte whether it separates words (0), is part of one (1) or a line feed (2).
+KINDS = bytes(2 if c == 10 else 0 if chr(c) in BLANKS else 1 for c in range(256))
+#: Bytes of text, or one row, that are worked on at once: what they need stays near the processor.
+BATCH = 1_000_000
+
+
 def _flags(words: pa.Array, pattern: str) -> np.ndarray:
     return pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
 
@@ -55,45 +59,65 @@ class Units:
     """
 
     def __init__(self, texts: pa.Array, windows: bool = True):
-        for c in BLANKS:
-            if c not in " \n":
-                texts = pc.replace_substring(texts, c, " ")
-        # A line feed becomes a word of its own, so that one split gives words and line ends.
-        codes, first, parts = split_words(pc.replace_substring(texts, "\n", " \n "))
-        words = hashed(parts)
-        odd = np.flatnonzero(_flags(parts, ODD))
-        if len(odd):
-            some = parts.take(pa.array(odd))
-            words[odd[np.logical_or.reduce([_flags(some, f) for f in FIELDS])]] = FIELD
-        feed, stop = pc.equal(parts, "\n").to_numpy(zero_copy_only=False), _flags(parts, "[.!?…]\\z")
-        keep = (pc.binary_length(parts).to_numpy(zero_copy_only=False) > 0)[codes]
-        ends = np.r_[0, np.cumsum(keep)][first]
-        codes = codes[keep]
+        raw, at = self.raw, self.at = bytes_of(texts)
+        self._split()
+        n, is_feed, ends, last = len(self.first), self.is_feed, self.text_ends, self.last
         self.doc = np.repeat(np.arange(len(texts)), np.diff(ends))
-        n = len(codes)
-        is_feed = feed[codes]
         breaks = np.zeros(n + 1, bool)
         breaks[ends] = True
         # Line starts: after a feed or at a new text.
-        breaks = breaks[:-1]
-        breaks[1:] |= is_feed[:-1]
-        breaks |= is_feed
-        lines = self._runs(breaks, is_feed)
-        breaks[1:] |= stop[codes][:-1]
-        sentences = self._runs(breaks, is_feed)
+        breaks[1:] |= is_feed
+        breaks[:-1] |= is_feed
+        at_line = breaks.copy()
+        at_line[n] = True
+        lines = self._runs(breaks[:-1], is_feed)
+        final = raw[last - 1]
+        stop = (final == ord(".")) | (final == ord("!")) | (final == ord("?"))
+        some = np.flatnonzero((final == 0xA6) & (last - self.first >= 3))
+        stop[some[(raw[last[some] - 2] == 0x80) & (raw[last[some] - 3] == 0xE2)]] = True  # an ellipsis
+        breaks[1:] |= stop
+        sentences = self._runs(breaks[:-1], is_feed)
+        sentences = sentences[sentences[:, 1] - sentences[:, 0] >= SENTENCE_WORDS]
         # A sentence that is a whole line is that line's unit.
-        inner = ~np.isin(sentences[:, 0] * (n + 1) + sentences[:, 1], lines[:, 0] * (n + 1) + lines[:, 1])
-        sentences = sentences[inner & (sentences[:, 1] - sentences[:, 0] >= SENTENCE_WORDS)]
+        sentences = sentences[~(at_line[sentences[:, 0]] & at_line[sentences[:, 1]])]
         lines = lines[lines[:, 1] - lines[:, 0] >= LINE_WORDS]
         spans = np.concatenate([lines, sentences])
         self.start, self.end = spans[:, 0], spans[:, 1]
         self.of = self.doc[self.start] if len(spans) else np.zeros(0, np.int64)
-        self.is_feed, self.text_ends, self.words = is_feed, ends, words[codes]
+        self._fields()
         with np.errstate(over="ignore"):
             self._key()
             if windows:
                 self._choose()
 
+    def _split(self) -> None:
+        """Where each word and line feed of the batch begins and ends in its bytes, and its hash; a line feed is a word of its own."""
+        size = len(self.raw)
+        kinds = np.zeros(size + 2, np.uint8)
+        text = self.raw.tobytes()
+        kinds[1:-1] = np.frombuffer(text.translate(KINDS), np.uint8)
+        before, after = kinds[:-1], kinds[1:]
+        turn = before != after
+        turn[self.at] = True
+        self.first = np.flatnonzero((after != 0) & (turn | (after == 2)))
+        self.last = np.flatnonzero((before != 0) & (turn | (before == 2)))
+        self.is_feed = after[self.first] == 2
+        self.text_ends = np.searchsorted(self.first, self.at)
+        self.words = hashed_words(np.frombuffer(text.translate(None, BLANKS.replace("\n", "").encode()), np.uint8), self.last - self.first)
+
+    def _fields(self) -> None:
+        """Words that are variable fields get one hash. Only those with a digit, an @, :// or www can be."""
+        raw, (a, b, c) = self.raw, (self.raw[k : len(self.raw) - 2 + k] for k in range(3)) if len(self.raw) > 2 else (self.raw[:0],) * 3
+        odd = (raw - np.uint8(ord("0")) < 10) | (raw == ord("@"))
+        odd[: len(a)] |= ((a == ord(":")) & (b == ord("/")) & (c == ord("/"))) | ((a == ord("w")) & (b == ord("w")) & (c == ord("w")))
+        of = np.searchsorted(self.first, np.flatnonzero(odd), "right") - 1
+        of = of[np.r_[True, of[1:] != of[:-1]]] if len(of) else of
+        size = self.last[of] - self.first[of]
+        places = summed(size).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(of), pa.py_buffer(places), pa.py_buffer(raw[spread(self.first[of], size)])).dictionary_encode()
+        if len(of):
+            self.words[of[np.logical_or.reduce([_flags(words.dictionary, f) for f in FIELDS])[words.indices.to_numpy()]]] = FIELD
+
     @staticmethod
     def _runs(breaks: np.ndarray, is_feed: np.ndarray) -> np.ndarray:
         starts = np.flatnonzero(breaks)
@@ -110,11 +134,13 @@ class Units:
 
         A unit of so few words that no template fits in lies in no leaf.
         """
-        m, size = len(self.start), self.end - self.start
+        size = self.end - self.start
         # Every word is mixed with its place in the unit, so sums over places are exact prefix differences.
-        unit, begin = np.repeat(np.arange(m), size), np.cumsum(size) - size
-        place = np.arange(len(unit)) - begin[unit]
-        total = np.r_[np.uint64(0), np.cumsum(mixed(self.words[self.start[unit] + place] + place.astype(np.uint64) * BASE), dtype=np.uint64)]
+        begin, at = np.cumsum(size) - size, spread(self.start, size)
+        place = (at - np.repeat(self.start, size)).astype(np.uint64)
+        place *= BASE
+        place += self.words[at]
+        total = summed(mixed(place))
         lead = np.minimum(size, LEADING)
         self.leaf = mixed(total[begin + lead] - total[begin] + size.astype(np.uint64) * BASE)
         self.keys = self._of_kind(total[begin + size] - total[begin] + self.leaf, UNIT)
@@ -127,10 +153,11 @@ class Units:
         n, span = len(words) - WINDOW + 1, WINDOW + CHOICE - 1
         self.chosen = np.zeros(0, np.int64)
         if len(words) >= span:
-            rolled = np.zeros(n, np.uint64)
-            for k in range(WINDOW):
-                rolled += words[k : n + k] * (np.uint64(2 * k + 1) * BASE | np.uint64(1))
-            rolled = mixed(rolled) | np.uint64(1)
+            # The k-th word of a window counts 2k + 1 times: from prefix sums of words and of words times their places.
+            place = np.arange(len(words), dtype=np.uint64)
+            once, placed = (summed(x) for x in (words, words * place))
+            once, placed = once[WINDOW:] - once[:n], placed[WINDOW:] - placed[:n]
+            rolled = mixed((np.uint64(2) * (placed - place[:n] * once) + once) * BASE) | np.uint64(1)
             low = _sliding(rolled, CHOICE, np.minimum)
             low[doc[: len(low)] != doc[span - 1 :]] = 0
             edge = np.zeros(CHOICE - 1, np.uint64)
@@ -167,6 +194,15 @@ class Units:
         return words, np.bincount(self.of[gone], minlength=texts) + np.bincount(doc[first[passage]], minlength=texts)
 
 
+    def without(self, text: int, gone: np.ndarray) -> str:
+        """A text without its dropped words; kept stretches stay as they were, and a line that is now blank goes."""
+        a, b = self.text_ends[text], self.text_ends[text + 1]
+        turn = np.flatnonzero(np.diff(np.r_[True, gone[a:b], True]))
+        begins, ends = self.first[a + turn[::2]].tolist(), self.last[a + turn[1::2] - 1].tolist()
+        lines = b" ".join([self.raw[x:y].tobytes() for x, y in zip(begins, ends)]).decode().split("\n")
+        return "\n".join([x.strip(BLANKS) if len(begins) > 1 else x for x in lines if x.strip(BLANKS)])
+
+
 def _places(ids: pa.Array) -> np.ndarray:
     """The order of documents: doc_id, null ones last."""
     return pc.fill_null(ids.cast(pa.int64()), (1 << 63) - 1).to_numpy()
@@ -181,7 +217,7 @@ def recurring_keys(docs: DataFrame, least_documents: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dropped()
-        for batch in smaller(batches):
+        for batch in smaller(batches, 1, BATCH):
             doc, keys = Units(batch.column(1)).rows()
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(_places(batch.column(0))[doc])], names=["key", "place"])
 
@@ -206,7 +242,7 @@ def _leaf_units(docs: DataFrame, found: DataFrame, broadcast_most: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dropped()
         known = shared.value
-        for batch in smaller(batches):
+        for batch in smaller(batches, 1, BATCH):
             units = Units(batch.column(1), windows=False)
             places, open_ = _places(batch.column(0))[units.of], units.deep
             told = np.ones(len(open_), bool)
@@ -323,28 +359,11 @@ def _rewritten(batch: pa.RecordBatch, place: int, gone_of, repeat: float) -> tup
     words, n = ~units.is_feed, batch.num_rows
     before, after = np.bincount(units.doc[words], minlength=n), np.bincount(units.doc[words & ~gone], minlength=n)
     stays = ~((after < before) & ((after == 0) | (before - after >= repeat * before)))
-    out = []
-    for k, text in enumerate(batch.column(place).to_pylist()):
-        out.append(text if not count[k] else _without(text, gone[units.text_ends[k] : units.text_ends[k + 1]]))
-    return pa.array(out, pa.string()), before, after, count, stays
-
-
-_TOKEN = re.compile(r"\n|[^ \t\n\x0b\x0c\r]+")
-
-
-def _without(text: str, dropped: np.ndarray) -> str:
-    """The text without its dropped words; kept stretches stay as they were, and a line that is now blank goes."""
-    kept, last = [], None
-    for (token, gone) in zip(_TOKEN.finditer(text), dropped.tolist()):
-        if gone:
-            last = None
-        elif last is None:
-            kept.append([token.start(), token.end()])
-            last = kept[-1]
-        else:
-            last[1] = token.end()
-    lines = " ".join(text[a:b] for a, b in kept).split("\n")
-    return "\n".join(x.strip(BLANKS) if len(kept) > 1 else x for x in lines if x.strip(BLANKS))
+    changed = np.flatnonzero(count)
+    mask = np.zeros(n, bool)
+    mask[changed] = True
+    texts = pa.array([units.without(k, gone) for k in changed.tolist()], pa.string())
+    return pc.replace_with_mask(batch.column(place).cast(pa.string()), pa.array(mask), texts), before, after, count, stays
 
 
 def _marker(keys: np.ndarray, places: np.ndarray):
@@ -375,7 +394,7 @@ def _deduplicated(docs: DataFrame, least_documents: int, broadcast_most: int, sc
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dropped()
             mark = _marker(*shared.value)
-            for batch in smaller(batches, at_text):
+            for batch in smaller(batches, at_text, BATCH):
                 ids = _places(batch.column(at_id))
                 yield result(batch, lambda units: mark(units, ids))
 
@@ -384,7 +403,7 @@ def _deduplicated(docs: DataFrame, least_documents: int, broadcast_most: int, sc
     # Each document's own keys meet the recurring ones; what is found goes back to it by doc_id and a hash of its text.
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dropped()
-        for batch in smaller(batches):
+        for batch in smaller(batches, 1, BATCH):
             doc, keys = Units(batch.column(1)).rows()
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(_places(batch.column(0))[doc]), batch.column(2).take(pa.array(doc))], names=["key", "own", "row"])
 
@@ -397,7 +416,7 @@ def _deduplicated(docs: DataFrame, least_documents: int, broadcast_most: int, sc
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dropped()
-        for batch in smaller(batches, at_text):
+        for batch in smaller(batches, at_text, BATCH):
             lists = batch.column(batch.num_columns - 1)
             own = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
             order = np.lexsort((own, keys := lists.flatten().to_numpy()))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 
 from cohortspark.llm import queries, templates
@@ -152,3 +153,50 @@ def test_tree_of_lines_and_sentences_of_any_length(spark, monkeypatch):
         # A sentence of fewer than eight words is no unit.
         gone = [frame[0] not in out[d].text for d in range(1, 11)]
         assert all(gone) or len(fixed) < templates.SENTENCE_WORDS, len(fixed)
+
+
+def test_words_and_what_is_left_by_their_bytes():
+    """Words of any length, blanks of all kinds and texts that begin where others end, against plain Python."""
+    texts = ["", "a", "b\n", " \t\n\n\x0b c\r", "…", "one two. three… four", "\n", "é" * 90 + " x" * 3, "://", "//y w", "ww", "12:30 a@b www.x", "x\u00a0y z\x85"]
+    column = pa.array(["cut off", *texts]).slice(1)
+    units = templates.Units(column)
+    rng = random.Random(2)
+    fields = [re.compile(x.replace(r"\z", r"\Z"), re.ASCII) for x in templates.FIELDS]
+    gone = np.array([rng.random() < 0.4 for _ in units.first])
+    at = 0
+    for k, text in enumerate(texts):
+        found = list(re.finditer(r"\n|[^ \t\n\x0b\x0c\r]+", text))
+        assert units.text_ends[k] == at and units.text_ends[k + 1] == at + len(found)
+        kept, last = [], None
+        for n, token in enumerate(found, at):
+            word = units.raw[units.first[n] : units.last[n]].tobytes().decode()
+            assert word == token[0] and units.is_feed[n] == (word == "\n") and units.doc[n] == k
+            assert units.words[n] == (templates.FIELD if any(f.search(word) for f in fields) else templates.hashed_words(np.frombuffer(word.encode(), np.uint8), np.array([len(word.encode())]))[0])
+            if gone[n]:
+                last = None
+            elif last is None:
+                kept.append(last := [token.start(), token.end()])
+            else:
+                last[1] = token.end()
+        at += len(found)
+        lines = " ".join(text[a:b] for a, b in kept).split("\n")
+        assert units.without(k, gone) == "\n".join(x.strip(templates.BLANKS) if len(kept) > 1 else x for x in lines if x.strip(templates.BLANKS))
+    assert at == len(units.first)
+
+
+def test_word_hashes():
+    """Looked up by byte and place, also beyond the places looked up, and some words at a time."""
+    words = ["", "a", "ab", "b" * 63, "b" * 64, "b" * 65, "é" * 300, "", "z"]
+    mask, got = (1 << 64) - 1, []
+
+    def mix(x):
+        x = ((x ^ (x >> 33)) * 0xFF51AFD7ED558CCD) & mask
+        x = ((x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53) & mask
+        return x ^ (x >> 33)
+
+    base = int(templates.BASE)
+    want = [mix((sum(mix((c + (k << 8) + 1) * base & mask) for k, c in enumerate(w.encode())) + len(w.encode()) * base) & mask) for w in words]
+    raw, size = np.frombuffer("".join(words).encode(), np.uint8), np.array([len(w.encode()) for w in words])
+    for most in (1, 2, 100):
+        got = templates.hashed_words(raw, size, most).tolist()
+        assert got == want
