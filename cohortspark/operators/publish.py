@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .batch import valid_cycle
 from .cohort import OUTCOMES, SOURCES
 
+#: Parts into which rows of one place are dealt out by account and cycle.
+PIECES = 16
 #: Fixed values.
 HOSTS = {"reddit": "www.reddit.com", "sdn": "forums.studentdoctor.net", "mdapplicants": "www.mdapplicants.com"}
 IMPORTS = "release string, content_sha256 string, imported_at string, profile_count long, account_count long"
@@ -171,8 +173,8 @@ def publish_profiles(existing: DataFrame, release: DataFrame, place=None) -> Dat
 
     Whole rows are dealt out once, to their account and cycle, where all is decided. Only ids are compared before: those
     whose rows name different accounts or cycles get the place where they belong, and a row without content demotes where
-    they are named. `place` (a column of the account) leads the order in which rows are dealt out and stays as `bucket`;
-    then it is asked first whether any id is out of place, so that whole rows are joined with none.
+    they are named. By `place` (a column of the account), which stays as `bucket`, and PIECES parts of it rows are dealt out by hash, since
+    ranges take a pass over whole rows to be found; then it is asked first whether any id is out of place, so that whole rows are joined with none.
     """
     key = ["account_id", "cycle"]
     rest = [c for c in existing.columns if c != "is_current"]
@@ -191,9 +193,9 @@ def publish_profiles(existing: DataFrame, release: DataFrame, place=None) -> Dat
         both = both.withColumns({c: F.when(F.col("_moved"), F.col(f"to_{c}")).otherwise(F.col(c)) for c in key}).select(*rest, "was", "_new", "n_ordinal", "_moved", F.lit(False).alias("_told"))
         told = moved.select(*[F.col("last")[c].alias(c) for c in key], F.col("last_ordinal").alias("n_ordinal"), F.lit(True).alias("_told"))
         both = both.unionByName(told, allowMissingColumns=True)
-    spot = [*(["bucket"] if place is not None else []), *key]
+    spot = [*(["bucket", "_piece"] if place is not None else []), *key]
     if place is not None:
-        both = both.withColumn("bucket", place).repartitionByRange(*spot)
+        both = both.withColumns({"bucket": place, "_piece": F.pmod(F.xxhash64(*key, F.lit(PIECES)), F.lit(PIECES))}).repartition("bucket", "_piece")
     # Rows of one id lie together, the last written first; a known id's version stays.
     same = W.partitionBy(*spot, "id")
     version = F.coalesce(F.max(F.when(~F.col("_new"), F.col("version"))).over(same), "version")
@@ -203,7 +205,7 @@ def publish_profiles(existing: DataFrame, release: DataFrame, place=None) -> Dat
     said = F.max(F.when(F.col("_told") | (F.col("_new") & ~F.col("_moved")), F.col("n_ordinal"))).over(W.partitionBy(*spot))
     last = F.when(F.col("account_id").isNotNull() & F.col("cycle").isNotNull(), said)
     current = F.when(F.col("_new"), (F.coalesce("last", F.lit(-1)) <= F.coalesce("n_ordinal", F.lit(-1))).cast("int")).when(F.col("last").isNotNull(), F.lit(0)).otherwise(F.col("was"))
-    return chosen.withColumn("last", last).where("NOT _told").withColumn("is_current", current).select(*existing.columns, *spot[:-2])
+    return chosen.withColumn("last", last).where("NOT _told").withColumn("is_current", current).select(*existing.columns, *spot[:-3])
 
 
 def publish_outcomes(existing: DataFrame, release_profiles: DataFrame, release_outcomes: DataFrame) -> DataFrame:

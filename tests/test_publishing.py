@@ -162,3 +162,26 @@ def test_whole_rows_are_dealt_out_once(spark, tmp_path):
     # p1 stays with a1, of whose profiles p16 was current; a2's are demoted, as the last row names it; a3's are not.
     assert len(got) == 20 and got["p1"].account_id == "sdn:a1" and got["p1"].is_current == 1 and got["p16"].is_current == 1
     assert (got["p17"].is_current, got["p18"].is_current) == (0, 1)
+
+
+def test_publishing_leaves_no_shuffle_files(spark, tmp_path):
+    """What a publication has shuffled goes with it; large tables are written in rounds, compressed well, each bucket in one of them."""
+    import time
+
+    places = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {f for d in places for f in pathlib.Path(d).rglob("shuffle_*.data")}
+    rows = spark.createDataFrame([profile(f"p{k}", f"a{k % 40}", "h", k, [("2023-24", "accepted", "S", None)]) for k in range(200)], PROFILE)
+    before = shuffled()
+    for release in ("r1", "r2"):
+        store.publish(str(tmp_path), rows, release, "t1", 8)
+    waited = time.time() + 20
+    while shuffled() - before and time.time() < waited:
+        time.sleep(0.2)
+    assert shuffled() <= before
+    written = list(tmp_path.rglob("profiles/bucket=*/*.parquet"))
+    assert all(".zstd." in f.name for f in written)
+    # Each round has a job's id of its own in the names of its files.
+    jobs = {f.name.split("-", 2)[2].rsplit("-", 1)[0] for f in written if "v-00000001" in str(f)}
+    assert len(jobs) == store.ROUNDS["profiles"] and len({f.parent.name for f in written}) == 8
+    got = store.read_corpus(spark, str(tmp_path))
+    assert (got["profiles"].count(), got["outcomes"].count(), got["accounts"].count(), got["profiles"].where("is_current = 1").count()) == (200, 200, 40, 40)
