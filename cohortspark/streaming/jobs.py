@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from cohortspark.operators.conversations import ANSWER_CHARS, LEASE_MS, SAVED_CHARS
-from cohortspark.sources.store import BUCKETS, publish
+from cohortspark.sources.store import BUCKETS, CODEC, gone, publish
 
 
 def daily_usage(attempts: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -272,11 +272,6 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", keys: tupl
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, *[f"last.{c}" for c in rest])
 
 
-def _gone(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def publish_files(spark: SparkSession, files: str, schema: str, store: str, checkpoint: str, imported_at: str, staging: str | None = None, buckets: int = BUCKETS):
     """Publish release files (JSON lines of nested profiles with release, release_size and ordinal) as they arrive, in parts of any size.
 
@@ -289,7 +284,7 @@ def publish_files(spark: SparkSession, files: str, schema: str, store: str, chec
     source = spark.readStream.schema(schema).json(files)
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").partitionBy("release").parquet(f"{staging}/batch={number}")
+        batch.write.mode("overwrite").partitionBy("release").parquet(f"{staging}/batch={number}", compression=CODEC)
         names = [r[0] for r in spark.read.schema(batch.schema).parquet(f"{staging}/batch={number}").select("release").distinct().orderBy("release").collect()]
         kinds = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
         staged = spark.read.schema(kinds).option("basePath", staging).parquet(f"{staging}/batch=*").where(F.col("release").isin(names))
@@ -301,6 +296,6 @@ def publish_files(spark: SparkSession, files: str, schema: str, store: str, chec
                 rows = rows.withColumn("_place", F.row_number().over(latest)).where("_place = 1")
             publish(store, rows.drop("release", "release_size", "batch", "_place"), name, imported_at, buckets)
             for held in staged.where(F.col("release") == name).select("batch").distinct().collect():
-                _gone(spark, f"{staging}/batch={held.batch}/release={name}")
+                gone(spark, f"{staging}/batch={held.batch}/release={name}")
 
     return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()

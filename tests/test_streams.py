@@ -134,3 +134,13 @@ def test_whole_answers_do_not_enter_the_state():
     job.handle, job.frames, job.stand = object(), Untouched(), Untouched()
     got = [tuple(r) for out in job.handleInputRows(("a",), iter([frames.iloc[:1], frames.iloc[1:]]), None) for r in out.itertuples(index=False)]
     assert got == [("a", "Hi there", "complete")]
+
+
+def test_publishing_queries_drop_what_they_wrote(spark, tmp_path, monkeypatch):
+    """Of stream_publish only the arrived files, the store and the checkpoint are left: no staged rows, not the release that the files were written from."""
+    from cohortspark.plans.register import Tables
+    from cohortspark.registry import QUERIES
+
+    monkeypatch.setattr(Tables, "folder", lambda self, name: str(tmp_path / name))
+    assert QUERIES["stream_publish"](spark, "/root/testdata/sf0.001").count() == 1500
+    assert {f.relative_to(tmp_path).parts[0] for f in tmp_path.rglob("*.parquet")} == {"store"}
